@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, simhash
+from . import audio, bpe, pii, quality, simhash, warc
 from .common import materialise, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,25 @@ def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to seekable WARC bundles, which are stored and read back."""
+    bundles = materialise(warc.write_bundles(warc.plan_records(table(spark, sf_dir, "pages"))))
+    read = materialise(warc.read_bundles(bundles).drop("payload"))
+    return warc.resolve_revisits(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
