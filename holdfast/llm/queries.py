@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, pii, quality, simhash, warc
-from .common import materialise, table
+from . import audio, bpe, fingerprints, language, lm, mixing, pii, quality, simhash, warc
+from .common import held_out, materialise, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -55,6 +55,35 @@ def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under a model of the documents labelled good, against one of all documents.
+    Target: rows of `labels` with quality 1 and not toxic that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0) & ~held_out(F.col("doc_id"))).select("doc_id")
+    return lm.cross_entropy_difference(docs, good).select("doc_id", "lm.*")
+
+
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.fit_languages(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", F.size("language.spans").alias("n_spans"))
+
+
+def op9_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and their likeness."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of every document, for the targets of mixing.TARGETS over the domains of `labels`."""
+    labels = table(spark, sf_dir, "labels")
+    known = labels.select("doc_id", mixing.label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), known)
+    names = sorted(mixing.TARGETS)
+    return mixed.select("doc_id", "tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], "rate")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -46,10 +46,10 @@ def measure(raw: bytes) -> list[float]:
 
 
 def text_stats(text: Column, lexicons: dict[str, list[str]] | None = None) -> Column:
-    """Struct column of the statistics. lexicons: name to lower-case words; for each, share_<name> is the
-    share of the text's distinct words that it has, after stripping punctuation from their ends."""
+    """Struct column of the statistics. lexicons: name to lower-case words; for each, hits_<name> is the
+    logarithm of 1 plus the number of the text's distinct words that it has, without punctuation at their ends."""
     lexicons = {k: frozenset(w.encode() for w in v) for k, v in (lexicons or {}).items()}
-    names = [*NAMES, *(f"share_{k}" for k in lexicons)]
+    names = [*NAMES, *(f"hits_{k}" for k in lexicons)]
 
     @F.arrow_udf(f"struct<{','.join(f'{n}:double' for n in names)}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -59,7 +59,7 @@ def text_stats(text: Column, lexicons: dict[str, list[str]] | None = None) -> Co
                 row = measure(raw or b"")
                 if lexicons:
                     seen = distinct_words(raw or b"")
-                    row += [len(seen & v) / max(1, len(seen)) for v in lexicons.values()]
+                    row += [float(np.log1p(len(seen & v))) for v in lexicons.values()]
                 rows.append(row)
             table = np.array(rows, float).reshape(len(rows), len(names))
             yield pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(names))], names=names)
