@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir
+
+__all__ = ["bounded_sample", "held_out", "materialise", "row_key", "shared_dir", "table"]
 FOLDS = 5
 
 
@@ -15,25 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder: spark.checkpoint.dir, or one of our own where it is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-holdfast-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there, and any
-    executor can be lost later. The reread table carries file sizes, so joins are planned on facts."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is 0 mod 5. A null id is held out: nothing is learnt from it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))

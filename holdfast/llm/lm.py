@@ -115,5 +115,5 @@ def score_documents(docs: DataFrame, counts: DataFrame, text: str = "text") -> D
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `lm`. target_ids: doc_id of the rows that the target model is made from."""
     ids = target_ids.select(F.col(doc_id).alias("hf_id")).where("hf_id is not null").distinct().withColumn("hf_target", F.lit(True))
-    marked = docs.join(ids, F.col(doc_id) == F.col("hf_id"), "left")
+    marked = docs.join(ids.hint("shuffle_hash"), F.col(doc_id) == F.col("hf_id"), "left")  # the ids grow with the corpus: one plan at every size
     return score_documents(docs, count_trigrams(marked, "hf_target", text), text)
