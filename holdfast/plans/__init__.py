@@ -1,6 +1,6 @@
 """Registered queries and the views that they run on."""
 
-from . import places, scores
+from . import models, places, scores, structure
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "places", "scores"]
+__all__ = ["ORACLE", "QUERIES", "models", "places", "scores", "structure"]
