@@ -56,7 +56,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, dims: list[str], qid
     ends = frame.agg(F.max("n"), *[F.min(c) for c in lo], *[F.max(c) for c in hi]).first()
     reach = q.agg(*[F.min(f"q_{c}") for c in dims], *[F.max(f"q_{c}") for c in dims]).first()
     schema = ", ".join([*[f"{b} {t}" for b, t in q.dtypes if b in by], f"query_id {dict(q.dtypes)['query_id']}, neighbour_id {dict(p.dtypes)['neighbour_id']}, distance double, rank int"])
-    if ends[0] is None or reach[0] is None:
+    if not ends[0] or reach[0] is None:
         return queries.sparkSession.createDataFrame([], schema)
     m = len(dims)
     low = [min(a, b) for a, b in zip(ends[1 : m + 1], reach[:m], strict=True)]
