@@ -164,3 +164,61 @@ def path_cv(tracks: DataFrame, track: str, depth: str, r: str, c: str, degrees:
         e = t.join(beta, [track, "fold"]).groupBy(track).agg(F.median(F.sqrt(off[0] * off[0] + off[1] * off[1])).alias("error"))
         parts.append(e.withColumn("degree", F.lit(d)))
     return reduce(DataFrame.unionByName, parts)
+
+
+def mapping_choice(df: DataFrame, by: list[str], xs: list[str], ys: list[str]) -> DataFrame:
+    """(by, translation, affine, choice): median leave-one-out errors of a median offset and of an affine map, and
+    the smaller one's name. Leave-one-out medians take the shifted rank; affine residuals are e / (1 - h)."""
+    w = Window.partitionBy(*by)
+    rows = materialise(df.withColumn("hf_id", F.monotonically_increasing_id()))
+    off = rows
+    for x, y in zip(xs, ys, strict=True):
+        d = F.col(y) - F.col(x)
+        ranked = Window.partitionBy(*by).orderBy(d, "hf_id")
+        off = off.withColumns({"hf_d": d, "hf_r": F.row_number().over(ranked), "hf_n": F.count("*").over(w), "hf_all": F.array_sort(F.collect_list(d).over(w))})
+        m = F.col("hf_n") - 1
+        at = lambda i: F.get("hf_all", (i + F.when(i + 1 >= F.col("hf_r"), 1).otherwise(0)).cast("int"))
+        lo, hi = F.floor((m - 1) / 2), F.ceil((m - 1) / 2)
+        off = off.withColumn(f"t_{y}", F.col("hf_d") - (at(lo) + at(hi)) / 2)
+    translation = off.groupBy(*by).agg(F.median(F.sqrt(sum((F.col(f"t_{y}") * F.col(f"t_{y}") for y in ys), F.lit(0.0)))).alias("translation"))
+    terms, p = [F.lit(1.0), *map(F.col, xs)], len(xs) + 1
+
+    def solve(row: dict, n_terms: int, t: int):
+        import numpy as np
+
+        square = moments._square(row["xx"], n_terms)
+        inverse = np.linalg.pinv(square)
+        return np.hstack([inverse @ np.array(row["xy"]).reshape(n_terms, t), inverse])
+
+    beta = moments.coefficients(moments.statistics(rows, by, terms, [F.col(y) for y in ys]), by, solve, p, len(ys)).drop("n")
+    wide = len(ys) + p
+    item = lambda i, j: F.get("beta", F.lit(i * wide + j))
+    h = sum((terms[i] * terms[j] * item(i, len(ys) + j) for i in range(p) for j in range(p)), F.lit(0.0))
+    e2 = sum(((F.col(y) - sum((terms[i] * item(i, k) for i in range(p)), F.lit(0.0))) ** 2 for k, y in enumerate(ys)), F.lit(0.0))
+    affine = rows.join(beta, by).groupBy(*by).agg(F.median(F.sqrt(e2) / F.greatest(1 - h, F.lit(1e-9))).alias("affine"))
+    return translation.join(affine, by).withColumn("choice", F.when(F.col("affine") < F.col("translation"), "affine").otherwise("translation"))
+
+
+def direction_ridge(df: DataFrame, block: str, xs: list[Column], axis: list[str], alpha: float = 0.001) -> DataFrame:
+    """df with a unit direction (p_<axis>) predicted by n-scaled ridge of each component on the other blocks."""
+    stats = moments.without_own(materialise(moments.statistics(df, [block], xs, [F.col(a) for a in axis])), block)
+    beta = moments.coefficients(stats, [block], moments.ridge(alpha, scaled=False, per_n=True), len(xs), len(axis)).drop("n")
+    p = [moments.predicted(xs, target=i, targets=len(axis)) for i in range(len(axis))]
+    out = df.join(beta, block).withColumns({f"p_{a}": c for a, c in zip(axis, p, strict=True)})
+    size = F.sqrt(sum((F.col(f"p_{a}") * F.col(f"p_{a}") for a in axis), F.lit(0.0)))
+    return out.withColumns({f"p_{a}": F.col(f"p_{a}") / size for a in axis}).drop("beta")
+
+
+def scribble_classifier(features: DataFrame, labels: DataFrame, key: str, cols: list[str], per_class: int = 15_000, seed: int = 1) -> DataFrame:
+    """(key, probability) of class 1 for every row, from a forest on at most per_class labelled rows of each class,
+    drawn by hash, with weights that balance the classes."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(features)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), key)))
+    train = rows.join(labels.withColumn("hf_rank", rank).where(F.col("hf_rank") <= per_class).select(key, F.col("label").cast("double").alias("label")), key)
+    train = train.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("label")))
+    model = RandomForestClassifier(numTrees=20, weightCol="weight", seed=seed).fit(materialise(train))
+    return model.transform(rows).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))

@@ -1,6 +1,6 @@
 """Registered queries and the views that they run on."""
 
-from . import models, places, scores, structure
+from . import models, places, scores, structure, volumes
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "models", "places", "scores", "structure"]
+__all__ = ["ORACLE", "QUERIES", "models", "places", "scores", "structure", "volumes"]
