@@ -78,6 +78,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(of_root, "root").select("fp", "component_id")
     groups = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    groups = materialise(groups)  # both sides of the join are then plain exchanges, of which Spark splits the one with many copies
     return rows.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
 
 
