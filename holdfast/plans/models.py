@@ -138,6 +138,11 @@ def i10(v):
     return predict.tuned_ridge(v("fx_features"), "block_id", "unit_id", [F.col("f1"), F.col("f2")], "target", [0.1, 10.0, 1000.0])
 
 
+@query("I10_nested_tuning_one", "WITH p AS (SELECT a.block_id AS o, b.block_id AS i FROM (SELECT DISTINCT block_id FROM fx_features) a, (SELECT DISTINCT block_id FROM fx_features) b WHERE a.block_id <> b.block_id), m AS (SELECT o, i, alpha, regr_sxy(target, f1) / (regr_sxx(target, f1) * (1 + alpha / count(*))) AS s, avg(f1) AS mx, avg(target) AS my FROM fx_features JOIN p ON block_id <> o AND block_id <> i, (VALUES (1.0), (20000.0), (1000000.0)) t(alpha) GROUP BY 1, 2, 3), u AS (SELECT o, alpha, block_id, unit_id, avg(abs(my + s * (f1 - mx) - target)) AS e FROM fx_features JOIN m ON block_id = i GROUP BY 1, 2, 3, 4), b AS (SELECT o, alpha, block_id, median(e) AS e FROM u GROUP BY 1, 2, 3) SELECT o AS \"outer\", CAST(alpha AS DOUBLE) AS alpha, round(median(e), 6) AS score FROM b GROUP BY 1, 2")
+def i10b(v):
+    return rounded(predict.tuned_ridge(v("fx_features"), "block_id", "unit_id", [F.col("f1")], "target", [1.0, 20000.0, 1000000.0]), "score")
+
+
 UNITS3 = "s AS (SELECT point_id, x, y, z, value FROM fx_points3 WHERE point_id % 2 = 0)"
 KS = dict(by="", key="q.point_id", table="s")
 
@@ -264,6 +269,14 @@ def i33(v):
     return beta.select("region", *[b[i + 1].alias(f"c{n}") for i, n in enumerate("xyz")], F.sqrt(b[0] + b[1] * b[1] + b[2] * b[2] + b[3] * b[3]).alias("radius"))
 
 
+@query("I33_circle_fit", "WITH m AS (SELECT region, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy, covar_pop(x, x * x + y * y) AS xs, covar_pop(y, x * x + y * y) AS ys, avg(x) AS mx, avg(y) AS my, avg(x * x + y * y) AS ms FROM fx_points3 GROUP BY 1), c AS (SELECT *, (xs * yy - ys * xy) / (2 * (xx * yy - xy * xy)) AS cx, (ys * xx - xs * xy) / (2 * (xx * yy - xy * xy)) AS cy FROM m) SELECT region, round(cx, 5) AS cx, round(cy, 5) AS cy, round(sqrt(ms - 2 * cx * mx - 2 * cy * my + cx * cx + cy * cy), 5) AS radius FROM c")
+def i33b(v):
+    x, y = F.col("x"), F.col("y")
+    beta = moments.coefficients(moments.statistics(v("fx_points3"), ["region"], [F.lit(1.0), 2 * x, 2 * y], [x * x + y * y]), ["region"], moments.least_squares, 3)
+    b = [F.get("beta", F.lit(i)) for i in range(3)]
+    return beta.select("region", F.round(b[1], 5).alias("cx"), F.round(b[2], 5).alias("cy"), F.round(F.sqrt(b[0] + b[1] * b[1] + b[2] * b[2]), 5).alias("radius"))
+
+
 @query("I34_cross_group_holdout", "WITH m AS (SELECT f.g, regr_slope(target, f1) AS s, regr_intercept(target, f1) AS i FROM fx_features, (VALUES (0), (1)) f(g) WHERE unit_id % 2 <> f.g GROUP BY 1) SELECT g AS eye, count(*) AS n, round(median(abs(i + s * f1 - target)), 5) AS median_error FROM fx_features JOIN m ON g = unit_id % 2 GROUP BY 1")
 def i34(v):
     f = v("fx_features").withColumn("eye", (F.col("unit_id") % 2).cast("int"))
