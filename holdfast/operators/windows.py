@@ -48,16 +48,17 @@ def gaussian_weights(sigma: float) -> list[float]:
 
 def gaussian_smooth(df: DataFrame, by: list[str], x: str, value: str, sigma: float, name: str = "smooth") -> DataFrame:
     """Smoothing along integer x = lo..hi of each line, reflecting at both ends (the end row is repeated).
-    Each row is sent to the places whose window has it, mirrored places included, and summed there."""
+    Each row takes the places of its window, mirrored ones included; places without a row are left out and the
+    other weights scaled up."""
     w = gaussian_weights(sigma)
     radius = len(w) // 2
     ends = Window.partitionBy(*by)
-    rows = df.withColumns({"hf_lo": F.min(x).over(ends), "hf_n": F.count("*").over(ends)})
+    rows = df.withColumns({"hf_lo": F.min(x).over(ends), "hf_n": F.max(x).over(ends) - F.min(x).over(ends) + 1})
     at = F.pmod(F.col(x) + F.col("hf_step") - F.col("hf_lo"), 2 * F.col("hf_n"))
     place = F.col("hf_lo") + F.when(at < F.col("hf_n"), at).otherwise(2 * F.col("hf_n") - 1 - at)
     taps = rows.select(*by, F.col(x), "hf_lo", "hf_n", F.posexplode(F.array(*map(F.lit, w))).alias("hf_i", "hf_w")).withColumn("hf_step", F.col("hf_i") - radius).withColumn("hf_from", place)
     values = df.select(*by, F.col(x).alias("hf_from"), F.col(value).alias("hf_v"))
-    return taps.join(values, [*by, "hf_from"]).groupBy(*by, x).agg(F.sum(F.col("hf_w") * F.col("hf_v")).alias(name))
+    return taps.join(values, [*by, "hf_from"]).groupBy(*by, x).agg((F.sum(F.col("hf_w") * F.col("hf_v")) / F.sum("hf_w")).alias(name))
 
 
 def threshold_crossing(df: DataFrame, by: list[str], x: str, value: str, thresholds: list[float]) -> DataFrame:
