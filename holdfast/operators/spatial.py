@@ -2,7 +2,7 @@
 
 Points are hashed into grid cells; a search joins a query to the 3^d cells around its own, so no join is a
 Cartesian product. The k-nearest join starts with cells sized by the mean density, certifies each query whose
-k-th distance lies within the searched block, and searches again for the rest with doubled cells.
+k-th distance lies within the searched block, and searches again for the rest with threefold cells.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, dims: list[str], qid
         left = materialise(left.join(done.select(*by, "query_id").distinct(), [*by, "query_id"], "left_anti"))
         if left.isEmpty():
             break
-        width *= 2
+        width *= 3
     return reduce(DataFrame.unionByName, parts)
 
 
