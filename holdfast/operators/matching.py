@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .graph import connected_components
-from .spatial import range_join
+from .spatial import knn_join, range_join
 
 
 def assignment(cost: np.ndarray) -> list[int]:
@@ -74,14 +74,14 @@ def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id",
 
 def best_shift(a: DataFrame, b: DataFrame, key: str, dims: tuple[str, str], reach: int, step: float, nearest: int) -> DataFrame:
     """(da, db, score) of all shifts of b on a grid: the median of the `nearest` smallest distances from shifted
-    points to their mutual nearest partners, best first. Both frames are small lattices."""
+    points to their mutual nearest partners. Every shift is a group of two nearest-neighbour joins."""
     x, y = dims
     shifts = b.sparkSession.createDataFrame([(i * step, j * step) for i, j in product(range(-reach, reach + 1), repeat=2)], "da double, db double")
-    moved = b.select(F.col(key).alias("b"), x, y).crossJoin(F.broadcast(shifts)).select("b", "da", "db", (F.col(x) + F.col("da")).alias("bx"), (F.col(y) + F.col("db")).alias("by"))
-    pairs = moved.crossJoin(F.broadcast(a.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"))))
-    d = pairs.withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
-    rank = lambda k, o: F.row_number().over(Window.partitionBy("da", "db", k).orderBy("d", o))
-    mutual = d.withColumns({"ra": rank("a", "b"), "rb": rank("b", "a")}).where("ra = 1 AND rb = 1")
+    moved = b.select(F.col(key).alias("b"), x, y).crossJoin(F.broadcast(shifts)).select("b", "da", "db", (F.col(x) + F.col("da")).alias(x), (F.col(y) + F.col("db")).alias(y))
+    still = a.select(F.col(key).alias("a"), x, y).crossJoin(F.broadcast(shifts))
+    there = knn_join(moved, still, 1, list(dims), "b", "a", ("da", "db")).select("da", "db", F.col("query_id").alias("b"), F.col("neighbour_id").alias("a"), F.col("distance").alias("d"))
+    back = knn_join(still, moved, 1, list(dims), "a", "b", ("da", "db")).select("da", "db", F.col("query_id").alias("a"), F.col("neighbour_id").alias("b"))
+    mutual = there.join(back, ["da", "db", "a", "b"])
     top = mutual.withColumn("k", F.row_number().over(Window.partitionBy("da", "db").orderBy("d"))).where(F.col("k") <= nearest)
     return top.groupBy("da", "db").agg(F.median("d").alias("score"), F.count("*").alias("pairs"))
 

@@ -63,19 +63,19 @@ def thin_plate(queries: DataFrame, sites: DataFrame, key: str, value: str, k: in
     return batched_solve(rows, f"query_id {dict(queries.dtypes)[key]}, prediction double", solve)
 
 
-def derivative_maps(surface: DataFrame, value: str, sigmas: tuple[float, ...]) -> DataFrame:
-    """(sigma, i, j, smooth, slope, laplacian, determinant, anisotropy) of a height map at several scales."""
+def derivative_maps(surface: DataFrame, value: str, sigmas: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, sigma, i, j, smooth, slope, laplacian, determinant, anisotropy) of height maps at several scales."""
     out = []
     for s in sigmas:
-        a = gaussian_smooth(gaussian_smooth(surface, ["j"], "i", value, s), ["i"], "j", "smooth", s, "f")
+        a = gaussian_smooth(gaussian_smooth(surface, [*by, "j"], "i", value, s), [*by, "i"], "j", "smooth", s, "f")
         a = materialise(a)
-        gi = gradient(a, ["j"], "i", "f").withColumnRenamed("gradient", "fi")
-        g = gradient(gi, ["i"], "j", "f").withColumnRenamed("gradient", "fj")
-        h = gradient(g, ["j"], "i", "fi").withColumnRenamed("gradient", "fii")
-        h = gradient(h, ["i"], "j", "fi").withColumnRenamed("gradient", "fij")
-        h = gradient(h, ["i"], "j", "fj").withColumnRenamed("gradient", "fjj")
+        gi = gradient(a, [*by, "j"], "i", "f").withColumnRenamed("gradient", "fi")
+        g = gradient(gi, [*by, "i"], "j", "f").withColumnRenamed("gradient", "fj")
+        h = gradient(g, [*by, "j"], "i", "fi").withColumnRenamed("gradient", "fii")
+        h = gradient(h, [*by, "i"], "j", "fi").withColumnRenamed("gradient", "fij")
+        h = gradient(h, [*by, "i"], "j", "fj").withColumnRenamed("gradient", "fjj")
         mid, gap = (F.col("fii") + F.col("fjj")) / 2, F.sqrt(F.pow((F.col("fii") - F.col("fjj")) / 2, 2) + F.pow("fij", 2))
-        out.append(h.select(F.lit(float(s)).alias("sigma"), "i", "j", F.col("f").alias("smooth"), F.hypot("fi", "fj").alias("slope"), (F.col("fii") + F.col("fjj")).alias("laplacian"), (F.col("fii") * F.col("fjj") - F.col("fij") * F.col("fij")).alias("determinant"), (gap / F.when(F.abs(mid) + gap > 0, F.abs(mid) + gap)).alias("anisotropy")))
+        out.append(h.select(*by, F.lit(float(s)).alias("sigma"), "i", "j", F.col("f").alias("smooth"), F.hypot("fi", "fj").alias("slope"), (F.col("fii") + F.col("fjj")).alias("laplacian"), (F.col("fii") * F.col("fjj") - F.col("fij") * F.col("fij")).alias("determinant"), (gap / F.when(F.abs(mid) + gap > 0, F.abs(mid) + gap)).alias("anisotropy")))
     return reduce(DataFrame.unionByName, out)
 
 

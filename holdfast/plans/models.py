@@ -143,13 +143,13 @@ def i10b(v):
     return rounded(predict.tuned_ridge(v("fx_features"), "block_id", "unit_id", [F.col("f1")], "target", [1.0, 20000.0, 1000000.0]), "score")
 
 
-UNITS3 = "s AS (SELECT point_id, x, y, z, value FROM fx_points3 WHERE point_id % 2 = 0)"
+UNITS3 = "s AS (SELECT point_id, x, y, z, value FROM fx_points3)"
 KS = dict(by="", key="q.point_id", table="s")
 
 
 @query("I12_depth_and_shape", f"WITH {UNITS3}, {knn_sql(6, **KS)}, c AS (SELECT point_id, cell, v FROM (SELECT point_id, unnest([0, 1, 2]) AS cell, unnest([x, y, z]) AS v FROM s)), l AS (SELECT point_id, median(v) AS l FROM c GROUP BY 1), sh AS (SELECT cell, median(v - l) AS shape FROM c JOIN l USING (point_id) GROUP BY 1), u AS (SELECT query_id, sum(l / pow(distance, 2)) / sum(1 / pow(distance, 2)) AS level FROM n JOIN l ON l.point_id = neighbour_id GROUP BY 1) SELECT query_id, cell, round(level + shape, 6) AS prediction FROM u, sh")
 def i12(v):
-    s = v("fx_points3").where("point_id % 2 = 0")
+    s = v("fx_points3")
     cells = s.select("point_id", F.posexplode(F.array("x", "y", "z")).alias("cell", "v"))
     near = spatial.knn_join(s, s, 6, ["x", "y", "z"], "point_id", "point_id", exclude_self=True)
     return rounded(predict.depth_and_shape(near, cells, "point_id", "cell", "v"), "prediction")
@@ -157,7 +157,7 @@ def i12(v):
 
 @query("I13_surface_from_neighbours", f"WITH {UNITS3}, {knn_sql(3, **KS)}, c AS (SELECT point_id, unnest([0, 1, 2]) AS cell, unnest([x, y, z]) AS v FROM s) SELECT query_id, cell, round(sum(v / pow(distance, 2)) / sum(1 / pow(distance, 2)), 6) AS prediction FROM n JOIN c ON c.point_id = neighbour_id GROUP BY 1, 2")
 def i13(v):
-    s = v("fx_points3").where("point_id % 2 = 0")
+    s = v("fx_points3")
     cells = s.select("point_id", F.posexplode(F.array("x", "y", "z")).alias("cell", "v"))
     near = spatial.knn_join(s, s, 3, ["x", "y", "z"], "point_id", "point_id", exclude_self=True)
     return rounded(predict.surface_from_neighbours(near, cells, "point_id", ["cell"], "v"), "prediction")
@@ -344,7 +344,7 @@ def j05(v):
 
 @query("J06_signed_rank")
 def j06(v):
-    return stats.signed_rank(v("fx_points3").where("point_id % 2 = 0"), ["region"], "value")
+    return stats.signed_rank(v("fx_points3"), ["region"], "value")
 
 
 @query("J07_method_comparison", f"WITH {UNITS}, w AS (SELECT block_id, unit_id, max(e) FILTER (method = 'A') AS a, max(e) FILTER (method = 'N') AS n, max(e) FILTER (method = 'R') AS r FROM u GROUP BY 1, 2), d AS (SELECT 'N' AS method, block_id, a - n AS d FROM w UNION ALL SELECT 'R', block_id, a - r FROM w), k AS (SELECT * FROM d WHERE d IS NOT NULL), pb AS (SELECT method, block_id, median(d) AS d, row_number() OVER (PARTITION BY method ORDER BY block_id) - 1 AS i FROM k GROUP BY 1, 2), f AS (SELECT method, t.p, avg(CASE WHEN (t.p >> i) & 1 = 1 THEN -d ELSE d END) AS m FROM pb, range(0, 32) t(p) GROUP BY 1, 2), o AS (SELECT method, avg(d) AS o, count(*) AS blocks, count(*) FILTER (d > 0) AS favour, median(d) AS bm FROM pb GROUP BY 1), pv AS (SELECT method, avg(CASE WHEN abs(m) >= abs(o) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p FROM f JOIN o USING (method) GROUP BY 1), un AS (SELECT method, count(*) AS units, median(d) AS med FROM k GROUP BY 1) SELECT method, units, round(med, 6) AS median, blocks, favour, round(bm, 6) AS block_median, round(p, 6) AS p FROM un JOIN o USING (method) JOIN pv USING (method)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -24,17 +26,16 @@ def a02(v):
 
 
 def packs(v):
-    """One annotation pack for each event type: a case for each user, clicks from its rows."""
-    rows = v("fx_click").where("case_id < 40")
+    """An annotation pack for each event type and user, clicks from their rows."""
     point = F.struct(F.col("lat_pos").alias("lateral_vox"), F.col("depth").cast("double").alias("depth_vox"))
     u = F.collect_list(F.when(F.col("depth") % 2 == 0, point))
     w = F.collect_list(F.when(F.col("depth") % 2 == 1, point))
-    cases = rows.groupBy("view_name", "case_id").agg(u.alias("u_depth_points"), w.alias("v_depth_points"))
+    cases = v("fx_click").groupBy("view_name", "case_id").agg(u.alias("u_depth_points"), w.alias("v_depth_points"))
     case = F.struct(F.col("case_id").cast("string").alias("case_id"), F.lit(True).alias("reviewed"), F.lit("clear").alias("visibility"), "u_depth_points", "v_depth_points")
-    return cases.groupBy("view_name").agg(F.to_json(F.struct(F.col("view_name").alias("annotator_id"), F.collect_list(case).alias("annotations"))).alias("json"))
+    return cases.select("view_name", F.to_json(F.struct(F.col("view_name").alias("annotator_id"), F.array(case).alias("annotations"))).alias("json"))
 
 
-@query("A03_annotation_clicks", "SELECT view_name AS annotator_id, CAST(case_id AS VARCHAR) AS case_id, CASE WHEN depth % 2 = 0 THEN 'u' ELSE 'v' END AS view, round(lat_pos, 6) AS lateral, CAST(depth AS DOUBLE) AS depth FROM fx_click WHERE case_id < 40 AND depth IS NOT NULL")
+@query("A03_annotation_clicks", "SELECT view_name AS annotator_id, CAST(case_id AS VARCHAR) AS case_id, CASE WHEN depth % 2 = 0 THEN 'u' ELSE 'v' END AS view, round(lat_pos, 6) AS lateral, CAST(depth AS DOUBLE) AS depth FROM fx_click WHERE depth IS NOT NULL")
 def a03(v):
     return rounded(tables.annotation_rows(packs(v))[1], "lateral")
 
@@ -47,9 +48,9 @@ def a04(v):
     return tables.manifest_problems(runs, ["k"], "name", [*declared, "ATLANTIS"])
 
 
-@query("A06_slice_inventory", "WITH f AS (SELECT l_suppkey AS a, l_partkey % 60 AS no, l_linenumber AS size FROM lineitem WHERE l_orderkey % 3 = 0) SELECT 'archive_' || a AS archive, count(*) AS slices, min(no) AS \"first\", max(no) AS \"last\", (max(no) - min(no) + 1 = count(*)) AND (count(DISTINCT no) = count(*)) AS contiguous, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY a")
+@query("A06_slice_inventory", "WITH f AS (SELECT l_suppkey AS a, l_partkey % 60 AS no, l_linenumber AS size FROM lineitem) SELECT 'archive_' || a AS archive, count(*) AS slices, min(no) AS \"first\", max(no) AS \"last\", (max(no) - min(no) + 1 = count(*)) AND (count(DISTINCT no) = count(*)) AS contiguous, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY a")
 def a06(v):
-    files = v("lineitem").where("l_orderkey % 3 = 0").select(F.concat(F.lit("archive_"), "l_suppkey", F.lit("/slice_"), F.col("l_partkey") % 60, F.lit(".tif")).alias("path"), "l_linenumber")
+    files = v("lineitem").select(F.concat(F.lit("archive_"), "l_suppkey", F.lit("/slice_"), F.col("l_partkey") % 60, F.lit(".tif")).alias("path"), "l_linenumber")
     return tables.slice_inventory(files, F.regexp_extract("path", r"^(archive_\d+)/", 1), F.regexp_extract("path", r"slice_(\d+)", 1).cast("long"), F.col("l_linenumber"))
 
 
@@ -78,10 +79,11 @@ def a12(v):
     return tables.replace_rows(plan, plan.where("group_name = 'P'").withColumn("group_name", F.lit("redone")), ["unit_id"])
 
 
-@query("A14_synthetic_field", "WITH g AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey < 900), u AS (SELECT id, " + ", ".join(f"((('0x' || substr(md5('s:{n}:' || id), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS {n}" for n in ("x", "y", "a", "b")) + " FROM g), p AS (SELECT id, id % 30 + (x - 0.5) * 0.6 AS px, id // 30 + (y - 0.5) * 0.6 AS py, sqrt(-2 * ln(a)) * cos(2 * pi() * b) AS n FROM u) SELECT id AS point_id, round(px, 6) AS x, round(py, 6) AS y, round(sin(px / 4) + cos(py / 5) + 0.1 * n, 6) AS value FROM p")
+@query("A14_synthetic_field", "WITH g AS (SELECT o_orderkey AS id FROM orders), w AS (SELECT CAST(ceil(sqrt(max(id) + 1)) AS BIGINT) AS side FROM g), u AS (SELECT id, " + ", ".join(f"((('0x' || substr(md5('s:{n}:' || id), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS {n}" for n in ("x", "y", "a", "b")) + " FROM g), p AS (SELECT id, id % side + (x - 0.5) * 0.6 AS px, id // side + (y - 0.5) * 0.6 AS py, sqrt(-2 * ln(a)) * cos(2 * pi() * b) AS n FROM u, w) SELECT id AS point_id, round(px, 6) AS x, round(py, 6) AS y, round(sin(px / 4) + cos(py / 5) + 0.1 * n, 6) AS value FROM p")
 def a14(v):
-    field = tables.synthetic_field(v.spark, 30, "s")
     known = v("orders").select(F.col("o_orderkey").alias("point_id"))
+    side = ceil(sqrt((known.agg(F.max("point_id")).first()[0] or 0) + 1))
+    field = tables.synthetic_field(v.spark, side, "s")
     return rounded(field.join(known, "point_id", "left_semi"), "x", "y", "value")
 
 
@@ -264,10 +266,10 @@ def c04(v):
     return rounded(spatial.range_join(p, p, 2.0, ["x", "y"], "point_id", "point_id", exclude_self=True), "distance")
 
 
-@query("C05_nearest_in_group", "WITH c AS (SELECT case_id, depth, lat_pos, row_number() OVER (ORDER BY case_id, view_name, lat_pos, depth) AS click FROM fx_click WHERE case_id % 3 = 0), t AS (SELECT track_id AS case_id, r, c FROM fx_track WHERE track_id % 6 = 0), g AS (SELECT case_id, lat_pos, depth, r, abs(lat_pos - r) AS gap FROM (SELECT DISTINCT case_id, lat_pos, depth FROM c) LEFT JOIN t USING (case_id)) SELECT case_id, lat_pos, depth, round(min(gap), 6) AS gap FROM g GROUP BY 1, 2, 3")
+@query("C05_nearest_in_group", "WITH c AS (SELECT case_id, depth, lat_pos, row_number() OVER (ORDER BY case_id, view_name, lat_pos, depth) AS click FROM fx_click), t AS (SELECT track_id AS case_id, r, c FROM fx_track), g AS (SELECT case_id, lat_pos, depth, r, abs(lat_pos - r) AS gap FROM (SELECT DISTINCT case_id, lat_pos, depth FROM c) LEFT JOIN t USING (case_id)) SELECT case_id, lat_pos, depth, round(min(gap), 6) AS gap FROM g GROUP BY 1, 2, 3")
 def c05(v):
-    clicks = v("fx_click").where("case_id % 3 = 0").select("case_id", "lat_pos", "depth").distinct().withColumn("click", F.struct("lat_pos", "depth"))
-    samples = v("fx_track").where("track_id % 6 = 0").select(F.col("track_id").alias("case_id"), "r", F.col("depth").alias("seq"))
+    clicks = v("fx_click").select("case_id", "lat_pos", "depth").distinct().withColumn("click", F.struct("lat_pos", "depth"))
+    samples = v("fx_track").select(F.col("track_id").alias("case_id"), "r", F.col("depth").alias("seq"))
     out = spatial.nearest_in_group(clicks, samples, ["case_id"], F.abs(F.col("lat_pos") - F.col("r")), ["seq"], ["r"], "click")
     return out.select("case_id", "click.lat_pos", "click.depth", F.round("gap", 6).alias("gap"))
 
@@ -300,12 +302,10 @@ def c12(v):
     return rounded(spatial.two_way_distance(p.where("point_id % 2 = 0"), p.where("point_id % 2 = 1"), ["x", "y", "z"], "point_id", "point_id"), "largest", "median")
 
 
-@query("C14_separated_triples", "WITH p AS (SELECT region, point_id, x, y, z, sqrt(pow(x - avg(x) OVER w, 2) + pow(y - avg(y) OVER w, 2) + pow(z - avg(z) OVER w, 2)) AS away FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY point_id) AS rn FROM fx_points3 QUALIFY rn <= 12) WINDOW w AS (PARTITION BY region)), e AS (SELECT a.region, a.point_id AS a, b.point_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM p a JOIN p b ON a.region = b.region AND a.point_id < b.point_id), t AS (SELECT e.region, e.a, e.b, f.b AS c, least(e.d, f.d, g.d) - 0.05 * (x.away + y.away + z.away) / 3 AS score FROM e JOIN e f ON f.a = e.b AND f.region = e.region JOIN e g ON g.a = e.a AND g.b = f.b AND g.region = e.region JOIN p x ON x.point_id = e.a JOIN p y ON y.point_id = e.b JOIN p z ON z.point_id = f.b) SELECT region, a, b, c, round(score, 6) AS score FROM t QUALIFY row_number() OVER (PARTITION BY region ORDER BY score DESC, a, b, c) = 1")
+@query("C14_separated_triples", "WITH p AS (SELECT region, part, point_id, x, y, z, sqrt(pow(x - avg(x) OVER w, 2) + pow(y - avg(y) OVER w, 2) + pow(z - avg(z) OVER w, 2)) AS away FROM (SELECT *, point_id // 120 AS part FROM fx_points3) WINDOW w AS (PARTITION BY region, part)), e AS (SELECT a.region, a.part, a.point_id AS a, b.point_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM p a JOIN p b ON a.region = b.region AND a.part = b.part AND a.point_id < b.point_id), t AS (SELECT e.region, e.part, e.a, e.b, f.b AS c, least(e.d, f.d, g.d) - 0.05 * (x.away + y.away + z.away) / 3 AS score FROM e JOIN e f ON f.a = e.b JOIN e g ON g.a = e.a AND g.b = f.b JOIN p x ON x.point_id = e.a JOIN p y ON y.point_id = e.b JOIN p z ON z.point_id = f.b) SELECT region, part, a, b, c, round(score, 6) AS score FROM t QUALIFY row_number() OVER (PARTITION BY region, part ORDER BY score DESC, a, b, c) = 1")
 def c14(v):
-    from ..operators.windows import top_k
-
-    few = top_k(v("fx_points3"), ["region"], ["point_id"], 12)
-    return rounded(joins.best_triples(few, ["region"], "point_id", ["x", "y", "z"]), "score")
+    parts = v("fx_points3").withColumn("part", F.floor(F.col("point_id") / 120))  # at most 120 points each
+    return rounded(joins.best_triples(parts, ["region", "part"], "point_id", ["x", "y", "z"]), "score")
 
 
 @query("C15_midpoint_controls", f"WITH {knn_sql(1)}, e AS (SELECT DISTINCT least(query_id, neighbour_id) AS a, greatest(query_id, neighbour_id) AS b FROM n) SELECT a, b, round((p.x + q.x) / 2, 6) AS x, round((p.y + q.y) / 2, 6) AS y FROM e JOIN fx_points3 p ON p.point_id = a JOIN fx_points3 q ON q.point_id = b")
@@ -331,12 +331,12 @@ def d29(v):
 
 
 K2 = dict(by="", d="pow(q.x - p.x, 2) + pow(q.y - p.y, 2)", table="fx_points2", key="q.point_id")
-P2 = "s AS (SELECT * FROM fx_points2 WHERE point_id % 10 = 0)"
+P2 = "s AS (SELECT * FROM fx_points3)"
 
 
 @query("D30_neighbourhood_features", f"WITH {P2}, {knn_sql(6, **{**K2, 'table': 's'})}, o AS (SELECT query_id, distance, b.x - a.x AS dx, b.y - a.y AS dy FROM n JOIN s a ON a.point_id = query_id JOIN s b ON b.point_id = neighbour_id), f AS (SELECT query_id, avg(distance) AS mean, stddev_pop(distance) / avg(distance) AS cv, max(distance) - min(distance) AS range, covar_pop(dx, dx) AS xx, covar_pop(dx, dy) AS xy, covar_pop(dy, dy) AS yy FROM o GROUP BY 1) SELECT query_id, round(mean, 6) AS mean, round(cv, 6) AS cv, round(range, 6) AS range, round(sqrt(greatest((xx + yy) / 2 - sqrt(pow((xx - yy) / 2, 2) + xy * xy), 0) / ((xx + yy) / 2 + sqrt(pow((xx - yy) / 2, 2) + xy * xy))), 4) AS anisotropy FROM f")
 def d30(v):
-    out = spatial.neighbourhood_features(v("fx_points2").where("point_id % 10 = 0"), ["x", "y"], "point_id")
+    out = spatial.neighbourhood_features(v("fx_points3"), ["x", "y"], "point_id")
     return rounded(out, "mean", "cv", "range").withColumn("anisotropy", F.round("anisotropy", 4))
 
 

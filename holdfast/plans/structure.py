@@ -42,7 +42,7 @@ def h06(v):
 
 @query("H03_shortest_paths")
 def h03(v):
-    return graph.shortest_paths(edges(v), sources(v).where("source < 300"), "length", 1.0)
+    return graph.shortest_paths(edges(v), sources(v), "length", 1.0)
 
 
 @query("H04_boundary_nodes", f"WITH {EDGES}, w AS (SELECT a AS u, b AS v FROM g UNION ALL SELECT b, a FROM g), t AS (SELECT u, atan2(q.y - p.y, q.x - p.x) AS t FROM w JOIN fx_points3 p ON p.point_id = u JOIN fx_points3 q ON q.point_id = v), l AS (SELECT u, coalesce(lead(t) OVER (PARTITION BY u ORDER BY t), min(t) OVER (PARTITION BY u) + 2 * pi()) - t AS gap FROM t), m AS (SELECT u AS node, count(*) AS neighbours, max(gap) AS g FROM l GROUP BY 1) SELECT node, neighbours, round(degrees(g), 4) AS gap FROM m WHERE neighbours < 3 OR degrees(g) > 125")
@@ -66,7 +66,7 @@ def h07(v):
 
 @query("H07_component_sizes")
 def h07b(v):
-    return graph.connected_components(v("fx_face").select("a", "b").where("a % 7 = b % 7")).groupBy("root").agg(F.count("*").alias("nodes"))
+    return graph.connected_components(v("fx_face").select("a", "b")).groupBy("root").agg(F.count("*").alias("nodes"))
 
 
 @query("H08_harmonic")
@@ -86,13 +86,13 @@ def h10(v):
     return graph.grown_patches(edges(v), starts, 5, "s")
 
 
-P2 = "s AS (SELECT * FROM fx_points2 WHERE point_id % 4 = 0)"
+P2 = "s AS (SELECT * FROM fx_points2)"
 
 
-@query("H11_radius_clusters", f"WITH RECURSIVE {P2}, e AS (SELECT p.point_id AS a, q.point_id AS b FROM s p JOIN s q ON p.point_id <> q.point_id AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) < 2.5), r AS (SELECT point_id AS node, point_id AS root FROM s UNION SELECT e.b, root FROM r JOIN e ON e.a = node WHERE root < e.b) SELECT node AS point_id, min(root) AS cluster FROM r GROUP BY 1")
+@query("H11_radius_clusters", f"WITH RECURSIVE {P2}, e AS (SELECT p.point_id AS a, q.point_id AS b FROM s p JOIN s q ON p.point_id <> q.point_id AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) < 1.25), r AS (SELECT point_id AS node, point_id AS root FROM s UNION SELECT e.b, root FROM r JOIN e ON e.a = node WHERE root < e.b) SELECT node AS point_id, min(root) AS cluster FROM r GROUP BY 1")
 def h11(v):
-    s = v("fx_points2").where("point_id % 4 = 0")
-    return graph.radius_clusters(spatial.range_join(s, s, 2.5, ["x", "y"], "point_id", "point_id", exclude_self=True), s, "point_id")
+    s = v("fx_points2")
+    return graph.radius_clusters(spatial.range_join(s, s, 1.25, ["x", "y"], "point_id", "point_id", exclude_self=True), s, "point_id")
 
 
 DIRECTED = "d AS (SELECT a AS s, b AS t FROM fx_face UNION ALL SELECT b, c FROM fx_face UNION ALL SELECT c, a FROM fx_face), e AS (SELECT least(s, t) AS lo, greatest(s, t) AS hi, count(*) AS faces, sum(CASE WHEN s < t THEN 1 ELSE -1 END) AS turn FROM d GROUP BY 1, 2)"
@@ -120,7 +120,7 @@ def b14(v):
 @query("H17_grid_components")
 def h17(v):
     lin = F.col("lin")
-    voxels = v("fx_label").where("label = 0").select("region", "label", F.floor(lin / 1000).alias("i"), F.floor(lin % 1000 / 10).alias("j"), (lin % 10).alias("k"))
+    voxels = v("fx_label").select("region", "label", F.floor(lin / 1000).alias("i"), F.floor(lin % 1000 / 10).alias("j"), (lin % 10).alias("k"))
     return graph.grid_components(voxels, ["region", "label"])
 
 
@@ -140,12 +140,12 @@ def k01(v):
 
 def masked(v):
     key = (F.col("i") * 1000 + F.col("j") * 10 + F.col("k")).alias("id")
-    return v("fx_voxel").where("k = 1").select(key, "i", "j", F.when((F.col("i") * 7 + F.col("j") * 3) % 5 != 0, F.col("value")).alias("value"))
+    return v("fx_voxel").select(key, "i", "j", "k", F.when((F.col("i") * 7 + F.col("j") * 3) % 5 != 0, F.col("value")).alias("value"))
 
 
-@query("K02_fill_missing", "WITH c AS (SELECT i * 1000 + j * 10 + k AS id, i, j, CASE WHEN (i * 7 + j * 3) % 5 <> 0 THEN value END AS value FROM fx_voxel WHERE k = 1), n AS (SELECT a.id, b.value FROM c a, c b WHERE a.value IS NULL AND b.value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.i - b.i, 2) + pow(a.j - b.j, 2)), b.id) = 1) SELECT c.id, c.i, c.j, round(coalesce(c.value, n.value), 6) AS value FROM c LEFT JOIN n USING (id)")
+@query("K02_fill_missing", "WITH c AS (SELECT i * 1000 + j * 10 + k AS id, i, j, k, CASE WHEN (i * 7 + j * 3) % 5 <> 0 THEN value END AS value FROM fx_voxel), n AS (SELECT a.id, b.value FROM c a, c b WHERE a.value IS NULL AND b.value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(a.i - b.i, 2) + pow(a.j - b.j, 2) + pow(a.k - b.k, 2)), b.id) = 1) SELECT c.id, c.i, c.j, c.k, round(coalesce(c.value, n.value), 6) AS value FROM c LEFT JOIN n USING (id)")
 def k02(v):
-    return rounded(volume.fill_missing(masked(v), "id", ["i", "j"], "value"), "value")
+    return rounded(volume.fill_missing(masked(v), "id", ["i", "j", "k"], "value"), "value")
 
 
 @query("K03_relief", f"WITH {smooth_sql(1.5)} SELECT f.i, f.j, f.k, round(f.value - smooth, 6) AS relief FROM fx_voxel f JOIN s USING (i, j, k)")
@@ -162,9 +162,9 @@ def k07(v):
     return volume.interior_gate(c.where("value >= 20"), c.where("value < 20"), "id", ["i", "j", "k"], 2.0).select("id")
 
 
-@query("K07_erosion", "WITH a AS (SELECT i, j FROM fx_voxel WHERE k = 2 AND value >= 22), e AS (SELECT * FROM a WHERE (i + 1, j) IN (SELECT (i, j) FROM a) AND (i - 1, j) IN (SELECT (i, j) FROM a) AND (i, j + 1) IN (SELECT (i, j) FROM a) AND (i, j - 1) IN (SELECT (i, j) FROM a)) SELECT * FROM e")
+@query("K07_erosion", "WITH a AS (SELECT i, j, k FROM fx_voxel WHERE value >= 22), d(x, y, z) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) SELECT a.i, a.j, a.k FROM a, d JOIN a b ON b.i = a.i + x AND b.j = a.j + y AND b.k = a.k + z GROUP BY 1, 2, 3 HAVING count(*) = 6")
 def k07b(v):
-    return volume.eroded(v("fx_voxel").where("k = 2 AND value >= 22"), ["i", "j"], 1)
+    return volume.eroded(v("fx_voxel").where("value >= 22"), ["i", "j", "k"], 1)
 
 
 @query("K08_mask_surfaces", "SELECT i, j, min(k) AS \"inner\", max(k) AS \"outer\", count(*) AS n, max(k) - min(k) + 1 = count(*) AS continuous FROM fx_voxel WHERE value >= 24 GROUP BY 1, 2")
@@ -172,22 +172,22 @@ def k08(v):
     return volume.mask_surfaces(v("fx_voxel").where("value >= 24"), ["i", "j"], "k")
 
 
-@query("K11_patches", "WITH u AS (SELECT point_id, CAST(point_id % 24 AS BIGINT) AS ci, CAST(point_id % 20 AS BIGINT) AS cj FROM fx_points3 WHERE point_id % 10 = 0) SELECT point_id, count(*) AS cells, count(*) FILTER (pow(i - ci, 2) + pow(j - cj, 2) <= 4) AS disk_cells, round(avg(value), 6) AS mean FROM u JOIN fx_voxel ON i BETWEEN ci - 2 AND ci + 2 AND j BETWEEN cj - 2 AND cj + 2 AND k = 3 GROUP BY 1")
+@query("K11_patches", "WITH u AS (SELECT point_id, CAST(point_id % 24 AS BIGINT) AS ci, CAST(point_id % 20 AS BIGINT) AS cj FROM fx_points3) SELECT point_id, count(*) AS cells, count(*) FILTER (pow(i - ci, 2) + pow(j - cj, 2) <= 4) AS disk_cells, round(avg(value), 6) AS mean FROM u JOIN fx_voxel ON i BETWEEN ci - 2 AND ci + 2 AND j BETWEEN cj - 2 AND cj + 2 GROUP BY 1")
 def k11(v):
-    u = v("fx_points3").where("point_id % 10 = 0").select("point_id", (F.col("point_id") % 24).alias("ci"), (F.col("point_id") % 20).alias("cj"))
-    out = volume.patches(u, v("fx_voxel").where("k = 3").select("i", "j", "value"), "point_id", ("ci", "cj"), ("i", "j"), 2)
+    u = v("fx_points3").select("point_id", (F.col("point_id") % 24).alias("ci"), (F.col("point_id") % 20).alias("cj"))
+    out = volume.patches(u, v("fx_voxel"), "point_id", ("ci", "cj"), ("i", "j"), 2)
     return out.groupBy("point_id").agg(F.count("*").alias("cells"), F.count_if("disk").alias("disk_cells"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("K13_label_clouds", "SELECT region, count(*) AS n, round(avg(lin // 1000), 6) AS ci, round(avg((lin % 1000) // 10), 6) AS cj, round(avg(lin % 10), 6) AS ck FROM fx_label WHERE label = 1 GROUP BY 1")
+@query("K13_label_clouds", "SELECT region, label, count(*) AS n, round(avg(lin // 1000), 6) AS ci, round(avg((lin % 1000) // 10), 6) AS cj, round(avg(lin % 10), 6) AS ck FROM fx_label GROUP BY 1, 2")
 def k13(v):
     lin = F.col("lin")
-    return v("fx_label").where("label = 1").groupBy("region").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(n) for n, c in (("ci", F.floor(lin / 1000)), ("cj", F.floor(lin % 1000 / 10)), ("ck", lin % 10))])
+    return v("fx_label").groupBy("region", "label").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(n) for n, c in (("ci", F.floor(lin / 1000)), ("cj", F.floor(lin % 1000 / 10)), ("ck", lin % 10))])
 
 
-@query("K15_painted_labels", "WITH p AS (SELECT track_id, depth, CAST(round_even(r, 0) AS BIGINT) AS ci, CAST(c AS BIGINT) AS cj FROM fx_track WHERE track_id % 5 = 0), d AS (SELECT track_id, depth, ci + a AS i, cj + b AS j FROM p, range(-2, 3) x(a), range(-2, 3) y(b) WHERE a * a + b * b <= 4) SELECT depth, i, j, max(track_id) AS label FROM d GROUP BY 1, 2, 3")
+@query("K15_painted_labels", "WITH p AS (SELECT track_id, depth, CAST(round_even(r, 0) AS BIGINT) AS ci, CAST(c AS BIGINT) AS cj FROM fx_track), d AS (SELECT track_id, depth, ci + a AS i, cj + b AS j FROM p, range(-2, 3) x(a), range(-2, 3) y(b) WHERE a * a + b * b <= 4) SELECT depth, i, j, max(track_id) AS label FROM d GROUP BY 1, 2, 3")
 def k15(v):
-    return volume.painted(v("fx_track").where("track_id % 5 = 0"), "track_id", "depth", ("r", "c"), F.col("track_id"), 2)
+    return volume.painted(v("fx_track"), "track_id", "depth", ("r", "c"), F.col("track_id"), 2)
 
 
 @query("C13_trilinear")
@@ -198,8 +198,8 @@ def c13(v):
 
 @query("E06_local_maxima")
 def e06(v):
-    c = v("fx_voxel").where("k = 1").withColumn("id", F.col("i") * 100 + F.col("j"))
-    return volume.local_maxima(c, "id", ["i", "j"], "value", 1.5, 25.0, 4.0)
+    c = v("fx_voxel").withColumn("id", F.col("i") * 1000 + F.col("j") * 10 + F.col("k"))
+    return volume.local_maxima(c, "id", ["i", "j", "k"], "value", 1.5, 25.0, 4.0)
 
 
 @query("E07_path_resample")

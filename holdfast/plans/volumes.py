@@ -3,11 +3,12 @@ them against hand-made cases and invariants."""
 
 from __future__ import annotations
 
+from math import cos, pi, sin
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import holes, matching, predict, spatial, surfaces
-from ..operators.windows import top_k
 from ..sources import tables
 from ..storage import shared_dir
 from .registry import query
@@ -43,8 +44,8 @@ def a09(v):
     return tables.load_frozen(v.spark, path, ["term"], "value")
 
 
-def flat(v, every=1):
-    return v("fx_points3").where(f"point_id % {every} = 0").select("point_id", "region", "x", "y", "z", "value")
+def flat(v):
+    return v("fx_points3").select("point_id", "region", "x", "y", "z", "value")
 
 
 @query("C07_one_to_one_match")
@@ -57,7 +58,7 @@ def c07(v):
 @query("C08_shift_association")
 def c08(v):
     p = flat(v)
-    return matching.best_shift(p.where("region = 0"), p.where("region = 1"), "point_id", ("x", "y"), 5, 0.1, 20)
+    return matching.best_shift(p.where("region % 2 = 0"), p.where("region % 2 = 1"), "point_id", ("x", "y"), 5, 0.1, 20)
 
 
 @query("H12_hole_candidates")
@@ -67,7 +68,7 @@ def h12(v):
 
 @query("H13_greedy_insertion")
 def h13(v):
-    return holes.greedy_insertion(flat(v).where("region < 3"), "point_id", "region", 2)
+    return holes.greedy_insertion(flat(v), "point_id", "region", 2)
 
 
 @query("H15_triangulation_edges")
@@ -82,14 +83,15 @@ def h16(v):
 
 @query("H18_track_linking")
 def h18(v):
-    t = v("fx_track").where("depth <= 6").select((F.col("track_id") % 3).alias("region"), F.col("depth").cast("int").alias("frame"), (F.col("track_id") * 1000 + F.col("depth")).alias("id"), "r", "c")
-    return matching.link_tracks(t, "region", "frame", "id", ["r", "c"], 3, 8.0)
+    t = v("fx_track").select(F.floor(F.col("track_id") / 33).alias("region"), (F.col("depth") % 7).cast("int").alias("frame"), (F.col("track_id") * 1_000_000 + F.col("depth")).alias("id"), "r", "c")
+    return matching.link_tracks(t, "region", "frame", "id", ["r", "c"], 3, 1.5)
 
 
 @query("H19_torn_edges")
 def h19(v):
-    p = top_k(flat(v), ["region"], ["point_id"], 40).where("region = 1").drop("rank")
-    ring = p.where("point_id % 5 = 1").select(F.col("point_id").alias("place"), F.col("point_id").alias("node")).limit(8)
+    p = flat(v).select("point_id", "x", "y")
+    ways = [F.max_by("point_id", F.struct(F.col("x") * cos(i * pi / 4) + F.col("y") * sin(i * pi / 4), "point_id")) for i in range(8)]
+    ring = p.agg(F.array(*ways).alias("n")).select(F.posexplode("n").alias("place", "node")).groupBy("node").agg(F.min("place").alias("place"))
     return holes.torn_edges(p, "point_id", ring, 2)
 
 
@@ -112,8 +114,7 @@ def i19(v):
 
 
 def surface_cells(v):
-    c = v("fx_voxel").where("k <= 4")
-    return c.select(F.col("k").alias("unit"), F.col("i").alias("gi"), F.col("j").alias("gj"), ((F.col("i") - 12) / 12.0).alias("u"), ((F.col("j") - 10) / 10.0).alias("v"), "value")
+    return v("fx_voxel").select(F.col("k").alias("unit"), F.col("i").alias("gi"), F.col("j").alias("gj"), ((F.col("i") - 12) / 12.0).alias("u"), ((F.col("j") - 10) / 10.0).alias("v"), "value")
 
 
 @query("I25_gap_fill")
@@ -141,7 +142,7 @@ def i32(v):
 def in_volume(v):
     """Points with unit normals inside the voxel table."""
     n = geo.unit(geo.vec())
-    p = flat(v, 5).select("point_id", *[c.alias(f"n{k}") for k, c in zip("xyz", n, strict=True)])
+    p = flat(v).select("point_id", *[c.alias(f"n{k}") for k, c in zip("xyz", n, strict=True)])
     return p.withColumns({"x": 4 + F.col("point_id") % 16 + 0.25, "y": 4 + F.col("point_id") % 12 + 0.5, "z": 3 + F.col("point_id") % 3 * 0.5})
 
 
@@ -159,7 +160,7 @@ def j14(v):
 
 @query("K04_derivative_maps")
 def k04(v):
-    return surfaces.derivative_maps(v("fx_voxel").where("k = 2").select("i", "j", "value"), "value", (1.0, 2.0))
+    return surfaces.derivative_maps(v("fx_voxel"), "value", (1.0, 2.0), ("k",))
 
 
 @query("K05_aligned_volume")
