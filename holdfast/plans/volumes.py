@@ -83,7 +83,8 @@ def h16(v):
 
 @query("H18_track_linking")
 def h18(v):
-    t = v("fx_track").select(F.floor(F.col("track_id") / 33).alias("region"), (F.col("depth") % 7).cast("int").alias("frame"), (F.col("track_id") * 1_000_000 + F.col("depth")).alias("id"), "r", "c")
+    part = F.floor(F.col("track_id") / 33) * 1_000_000 + F.floor(F.col("depth") / 700)  # at most 3,300 points a frame
+    t = v("fx_track").select(part.alias("region"), (F.col("depth") % 7).cast("int").alias("frame"), (F.col("track_id") * 1_000_000 + F.col("depth")).alias("id"), "r", "c")
     return matching.link_tracks(t, "region", "frame", "id", ["r", "c"], 3, 1.5)
 
 
