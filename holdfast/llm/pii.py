@@ -9,8 +9,7 @@
    scores from seeds to patterns, to new instances and on to further patterns.
 4. Instances with a high score are found wherever they occur, with the kind of the pattern's seeds.
 
-How often words occur in the corpus is counted in a table of fixed size by their hash; a collision can only
-lower a confidence. Positions are code points, end exclusive. Null texts count as empty, without spans. Rows
+How often words occur in the corpus is counted exactly, by the 64-bit hash of the pair. Positions are code points, end exclusive. Null texts count as empty, without spans. Rows
 are told apart by doc_id and a hash of the text, so rows that share an id, or have none, keep their own
 spans; rows repeated in full get the same. The regular expressions are possessive and begin only at a run's
 start (or where the last match ended): that changes no match but keeps them linear, and free of recursion,
@@ -40,7 +39,6 @@ CANDIDATE = r"(?<!\S)(?=[^\s@]*+@|[^\s0-9]*+[0-9](?:[^\s0-9]*+[0-9]){4})\S++"
 HEAD, TAIL = r"^[^A-Za-z0-9+@]++", r"[^A-Za-z0-9+@]++$"
 
 ROUNDS, PRIOR, ACCEPT, LEAST_SEEDS = 3, 3.0, 0.6, 2
-BUCKETS = 1 << 18
 NEAR = 256  # characters before a token in which its two words are looked for
 
 
@@ -122,17 +120,18 @@ def instances(placed: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def context_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(bucket, total): how often two words in a row occur in all texts, by their hash's bucket."""
+    """(pattern, total): how often two words in a row occur in all texts, by their hash. A task sums its own
+    pairs before they are shuffled."""
     words = F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"\s+")
-    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int")))).alias("bucket"))
-    return pairs.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias("total"))
+    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))).alias("pattern"))
+    return pairs.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def bootstrap(tokens: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance, kind, score) of instances that are no seeds and score at least ACCEPT."""
     pairs = tokens.where(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     sums = pairs.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("seed").alias("seeds"))
-    known = sums.select("pattern", "n", F.pmod("pattern", F.lit(BUCKETS)).cast("int").alias("bucket")).join(totals, "bucket", "left")
+    known = sums.join(totals, "pattern", "left")
     known = known.select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total"))
     edges = materialise(pairs.join(known, "pattern"))
     seeds = tokens.where(F.col("seed").isNotNull()).groupBy("instance").agg(F.max("seed").alias("seed"))

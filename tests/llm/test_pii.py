@@ -1,7 +1,9 @@
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from holdfast.llm import pii
 
@@ -59,6 +61,22 @@ def test_contexts_find_unseen_identifiers(spark):
     assert more[12] == [("phone", "0975553436x")] and not any(v for i, v in more.items() if i != 12)
 
 
+def phones(n):
+    return [f"some words here and so contact number +1974555-3{i:03d} please, number {i}" for i in range(n)] + ["please dial contact number 0975553436x now"]
+
+
+def test_other_words_never_lower_a_context(spark):
+    cell = lambda *words: F.pmod(F.xxhash64(*words), F.lit(1 << 18))
+    other = spark.range(4_000_000).select(F.concat(F.lit("w"), "id").alias("w")).where(cell("w", F.lit("x")) == cell(F.lit("contact"), F.lit("number"))).first()["w"]
+    texts = [*phones(12), f"{other} x " * 200]
+    got = spans(spark, texts)[12]
+    assert [(s["kind"], texts[12][s["start"] : s["end"]]) for s in got["spans"]] == [("phone", "0975553436x")]
+    counts = {r["pattern"]: r["total"] for r in pii.context_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    pairs = Counter(p for t in texts for p in zip(t.lower().split(), t.lower().split()[1:], strict=False))
+    hashes = spark.createDataFrame(list(pairs), "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    assert all(counts[r["h"]] == pairs[r["a"], r["b"]] for r in hashes)
+
+
 def test_odd_rows_and_redaction(spark):
     assert pii.find_pii(docs(spark)).count() == docs(spark).count() and pii.find_pii(none(spark)).count() == 0
     df = docs(spark).union(spark.createDataFrame([(1, "é x@y.zz, 9.9.9.9!", "en", "s", 18, 1, "", 0.1, "")], docs(spark).schema))
