@@ -3,9 +3,9 @@
 1. Four patterns find e-mail addresses, IP addresses, card and phone numbers (the base).
 2. Every token that looks like an identifier is an instance; the two words before it are its lexical pattern.
 3. Patterns and instances form a graph over all documents. Instances that base spans cover are seeds, with
-   score 1. A pattern's confidence is the sum of its instances' scores over the number of times that its
-   words occur anywhere in the corpus (plus a prior, so that rare patterns stay low); it needs seeds with at
-   least two different texts. An instance that is no seed scores as its best pattern. A few rounds spread
+   score 1. A pattern's confidence is the sum of its instances' scores, each as often as it occurs, over the
+   number of times that its words occur anywhere in the corpus (plus a prior, so that rare patterns stay low):
+   copies count on both sides. It needs seeds with at least two different texts. An instance that is no seed scores as its best pattern. A few rounds spread
    scores from seeds to patterns, to new instances and on to further patterns.
 4. Instances with a high score are found wherever they occur, with the kind of the pattern's seeds.
 
@@ -83,10 +83,11 @@ def find_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def place(found: DataFrame) -> DataFrame:
-    """(doc_id, rk, kind, start, end, match, before) of all matches; repeated rows once."""
-    rows = found.where(F.size("found") > 0).dropDuplicates(["doc_id", "rk"]).select("doc_id", "rk", F.explode("found").alias("m")).select("doc_id", "rk", "m.*")
+    """(doc_id, rk, copies, kind, start, end, match, before) of all matches; repeated rows once, with their number."""
+    rows = found.where(F.size("found") > 0).groupBy("doc_id", "rk").agg(F.first("found").alias("found"), F.count("*").alias("copies"))
+    rows = rows.select("doc_id", "rk", "copies", F.explode("found").alias("m")).select("doc_id", "rk", "copies", "m.*")
     end = F.sum(F.col("gap") + F.char_length("match")).over(Window.partitionBy("doc_id", "rk", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("doc_id", "rk", "kind", (end - F.char_length("match")).alias("start"), end.alias("end"), "match", "before")
+    return rows.select("doc_id", "rk", "copies", "kind", (end - F.char_length("match")).alias("start"), end.alias("end"), "match", "before")
 
 
 def base_spans(placed: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def base_spans(placed: DataFrame) -> DataFrame:
 
 
 def instances(placed: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc_id, rk, start, end, instance, pattern, seed) of identifier-like tokens without the marks at their
+    """(doc_id, rk, copies, start, end, instance, pattern, seed) of identifier-like tokens without the marks at their
     ends: hashes of the token and of the two words before it; seed is the kind of a base span it touches."""
     bare = F.regexp_replace("match", HEAD, "")
     core = F.regexp_replace(bare, TAIL, "")
@@ -104,7 +105,7 @@ def instances(placed: DataFrame, base: DataFrame) -> DataFrame:
     context = F.regexp_extract(F.lower("before"), r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
     words = F.split(context, r"\s+")
     tokens = placed.where(F.col("kind") == "other").select(
-        "doc_id", "rk", start.alias("start"), (start + F.char_length(core)).alias("end"), F.xxhash64(F.lower(core)).alias("instance"),
+        "doc_id", "rk", "copies", start.alias("start"), (start + F.char_length(core)).alias("end"), F.xxhash64(F.lower(core)).alias("instance"),
         F.when(context.rlike("[a-z]"), F.xxhash64(F.get(words, F.lit(0)), F.get(words, F.lit(1)))).alias("pattern"), F.lit(None).cast("string").alias("kind"),
     ).where(F.col("end") > F.col("start"))
     both = tokens.unionByName(base, allowMissingColumns=True)
@@ -116,7 +117,7 @@ def instances(placed: DataFrame, base: DataFrame) -> DataFrame:
     nxt = F.min(base_start).over(following.rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumns({"hf_last": last, "hf_next": nxt}).where(F.col("kind").isNull())
     seed = F.when(F.col("hf_last.end") > F.col("start"), F.col("hf_last.kind")).when(F.col("hf_next.start") < F.col("end"), F.col("hf_next.kind"))
-    return both.select("doc_id", "rk", "start", "end", "instance", "pattern", seed.alias("seed"))
+    return both.select("doc_id", "rk", "copies", "start", "end", "instance", "pattern", seed.alias("seed"))
 
 
 def context_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -129,7 +130,7 @@ def context_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def bootstrap(tokens: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance, kind, score) of instances that are no seeds and score at least ACCEPT."""
-    pairs = tokens.where(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    pairs = tokens.where(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(F.sum("copies").alias("n"), F.max("seed").alias("seed"))
     sums = pairs.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("seed").alias("seeds"))
     known = sums.join(totals, "pattern", "left")
     known = known.select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total"))
@@ -139,7 +140,7 @@ def bootstrap(tokens: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> Dat
     scores = seeds
     for _ in range(rounds):
         scored = edges.drop("seed").join(scores, "instance")
-        each = scored.groupBy("pattern", "kind", "total").agg(F.sum("score").alias("mass"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("support"))
+        each = scored.groupBy("pattern", "kind", "total").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("support"))
         best = each.groupBy("pattern", "total").agg(F.max(F.struct("mass", "kind")).alias("best"), F.sum("support").alias("support"))
         sure = best.where(F.col("support") >= LEAST_SEEDS).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.mass") / (F.col("total") + PRIOR)).alias("conf"))
         fresh = edges.join(sure, "pattern").groupBy("instance").agg(F.max(F.struct("conf", "kind")).alias("best")).join(seeds, "instance", "left_anti")

@@ -77,6 +77,16 @@ def test_other_words_never_lower_a_context(spark):
     assert all(counts[r["h"]] == pairs[r["a"], r["b"]] for r in hashes)
 
 
+def test_copies_leave_a_context_on(spark):
+    texts = phones(12)
+    last = [("phone", texts[12].index("0975553436x"), len(texts[12]) - 4)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for more in ([(100 + i, texts[0]) for i in range(3000)], [rows[0]] * 3000):
+        df = spark.createDataFrame([*rows, *more], "doc_id long, text string")
+        out = pii.find_pii(df).where("doc_id = 12").collect()
+        assert [[(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in out] == [last]
+
+
 def test_odd_rows_and_redaction(spark):
     assert pii.find_pii(docs(spark)).count() == docs(spark).count() and pii.find_pii(none(spark)).count() == 0
     df = docs(spark).union(spark.createDataFrame([(1, "é x@y.zz, 9.9.9.9!", "en", "s", 18, 1, "", 0.1, "")], docs(spark).schema))
