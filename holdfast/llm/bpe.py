@@ -128,6 +128,19 @@ def _encode(source: tuple[str, str]):
     return run
 
 
+def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> Column:
+    """The number of ids that bpe_encode gives each text of docs, by one scan over the whole text."""
+    source = _shipped(docs, ranks_path, pattern)
+
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        merger, matcher, _ = _merger(source)
+        for texts in batches:
+            yield pa.array((sum(map(len, map(merger.__getitem__, matcher.findall(t or "")))) // 4 for t in texts.to_pylist()), pa.int64())
+
+    return run(F.col(text).cast("string"))
+
+
 def _edges(source: tuple[str, str], overlap: int):
     """Of a chunk at `start`: boundaries near its first and its last characters, from the text's start."""
 

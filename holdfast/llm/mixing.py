@@ -14,9 +14,11 @@ without a labelled row have posterior 0. With no labelled row at all every rate
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -24,9 +26,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import bounded_sample, materialise
 from .stats import distinct_words, text_stats
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
 MOST_LABELS = 8_000  # labelled rows that the classifier is fitted on
 LEXICON, LEAST_DOCS, LEAST_Z = 64, 5, 6.0  # words of a domain's lexicon at most; documents and z that a word needs
 ROUNDS, STEP, ENOUGH = 60, 1.0, 1e-4
@@ -67,9 +71,9 @@ def learn_lexicons(rows: DataFrame, domains: list[str], size: int = LEXICON) ->
     return {d: [w for w in ws if w] for d, ws in found.items() if ws}
 
 
-def n_tokens(text: Column) -> Column:
-    """Tokens of a text, taken as its UTF-8 bytes over 4."""
-    return F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(4.0)
+def n_tokens(docs: DataFrame) -> Column:
+    """Tokens of each text of docs: the number of its byte-level BPE ids."""
+    return bpe.count_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).cast("double")
 
 
 def domain_posteriors(docs: DataFrame, known: DataFrame, domains: list[str], keep: list[str], most: int = MOST_LABELS) -> DataFrame:
@@ -85,7 +89,7 @@ def domain_posteriors(docs: DataFrame, known: DataFrame, domains: list[str], kee
     names = train.schema["stats"].dataType.names
     seen = [r[0] for r in train.select("label").distinct().collect()]
     flat = lambda df, *more: VectorAssembler(inputCols=[f"stats.{n}" for n in names], outputCol="features").transform(df)
-    measured = docs.select(*keep, n_tokens(F.col("text")).alias("tokens"), measure.alias("stats"))
+    measured = docs.select(*keep, n_tokens(docs).alias("tokens"), measure.alias("stats"))
     if len(seen) < 2:
         alone = F.array(*[F.lit(1.0 if i in seen else 0.0 if seen else 1.0 / len(domains)) for i in range(len(domains))])
         return materialise(measured.select(*keep, "tokens", alone.alias("posterior")))
@@ -136,11 +140,11 @@ def fit_rates(documents: DataFrame, shares: list[float], cap: float | None = Non
     target, gradients, first = np.array(shares), [], None
     moving = materialise(cells.withColumns({"r": F.lit(1.0), "y": F.lit(1.0)}))
     sums = [F.sum(F.col(at) * F.col("tokens") * F.get("p", F.lit(j))) / total for at in ("r", "y") for j in range(d)]
-    for i in range(rounds):
+    for i in range(rounds + 1):
         both = np.array(list(moving.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()))
         reached, ahead = both[:d], both[d:]
         first = np.maximum(reached, 1e-9) if first is None else first
-        if np.abs(reached - target).max() < enough:
+        if i == rounds or np.abs(reached - target).max() < enough:
             break
         gradients.append(((ahead - target) / first).tolist())
         change = sum((F.get("p", F.lit(j)) * float(gradients[-1][j] * step) for j in range(d)), F.lit(0.0))
@@ -152,12 +156,24 @@ def fit_rates(documents: DataFrame, shares: list[float], cap: float | None = Non
 
 
 def mix(docs: DataFrame, known: DataFrame, targets: dict[str, float] = TARGETS, keep: tuple[str, ...] = ("doc_id",), cap: float | None = None) -> DataFrame:
-    """keep, tokens, posterior and rate of every row of docs."""
+    """keep, tokens, posterior and rate of every row of docs. Rates whose totals are over ENOUGH away from a target
+    are logged as a warning, with the shares that the rows reach."""
     domains = sorted(targets)
     whole = sum(targets.values())
     scored = domain_posteriors(docs, known, domains, list(keep))
-    gradients, _ = fit_rates(scored, [targets[d] / whole for d in domains], cap)
-    return scored.withColumn("rate", rate(F.col("posterior"), gradients, cap=cap))
+    shares = [targets[d] / whole for d in domains]
+    gradients, _ = fit_rates(scored, shares, cap)
+    mixed = scored.withColumn("rate", rate(F.col("posterior"), gradients, cap=cap))
+    reached = reached_shares(mixed, len(domains))
+    if reached and max(abs(a - b) for a, b in zip(reached, shares, strict=True)) > ENOUGH:
+        logging.getLogger(__name__).warning("shares reached (target): %s", ", ".join(f"{d} {a:.5f} ({b:.5f})" for d, a, b in zip(domains, reached, shares, strict=True)))
+    return mixed
+
+
+def reached_shares(mixed: DataFrame, d: int) -> list[float]:
+    """The domains' totals under the rows' rates, as shares of all tokens; none where there is no token."""
+    total, *sums = mixed.agg(F.sum("tokens"), *[F.sum(F.col("rate") * F.col("tokens") * F.get("posterior", F.lit(i))) for i in range(d)]).first()
+    return [x / total for x in sums] if total else []
 
 
 def resample(docs: DataFrame, known: DataFrame, targets: dict[str, float] = TARGETS, cap: float | None = None) -> DataFrame:

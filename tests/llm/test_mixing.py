@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from holdfast.llm import mixing
+from holdfast.llm import bpe, mixing
 
 from .cases import docs, none
 
@@ -56,6 +57,19 @@ def test_rates_equal_brute_force_projected_gradient(spark):
             assert got.max() <= 1
 
 
+def test_tokens_are_ids_and_missed_targets_are_told(spark, caplog):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["a", "don't", " ", "  ", "\n", "\t", "\x1c", "\u00a0", "\u3000", "1", "23", ".", "é漢", "'s", " word"]) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    df = docs(spark).select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ranks = public_tokenizers.path(mixing.RANKS)
+    coded = bpe.bpe_encode(df, ranks, public_tokenizers.PATTERN)
+    both = coded.select(mixing.n_tokens(coded).alias("tokens"), F.octet_length("ids").alias("n")).collect()
+    assert len(both) == df.count() and all(r["tokens"] == r["n"] / 4 for r in both)
+    rows = table(spark)
+    mixing.mix(rows.drop("domain"), rows.select("doc_id", "domain"), {"clean": 0.95, "toxic": 0.05}, cap=1.0)
+    assert "shares reached" in caplog.text
+
+
 def test_resample_and_odd_rows(spark):
     rows = table(spark)
     known = rows.select("doc_id", "domain")
