@@ -9,23 +9,30 @@ kind of character longer than the overlap) is encoded as one chunk instead: the
 one scan over the whole text.
 
 Ids are packed as little-endian unsigned 32-bit integers in a binary column (`ids`); `ids_array` unpacks
-them. Null texts count as empty: no ids, and empty bytes when decoded.
+them. Null texts count as empty: no ids, and empty bytes when decoded. Rows repeated in full, or with one doc_id, each get
+their own ids; an empty table gives an empty result. A column `ids` (or `decoded`) that docs already have is
+kept as `ids_input` (`decoded_input`); columns named hf_* are this module's own.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP, MARGIN = 65_536, 2_048, 16
+from .common import set_aside
+
+CHUNK, OVERLAP, MARGIN = 16_384, 1_024, 16
 CACHED = 300_000  # pre-tokens whose ids a worker keeps
+LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
@@ -92,24 +99,40 @@ class Merger(dict):
         return out
 
 
-_mergers: dict[str, tuple] = {}
+_mergers: dict[tuple, tuple] = {}
 
 
 def _merger(source: tuple[str, str]) -> tuple:
     """The worker's own (merger, matcher, token bytes) of a rank file and pattern."""
     if source not in _mergers:
-        name, pattern = source
-        with open(SparkFiles.get(name), "rb") as f:
-            ranks = read_ranks(f.read())
-        size = max(ranks.values()) + 1
-        table: list[bytes | None] = [None] * size
+        ranks = _ranks(source)
+        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        _mergers[source] = (Merger(ranks), regex.compile(pattern), table)
+        _mergers[source] = (Merger(ranks), regex.compile(source[1]), table)
     return _mergers[source]
 
 
-def _shipped(docs: DataFrame, ranks_path: str, pattern: str) -> tuple[str, str]:
+def _ranks(source: tuple[str, str]) -> dict[bytes, int]:
+    with open(SparkFiles.get(source[0]), "rb") as f:
+        return read_ranks(f.read())
+
+
+_libraries: dict[tuple, tiktoken.Encoding] = {}
+
+
+def token_ids(source: tuple[str, str], text: str) -> list[int]:
+    """The ids that bpe_encode gives a text, for operators that need tokens as a unit: by the library, which is faster;
+    texts with very long runs, for which it takes quadratic time, by the merger here."""
+    if LONG_RUN.search(text):
+        merger, matcher, _ = _merger(source)
+        return np.frombuffer(b"".join(map(merger.__getitem__, matcher.findall(text))), "<u4").tolist()
+    if source not in _libraries:
+        _libraries[source] = tiktoken.Encoding("ranks", pat_str=source[1], mergeable_ranks=_ranks(source), special_tokens={})
+    return _libraries[source].encode_ordinary(text)
+
+
+def shipped(docs: DataFrame, ranks_path: str, pattern: str) -> tuple[str, str]:
     """Send the rank file to all executors once."""
     docs.sparkSession.sparkContext.addFile(ranks_path)
     return ranks_path.rpartition("/")[2], pattern
@@ -130,13 +153,12 @@ def _encode(source: tuple[str, str]):
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> Column:
     """The number of ids that bpe_encode gives each text of docs, by one scan over the whole text."""
-    source = _shipped(docs, ranks_path, pattern)
+    source = shipped(docs, ranks_path, pattern)
 
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        merger, matcher, _ = _merger(source)
         for texts in batches:
-            yield pa.array((sum(map(len, map(merger.__getitem__, matcher.findall(t or "")))) // 4 for t in texts.to_pylist()), pa.int64())
+            yield pa.array((len(token_ids(source, t or "")) for t in texts.to_pylist()), pa.int64())
 
     return run(F.col(text).cast("string"))
 
@@ -168,15 +190,15 @@ def _chunks(chunk: int, overlap: int):
     return run
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with `ids` (packed). Texts up to chunk + overlap characters are one chunk and never move;
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, ids: str = "ids") -> DataFrame:
+    """docs with the column `ids` (packed). Texts up to chunk + overlap characters are one chunk and never move;
     only longer ones are cut and spread. The columns hf_* are this function's own."""
-    source = _shipped(docs, ranks_path, pattern)
+    docs = set_aside(docs, ids)
+    source = shipped(docs, ranks_path, pattern)
     encode = _encode(source)
-    docs = docs.drop("ids")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     long = F.char_length(body) > chunk + overlap
-    whole = lambda df: df.withColumn("ids", encode(body, F.lit(0), F.char_length(body)))
+    whole = lambda df: df.withColumn(ids, encode(body, F.lit(0), F.char_length(body)))
     short = whole(docs.where(~long))
     rest = [c for c in docs.columns if c != text]
     longs = docs.where(long).withColumn("hf_key", F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in docs.columns]))
@@ -198,18 +220,19 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     join = lambda part: F.aggregate("hf", part[0], part[1])
     stitched = stitched.select(
         *rest,
-        join((F.lit("").cast("binary"), lambda a, x: F.concat(a, x["hf_ids"]))).alias("ids"),
+        join((F.lit("").cast("binary"), lambda a, x: F.concat(a, x["hf_ids"]))).alias(ids),
         F.concat_ws("", F.transform("hf", lambda x: F.when(x["no"] == F.size("hf") - 1, x["body"]).otherwise(F.substring(x["body"], 1, chunk)))).alias(text),
     )
     lost = parts.where(F.col("hf_lost")).groupBy("hf_key").agg(F.array_sort(F.collect_list(F.struct("no", "body"))).alias("hf"), *[F.first(c).alias(c) for c in rest])
     lost = lost.select(*rest, F.concat_ws("", F.transform("hf", lambda x: F.when(x["no"] == F.size("hf") - 1, x["body"]).otherwise(F.substring(x["body"], 1, chunk)))).alias(text))
-    cols = [*docs.columns, "ids"]
+    cols = [*docs.columns, ids]
     return short.select(cols).unionByName(stitched.select(cols)).unionByName(whole(lost).select(cols))
 
 
-def bpe_decode(docs: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
+def bpe_decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs with `decoded`: the raw bytes of the packed ids, one after another (null ids: null)."""
-    source = _shipped(docs, ranks_path, ".")
+    docs = set_aside(docs, decoded)
+    source = shipped(docs, ranks_path, ".")
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -217,7 +240,7 @@ def bpe_decode(docs: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
         for packed in batches:
             yield pa.array((None if p is None else b"".join(map(token, np.frombuffer(p, "<u4").tolist())) for p in packed.to_pylist()), pa.binary())
 
-    return docs.withColumn("decoded", run(F.col(ids)))
+    return docs.withColumn(decoded, run(F.col(ids)))
 
 
 def ids_array(ids: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["bounded_sample", "held_out", "materialise", "row_key", "shared_dir", "table"]
+__all__ = ["bounded_sample", "held_out", "materialise", "row_key", "set_aside", "shared_dir", "table"]
 FOLDS = 5
 
 
@@ -21,11 +21,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of the key; all rows where there are no more than that."""
+    """About `most` rows at most, chosen by a 64-bit hash of the key; all rows where there are no more than that."""
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    place = F.xxhash64(F.lit("sample"), *key).bitwiseAND(F.lit((1 << 63) - 1))
+    return rows.where(place < F.lit((most << 63) // n))
+
+
+def set_aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs, where columns of the names that a result is to have are kept as <name>_input (further _input until that
+    is free; names ignore case, as Spark's do)."""
+    taken, wanted = {c.lower() for c in docs.columns}, {n.lower() for n in names}
+    for c in docs.columns:
+        if c.lower() in wanted:
+            new = f"{c}_input"
+            while new.lower() in taken | wanted:
+                new += "_input"
+            taken.add(new.lower())
+            docs = docs.withColumnRenamed(c, new)
+    return docs
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

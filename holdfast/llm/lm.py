@@ -1,119 +1,214 @@
 """Cross-entropy difference: documents scored by a target and a background language model.
 
-Both models are interpolated trigram models over one vocabulary, the 256 byte values and a boundary before
-and after each text (byte 0xFF, which UTF-8 never uses). They are matched: same order, same vocabulary, same
-smoothing (Witten-Bell). Counts are gathered over all documents: target counts over the target rows, background
-counts over all rows. A document's score is the mean over its tokens of the background's log probability
-minus the target's, in nats: the lower, the more the text resembles the target.
-
-There are at most 256 ** 3 trigrams, however large the corpus; that bounds what the driver collects and what
-is broadcast. Null and empty texts have one token, the closing boundary. Without target rows the target model
-is uniform.
+Both models are interpolated bigram models over one vocabulary: the byte-level BPE ids of a rank file, and an edge
+before and after each text. They are matched: same order, same vocabulary, same smoothing (Witten-Bell, down to the
+uniform distribution over the vocabulary). Target counts are gathered over the target rows, background counts over all
+rows; nothing is pruned. A document's score is the target's cross-entropy minus the background's, in nats a token: the lower,
+the more the text resembles the target.
+
+1. Texts become packed ids and are marked as target or not by one shuffled join. Each task counts the bigrams of its
+   rows in parts of PART tokens; a part keeps its rows' ids, and one row for each different bigram with both counts.
+2. The parts' counts are summed by bigram: the model is a distributed table that grows with the corpus, and never
+   reaches the driver. Only the sums by single token, which have a row for each id of the vocabulary at most (a size
+   that the rank file fixes), are broadcast to turn it into log probabilities.
+3. A part's bigrams are joined with the model, and come back to the part as one small table, with which its rows are
+   scored. So a bigram moves once for each part, not once for each document or token.
+
+Null and empty texts have one token, the closing edge. Without target rows the target model is uniform. Rows that share
+an id are all target rows if it is one; rows with a null id never are. Repeated rows count as often as they occur and get
+equal scores; an empty table gives an empty result. Only doc_id, text and the columns in `keep` are read; names hf_* are this
+module's own, and a column `lm` in `keep` is kept as `lm_input`.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BASE, EDGE = 256, b"\xff"
-GRAMS = BASE**3
-PART = 8 << 20  # bytes counted at once
+from . import bpe
+from .common import materialise, set_aside
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+PART = 16 << 20  # tokens of a part at most, but for a single longer text
+STEP = 2 << 20  # tokens that are counted or scored at once
+FIELDS = "n_tokens long, target double, background double, difference double"
 
-def codes(raw: bytes) -> Iterator[np.ndarray]:
-    """The trigram of each token: its byte after the two before it (boundaries at the start); long texts in parts."""
-    whole = EDGE * 2 + raw + EDGE
-    for at in range(0, len(raw) + 1, PART):
-        b = np.frombuffer(whole[at : at + PART + 2], np.uint8).astype(np.int32)
-        yield (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
 
+def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> Column:
+    """The ids of each text as compressed unsigned 32-bit integers."""
+    source = bpe.shipped(docs, ranks_path, pattern)
 
-def count_trigrams(docs: DataFrame, target: str, text: str = "text") -> DataFrame:
-    """(gram, target, background): counts over all rows; the column `target` says which rows are the target's."""
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for texts in batches:
+            yield pa.array((squeeze(planes(bpe.token_ids(source, t or ""))) for t in texts.to_pylist()), pa.binary())
+
+    return run(F.col(text).cast("string"))
+
+
+def planes(ids: list[int]) -> bytes:
+    """All lowest bytes, then all second bytes and so on: like bytes stand together and are compressed well."""
+    return np.array(ids, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def bigrams(ids: np.ndarray, edge: int) -> np.ndarray:
+    """The bigram of each token (the closing edge included): the id before it in the upper 32 bits, its own in the lower."""
+    whole = np.concatenate([[edge], ids, [edge]])
+    return whole[:-1] << 32 | whole[1:]
+
+
+class Counts:
+    """Bigram counts of target and all rows, summed a few million tokens at a time."""
+
+    def __init__(self):
+        self.sums = [np.zeros(0, np.int64) for _ in range(3)]
+        self.waiting: list[tuple[np.ndarray, bool]] = []
+        self.size = self.total = 0
+
+    def add(self, grams: np.ndarray, is_target: bool) -> None:
+        self.waiting.append((grams, is_target))
+        self.size += len(grams)
+        self.total += len(grams)
+        if self.size >= STEP:
+            self.settle()
+
+    def settle(self) -> list[np.ndarray]:
+        """Sorted bigrams, target counts, background counts."""
+        if self.waiting:
+            grams = np.concatenate([self.sums[0], *(g for g, _ in self.waiting)])
+            one = np.ones(self.size, np.int64)
+            target = np.concatenate([self.sums[1], np.repeat([t for _, t in self.waiting], [len(g) for g, _ in self.waiting]).astype(np.int64)])
+            every = np.concatenate([self.sums[2], one])
+            kinds, place = np.unique(grams, return_inverse=True)
+            self.sums = [kinds, *(np.bincount(place, weights=w, minlength=len(kinds)).astype(np.int64) for w in (target, every))]
+            self.waiting, self.size = [], 0
+        return self.sums
+
+
+def count_parts(rows: DataFrame, keep: list[str], edge: int, part: int = PART) -> DataFrame:
+    """rows: keep, hf_ids and hf_target. For each row (keep, hf_part, hf_ids), and for each bigram of a part (hf_part,
+    hf_gram, hf_t, hf_b); what a row hasn't is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze = zstandard.ZstdDecompressor().decompress
+        number, counts = TaskContext.get().partitionId() << 32, Counts()
+        types: list[pa.DataType] = []
+
+        def table(n: int, own: list[pa.Array], number: int, ids: pa.Array | None, sums: list[np.ndarray] | None) -> pa.RecordBatch:
+            more = [pa.array(np.full(n, number)), pa.nulls(n, pa.binary()) if ids is None else ids, *([pa.nulls(n, pa.int64())] * 3 if sums is None else map(pa.array, sums))]
+            return pa.RecordBatch.from_arrays([*own, *more], names=[*keep, "hf_part", "hf_ids", "hf_gram", "hf_t", "hf_b"])
+
+        def grams() -> Iterator[pa.RecordBatch]:
+            sums = counts.settle()
+            for at in range(0, len(sums[0]), 1 << 16):
+                some = [x[at : at + (1 << 16)] for x in sums]
+                yield table(len(some[0]), [pa.nulls(len(some[0]), t) for t in types], number, None, some)
+
         for batch in batches:
-            parts: dict[bool, list] = {True: [], False: []}
-            sizes = {True: 0, False: 0}
-            for raw, is_target in zip(batch.column("text").to_pylist(), batch.column("is_target").to_pylist(), strict=True):
-                for piece in codes(raw or b""):
-                    parts[is_target].append(piece)
-                    sizes[is_target] += len(piece)
-                    if sizes[is_target] > PART:
-                        yield packed(parts[is_target], is_target)
-                        parts[is_target], sizes[is_target] = [], 0
-            for is_target, pieces in parts.items():
-                if pieces:
-                    yield packed(pieces, is_target)
-
-    def packed(pieces: list[np.ndarray], is_target: bool) -> pa.RecordBatch:
-        gram, n = np.unique(np.concatenate(pieces), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(n if is_target else np.zeros_like(n)), pa.array(n)], names=["gram", "target", "background"])
-
-    rows = docs.select(F.col(text).cast("string").cast("binary").alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("is_target"))
-    return rows.mapInArrow(run, "gram int, target long, background long").groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def log_probabilities(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log p(third byte | first two) of all trigrams, from the counts of those that were seen."""
-    one = np.zeros(BASE)
-    np.add.at(one, gram & 255, n)
-    kinds, total = (one > 0).sum(), one.sum()
-    p1 = (one + max(kinds, 1) / BASE) / (total + max(kinds, 1))
-    pair = np.bincount(gram & 0xFFFF, weights=n, minlength=BASE**2).reshape(BASE, BASE)
-    kinds = (pair > 0).sum(axis=1, keepdims=True)
-    p2 = (pair + np.maximum(kinds, 1) * p1) / (pair.sum(axis=1, keepdims=True) + np.maximum(kinds, 1))
-    out = np.empty((BASE, BASE, BASE), np.float32)
-    order = np.argsort(gram, kind="stable")
-    gram, n = gram[order], n[order]
-    for a in range(BASE):
-        lo, hi = np.searchsorted(gram, [a << 16, (a + 1) << 16])
-        three = np.bincount(gram[lo:hi] & 0xFFFF, weights=n[lo:hi], minlength=BASE**2).reshape(BASE, BASE)
-        kinds = np.maximum((three > 0).sum(axis=1, keepdims=True), 1)
-        out[a] = np.log((three + kinds * p2) / (three.sum(axis=1, keepdims=True) + kinds))
-    return out.reshape(-1)
-
-
-_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # the worker's own, of the last broadcast
-
-
-def score_documents(docs: DataFrame, counts: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `lm`: struct of n_tokens, target and background (cross-entropies in nats a token), and
-    difference (target minus background)."""
-    table = counts.toPandas()  # at most 256 ** 3 rows
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("gram", "target", "background")))
-
-    key = uuid.uuid4().hex
-
-    @F.arrow_udf("struct<n_tokens:bigint,target:double,background:double,difference:double>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _tables:
-            gram, target, background = sent.value
-            _tables.clear()
-            seen = target > 0
-            _tables[key] = (log_probabilities(gram[seen], target[seen]), log_probabilities(gram, background))
-        t, b = _tables[key]
-        for texts in batches:
-            rows = []
-            for raw in texts.cast(pa.binary()).to_pylist():
-                n, x, y = 0, 0.0, 0.0
-                for c in codes(raw or b""):
-                    n, x, y = n + len(c), x - float(t[c].sum(dtype=float)), y - float(b[c].sum(dtype=float))
-                rows.append((n, x / n, y / n, (x - y) / n))
-            n, x, y, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), *(pa.array(v, pa.float64()) for v in (x, y, d))], names=["n_tokens", "target", "background", "difference"])
-
-    return docs.withColumn("lm", run(F.col(text).cast("string")))
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `lm`. target_ids: doc_id of the rows that the target model is made from."""
-    ids = target_ids.select(F.col(doc_id).alias("hf_id")).where("hf_id is not null").distinct().withColumn("hf_target", F.lit(True))
-    marked = docs.join(ids.hint("shuffle_hash"), F.col(doc_id) == F.col("hf_id"), "left")  # the ids grow with the corpus: one plan at every size
-    return score_documents(docs, count_trigrams(marked, "hf_target", text), text)
+            types, start = [batch.column(c).type for c in keep], 0
+            packed, targets = batch.column("hf_ids"), batch.column("hf_target").to_pylist()
+            for i in range(len(batch)):
+                counts.add(bigrams(unplaned(unsqueeze(packed[i].as_py())), edge), targets[i])
+                full = counts.total >= part
+                if full or i == len(batch) - 1:
+                    size = i + 1 - start
+                    yield table(size, [batch.column(c).slice(start, size) for c in keep], number, packed.slice(start, size), None)
+                    start = i + 1
+                if full:
+                    yield from grams()
+                    number, counts = number + 1, Counts()
+        if counts.total:
+            yield from grams()
+
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("hf_part", T.LongType()), T.StructField("hf_ids", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in ("hf_gram", "hf_t", "hf_b")])
+    for field in schema:
+        field.nullable = True
+    return rows.select(*keep, "hf_ids", "hf_target").mapInArrow(run, schema)
+
+
+def log_probabilities(grams: DataFrame, vocabulary: int) -> DataFrame:
+    """(hf_gram, hf_lt, hf_lb): log p(token | the one before it) of every bigram that occurs, by both models. grams:
+    (hf_gram, hf_t, hf_b), in parts. vocabulary counts the edge."""
+    sums = materialise(grams.groupBy("hf_gram").agg(F.sum("hf_t").alias("t"), F.sum("hf_b").alias("b")))
+    sums = sums.withColumns({"first": F.shiftright("hf_gram", 32), "second": F.col("hf_gram").bitwiseAND(F.lit((1 << 32) - 1))})
+    known = lambda c: F.greatest(F.lit(1), F.count_if(F.col(c) > 0))
+    one = materialise(sums.groupBy("second").agg(F.sum("t").alias("t1"), F.sum("b").alias("b1")))
+    before = materialise(sums.groupBy("first").agg(F.sum("t").alias("tn"), F.sum("b").alias("bn"), known("t").alias("tk"), known("b").alias("bk")))
+    n = one.agg(F.sum("t1").alias("t"), F.sum("b1").alias("b"), known("t1").alias("tk"), known("b1").alias("bk")).first()
+    if n["b"] is None:
+        return sums.select("hf_gram", F.lit(0.0).alias("hf_lt"), F.lit(0.0).alias("hf_lb"))
+    single = lambda c: (F.col(f"{c}1") + n[f"{c}k"] / vocabulary) / float(n[c] + n[f"{c}k"])
+    one = one.select("second", single("t").alias("pt"), single("b").alias("pb"))
+    both = sums.join(F.broadcast(one), "second").join(F.broadcast(before), "first")  # a row for each id of the vocabulary at most
+    pair = lambda c: F.log((F.col(c) + F.col(f"{c}k") * F.col(f"p{c}")) / (F.col(f"{c}n") + F.col(f"{c}k")))
+    return both.select("hf_gram", pair("t").alias("hf_lt"), pair("b").alias("hf_lb"))
+
+
+def score_parts(rows: DataFrame, answers: DataFrame, keep: list[str], edge: int) -> DataFrame:
+    """keep and `lm` of every row. rows: keep, hf_part, hf_ids; answers: hf_of (the part), hf_gram, hf_lt, hf_lb."""
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        unsqueeze = zstandard.ZstdDecompressor().decompress
+        order = np.argsort(gram := known.column("hf_gram").to_numpy())
+        gram, values = gram[order], [known.column(c).to_numpy()[order] for c in ("hf_lt", "hf_lb")]
+        out: list[list[np.ndarray]] = [[], [], []]
+        waiting: list[np.ndarray] = []
+
+        def settle() -> None:
+            sizes = np.array([len(w) for w in waiting])
+            starts, place = np.cumsum(sizes) - sizes, np.searchsorted(gram, np.concatenate(waiting))
+            out[0].append(sizes)
+            for i, v in enumerate(values):
+                out[i + 1].append(-np.add.reduceat(v[place], starts) / sizes)
+            waiting.clear()
+
+        size = 0
+        for packed in own.column("hf_ids"):
+            waiting.append(bigrams(unplaned(unsqueeze(packed.as_py())), edge))
+            size += len(waiting[-1])
+            if size >= STEP:
+                settle()
+                size = 0
+        if waiting:
+            settle()
+        n, t, b = (np.concatenate(x) for x in out)
+        lm = pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(t), pa.array(b), pa.array(t - b)], names=[f.split()[0] for f in FIELDS.split(", ")])
+        return pa.table([*(own.column(c) for c in keep), lm], names=[*keep, "lm"])
+
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("lm", T._parse_datatype_string(FIELDS))])
+    return rows.groupBy("hf_part").cogroup(answers.groupBy("hf_of")).applyInArrow(run, schema)
+
+
+def cross_entropy_difference(
+    docs: DataFrame, target_ids: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", text: str = "text",
+    ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, part: int = PART,
+) -> DataFrame:
+    """keep and `lm` (n_tokens, target and background cross-entropy in nats a token, their difference) of every row.
+    target_ids: doc_id of the rows that the target model is made from."""
+    ranks_path = ranks_path or public_tokenizers.path(RANKS)
+    with open(ranks_path, "rb") as f:
+        edge = max(bpe.read_ranks(f.read()).values()) + 1
+    rows = docs.select(*keep, F.col(doc_id).alias("hf_id"), packed_ids(docs, ranks_path, pattern, text).alias("hf_ids"))
+    rows = set_aside(rows, "lm")
+    keep = rows.columns[:-2]
+    ids = target_ids.select(F.col(doc_id).alias("hf_good")).where("hf_good is not null").distinct()
+    named = rows.where("hf_id is not null").join(ids.hint("shuffle_hash"), F.col("hf_id") == F.col("hf_good"), "left")  # the ids grow with the corpus: one plan at every size
+    marked = named.withColumn("hf_target", F.col("hf_good").isNotNull()).drop("hf_good").unionByName(rows.where("hf_id is null").withColumn("hf_target", F.lit(False)))
+    parts = materialise(count_parts(marked, keep, edge, part))
+    grams = parts.where("hf_gram is not null").select("hf_part", "hf_gram", "hf_t", "hf_b")
+    model = log_probabilities(grams, edge + 1)
+    answers = grams.select(F.col("hf_part").alias("hf_of"), "hf_gram").join(model, "hf_gram")
+    return score_parts(parts.where("hf_ids is not null").select(*keep, "hf_part", "hf_ids"), answers, keep, edge)

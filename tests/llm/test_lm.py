@@ -2,54 +2,77 @@ from collections import Counter
 from math import log
 
 import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
 
-from holdfast.llm import lm
+from holdfast.llm import bpe, lm
 
 from .cases import docs, none
 
+PATH = public_tokenizers.path(lm.RANKS)
+RANKS = bpe.read_ranks(open(PATH, "rb").read())
+LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+EDGE = max(RANKS.values()) + 1
+
+
+def grams(text):
+    ids = [EDGE, *LIBRARY.encode_ordinary(text or ""), EDGE]
+    return list(zip(ids, ids[1:], strict=False))
+
 
 def brute(texts):
-    """log p of a byte after two others, from plain counts."""
-    three = Counter(tuple((b"\xff\xff" + t + b"\xff")[i : i + 3]) for t in texts for i in range(len(t) + 1))
+    """log p of a token after another, from plain counts."""
+    two = Counter(g for t in texts for g in grams(t))
+    one, context, kinds = Counter(), Counter(), Counter()
+    for (a, b), n in two.items():
+        one[b] += n
+        context[a] += n
+        kinds[a] += 1
 
     def p(gram):
-        def level(n):
-            if not n:
-                return 1 / 256
-            context = gram[3 - n : 2]
-            seen = Counter()
-            for g, c in three.items():
-                if g[3 - n : 2] == context:
-                    seen[g[2]] += c
-            kinds = max(1, len(seen))
-            return (seen[gram[2]] + kinds * level(n - 1)) / (sum(seen.values()) + kinds)
-
-        return level(3)
+        a, b = gram
+        k1, k2 = max(1, len(one)), max(1, kinds[a])
+        p1 = (one[b] + k1 / (EDGE + 1)) / (sum(one.values()) + k1)
+        return (two[gram] + k2 * p1) / (context[a] + k2)
 
     return p
 
 
-def test_scores_equal_brute_force(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "", "zzz qqq é", "the the the"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["lm"] for r in lm.cross_entropy_difference(df, df.where("doc_id in (0, 1)")).collect()}
-    t, b = brute([x.encode() for x in texts[:2]]), brute([x.encode() for x in texts])
-    for i, text in enumerate(texts):
-        raw = b"\xff\xff" + text.encode() + b"\xff"
-        grams = [tuple(raw[j : j + 3]) for j in range(len(raw) - 2)]
-        x, y = (-sum(log(m(g)) for g in grams) / len(grams) for m in (t, b))
-        assert got[i]["n_tokens"] == len(grams) and np.allclose([got[i]["target"], got[i]["background"], got[i]["difference"]], [x, y, x - y], atol=1e-4)
-    assert got[0]["difference"] < 0 < got[3]["difference"]
+TEXTS = ["the cat sat on the mat", "the dog sat", "", "zzz qqq é", "the the the", None, "a" * 3000 + " \x1c\x85 漢字", "the cat sat on the mat"]
+
+
+@pytest.mark.parametrize("part", [lm.PART, 5, 1])
+def test_scores_equal_brute_force(spark, part, monkeypatch):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "the cat", "x"), (1, "no dog", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lm string").repartition(3)
+    got = lm.cross_entropy_difference(df, df.where("doc_id in (0, 1)"), ("doc_id", "text"), part=part).collect()
+    assert len(got) == len(rows)
+    t, b = brute([r[1] for r in rows if r[0] in (0, 1)]), brute([r[1] for r in rows])
+    for r in got:
+        own = grams(r["text"])
+        x, y = (-sum(log(m(g)) for g in own) / len(own) for m in (t, b))
+        assert r["lm"]["n_tokens"] == len(own) and np.allclose([r["lm"]["target"], r["lm"]["background"], r["lm"]["difference"]], [x, y, x - y], atol=1e-9)
+    by = {r["doc_id"]: r["lm"]["difference"] for r in got}
+    assert by[0] < 0 < by[3]
 
 
-def test_parts_of_long_texts(monkeypatch):
-    raw = bytes(range(200)) * 3
-    whole = np.concatenate(list(lm.codes(raw)))
-    monkeypatch.setattr(lm, "PART", 7)
-    assert (np.concatenate(list(lm.codes(raw))) == whole).all() and len(whole) == len(raw) + 1
+def test_counts_in_steps(monkeypatch):
+    rng = np.random.default_rng(1)
+    parts = [(rng.integers(0, 9, rng.integers(1, 12)), bool(rng.integers(2))) for _ in range(30)]
+    monkeypatch.setattr(lm, "STEP", 7)
+    counts = lm.Counts()
+    for grams_, is_target in parts:
+        counts.add(grams_, is_target)
+    kinds, target, every = counts.settle()
+    all_, good = Counter(x for g, _ in parts for x in g.tolist()), Counter(x for g, t in parts if t for x in g.tolist())
+    assert kinds.tolist() == sorted(all_) and every.tolist() == [all_[k] for k in sorted(all_)] and target.tolist() == [good[k] for k in sorted(all_)]
+    assert (lm.unplaned(lm.planes([5, 70_000, 0])) == [5, 70_000, 0]).all() and len(lm.unplaned(lm.planes([]))) == 0
 
 
 def test_odd_rows(spark):
     for df in (docs(spark), none(spark)):
         assert lm.cross_entropy_difference(df, docs(spark)).count() == df.count()
     assert all(r["lm"]["background"] > 0 for r in lm.cross_entropy_difference(docs(spark), none(spark)).collect())
+    clash = lm.cross_entropy_difference(docs(spark).withColumnRenamed("fp", "LM"), docs(spark), ("doc_id", "LM"))
+    assert clash.columns == ["doc_id", "LM_input", "lm"] and {r["LM_input"] for r in clash.collect()} == {7, None}
