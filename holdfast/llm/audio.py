@@ -9,7 +9,8 @@ silence), so all bytes behind it are ancillary data, which hold the payload. An
 count, byte count, seek table and checksums stands first, an ID3v2 tag before it has the payload's length.
 
 Defined results: null bytes are taken as empty; bytes without any frame give n_frames 0, duration 0 and a
-null payload; damaged frames count in crc_bad; bytes skipped while resynchronising count in skipped_bytes.
+null payload; damaged frames count in crc_bad; bytes skipped while resynchronising count in skipped_bytes. Repeated
+rows get equal results, an empty table an empty one; a column `audio` that docs already have is kept as `audio_input`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 # Fixed values of the MPEG audio header: kbit/s by index for (version 1?, layer), Hz by version bits.
 BITRATES = {
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -284,4 +287,4 @@ def read_audio(media: Column) -> Column:
 
 def audio_features(docs: DataFrame, media: str = "media") -> DataFrame:
     """docs with column `audio`: what read_audio finds in the binary column `media`."""
-    return docs.withColumn("audio", read_audio(F.col(media)))
+    return set_aside(docs, "audio").withColumn("audio", read_audio(F.col(media)))

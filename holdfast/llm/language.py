@@ -4,8 +4,11 @@ Every word has a script, by the range of its first letter; only languages that w
 its candidates. Each candidate scores the word by its character trigrams. Viterbi's algorithm then finds the
 best sequence of languages with a penalty for each switch, and runs of one language are spans.
 
-A text's language is the one with most letters in its spans, its score their share. Null texts and texts
-without any letter are `und` with score 0. Languages are learnt from a bounded sample of the labelled rows.
+A text's language is the one with most letters in its spans, its score their share; of languages with equally many,
+the first by name. Null texts and texts without any letter are `und` with score 0. Languages are learnt from a bounded
+sample of the labelled rows (null languages, null texts and null ids are left out); nothing that the sample has is left
+out. Without any labelled row, or in an empty table, every text is `und`. Repeated rows get equal results. A column
+`language` that docs already have is kept as `language_input`.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, set_aside
 
-MOST_ROWS, MOST_GRAMS = 20_000, 20_000  # labelled rows learnt from; trigrams kept for each language, by frequency
+MOST_ROWS = 20_000  # labelled rows learnt from
 SWITCH, OUT = 12.0, -1e4  # penalty of a switch; score of a language that isn't a candidate
 CACHED = 200_000
 # Where ranges of scripts begin (Unicode blocks).
@@ -112,9 +115,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return best
 
 
-def fit_languages(docs: DataFrame, most: int = MOST_ROWS, most_grams: int = MOST_GRAMS, text: str = "text", lang: str = "lang") -> Model:
-    """A model of the rows with a language that are not held out. What reaches the driver is bounded by the
-    number of languages and most_grams."""
+def fit_languages(docs: DataFrame, most: int = MOST_ROWS, text: str = "text", lang: str = "lang") -> Model:
+    """A model of the rows with a language that are not held out, about `most` at most: that bounds the trigrams
+    that reach the driver."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), "doc_id")
     rows = bounded_sample(rows, most, "doc_id").select("lang", "text")
 
@@ -133,8 +136,7 @@ def fit_languages(docs: DataFrame, most: int = MOST_ROWS, most_grams: int = MOST
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(total.values(), pa.int64())], names=["lang", "kind", "name", "n"])
 
     sums = rows.mapInArrow(count, "lang string, kind string, name string, n long").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "name"))
-    found = sums.withColumn("rank", rank).where(F.col("rank") <= most_grams).select("lang", "kind", "name", "n").collect()
+    found = sums.collect()
     pick = lambda kind: sorted((r["lang"], r["name"], r["n"]) for r in found if r["kind"] == kind)
     return Model(pick("gram"), pick("script"))
 
@@ -184,5 +186,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
                     spans.append([{"start": ends[a][0] if ends else first, "end": close[b - 1] if ends else last_end(t), "lang": names[own[a]]} for a, b in zip(turns, turns[1:], strict=False)])
                 yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["lang", "score", "spans"])
 
-    return docs.withColumn("language", run(F.col(text).cast("string")))
-
+    return set_aside(docs, "language").withColumn("language", run(F.col(text).cast("string")))
