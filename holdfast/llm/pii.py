@@ -1,19 +1,27 @@
 """Personal data: fixed patterns, and identifiers that their contexts give away. DataFrame functions only.
 
 1. Four patterns find e-mail addresses, IP addresses, card and phone numbers (the base).
-2. Every token that looks like an identifier is an instance; the two words before it are its lexical pattern.
+2. Texts are read as pieces: runs without white space, cut after = and : (`password=` is a piece of its own). A piece
+   that has three digits or an at sign is an instance. Its lexical patterns are: the two pieces before it; the pieces
+   before and after it; the piece before it with its own shape; its spelling (first four characters and length).
 3. Patterns and instances form a graph over all documents. Instances that base spans cover are seeds, with
-   score 1. A pattern's confidence is the sum of its instances' scores, each as often as it occurs, over the
-   number of times that its words occur anywhere in the corpus (plus a prior, so that rare patterns stay low):
-   copies count on both sides. It needs seeds with at least two different texts. An instance that is no seed scores as its best pattern. A few rounds spread
-   scores from seeds to patterns, to new instances and on to further patterns.
-4. Instances with a high score are found wherever they occur, with the kind of the pattern's seeds.
-
-How often words occur in the corpus is counted exactly, by the 64-bit hash of the pair. Positions are code points, end exclusive. Null texts count as empty, without spans. Rows
-are told apart by doc_id and a hash of the text, so rows that share an id, or have none, keep their own
-spans; rows repeated in full get the same. The regular expressions are possessive and begin only at a run's
-start (or where the last match ended): that changes no match but keeps them linear, and free of recursion,
-on very long runs.
+   score 1; so are long keys of mixed letters and digits, with the kind `secret`. A pattern's confidence is the sum
+   of its instances' scores, each as often as it occurs, over the number of times that the pattern occurs: for patterns of
+   words alone anywhere in the corpus, whatever piece stands there; for those with a shape or spelling among
+   instances. It needs seeds with at least three different texts. Copies count on both sides, and both sides grow alike,
+   so a corpus that is ten times as large gives the same confidence. An instance that is no seed scores as its best
+   pattern. A few rounds spread scores from seeds to patterns, to new instances and on to further patterns.
+4. Instances with a high score are found wherever they occur, with the kind of the pattern's seeds. A long key is
+   reported only so: because of where it stands, or how it begins, never for its looks alone.
+
+How often words occur in the corpus is counted exactly, by the 64-bit hash of the pattern. Only patterns of at least three
+different instances are counted: before the shuffle their hashes pass through a bitmap of 2^20 bits (what the driver
+gets and sends at most), after it they are joined in full. Positions are code points, end exclusive. Null texts count
+as empty, without spans. Rows are told apart by doc_id and a hash of the text, so rows that share an id, or have none,
+keep their own spans; rows repeated in full get the same. An empty table gives an empty result. Other columns are
+not read; `redact` keeps them (columns named hf_* are its own). The regular expressions are possessive and begin only
+at a run's start (or where the last match ended): that changes no match but keeps them linear, and free of recursion, on
+very long runs. Each is tried only on texts that have the characters it needs.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialise, row_key
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,13 +42,19 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text must have for a pattern to give a match that counts.
+NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]", "other": r"[0-9@]"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A token with five digits or more, or with an at sign.
-CANDIDATE = r"(?<!\S)(?=[^\s@]*+@|[^\s0-9]*+[0-9](?:[^\s0-9]*+[0-9]){4})\S++"
+PIECE = r"[^\s=:]*+[=:]|[^\s=:]++"
+#: A piece with three digits or an at sign; as a whole piece, and within a text.
+IDENTIFIER = r"^(?:[^@]*+@|(?:[^0-9]*+[0-9]){3})"
+CANDIDATE = r"(?<![^\s=:])(?=[^\s=:@]*+@|(?:[^\s=:0-9]*+[0-9]){3})[^\s=:]++[=:]?"
 HEAD, TAIL = r"^[^A-Za-z0-9+@]++", r"[^A-Za-z0-9+@]++$"
+#: The seeds of the kind secret: keys of 20 characters or more with three digits and three letters at least.
+KEY = r"^(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^A-Za-z]*+[A-Za-z]){3})[A-Za-z0-9_+/-]{20,}$"
 
-ROUNDS, PRIOR, ACCEPT, LEAST_SEEDS = 3, 3.0, 0.6, 2
-NEAR = 256  # characters before a token in which its two words are looked for
+ROUNDS, ACCEPT, LEAST_SEEDS = 3, 0.6, 3
+BITS = 14  # the bitmap has 2^BITS words of 64 bits
 
 
 def _luhn(digits: Column) -> Column:
@@ -60,34 +75,54 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def matches_of(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<kind,no,gap,match,before>> of a pattern's matches: gap counts the characters since the last
-    match, from a split by the same pattern. Texts without a match are not split."""
+    """array<struct<kind,no,gap,match,at>> of a pattern's matches: gap counts the characters since the last match,
+    from a split by the same pattern. Texts that can't have a match aren't searched."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    near = lambda i: F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(NEAR))
-    rows = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("no"), F.char_length(F.get(gaps, i)).alias("gap"), m.alias("match"),
-            (near(i) if kind == "other" else F.lit(None).cast("string")).alias("before"),
-        ),
-    )
-    return F.when(F.size(found) > 0, rows).otherwise(F.array().cast("array<struct<kind:string,no:int,gap:int,match:string,before:string>>"))
+    rows = F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), F.char_length(F.get(gaps, i)).alias("gap"), m.alias("match")))
+    return F.when(text.rlike(NEEDED[kind]), rows).otherwise(F.array().cast("array<struct<kind:string,no:int,gap:int,match:string>>"))
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(PIECE), F.lit(0))
+
+
+def before_after(left: Column, own: Column, right: Column) -> tuple[Column, Column]:
+    """Hashes of the two patterns of words alone of the piece that stands third (two before) or second (around)."""
+    return F.xxhash64(F.lit("before"), left, own), F.xxhash64(F.lit("around"), left, right)
+
+
+def contexts_of(words: Column) -> Column:
+    """array<struct<left,before,around>> of the pieces that are instances: the piece before, and both patterns
+    (null where a neighbour is missing)."""
+
+    def one(w: Column, i: Column) -> Column:
+        at = lambda k: F.when(i + k >= 0, F.get(words, i + k))
+        before, around = before_after(at(-2), at(-1), at(-1))[0], before_after(at(-1), at(-1), at(1))[1]
+        return F.when(
+            w.rlike(IDENTIFIER),
+            F.struct(at(-1).alias("left"), F.when(i >= 2, before).alias("before"), F.when((i >= 1) & at(1).isNotNull(), around).alias("around")),
+        )
+
+    return F.array_compact(F.transform(words, one))
 
 
 def find_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, rk, found), one row for each row of docs: raw matches of the base and of identifier-like tokens."""
+    """(doc_id, rk, found, contexts), one row for each row of docs: raw matches of the base and of instances, and
+    the instances' contexts in the same order."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = F.concat(*[matches_of(body, k, p) for k, p in (PATTERNS | {"other": CANDIDATE}).items()])
-    return docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), found.alias("found"))
+    words = F.when(body.rlike(NEEDED["other"]), pieces(body)).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("rk"), found.alias("found"), words.alias("hf_words"))
+    return rows.select("doc_id", "rk", "found", contexts_of(F.col("hf_words")).alias("contexts"))
 
 
 def place(found: DataFrame) -> DataFrame:
-    """(doc_id, rk, copies, kind, start, end, match, before) of all matches; repeated rows once, with their number."""
-    rows = found.where(F.size("found") > 0).groupBy("doc_id", "rk").agg(F.first("found").alias("found"), F.count("*").alias("copies"))
-    rows = rows.select("doc_id", "rk", "copies", F.explode("found").alias("m")).select("doc_id", "rk", "copies", "m.*")
+    """(doc_id, rk, copies, kind, start, end, match, context) of all matches; repeated rows once, with their number."""
+    rows = found.where(F.size("found") > 0).groupBy("doc_id", "rk").agg(F.first("found").alias("found"), F.first("contexts").alias("contexts"), F.count("*").alias("copies"))
+    rows = rows.select("doc_id", "rk", "copies", "contexts", F.explode("found").alias("m")).select("doc_id", "rk", "copies", "m.*", F.when(F.col("m.kind") == "other", F.get("contexts", F.col("m.no"))).alias("context"))
     end = F.sum(F.col("gap") + F.char_length("match")).over(Window.partitionBy("doc_id", "rk", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("doc_id", "rk", "copies", "kind", (end - F.char_length("match")).alias("start"), end.alias("end"), "match", "before")
+    return rows.select("doc_id", "rk", "copies", "kind", (end - F.char_length("match")).alias("start"), end.alias("end"), "match", "context")
 
 
 def base_spans(placed: DataFrame) -> DataFrame:
@@ -96,17 +131,23 @@ def base_spans(placed: DataFrame) -> DataFrame:
     return placed.where(F.col("kind") != "other").where(ok).select("doc_id", "rk", "kind", "start", "end")
 
 
+def shape(core: Column) -> Column:
+    """Digits as 9, runs of letters as a."""
+    return F.regexp_replace(F.regexp_replace(core, "[0-9]", "9"), r"\p{L}++", "a")
+
+
 def instances(placed: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc_id, rk, copies, start, end, instance, pattern, seed) of identifier-like tokens without the marks at their
-    ends: hashes of the token and of the two words before it; seed is the kind of a base span it touches."""
+    """(doc_id, rk, copies, start, end, instance, patterns, seed) of instances without the marks at their
+    ends: hashes of the token and of its patterns; seed is the kind of a base span it touches, or secret."""
     bare = F.regexp_replace("match", HEAD, "")
     core = F.regexp_replace(bare, TAIL, "")
     start = F.col("start") + F.char_length("match") - F.char_length(bare)
-    context = F.regexp_extract(F.lower("before"), r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
-    words = F.split(context, r"\s+")
+    shaped = F.when(F.col("context.left").isNotNull(), F.xxhash64(F.lit("shape"), F.col("context.left"), shape(core)))
+    spelt = F.when(F.substring(core, 1, 4).rlike("[A-Za-z]"), F.xxhash64(F.lit("spelling"), F.substring(core, 1, 4), F.char_length(core)))
     tokens = placed.where(F.col("kind") == "other").select(
         "doc_id", "rk", "copies", start.alias("start"), (start + F.char_length(core)).alias("end"), F.xxhash64(F.lower(core)).alias("instance"),
-        F.when(context.rlike("[a-z]"), F.xxhash64(F.get(words, F.lit(0)), F.get(words, F.lit(1)))).alias("pattern"), F.lit(None).cast("string").alias("kind"),
+        F.array_distinct(F.array_compact(F.array("context.before", "context.around", shaped, spelt))).alias("patterns"),
+        F.when(core.rlike(KEY), F.lit(SECRET)).alias("key"), F.lit(None).cast("string").alias("kind"),
     ).where(F.col("end") > F.col("start"))
     both = tokens.unionByName(base, allowMissingColumns=True)
     own = Window.partitionBy("doc_id", "rk").orderBy("start", F.col("kind").isNull(), "end")
@@ -116,49 +157,62 @@ def instances(placed: DataFrame, base: DataFrame) -> DataFrame:
     following = Window.partitionBy("doc_id", "rk").orderBy(F.col("start").desc(), F.col("kind").isNotNull(), F.col("end").desc())
     nxt = F.min(base_start).over(following.rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumns({"hf_last": last, "hf_next": nxt}).where(F.col("kind").isNull())
-    seed = F.when(F.col("hf_last.end") > F.col("start"), F.col("hf_last.kind")).when(F.col("hf_next.start") < F.col("end"), F.col("hf_next.kind"))
-    return both.select("doc_id", "rk", "copies", "start", "end", "instance", "pattern", seed.alias("seed"))
-
-
-def context_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(pattern, total): how often two words in a row occur in all texts, by their hash. A task sums its own
-    pairs before they are shuffled."""
-    words = F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"\s+")
-    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))).alias("pattern"))
-    return pairs.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.count("*").alias("total"))
-
-
-def bootstrap(tokens: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind, score) of instances that are no seeds and score at least ACCEPT."""
-    pairs = tokens.where(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(F.sum("copies").alias("n"), F.max("seed").alias("seed"))
-    sums = pairs.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("seed").alias("seeds"))
-    known = sums.join(totals, "pattern", "left")
-    known = known.select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total"))
-    edges = materialise(pairs.join(known, "pattern"))
-    seeds = tokens.where(F.col("seed").isNotNull()).groupBy("instance").agg(F.max("seed").alias("seed"))
-    seeds = materialise(seeds.select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")))
+    seed = F.when(F.col("hf_last.end") > F.col("start"), F.col("hf_last.kind")).when(F.col("hf_next.start") < F.col("end"), F.col("hf_next.kind")).otherwise(F.col("key"))
+    return both.select("doc_id", "rk", "copies", "start", "end", "instance", "patterns", seed.alias("seed"))
+
+
+def bitmap(patterns: DataFrame) -> Column:
+    """The hashes' lowest bits as an array of 2^BITS words: a literal of fixed size, however many patterns there are."""
+    word = F.shiftright("pattern", 6).bitwiseAND(F.lit((1 << BITS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pattern").bitwiseAND(F.lit(63)).cast("int"))
+    found = {r[0]: r[1] for r in patterns.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect()}  # 2^BITS rows at most
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(1 << BITS))), ",").cast("array<bigint>")
+
+
+def context_counts(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """(pattern, total): how often each pattern of words alone occurs around a piece of any kind in all texts. A task
+    sums its own before they are shuffled."""
+    bits = bitmap(patterns)
+    words = docs.select(pieces(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("w"))
+    one = lambda w, i: F.array(*before_after(w, F.get("w", i + 1), F.get("w", i + 2)))
+    every = F.flatten(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), one))
+    wanted = F.filter(every, lambda h: F.call_function("shiftright", F.get(bits, F.shiftright(h, 6).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return words.select(F.explode(wanted).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
+
+
+def bootstrap(tokens: DataFrame, docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """(instance, kind, score) of instances that score at least ACCEPT and are no seeds, or only by their looks."""
+    each = tokens.select("instance", "copies", "seed", F.explode("patterns").alias("pattern"))
+    pairs = materialise(each.groupBy("pattern", "instance").agg(F.sum("copies").alias("n"), F.max("seed").alias("seed")))
+    sums = materialise(pairs.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_SEEDS))
+    known = sums.join(context_counts(docs, sums, text), "pattern", "left").select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total"))
+    edges = materialise(pairs.drop("seed").join(known, "pattern"))
+    seeds = tokens.where(F.col("seed").isNotNull()).groupBy("instance").agg(F.max(F.struct(F.col("seed") != SECRET, "seed")).alias("s"))
+    seeds = materialise(seeds.select("instance", F.col("s.seed").alias("kind"), F.lit(1.0).alias("score")))
     scores = seeds
     for _ in range(rounds):
-        scored = edges.drop("seed").join(scores, "instance")
-        each = scored.groupBy("pattern", "kind", "total").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("support"))
-        best = each.groupBy("pattern", "total").agg(F.max(F.struct("mass", "kind")).alias("best"), F.sum("support").alias("support"))
-        sure = best.where(F.col("support") >= LEAST_SEEDS).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.mass") / (F.col("total") + PRIOR)).alias("conf"))
-        fresh = edges.join(sure, "pattern").groupBy("instance").agg(F.max(F.struct("conf", "kind")).alias("best")).join(seeds, "instance", "left_anti")
-        scores = materialise(seeds.unionByName(fresh.select("instance", F.col("best.kind").alias("kind"), F.col("best.conf").alias("score"))))
-    return scores.join(seeds, "instance", "left_anti").where(F.col("score") >= ACCEPT)
+        scored = edges.join(scores, "instance")
+        mass = scored.groupBy("pattern", "kind", "total").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("support"))
+        best = mass.groupBy("pattern", "total").agg(F.max(F.struct("mass", "kind")).alias("best"), F.sum("support").alias("support"))
+        sure = best.where(F.col("support") >= LEAST_SEEDS).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.mass") / F.col("total")).alias("conf"))
+        found = materialise(edges.join(sure, "pattern").groupBy("instance").agg(F.max(F.struct("conf", "kind")).alias("best")).select("instance", F.col("best.kind").alias("kind"), F.col("best.conf").alias("score")))
+        scores = seeds.unionByName(found.join(seeds, "instance", "left_anti"))
+    by_looks = seeds.where(F.col("kind") == SECRET).select("instance")
+    new = found.where(F.col("score") >= ACCEPT)
+    return new.join(seeds, "instance", "left_anti").unionByName(new.where(F.col("kind") == SECRET).join(by_looks, "instance", "left_semi"))
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rk, base, spans), one row for each row of docs; base and spans are arrays of (rank, kind, start,
-    end), sorted; rank is the kind's place in KINDS."""
+    end), sorted; rank is the kind's place in KINDS, with secret last."""
     found = materialise(find_matches(docs, doc_id, text))
     placed = materialise(place(found))
     base = base_spans(placed)
     tokens = materialise(instances(placed, base))
-    accepted = bootstrap(tokens, context_counts(docs, text))
-    more = tokens.where(F.col("seed").isNull()).join(accepted, "instance").select("doc_id", "rk", "kind", "start", "end", F.lit(False).alias("is_base"))
+    accepted = bootstrap(tokens, docs, text)
+    more = tokens.where(F.col("seed").isNull() | (F.col("seed") == SECRET)).join(accepted, "instance").select("doc_id", "rk", "kind", "start", "end", F.lit(False).alias("is_base"))
     both = base.withColumn("is_base", F.lit(True)).unionByName(more)
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    rank = F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), F.col("kind")).cast("int")
     span = F.struct(rank.alias("rank"), "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     spans = both.groupBy("doc_id", "rk").agg(F.array_sort(F.collect_list(F.when(F.col("is_base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
     spans = spans.withColumnRenamed("doc_id", "hf_id").withColumnRenamed("rk", "hf_rk")

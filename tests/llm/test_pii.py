@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -65,16 +67,102 @@ def phones(n):
     return [f"some words here and so contact number +1974555-3{i:03d} please, number {i}" for i in range(n)] + ["please dial contact number 0975553436x now"]
 
 
+def slow(texts, rounds=pii.ROUNDS):
+    """The bootstrapping over plain lists: {instance: (kind, score)} of what is accepted."""
+    tokens, before, around = [], Counter(), Counter()
+    for t in texts:
+        found = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\s=:]*[=:]|[^\s=:]+", t or "")]
+        low = [w.lower() for w, _, _ in found]
+        before.update(("before", *x) for x in zip(low, low[1:], low[2:], strict=False))
+        around.update(("around", a, c) for a, _, c in zip(low, low[1:], low[2:], strict=False))
+        for i, (w, start, _) in enumerate(found):
+            core = re.sub(r"[^A-Za-z0-9+@]+$", "", bare := re.sub(r"^[^A-Za-z0-9+@]+", "", w))
+            if not core or ("@" not in w and len(re.findall("[0-9]", w)) < 3):
+                continue
+            at = start + len(w) - len(bare)
+            hit = [k for k, s, e in base(t) if s < at + len(core) and e > at]
+            key = re.fullmatch(r"[A-Za-z0-9_+/-]{20,}", core) and len(re.findall("[0-9]", core)) > 2 and len(re.findall("[A-Za-z]", core)) > 2
+            patterns = {("spelling", core[:4], len(core))} if re.search("[A-Za-z]", core[:4]) else set()
+            patterns |= {("shape", low[i - 1], re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]", "9", core)))} if i else set()
+            patterns |= {("before", low[i - 2], low[i - 1])} if i > 1 else set()
+            patterns |= {("around", low[i - 1], low[i + 1])} if i and i + 1 < len(low) else set()
+            tokens.append((core.lower(), patterns, hit[0] if hit else "secret" if key else None))
+    lexical = Counter()
+    for x, n in before.items():
+        lexical[x[:3]] += n
+    lexical.update(around)
+    n, edges = Counter((p, i) for i, ps, _ in tokens for p in ps), {}
+    for (p, i), c in n.items():
+        edges.setdefault(p, {})[i] = c
+    edges = {p: x for p, x in edges.items() if len(x) >= pii.LEAST_SEEDS}
+    total = {p: max(sum(x.values()), lexical[p]) for p, x in edges.items()}
+    seeds = {i: max((k != "secret", k) for j, _, k in tokens if j == i and k)[1] for i, _, k in tokens if k}
+    scores, found = {i: (1.0, k) for i, k in seeds.items()}, {}
+    for _ in range(rounds):
+        sure = {}
+        for p, x in edges.items():
+            mass, support = Counter(), 0
+            for i, c in x.items():
+                if i in scores:
+                    mass[scores[i][1]] += scores[i][0] * c
+                    support += scores[i][0] >= pii.ACCEPT
+            if support >= pii.LEAST_SEEDS:
+                most, kind = max((m, k) for k, m in mass.items())
+                sure[p] = (most / total[p], kind)
+        found = {}
+        for p, s in sure.items():
+            for i in edges[p]:
+                found[i] = max(found.get(i, (0, "")), s)
+        scores = {**found, **{i: (1.0, k) for i, k in seeds.items()}}
+    return {i: s for i, s in found.items() if s[0] >= pii.ACCEPT and (i not in seeds or seeds[i] == s[1] == "secret")}
+
+
+def made(seed=3, n=120):
+    """Texts with e-mail addresses, account numbers, keys and other numbers in a few contexts."""
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice("the of and river house light with this".split())
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.choice((8, 24, 40))))
+    makes = [
+        lambda: f"call me at +1974555{rnd.randrange(1000, 1040)} now", lambda: f"call me at {rnd.randrange(10**6, 10**6 + 30)} now", lambda: f"Password={key()} {word()}", lambda: f'token = "{key()}" {word()}',
+        lambda: f"mail {word()}{rnd.randrange(9)}@x{rnd.randrange(3)}.org please", lambda: f"mail {word()} at x{rnd.randrange(300)} please", lambda: f"version {rnd.randrange(100, 400)} of {word()}", lambda: f"IDKQ{rnd.randrange(10**16)} {word()}",
+    ]
+    return [" ".join(rnd.choice(makes)() if rnd.random() < 0.4 else word() for _ in range(12)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_bootstrapping_equals_brute_force(spark, seed):
+    texts = made(seed)
+    want = slow(texts)
+    assert {k for _, k in want.values()} >= {"secret", "phone"} and len(want) > 20
+    hashes = dict(spark.createDataFrame([(i,) for i in want], "i string").select(F.xxhash64("i"), "i").collect())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    placed = pii.place(pii.find_matches(df))
+    got = pii.bootstrap(pii.instances(placed, pii.base_spans(placed)), df).collect()
+    assert {hashes.get(r["instance"]): r["kind"] for r in got} == {i: k for i, (_, k) in want.items()}
+    assert all(abs(r["score"] - want[hashes[r["instance"]]][0]) < 1e-9 for r in got)
+
+
+def test_the_corpus_ten_times_over_gives_the_same_spans(spark):
+    texts = made(7, 60)
+    one, ten = spans(spark, texts), spans(spark, texts * 10)
+    assert any(len(r["spans"]) > len(r["base"]) for r in one.values())
+    assert all(ten[i + 60 * k]["spans"] == one[i]["spans"] for i in one for k in (0, 4, 9))
+
+
 def test_other_words_never_lower_a_context(spark):
-    cell = lambda *words: F.pmod(F.xxhash64(*words), F.lit(1 << 18))
-    other = spark.range(4_000_000).select(F.concat(F.lit("w"), "id").alias("w")).where(cell("w", F.lit("x")) == cell(F.lit("contact"), F.lit("number"))).first()["w"]
-    texts = [*phones(12), f"{other} x " * 200]
+    """Neither words whose hash shares the bitmap's bits with a context's, nor very many other words."""
+    bits = lambda *words: F.pmod(F.xxhash64(F.lit("before"), *words), F.lit(1 << 20))
+    other = spark.range(8_000_000).select(F.concat(F.lit("w"), "id").alias("w")).where(bits("w", F.lit("x")) == bits(F.lit("contact"), F.lit("number"))).first()["w"]
+    rnd = random.Random(1)
+    texts = [*phones(12), f"{other} x y " * 200, *(" ".join(f"v{rnd.randrange(9000)}" for _ in range(300)) for _ in range(300))]
     got = spans(spark, texts)[12]
     assert [(s["kind"], texts[12][s["start"] : s["end"]]) for s in got["spans"]] == [("phone", "0975553436x")]
-    counts = {r["pattern"]: r["total"] for r in pii.context_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
-    pairs = Counter(p for t in texts for p in zip(t.lower().split(), t.lower().split()[1:], strict=False))
-    hashes = spark.createDataFrame(list(pairs), "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
-    assert all(counts[r["h"]] == pairs[r["a"], r["b"]] for r in hashes)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    low = [re.findall(r"[^\s=:]*[=:]|[^\s=:]+", t.lower()) for t in texts]
+    pairs = Counter(x[:2] for w in low for x in zip(w, w[1:], w[2:], strict=False))
+    some = spark.createDataFrame([p for p in pairs if p[0] in ("contact", other, "words")], "a string, b string").select("a", "b", F.xxhash64(F.lit("before"), "a", "b").alias("pattern"))
+    counts = {r["pattern"]: r["total"] for r in pii.context_counts(df, some.where("a = 'contact'")).collect()}
+    assert all(counts[r["pattern"]] == pairs[r["a"], r["b"]] for r in some.where(F.col("a").isin("contact", other)).collect()) and len(counts) < 20
 
 
 def test_copies_leave_a_context_on(spark):
