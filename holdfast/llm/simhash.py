@@ -7,7 +7,7 @@ one of its variant, which gives the same components as all pairs, and every link
 
 Copies share a fingerprint and are one node, however many there are. Null and empty texts have fingerprint
 zero and are linked like any other. A null doc_id keeps its row; it is never a component's id unless the
-component has no other.
+component has no other. Repeated rows are copies; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -69,28 +69,43 @@ def ball_links(prints: DataFrame, fp: str = "fp") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp, component_id), one row for each row of docs: fp is the signed fingerprint, component_id
-    the smallest doc_id that links reach."""
+    """(doc_id, fp, component_id), one row for each row of docs: fp is the signed fingerprint, component_id the
+    smallest doc_id that links reach."""
+    return components(docs, doc_id, text, words).drop("root")
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, fp, component_id, root), one row for each row of docs: fp is the signed fingerprint, component_id the
+    smallest doc_id that links reach, root the component's smallest fingerprint (where ids repeat, components can share an id)."""
     rows = materialise(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")))
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(ball_links(prints)).select(F.col("node").alias("fp"), "root")
     linked = prints.join(linked, "fp")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(of_root, "root").select("fp", "component_id")
-    groups = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    linked = linked.join(of_root, "root").select("fp", "component_id", "root")
+    groups = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     groups = materialise(groups)  # both sides of the join are then plain exchanges, of which Spark splits the one with many copies
-    return rows.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(groups, "fp", "left").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest doc_id of each component. Where rows share that id, one of them stays;
-    of components without any id, one row stays for each."""
-    found = near_duplicates(docs, doc_id, text)
-    keep = materialise(found.groupBy("component_id").agg(F.min("doc_id").alias("hf_keep"), F.min("fp").alias("hf_fp"), F.count("*").alias("n")))
-    named = docs.join(keep.where(F.col("hf_keep").isNotNull()).select("hf_keep"), F.col(doc_id) == F.col("hf_keep"), "left_semi")
-    n, ids = found.where("doc_id = component_id").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    named = named if n == ids else named.dropDuplicates([doc_id])
-    if found.where(F.col("component_id").isNull()).isEmpty():
-        return named
-    unnamed = docs.where(F.col(doc_id).isNull()).withColumn("hf_fp", fingerprint(F.col(text)))
-    return named.unionByName(unnamed.join(keep.where(F.col("hf_keep").isNull()).select("hf_fp"), "hf_fp", "left_semi").dropDuplicates(["hf_fp"]).drop("hf_fp"))
+    """One row of each component: that with the smallest doc_id (null ids last); of rows that share that id, the one
+    with the smallest fingerprint, then text. Rows repeated in full are one. Columns hf_* are this function's own."""
+    found = materialise(components(docs, doc_id, text))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fp"))
+    keep = found.groupBy("root").agg(F.min(named).alias("named"), F.min("fp").alias("fp"))
+    keep = materialise(keep.select(F.col("named.doc_id").alias("hf_keep"), F.coalesce("named.fp", "fp").alias("hf_fp")))
+    again = materialise(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("hf_again")).count().where(F.col("count") > 1).select("hf_again"))
+    rows = docs.join(keep.where(F.col("hf_keep").isNotNull()).select("hf_keep").distinct(), F.col(doc_id) == F.col("hf_keep"), "left_semi")
+    unsure = []  # rows whose id doesn't tell whether they are kept
+    if not again.isEmpty():
+        unsure.append(rows.join(again, F.col(doc_id) == F.col("hf_again"), "left_semi"))
+        rows = rows.join(again, F.col(doc_id) == F.col("hf_again"), "left_anti")
+    if not keep.where(F.col("hf_keep").isNull()).isEmpty():
+        unsure.append(docs.where(F.col(doc_id).isNull()))
+    for part in unsure:
+        part = part.withColumn("hf_own", fingerprint(F.col(text))).join(keep, (F.col("hf_own") == F.col("hf_fp")) & F.col(doc_id).eqNullSafe(F.col("hf_keep")), "left_semi")
+        order = F.struct(text, F.to_json(F.struct(*docs.columns)))
+        part = part.groupBy("hf_own", doc_id).agg(F.min_by(F.struct(*docs.columns), order).alias("hf_row"))  # combined in each task before it is shuffled
+        rows = rows.unionByName(part.select("hf_row.*"))
+    return rows

@@ -74,3 +74,13 @@ def test_keep_one(spark):
     comps = dict(brute([(r[0], slow(r[1])) for r in rows()]))
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({c for c in comps.values() if c is not None})
     assert set(kept[0].asDict()) == set(docs(spark).columns)
+
+
+def test_keep_one_where_ids_repeat(spark):
+    a, b, c = COPIED, "some other text that is not like it at all, with words of its own", "third one here"
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 3), (None, b, 4), (3, a, 5), (3, c, 6), (None, "alone with no id", 7), (None, "alone with no id", 8), (7, c, 9), (7, c, 9)]
+    for order in (1, -1):
+        df = spark.createDataFrame(rows[::order], "doc_id long, text string, fp long").repartition(3)
+        kept = sorted(map(tuple, simhash.keep_one(df).collect()), key=str)
+        assert kept == sorted([(1, a, 0), (5, b, 2), (3, c, 6), (None, "alone with no id", 7)], key=str)
+    assert simhash.keep_one(none(spark)).count() == 0
