@@ -4,7 +4,10 @@ Trees are grown on statistics of labelled texts; every path from a root is a rul
 comparisons. A logistic regression with an L1 penalty weighs the rules and drops most of them. Those that
 stay are compiled into Spark column expressions, so scoring a table is a projection over its statistics.
 
-Null and empty texts have statistics 0 and get a score as any other. Extra columns don't matter.
+Null and empty texts have statistics 0 and get a score as any other; repeated rows get equal scores; an empty table
+gives an empty result. Of a doc_id with two labels the lower one counts, and each of its rows is learnt from; null
+ids, and labels other than 0 and 1, are not learnt from. Only doc_id and text are read, extra columns stay as they are (names
+hf_* are this module's own).
 """
 
 from __future__ import annotations
@@ -89,22 +92,24 @@ def holds_flat(rule: Rule) -> Column:
     return whole
 
 
+def learnt_from(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
+    """(doc_id, label) of at most about `most` labelled rows that are not held out; of two labels the lower one."""
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    return bounded_sample(known, most, "doc_id")
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs. The model is fitted on at most about
     `most` labelled rows that are not held out; every row is scored, from its text alone."""
     measured = materialise(docs.select("doc_id", text_stats(F.col("text")).alias("stats")))
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")).dropDuplicates(["doc_id"])
-    known = bounded_sample(known, most, "doc_id")
-    model = fit_rules(materialise(measured.join(known, "doc_id")))
+    model = fit_rules(materialise(measured.join(learnt_from(labels, most), "doc_id")))
     return measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score("stats").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
     """docs without the rows whose score is under the threshold. Texts are measured once more, so the rows
     need no key."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")).dropDuplicates(["doc_id"])
-    known = bounded_sample(known, most, "doc_id")
-    sample = docs.select("doc_id", "text").join(known, "doc_id").select("label", text_stats(F.col("text")).alias("stats"))
+    sample = docs.select("doc_id", "text").join(learnt_from(labels, most), "doc_id").select("label", text_stats(F.col("text")).alias("stats"))
     model = fit_rules(materialise(sample))
     measured = docs.withColumn("hf_stats", text_stats(F.col("text")))
     return measured.where(model.score("hf_stats") >= THRESHOLD).drop("hf_stats")

@@ -57,6 +57,16 @@ def test_held_out_rows_are_never_learnt_from(spark):
     assert language.fit_languages(turned).languages == ["de", "en", "ru"]
 
 
+def test_all_trigrams_of_the_sample_count_and_clashing_columns_stay(spark):
+    rows = spark.createDataFrame([(i, "".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11, 5)), "en") for i in range(400)], "doc_id long, text string, lang string")
+    from holdfast.llm.common import held_out
+
+    texts = [r["text"] for r in rows.where(~held_out(rows["doc_id"])).collect()]
+    assert set(language.fit_languages(rows).gram) == {g for t in texts for g in language.grams(t)}
+    out = language.identify(rows.withColumnRenamed("lang", "Language"), language.fit_languages(rows))
+    assert out.columns == ["doc_id", "text", "Language_input", "language"]
+
+
 def test_odd_rows(spark):
     model = language.fit_languages(table(spark))
     for df in (docs(spark), none(spark)):

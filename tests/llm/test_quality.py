@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from holdfast.llm import quality
+from holdfast.llm import common, quality
 from holdfast.llm.stats import NAMES, measure, text_stats
 
 from .cases import docs, none
@@ -46,3 +46,13 @@ def test_odd_rows(spark):
         assert quality.keep_good(df, labels).columns == df.columns
     assert len(quality.score_quality(docs(spark), labels.limit(0)).collect()) == docs(spark).count()
     assert measure(b"") == [0.0] * len(NAMES) and len(measure(b"a b")) == len(NAMES)
+
+
+def test_of_two_labels_the_lower_counts(spark):
+    rows = table(spark)
+    both = rows.select("doc_id", "quality").union(rows.where("doc_id < 40").select("doc_id", F.lit(0)))
+    low = rows.select("doc_id", F.when(F.col("doc_id") < 40, 0).otherwise(F.col("quality")).cast("int").alias("quality"))
+    a, b, c = (sorted(map(tuple, quality.learnt_from(x).collect())) for x in (both, both.orderBy(F.desc("quality")), low))
+    assert a == b == c
+    assert 0.7 * 20 < common.bounded_sample(spark.range(100_000), 20, "id").count() < 1.5 * 20
+    assert common.bounded_sample(spark.range(2_000_000), 1, "id").count() < 8  # a share under one in a million isn't none
