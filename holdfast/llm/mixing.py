@@ -9,7 +9,11 @@
    is a column expression over them, so nothing is cached and no lineage grows.
 
 Null and empty texts have no token; they get a rate by their posterior and don't change any total. Domains
-without a labelled row have posterior 0. With no labelled row at all every rate is 1.
+without a labelled row have posterior 0. With no labelled row at all posteriors are alike and every document gets the same
+rate, so targets can't be met. Of a doc_id with two domains the first by name counts; rows that share a labelled id
+are all learnt from; null ids aren't. Repeated rows count as often as they occur and get equal rates (`resample` draws them
+alike). An empty table gives an empty result. Only doc_id, text and the columns in `keep` are read; names hf_* are
+this module's own, and columns tokens, posterior and rate in `keep` are kept as <name>_input.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_sample, materialise
+from .common import bounded_sample, materialise, set_aside
 from .stats import distinct_words, text_stats
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 MOST_LABELS = 8_000  # labelled rows that the classifier is fitted on
-LEXICON, LEAST_DOCS, LEAST_Z = 64, 5, 6.0  # words of a domain's lexicon at most; documents and z that a word needs
+LEAST_DOCS, LEAST_Z = 5, 6.0  # documents and z that a word of a domain's lexicon needs
 ROUNDS, STEP, ENOUGH = 60, 1.0, 1e-4
 
 #: Domains of the table `labels`, and the share of the token total that each is to have.
@@ -43,15 +47,15 @@ def label_domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "clean")
 
 
-def learn_lexicons(rows: DataFrame, domains: list[str], size: int = LEXICON) -> dict[str, list[str]]:
-    """For each domain the words that its documents have most surely more often than the others (by the z of
-    the two shares). rows: (domain, text). The driver gets at most `size` words a domain."""
+def learn_lexicons(rows: DataFrame, domains: list[str]) -> dict[str, list[str]]:
+    """For each domain all words that its documents surely have more often than the others (by the z of the two
+    shares). rows: (domain, text), a bounded sample, which bounds what the driver gets."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, seen = [], []
             for domain, raw in zip(batch.column("domain").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = [w for w in distinct_words(raw or b"") if 2 < len(w) <= 40]
+                own = distinct_words(raw or b"") - {b""}
                 names += [domain] * len(own)
                 seen += own
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seen, pa.binary())], names=["domain", "word"])
@@ -67,7 +71,7 @@ def learn_lexicons(rows: DataFrame, domains: list[str], size: int = LEXICON) ->
         others = sum((F.col(f"d{j}") for j in range(len(domains)) if j != i), F.lit(0))
         both = (F.col(f"d{i}") + others) / (own + rest)
         z = (F.col(f"d{i}") / own - others / rest) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / own + 1 / rest))
-        found[d] = [bytes(r[0]).decode("utf-8", "ignore") for r in seen.where(z >= LEAST_Z).orderBy(z.desc(), "word").limit(size).select("word").collect()]
+        found[d] = [bytes(r[0]).decode("utf-8", "ignore") for r in seen.where(z >= LEAST_Z).orderBy("word").select("word").collect()]
     return {d: [w for w in ws if w] for d, ws in found.items() if ws}
 
 
@@ -79,7 +83,7 @@ def n_tokens(docs: DataFrame) -> Column:
 def domain_posteriors(docs: DataFrame, known: DataFrame, domains: list[str], keep: list[str], most: int = MOST_LABELS) -> DataFrame:
     """keep, tokens and posterior (array in the order of domains) of every row. known: (doc_id, domain); at
     most about `most` of its rows are learnt from."""
-    known = known.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("hf_id"), "domain").dropDuplicates(["hf_id"])
+    known = known.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("hf_id")).agg(F.min("domain").alias("domain"))
     known = bounded_sample(known, most, "hf_id")
     rows = materialise(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("hf_id")).select("domain", "text"))
     lexicons = learn_lexicons(rows, domains)
@@ -126,19 +130,24 @@ def boxed(r: Column, cap: float | None) -> Column:
     return F.greatest(F.lit(0.0), r if cap is None else F.least(F.lit(cap), r))
 
 
-def fit_rates(documents: DataFrame, shares: list[float], cap: float | None = None, rounds: int = ROUNDS, step: float = STEP, enough: float = ENOUGH) -> tuple[list[list[float]], list[float]]:
-    """Gradients of all rounds, and the totals reached as shares. documents: tokens and posterior. The target
-    of a domain is its share of the token total. Documents with like posteriors have like rates, so they are
-    first summed by posterior, rounded to 1/512: every round runs over those sums."""
+def fit_rates(documents: DataFrame, shares: list[float], cap: float | None = None, rounds: int = ROUNDS, step: float = STEP, enough: float = ENOUGH, grid: int | None = None) -> tuple[list[list[float]], list[float]]:
+    """Gradients of all rounds, and the totals reached as shares. documents: tokens and posterior. The target of a
+    domain is its share of the token total. Every round is one aggregate over all documents. With `grid`, documents
+    are first summed by their posterior rounded to 1 / grid, and rounds run over those sums: faster, but the totals
+    are then met only as closely as the rounding lets them."""
     d = len(shares)
-    grid = F.transform("posterior", lambda x: F.round(x * 512).cast("int"))
-    cells = documents.groupBy(grid.alias("cell")).agg(F.sum("tokens").alias("tokens"), *[F.sum(F.col("tokens") * F.get("posterior", F.lit(i))).alias(f"m{i}") for i in range(d)]).where("tokens > 0")
-    cells = materialise(cells.select("tokens", F.array(*[F.col(f"m{i}") / F.col("tokens") for i in range(d)]).alias("p"))).coalesce(8)
+    cells = documents.where("tokens > 0")
+    if grid:
+        cell = F.transform("posterior", lambda x: F.round(x * grid).cast("int"))
+        cells = cells.groupBy(cell.alias("cell")).agg(F.sum("tokens").alias("tokens"), *[F.sum(F.col("tokens") * F.get("posterior", F.lit(i))).alias(f"m{i}") for i in range(d)])
+        cells = cells.select("tokens", F.array(*[F.col(f"m{i}") / F.col("tokens") for i in range(d)]).alias("posterior"))
+        cells = materialise(cells)
+    cells = cells.select("tokens", F.col("posterior").alias("p"))
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
         return [], []
     target, gradients, first = np.array(shares), [], None
-    moving = materialise(cells.withColumns({"r": F.lit(1.0), "y": F.lit(1.0)}))
+    moving = cells.withColumns({"r": F.lit(1.0), "y": F.lit(1.0)})
     sums = [F.sum(F.col(at) * F.col("tokens") * F.get("p", F.lit(j))) / total for at in ("r", "y") for j in range(d)]
     for i in range(rounds + 1):
         both = np.array(list(moving.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()))
@@ -160,7 +169,8 @@ def mix(docs: DataFrame, known: DataFrame, targets: dict[str, float] = TARGETS,
     are logged as a warning, with the shares that the rows reach."""
     domains = sorted(targets)
     whole = sum(targets.values())
-    scored = domain_posteriors(docs, known, domains, list(keep))
+    aside = set_aside(docs, "tokens", "posterior", "rate")
+    scored = domain_posteriors(aside, known, domains, [aside.columns[docs.columns.index(k)] for k in keep])
     shares = [targets[d] / whole for d in domains]
     gradients, _ = fit_rates(scored, shares, cap)
     mixed = scored.withColumn("rate", rate(F.col("posterior"), gradients, cap=cap))
