@@ -9,14 +9,16 @@
    of its instances' scores, each as often as it occurs, over the number of times that the pattern occurs: for patterns of
    words alone anywhere in the corpus, whatever piece stands there; for those with a shape or spelling among
    instances. It needs seeds with at least three different texts. Copies count on both sides, and both sides grow alike,
-   so a corpus that is ten times as large gives the same confidence. An instance that is no seed scores as its best
-   pattern. A few rounds spread scores from seeds to patterns, to new instances and on to further patterns.
+   so a corpus that is ten times as large gives the same confidence. Only patterns with a high confidence count. An
+   instance that is no seed scores as its best pattern. A few rounds spread scores from seeds to patterns, to new
+   instances and on to further patterns.
 4. Instances with a high score are found wherever they occur, with the kind of the pattern's seeds. A long key is
    reported only so: because of where it stands, or how it begins, never for its looks alone.
 
-How often words occur in the corpus is counted exactly, by the 64-bit hash of the pattern. Only patterns of at least three
-different instances are counted: before the shuffle their hashes pass through a bitmap of 2^20 bits (what the driver
-gets and sends at most), after it they are joined in full. Positions are code points, end exclusive. Null texts count
+How often words occur in the corpus is counted exactly, by the 64-bit hash of the pattern, for patterns of at least three
+different instances that can still reach a high confidence: a pattern that some of the texts already show too often for
+that is given up, so common words are counted over a few of the texts only. Before the shuffle hashes pass through a
+bitmap of 2^20 bits (what the driver gets and sends at most), after it they are joined in full. Positions are code points, end exclusive. Null texts count
 as empty, without spans. Rows are told apart by doc_id and a hash of the text, so rows that share an id, or have none,
 keep their own spans; rows repeated in full get the same. An empty table gives an empty result. Other columns are
 not read; `redact` keeps them (columns named hf_* are its own). The regular expressions are possessive and begin only
@@ -54,6 +56,7 @@ HEAD, TAIL = r"^[^A-Za-z0-9+@]++", r"[^A-Za-z0-9+@]++$"
 KEY = r"^(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^A-Za-z]*+[A-Za-z]){3})[A-Za-z0-9_+/-]{20,}$"
 
 ROUNDS, ACCEPT, LEAST_SEEDS = 3, 0.6, 3
+SHARES = (1, 16, 256)  # of 256 parts of the texts: those that patterns are counted over, in turn
 BITS = 14  # the bitmap has 2^BITS words of 64 bits
 
 
@@ -169,37 +172,48 @@ def bitmap(patterns: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(1 << BITS))), ",").cast("array<bigint>")
 
 
-def context_counts(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """(pattern, total): how often each pattern of words alone occurs around a piece of any kind in all texts. A task
-    sums its own before they are shuffled."""
+def context_counts(docs: DataFrame, patterns: DataFrame, text: str = "text", share: int = SHARES[-1]) -> DataFrame:
+    """(pattern, total): how often each pattern of words alone occurs around a piece of any kind, in `share` of 256 parts
+    of the texts. A task sums its own before they are shuffled."""
     bits = bitmap(patterns)
-    words = docs.select(pieces(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("w"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    docs = docs if share == SHARES[-1] else docs.where(F.pmod(F.xxhash64(body), F.lit(SHARES[-1])) < share)
+    words = docs.select(pieces(body).alias("w"))
     one = lambda w, i: F.array(*before_after(w, F.get("w", i + 1), F.get("w", i + 2)))
     every = F.flatten(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), one))
     wanted = F.filter(every, lambda h: F.call_function("shiftright", F.get(bits, F.shiftright(h, 6).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return words.select(F.explode(wanted).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
 
 
+def corpus_totals(docs: DataFrame, sums: DataFrame, text: str = "text") -> DataFrame:
+    """(pattern, total) of the patterns that occur at most n / ACCEPT times in the corpus. sums: pattern, n (how often
+    instances stand there). A pattern over that in some of the texts is over it in all of them."""
+    for share in SHARES:
+        found = sums.join(context_counts(docs, sums, text, share), "pattern", "left")
+        kept = materialise(found.select("pattern", "n", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total")).where(F.col("n") >= ACCEPT * F.col("total")))
+        sums = kept.select("pattern", "n")
+    return kept.select("pattern", "total")
+
+
 def bootstrap(tokens: DataFrame, docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind, score) of instances that score at least ACCEPT and are no seeds, or only by their looks."""
+    """(instance, kind, score) of instances that patterns with a confidence of ACCEPT or more give away, and that are no
+    seeds, or only by their looks."""
     each = tokens.select("instance", "copies", "seed", F.explode("patterns").alias("pattern"))
     pairs = materialise(each.groupBy("pattern", "instance").agg(F.sum("copies").alias("n"), F.max("seed").alias("seed")))
     sums = materialise(pairs.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_SEEDS))
-    known = sums.join(context_counts(docs, sums, text), "pattern", "left").select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).alias("total"))
-    edges = materialise(pairs.drop("seed").join(known, "pattern"))
+    edges = materialise(pairs.drop("seed").join(corpus_totals(docs, sums, text), "pattern"))
     seeds = tokens.where(F.col("seed").isNotNull()).groupBy("instance").agg(F.max(F.struct(F.col("seed") != SECRET, "seed")).alias("s"))
     seeds = materialise(seeds.select("instance", F.col("s.seed").alias("kind"), F.lit(1.0).alias("score")))
     scores = seeds
     for _ in range(rounds):
         scored = edges.join(scores, "instance")
-        mass = scored.groupBy("pattern", "kind", "total").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("support"))
+        mass = scored.groupBy("pattern", "kind", "total").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.count("*").alias("support"))
         best = mass.groupBy("pattern", "total").agg(F.max(F.struct("mass", "kind")).alias("best"), F.sum("support").alias("support"))
-        sure = best.where(F.col("support") >= LEAST_SEEDS).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.mass") / F.col("total")).alias("conf"))
+        sure = best.where(F.col("support") >= LEAST_SEEDS).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.mass") / F.col("total")).alias("conf")).where(F.col("conf") >= ACCEPT)
         found = materialise(edges.join(sure, "pattern").groupBy("instance").agg(F.max(F.struct("conf", "kind")).alias("best")).select("instance", F.col("best.kind").alias("kind"), F.col("best.conf").alias("score")))
         scores = seeds.unionByName(found.join(seeds, "instance", "left_anti"))
     by_looks = seeds.where(F.col("kind") == SECRET).select("instance")
-    new = found.where(F.col("score") >= ACCEPT)
-    return new.join(seeds, "instance", "left_anti").unionByName(new.where(F.col("kind") == SECRET).join(by_looks, "instance", "left_semi"))
+    return found.join(seeds, "instance", "left_anti").unionByName(found.where(F.col("kind") == SECRET).join(by_looks, "instance", "left_semi"))
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

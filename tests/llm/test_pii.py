@@ -105,16 +105,15 @@ def slow(texts, rounds=pii.ROUNDS):
             for i, c in x.items():
                 if i in scores:
                     mass[scores[i][1]] += scores[i][0] * c
-                    support += scores[i][0] >= pii.ACCEPT
-            if support >= pii.LEAST_SEEDS:
-                most, kind = max((m, k) for k, m in mass.items())
-                sure[p] = (most / total[p], kind)
+                    support += 1
+            if support >= pii.LEAST_SEEDS and (best := max((m, k) for k, m in mass.items()))[0] >= pii.ACCEPT * total[p]:
+                sure[p] = (best[0] / total[p], best[1])
         found = {}
         for p, s in sure.items():
             for i in edges[p]:
                 found[i] = max(found.get(i, (0, "")), s)
         scores = {**found, **{i: (1.0, k) for i, k in seeds.items()}}
-    return {i: s for i, s in found.items() if s[0] >= pii.ACCEPT and (i not in seeds or seeds[i] == s[1] == "secret")}
+    return {i: s for i, s in found.items() if i not in seeds or seeds[i] == s[1] == "secret"}
 
 
 def made(seed=3, n=120):
@@ -123,7 +122,7 @@ def made(seed=3, n=120):
     word = lambda: rnd.choice("the of and river house light with this".split())
     key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.choice((8, 24, 40))))
     makes = [
-        lambda: f"call me at +1974555{rnd.randrange(1000, 1040)} now", lambda: f"call me at {rnd.randrange(10**6, 10**6 + 30)} now", lambda: f"Password={key()} {word()}", lambda: f'token = "{key()}" {word()}',
+        lambda: f"call me at +1974555{rnd.randrange(1000, 1040)} now", lambda: f"call me at +1974555{rnd.randrange(1000, 1040)} now", lambda: f"call me at {rnd.randrange(10**6, 10**6 + 30)} now", lambda: f"Password={key()} {word()}", lambda: f'token = "{key()}" {word()}',
         lambda: f"mail {word()}{rnd.randrange(9)}@x{rnd.randrange(3)}.org please", lambda: f"mail {word()} at x{rnd.randrange(300)} please", lambda: f"version {rnd.randrange(100, 400)} of {word()}", lambda: f"IDKQ{rnd.randrange(10**16)} {word()}",
     ]
     return [" ".join(rnd.choice(makes)() if rnd.random() < 0.4 else word() for _ in range(12)) for _ in range(n)]
