@@ -37,8 +37,8 @@ from . import bpe
 from .common import materialise, set_aside
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-PART = 16 << 20  # tokens of a part at most, but for a single longer text
-STEP = 2 << 20  # tokens that are counted or scored at once
+PART = 6 << 20  # tokens of a part at most, but for a single longer text
+STEP = 1 << 19  # tokens that are counted or scored at once
 FIELDS = "n_tokens long, target double, background double, difference double"
 
 
