@@ -17,7 +17,6 @@ kept as `ids_input` (`decoded_input`); columns named hf_* are this module's own.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from .common import set_aside
 
 CHUNK, OVERLAP, MARGIN = 16_384, 1_024, 16
 CACHED = 300_000  # pre-tokens whose ids a worker keeps
-LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+LONG_RUN = 1_000  # characters
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
@@ -124,7 +123,8 @@ _libraries: dict[tuple, tiktoken.Encoding] = {}
 def token_ids(source: tuple[str, str], text: str) -> list[int]:
     """The ids that bpe_encode gives a text, for operators that need tokens as a unit: by the library, which is faster;
     texts with very long runs, for which it takes quadratic time, by the merger here."""
-    if LONG_RUN.search(text):
+    words = text.split()
+    if max(map(len, words), default=0) >= LONG_RUN or len(text) - sum(map(len, words)) - len(words) >= LONG_RUN:
         merger, matcher, _ = _merger(source)
         return np.frombuffer(b"".join(map(merger.__getitem__, matcher.findall(text))), "<u4").tolist()
     if source not in _libraries:
