@@ -5,6 +5,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from holdfast.llm import warc
+from holdfast.llm.common import materialise
 
 BIG = "<p>same</p>" * 20
 ROWS = [(3, "http://a/é b", BIG), (1, "http://b", BIG), (2, None, BIG), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", "x" * 100), (9, "u", "x" * 99), (10, "u", "x" * 99),
@@ -34,6 +35,7 @@ def test_round_trip(spark, sizes):
 
 def test_frames_are_independent_and_the_bundle_is_plain_zstandard(spark):
     bundles, _ = run(spark, ROWS, frame=500, bundle=10_000)
+    seen = []
     for r in bundles.collect():
         blob = bytes(r["warc_zst"])
         places = warc.read_seek_table(blob)
@@ -42,7 +44,32 @@ def test_frames_are_independent_and_the_bundle_is_plain_zstandard(spark):
         assert whole == b"".join(frames) and r["n_records"] == len(r["index"])
         for e in r["index"]:
             head, _, end = warc.parse_record(frames[e["frame"]], e["offset"])
-            assert end - e["offset"] == e["length"] and head["WARC-Record-ID"] == f"<urn:page:{'' if e['page_id'] is None else e['page_id']}>"
+            assert end - e["offset"] == e["length"] and head.get("Page-ID") == (None if e["page_id"] is None else str(e["page_id"]))
+            assert head["WARC-Date"].endswith("Z") and head["WARC-Record-ID"].startswith("<urn:uuid:")
+            seen.append(head["WARC-Record-ID"])
+            if head["WARC-Type"] == "revisit":
+                assert head["WARC-Refers-To-Target-URI"] in ("http://b", "v") and head["Refers-To-Page-ID"] in ("1", "11")
+    assert len(set(seen)) == len(seen) == len(ROWS)
+
+
+def test_fetch_reads_the_frames_of_its_pages_only(spark):
+    bundles, _ = run(spark, ROWS, frame=500, bundle=10_000)
+    bundles = materialise(bundles)
+    index = warc.index_of(bundles)
+    assert index.count() == len(ROWS)
+    places = {(r["bundle_id"], r["frame"]) for r in index.where("page_id in (2, 9, 12)").collect()}
+    broken = []
+    for r in bundles.collect():
+        blob = bytearray(r["warc_zst"])
+        for i, (at, size) in enumerate(warc.read_seek_table(bytes(blob))):
+            if (r["bundle_id"], i) not in places:
+                blob[at : at + size] = bytes(size)  # a read of any other frame would fail
+        broken.append((r["bundle_id"], bytes(blob)))
+    broken = spark.createDataFrame(broken, "bundle_id string, warc_zst binary")
+    got = warc.fetch(broken, index, spark.createDataFrame([(2,), (9,), (12,), (9,), (77,)], "page_id long")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in got) == [(2, "revisit", 1, None), (9, "response", None, b"x" * 99), (12, "revisit", 11, None)]
+    with pytest.raises(Exception):  # noqa: B017
+        warc.fetch(broken, index, spark.createDataFrame([(1,), (3,), (4,), (11,)], "page_id long")).collect()
 
 
 def test_no_rows_and_damage(spark):
