@@ -27,10 +27,10 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import set_aside
+from .common import by_slices, set_aside
 
 CHUNK, OVERLAP, MARGIN = 16_384, 1_024, 16
-CACHED = 300_000  # pre-tokens whose ids a worker keeps
+CACHED = 200_000  # pre-tokens whose ids a worker keeps
 LONG_RUN = 1_000  # characters
 
 
@@ -120,11 +120,16 @@ def _ranks(source: tuple[str, str]) -> dict[bytes, int]:
 _libraries: dict[tuple, tiktoken.Encoding] = {}
 
 
-def token_ids(source: tuple[str, str], text: str) -> list[int]:
+def longest_run(text: str) -> int:
+    """A bound of the longest run of white space, or of none, in a text."""
+    words = text.split()
+    return max(max(map(len, words), default=0), len(text) - sum(map(len, words)) - len(words))
+
+
+def token_ids(source: tuple[str, str], text: str, longest: int) -> list[int]:
     """The ids that bpe_encode gives a text, for operators that need tokens as a unit: by the library, which is faster;
     texts with very long runs, for which it takes quadratic time, by the merger here."""
-    words = text.split()
-    if max(map(len, words), default=0) >= LONG_RUN or len(text) - sum(map(len, words)) - len(words) >= LONG_RUN:
+    if longest >= LONG_RUN:
         merger, matcher, _ = _merger(source)
         return np.frombuffer(b"".join(map(merger.__getitem__, matcher.findall(text))), "<u4").tolist()
     if source not in _libraries:
@@ -142,25 +147,15 @@ def _encode(source: tuple[str, str]):
     @F.arrow_udf("binary")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         merger, matcher, _ = _merger(source)
-        for texts, starts, ends in batches:
-            yield pa.array(
-                (b"".join(map(merger.__getitem__, matcher.findall((t or "")[a:b]))) for t, a, b in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)),
-                pa.binary(),
-            )
 
-    return run
+        def make(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+            rows = zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)
+            return pa.array([b"".join(map(merger.__getitem__, matcher.findall((t or "")[a:b]))) for t, a, b in rows], pa.binary())
 
+        for batch in batches:
+            yield by_slices(make, *batch)
 
-def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> Column:
-    """The number of ids that bpe_encode gives each text of docs, by one scan over the whole text."""
-    source = shipped(docs, ranks_path, pattern)
-
-    @F.arrow_udf("long")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array((len(token_ids(source, t or "")) for t in texts.to_pylist()), pa.int64())
-
-    return run(F.col(text).cast("string"))
+    return run
 
 
 def _edges(source: tuple[str, str], overlap: int):
@@ -237,8 +232,8 @@ def bpe_decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = _merger(source)[2].__getitem__
-        for packed in batches:
-            yield pa.array((None if p is None else b"".join(map(token, np.frombuffer(p, "<u4").tolist())) for p in packed.to_pylist()), pa.binary())
+        for batch in batches:
+            yield by_slices(lambda packed: pa.array([None if p is None else b"".join(map(token, np.frombuffer(p, "<u4").tolist())) for p in packed.to_pylist()], pa.binary()), batch)
 
     return docs.withColumn(decoded, run(F.col(ids)))
 

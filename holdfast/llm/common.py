@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["bounded_sample", "held_out", "materialise", "row_key", "set_aside", "shared_dir", "table"]
+__all__ = ["bounded_sample", "by_slices", "held_out", "materialise", "row_key", "set_aside", "shared_dir", "small_batches", "table"]
 FOLDS = 5
 
 
@@ -46,3 +50,20 @@ def set_aside(docs: DataFrame, *names: str) -> DataFrame:
 def row_key(doc_id: Column, text: Column) -> Column:
     """A second key beside doc_id, so that rows which share an id but not a text stay apart."""
     return F.xxhash64(doc_id, text)
+
+
+def by_slices(make: Callable[..., pa.Array], *columns: pa.Array, size: int = 500) -> pa.Array:
+    """make over slices of a batch, put together again: few of a batch's values are Python objects at a time."""
+    return pa.concat_arrays([make(*[c.slice(i, size) for c in columns]) for i in range(0, max(1, len(columns[0])), size)])
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Arrow batches of `rows` rows for what is computed inside, where whole texts stand in them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

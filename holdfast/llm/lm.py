@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import materialise, set_aside
+from .common import by_slices, materialise, set_aside, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PART = 6 << 20  # tokens of a part at most, but for a single longer text
@@ -49,8 +49,8 @@ def packed_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for texts in batches:
-            yield pa.array((squeeze(planes(bpe.token_ids(source, t or ""))) for t in texts.to_pylist()), pa.binary())
+        for batch in batches:
+            yield by_slices(lambda texts: pa.array([squeeze(planes(bpe.token_ids(source, t or "", bpe.longest_run(t or "")))) for t in texts.to_pylist()], pa.binary()), batch)
 
     return run(F.col(text).cast("string"))
 
@@ -207,7 +207,8 @@ def cross_entropy_difference(
     ids = target_ids.select(F.col(doc_id).alias("hf_good")).where("hf_good is not null").distinct()
     named = rows.where("hf_id is not null").join(ids.hint("shuffle_hash"), F.col("hf_id") == F.col("hf_good"), "left")  # the ids grow with the corpus: one plan at every size
     marked = named.withColumn("hf_target", F.col("hf_good").isNotNull()).drop("hf_good").unionByName(rows.where("hf_id is null").withColumn("hf_target", F.lit(False)))
-    parts = materialise(count_parts(marked, keep, edge, part))
+    with small_batches(docs.sparkSession):
+        parts = materialise(count_parts(marked, keep, edge, part))
     grams = parts.where("hf_gram is not null").select("hf_part", "hf_gram", "hf_t", "hf_b")
     model = log_probabilities(grams, edge + 1)
     answers = grams.select(F.col("hf_part").alias("hf_of"), "hf_gram").join(model, "hf_gram")

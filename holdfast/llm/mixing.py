@@ -19,7 +19,7 @@ this module's own, and columns tokens, posterior and rate in `keep` are kept as
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_sample, materialise, set_aside
+from .common import bounded_sample, materialise, set_aside, small_batches
 from .stats import distinct_words, text_stats
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -55,7 +55,7 @@ def learn_lexicons(rows: DataFrame, domains: list[str]) -> dict[str, list[str]]:
         for batch in batches:
             names, seen = [], []
             for domain, raw in zip(batch.column("domain").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = distinct_words(raw or b"") - {b""}
+                own = distinct_words((raw or b"").split()) - {b""}
                 names += [domain] * len(own)
                 seen += own
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seen, pa.binary())], names=["domain", "word"])
@@ -75,9 +75,10 @@ def learn_lexicons(rows: DataFrame, domains: list[str]) -> dict[str, list[str]]:
     return {d: [w for w in ws if w] for d, ws in found.items() if ws}
 
 
-def n_tokens(docs: DataFrame) -> Column:
-    """Tokens of each text of docs: the number of its byte-level BPE ids."""
-    return bpe.count_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).cast("double")
+def token_counter(docs: DataFrame) -> Callable[[str, int], int]:
+    """Tokens of a text: the number of its byte-level BPE ids."""
+    source = bpe.shipped(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return lambda text, longest: len(bpe.token_ids(source, text, longest))
 
 
 def domain_posteriors(docs: DataFrame, known: DataFrame, domains: list[str], keep: list[str], most: int = MOST_LABELS) -> DataFrame:
@@ -87,16 +88,18 @@ def domain_posteriors(docs: DataFrame, known: DataFrame, domains: list[str], kee
     known = bounded_sample(known, most, "hf_id")
     rows = materialise(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("hf_id")).select("domain", "text"))
     lexicons = learn_lexicons(rows, domains)
-    measure = text_stats(F.col("text"), {f"d{domains.index(d)}": w for d, w in lexicons.items()})
+    named = {f"d{domains.index(d)}": w for d, w in lexicons.items()}
+    measure = text_stats(F.col("text"), named)
     place = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
     train = materialise(rows.select(place.cast("double").alias("label"), measure.alias("stats"))).coalesce(4)
     names = train.schema["stats"].dataType.names
     seen = [r[0] for r in train.select("label").distinct().collect()]
     flat = lambda df, *more: VectorAssembler(inputCols=[f"stats.{n}" for n in names], outputCol="features").transform(df)
-    measured = docs.select(*keep, n_tokens(docs).alias("tokens"), measure.alias("stats"))
+    measured = docs.select(*keep, text_stats(F.col("text"), named, token_counter(docs)).alias("stats")).select(*keep, F.col("stats.tokens").alias("tokens"), "stats")
     if len(seen) < 2:
         alone = F.array(*[F.lit(1.0 if i in seen else 0.0 if seen else 1.0 / len(domains)) for i in range(len(domains))])
-        return materialise(measured.select(*keep, "tokens", alone.alias("posterior")))
+        with small_batches(docs.sparkSession):
+            return materialise(measured.select(*keep, "tokens", alone.alias("posterior")))
     train = train.select("label", *[F.col(f"stats.{n}").alias(n) for n in names])
     model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60).fit(VectorAssembler(inputCols=names, outputCol="features").transform(train))
     apart = measured.select(*keep, "tokens", *[F.col(f"stats.{n}").alias(f"hf_{n}") for n in names])
@@ -104,7 +107,8 @@ def domain_posteriors(docs: DataFrame, known: DataFrame, domains: list[str], kee
     model.setFeaturesCol("hf_features").setProbabilityCol("hf_p").setRawPredictionCol("hf_raw").setPredictionCol("hf_label")
     p = vector_to_array("hf_p")
     whole = F.array(*[F.get(p, F.lit(i)) if i < model.numClasses else F.lit(0.0) for i in range(len(domains))])
-    return materialise(model.transform(scored).select(*keep, "tokens", whole.alias("posterior")))
+    with small_batches(docs.sparkSession):
+        return materialise(model.transform(scored).select(*keep, "tokens", whole.alias("posterior")))
 
 
 def rate(posterior: Column, gradients: list[list[float]], step: float = STEP, cap: float | None = None) -> Column:

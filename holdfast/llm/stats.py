@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,36 +30,44 @@ CLASSES = np.stack([
 
 def measure(raw: bytes) -> list[float]:
     """The statistics in the order of NAMES; of an empty text all are 0."""
+    words = raw.split()
+    return measured(raw, words, Counter(words), np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def measured(raw: bytes, words: list[bytes], counts: Counter, lengths: np.ndarray) -> list[float]:
     if not raw:
         return [0.0] * len(NAMES)
     n = len(raw)
     shares = (np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ CLASSES / n).tolist()
-    words = raw.split()
     k = max(1, len(words))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    counts = Counter(words)
-    lengths = np.fromiter(map(len, words), np.int32, len(words))
     return [
         np.log1p(n), np.log1p(len(words)), float(lengths.sum()) / k, float((lengths > 15).sum()) / k, len(counts) / k, max(counts.values(), default=0) / k,
         sum(map(bytes.__eq__, words, words[1:])) / k, np.log1p(len(lines)), len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)), *shares,
     ]
 
 
-def text_stats(text: Column, lexicons: dict[str, list[str]] | None = None) -> Column:
+def text_stats(text: Column, lexicons: dict[str, list[str]] | None = None, count: Callable[[str, int], int] | None = None) -> Column:
     """Struct column of the statistics. lexicons: name to lower-case words; for each, hits_<name> is the
-    logarithm of 1 plus the number of the text's distinct words that it has, without punctuation at their ends."""
+    logarithm of 1 plus the number of the text's distinct words that it has, without punctuation at their ends. count: what
+    the field `tokens` is to have, from the text and a bound of the longest run in it, of white space or of none."""
     lexicons = {k: frozenset(w.encode() for w in v) for k, v in (lexicons or {}).items()}
-    names = [*NAMES, *(f"hits_{k}" for k in lexicons)]
+    names = [*NAMES, *(f"hits_{k}" for k in lexicons), *(["tokens"] if count else [])]
 
     @F.arrow_udf(f"struct<{','.join(f'{n}:double' for n in names)}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = []
-            for raw in texts.cast(pa.binary()).to_pylist():
-                row = measure(raw or b"")
+            for raw in (x for at in range(0, len(texts), 500) for x in texts.slice(at, 500).cast(pa.binary()).to_pylist()):
+                raw = raw or b""
+                words = raw.split()
+                counts, lengths = Counter(words), np.fromiter(map(len, words), np.int64, len(words))
+                row = measured(raw, words, counts, lengths)
                 if lexicons:
-                    seen = distinct_words(raw or b"")
+                    seen = distinct_words(counts)
                     row += [float(np.log1p(len(seen & v))) for v in lexicons.values()]
+                if count:
+                    row.append(float(count(raw.decode(), max(int(lengths.max(initial=0)), len(raw) - int(lengths.sum()) - len(words)))))
                 rows.append(row)
             table = np.array(rows, float).reshape(len(rows), len(names))
             yield pa.StructArray.from_arrays([pa.array(table[:, i]) for i in range(len(names))], names=names)
@@ -70,5 +78,6 @@ def text_stats(text: Column, lexicons: dict[str, list[str]] | None = None) -> Co
 PUNCTUATION = b".,;:!?\"'()[]{}<>|*#$%&-"
 
 
-def distinct_words(raw: bytes) -> set[bytes]:
-    return {w.strip(PUNCTUATION) for w in raw.lower().split()}
+def distinct_words(words: Iterable[bytes]) -> set[bytes]:
+    """In lower case, without punctuation at their ends."""
+    return {w.lower().strip(PUNCTUATION) for w in words}

@@ -27,7 +27,9 @@ def test_merges_equal_the_library(library):
 def test_equals_the_library(spark, library, chunk, overlap):
     coded = bpe.bpe_encode(docs(spark), PATH, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
     got = bpe.bpe_decode(coded, PATH).withColumn("ids", bpe.ids_array(F.col("ids"))).collect()
-    assert len(got) == len(TEXTS) + 3
+    assert len(got) == len(TEXTS) + 3 and {r["ids_input"] for r in got} == {"x", None}  # a column ids that was there
+    again = bpe.bpe_decode(coded.select("ids", F.lit(3).alias("Decoded")), PATH)
+    assert again.columns == ["ids", "Decoded_input", "decoded"]
     for r in got:
         assert r["ids"] == library.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]).decode() == (r["text"] or "")

@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from holdfast.llm import bpe, mixing
+from holdfast.llm.stats import text_stats
 
 from .cases import docs, none
 
@@ -63,7 +64,7 @@ def test_tokens_are_ids_and_missed_targets_are_told(spark, caplog):
     df = docs(spark).select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     ranks = public_tokenizers.path(mixing.RANKS)
     coded = bpe.bpe_encode(df, ranks, public_tokenizers.PATTERN)
-    both = coded.select(mixing.n_tokens(coded).alias("tokens"), F.octet_length("ids").alias("n")).collect()
+    both = coded.select(text_stats(F.col("text"), None, mixing.token_counter(coded))["tokens"].alias("tokens"), F.octet_length("ids").alias("n")).collect()
     assert len(both) == df.count() and all(r["tokens"] == r["n"] / 4 for r in both)
     rows = table(spark)
     mixing.mix(rows.drop("domain"), rows.select("doc_id", "domain"), {"clean": 0.95, "toxic": 0.05}, cap=1.0)
