@@ -6,7 +6,8 @@ sequence of universal hashes reaches first among those that are not empty. Each
 value is mixed with the bin's number, so that bins filled from one source agree by chance independently, and
 the lowest 4 bits are stored, 128 bytes in all. Two bins agree by chance once in 16 times, for which likeness is corrected.
 
-Equal texts have equal fingerprints. Null texts count as empty; two empty texts have likeness 1.
+Equal texts have equal fingerprints. Null texts count as empty; two empty texts have likeness 1. Repeated rows are
+documents of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -127,31 +128,40 @@ def likeness_column(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+SPLIT = 64  # buckets of an id, or of null ids, that very many rows share
+
+
 def in_descending_order(docs: DataFrame, doc_id: str = "doc_id", buckets: int | None = None) -> DataFrame:
-    """docs(doc_id, text) in buckets of an id range each, for a scan in descending order of doc_id. Besides its
-    own rows a bucket has, marked by hf_ahead, the first row of the bucket that follows (of the last: the first
-    of all). Null ids come last. Bucket bounds are quantiles of all ids; texts are shuffled once."""
+    """docs(doc_id, text) in buckets of an id range each, for a scan in descending order of doc_id, null ids last, ties by
+    the text's hash and the text. Besides its own rows a bucket has, marked by hf_ahead, the first row of the bucket that
+    follows (of the last: the first of all). Bucket bounds are quantiles of all ids; an id of more rows than two buckets
+    should have is a bucket range of its own, split by the text's hash (only rows repeated in full stay together). Texts
+    are shuffled once."""
     ids = docs.select(F.col(doc_id).alias("doc_id"))
-    spread = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = buckets or spread
-    bounds = sorted(set(ids.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    bounds = bounds or [0.0]
-    splits = [-float("inf"), *bounds, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="hf_id", outputCol="hf_bucket")
+    n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = ids.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = ids.count()
+    heavy = [r[0] for r in counts.where(F.col("n") > max(2 * rows // n, SPLIT)).select("doc_id").collect()]  # n / 2 ids at most
+    bounds = set(ids.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))) if n > 1 else set()
+    bounds |= {float(i + d) for i in heavy if i is not None for d in (0, 1)}
+    cut = Bucketizer(splits=[-float("inf"), *sorted(bounds or {0.0}), float("inf")], inputCol="hf_id", outputCol="hf_range")
 
     def bucketed(df: DataFrame) -> DataFrame:
-        df = cut.transform(df.withColumn("hf_id", F.coalesce(F.col(doc_id).cast("double"), F.lit(0.0))))
-        return df.withColumn("hf_bucket", F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(F.col("hf_bucket").cast("int"))).drop("hf_id")
-
-    tops = {r[0]: r[1] for r in bucketed(ids.withColumnRenamed("doc_id", doc_id)).groupBy("hf_bucket").agg(F.max(doc_id)).collect()}  # a row for each bucket
+        df = cut.transform(df.withColumn("hf_id", F.coalesce(F.col(doc_id).cast("double"), F.lit(0.0)))).withColumn("hf_hash", F.xxhash64("text"))
+        many = F.col(doc_id).isin([i for i in heavy if i is not None]) | F.lit(None in heavy) & F.col(doc_id).isNull()
+        part = F.when(F.coalesce(many, F.lit(False)), F.floor((F.shiftright("hf_hash", 44) + (1 << 19)) * SPLIT / (1 << 20))).otherwise(0)
+        place = F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(F.col("hf_range").cast("int"))
+        return df.withColumn("hf_bucket", ((place + 1) * SPLIT - part).cast("int")).drop("hf_id", "hf_range")
+
+    first = F.max(F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("order"), (-F.col("hf_hash")).alias("minus"), F.col(doc_id).alias("id"), F.col("hf_hash").alias("hash")))
+    tops = {r[0]: (r[1]["id"], r[1]["hash"]) for r in bucketed(docs.select(doc_id, "text")).groupBy("hf_bucket").agg(first).collect()}  # a row for each bucket
     order = sorted(tops, reverse=True)
-    heads = [(tops[b], order[i - 1]) for i, b in enumerate(order)]  # the first row of a bucket also goes to the one before
-    schema = f"hf_top {dict(docs.dtypes)[doc_id]}, hf_to int"
-    heads = docs.sparkSession.createDataFrame(heads or [], schema)
-    rows = bucketed(docs).join(F.broadcast(heads), F.col(doc_id).eqNullSafe(F.col("hf_top")), "left")
+    heads = [(*tops[b], order[i - 1]) for i, b in enumerate(order)]  # the first row of a bucket also goes to the one before
+    heads = docs.sparkSession.createDataFrame(heads or [], f"hf_top {dict(docs.dtypes)[doc_id]}, hf_mark long, hf_to int")
+    rows = bucketed(docs).join(F.broadcast(heads), F.col(doc_id).eqNullSafe(F.col("hf_top")) & (F.col("hf_hash") == F.col("hf_mark")), "left")
     places = F.array_compact(F.array(F.struct(F.col("hf_bucket").alias("hf_bucket"), F.lit(False).alias("hf_ahead")), F.when(F.col("hf_to").isNotNull(), F.struct(F.col("hf_to").alias("hf_bucket"), F.lit(True).alias("hf_ahead")))))
-    rows = rows.select(*docs.columns, F.explode(places).alias("hf")).select(*docs.columns, "hf.*")
-    return rows.repartition("hf_bucket").sortWithinPartitions("hf_bucket", "hf_ahead", F.col(doc_id).desc_nulls_last(), F.col("text").asc_nulls_first())
+    rows = rows.select(*docs.columns, "hf_hash", F.explode(places).alias("hf")).select(*docs.columns, "hf_hash", "hf.*")
+    return rows.repartition("hf_bucket").sortWithinPartitions("hf_bucket", "hf_ahead", F.col(doc_id).desc_nulls_last(), "hf_hash", F.col("text").asc_nulls_first())
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -159,7 +169,7 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """For each document: its fingerprint, that of its text with the last third replaced by the start of the
-    next document's (in descending order of doc_id, ties by text, after the last the first), and both likenesses."""
+    next document's (in descending order of doc_id, null ids last, ties by the text's hash, after the last the first), and both likenesses."""
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in EDITED.split(", ")]
 

@@ -39,19 +39,35 @@ def test_long_texts_in_parts(monkeypatch):
     assert (fp.minhash(raw, fp.Hashes()) == whole).all()
 
 
+def ring_of(spark, rows):
+    """(doc_id, n_chars, edited_sha256, fingerprint) of (doc_id, text) rows, in the order that the module defines."""
+    hashes = dict(spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").select("t", F.xxhash64("t")).collect())
+    ring = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1] is not None, r[1] or ""))
+    want = []
+    for (i, t), (_, n) in zip(ring, ring[1:] + ring[:1], strict=True):
+        t, n = t or "", n or ""
+        cut = len(t) // 3
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest(), fp.packed(fp.minhash(t.encode(), fp.Hashes()))))
+    return sorted(want, key=str)
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 16])
 def test_next_document(spark, buckets, monkeypatch):
     plain = fp.in_descending_order
     monkeypatch.setattr(fp, "in_descending_order", lambda df: plain(df, buckets=buckets))
     got = sorted(map(tuple, fp.compare_with_next(docs(spark)).select("doc_id", "n_chars", "edited_sha256", "fingerprint").collect()), key=str)
-    ring = sorted(((r[0], r[1]) for r in rows()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
-    want = []
-    for (i, t), (_, n) in zip(ring, ring[1:] + ring[:1], strict=True):
-        t, n = t or "", n or ""
-        cut = len(t) // 3
-        edited = t[: len(t) - cut] + n[:cut]
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp.packed(fp.minhash(t.encode(), fp.Hashes()))))
-    assert got == sorted(want, key=str)
+    assert got == ring_of(spark, [(r[0], r[1]) for r in rows()])
+
+
+def test_one_id_and_null_ids_of_very_many_rows(spark, monkeypatch):
+    plain = fp.in_descending_order
+    monkeypatch.setattr(fp, "in_descending_order", lambda df: plain(df, buckets=8))
+    many = [(7, f"text {i} of the one id") for i in range(300)] + [(None, f"text {i} without any") for i in range(300)] + [(i, f"text {i} of its own") for i in range(-20, 40)] + [(7, "the same")] * 5
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    got = sorted(map(tuple, fp.compare_with_next(df).select("doc_id", "n_chars", "edited_sha256", "fingerprint").collect()), key=str)
+    assert got == ring_of(spark, many)
+    sizes = sorted(r["count"] for r in plain(df, buckets=8).groupBy("hf_bucket").count().collect())
+    assert len(sizes) > 60 and sizes[-1] < 120
 
 
 def test_columns(spark):
