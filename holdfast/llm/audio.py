@@ -288,3 +288,10 @@ def read_audio(media: Column) -> Column:
 def audio_features(docs: DataFrame, media: str = "media") -> DataFrame:
     """docs with column `audio`: what read_audio finds in the binary column `media`."""
     return set_aside(docs, "audio").withColumn("audio", read_audio(F.col(media)))
+
+
+def seek_offset(audio: Column, seconds: Column) -> Column:
+    """Byte offset of the frame that sounds at a time, from the column `audio` (streams of one rate): null before
+    the start, from the end on, and where there is no frame."""
+    frame = F.floor(seconds * audio["sample_rate"] / (audio["n_samples"] / audio["n_frames"]))
+    return F.when((frame >= 0) & (frame < audio["n_frames"]), F.get(audio["frame_offsets"], frame.cast("int")))

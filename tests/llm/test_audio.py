@@ -67,3 +67,13 @@ def test_column(spark):
             raw = audio.padded((r["text"] or "").encode())
             assert r["payload_bytes"] == len(raw) > 0 and len(raw) % 64 == 0
             assert r["payload_sha256"] == hashlib.sha256(raw).hexdigest() and r["tail_crc32"] == zlib.crc32(raw[-64:])
+
+
+def test_seek_and_clashing_column(spark):
+    df = docs(spark).withColumn("media", audio.write_audio(F.col("text")))
+    out = audio.audio_features(df)
+    assert {"audio_input", "audio"} <= set(out.columns) and {r["audio_input"] for r in out.collect()} == {"y", None}
+    rows = out.select("audio.*", *[audio.seek_offset(F.col("audio"), F.lit(s)).alias(f"s{i}") for i, s in enumerate((0.0, 0.05, -1.0, 1e6))]).collect()
+    for r in rows:
+        at = int(0.05 * 32000 // 1152)
+        assert r["s0"] == r["frame_offsets"][0] and r["s1"] == (r["frame_offsets"][at] if at < r["n_frames"] else None) and r["s2"] is None and r["s3"] is None
