@@ -6,6 +6,9 @@ import tiktoken
 import corpus_pipeline
 from holdfast.llm import bpe, simhash
 
+from .cases import docs as odd_docs
+from .cases import none
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -33,3 +36,18 @@ def test_stages_and_run(spark):
     for r in out:
         ids = library.encode_ordinary(text[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+
+
+def test_odd_rows_an_empty_table_and_other_columns(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    odd_docs(spark).write.parquet(f"{sf}/documents.parquet")
+    for first in (odd_docs(spark), none(spark)):
+        docs = first
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialise(stage(spark, docs, sf))
+            assert docs.columns == first.columns and docs.count() <= first.count(), name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert out.count() == docs.count()
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert len({r["doc_id"] for r in out if r["doc_id"] is not None}) == len([r for r in out if r["doc_id"] is not None])
