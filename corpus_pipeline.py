@@ -6,7 +6,10 @@
 4. mixing: documents stay with the rates, at most 1, that bring expected domain token totals next to targets.
 5. encoding: the texts' byte-level BPE ids (packed, little-endian unsigned 32-bit) and their digests.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of documents. ORACLE_SQL is None: the
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents. Null and empty texts are scored,
+compared, mixed and encoded as empty ones (they stay null until they are encoded). Of rows that share a doc_id, or have
+none, each is judged by its own text; rows repeated in full are copies. An empty table gives an empty result. Columns that
+documents has besides its own go through all stages but the last (names hf_* are the operators' own). ORACLE_SQL is None: the
 stages fit models and follow links, which SQL can't express; tests hold them against brute force.
 """
 
