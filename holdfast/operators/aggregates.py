@@ -110,10 +110,11 @@ def coverage(df: DataFrame, by: list[str], unit: str, error: str, width: Column,
     return units.groupBy(*by).agg((F.sum("inside") / F.sum("n")).alias("point_coverage"), F.count("*").alias("units"), F.count_if(F.col("inside") >= share * F.col("n")).alias("units_covered"))
 
 
-def best_row(df: DataFrame, by: list[str], order: list[Column], keep: list[str]) -> DataFrame:
-    """The first row of each group in a full order."""
-    ranked = df.withColumn("hf_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.where("hf_rank = 1").select(*by, *keep)
+def best_row(df: DataFrame, by: list[str], order: list[Column], keep: list[str], largest: bool = False) -> DataFrame:
+    """The row of each group whose order, compared part by part, is smallest (or largest). Combined in each task
+    before the shuffle, so one very large group is no bottleneck."""
+    pick = F.max_by if largest else F.min_by
+    return df.groupBy(*by).agg(pick(F.struct(*keep), F.struct(*order)).alias("hf_row")).select(*by, "hf_row.*")
 
 
 def template_stack(cells: DataFrame, fold: str, cell: list[str], value: str) -> DataFrame:

@@ -96,7 +96,8 @@ def interior(edges: DataFrame, degree: int = 6) -> DataFrame:
 
 def harmonic(edges: DataFrame, known: DataFrame, weight: Column, rounds: int = 200, enough: float = 1e-9) -> DataFrame:
     """(node, value): unknown nodes take the weighted mean of their neighbours (known ones fixed), by conjugate
-    gradients over the edge table with the diagonal as preconditioner."""
+    gradients over the edge table with the diagonal as preconditioner. Not reaching `enough` (the residual's share of the
+    first one) within the rounds is an error."""
     w = materialise(both_ways(edges.withColumn("w", weight), "a", "b", "w").where("u <> v"))
     fixed = known.select(F.col("node").alias("k"), F.col("value").cast("double").alias("kv"))
     free = w.join(fixed, F.col("u") == F.col("k"), "left_anti")
@@ -120,6 +121,9 @@ def harmonic(edges: DataFrame, known: DataFrame, weight: Column, rounds: int = 2
         new = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
         state = materialise(moved.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p")))
         rz = new
+    else:
+        if rz > enough * enough * start:
+            raise RuntimeError(f"values did not settle in {rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("x").alias("value"))
 
 

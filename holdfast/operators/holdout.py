@@ -50,9 +50,12 @@ def leave_block_out(df: DataFrame, block: str) -> DataFrame:
     return df.crossJoin(F.broadcast(folds)).withColumn("role", F.when(F.col(block) == F.col("fold"), "test").otherwise("train"))
 
 
-def balanced_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFrame:
+def balanced_folds(groups: DataFrame, group: str, size: str, folds: int, most: int = 1_000_000) -> DataFrame:
     """(group, fold): the largest group first, each to the lightest fold so far (lowest number on ties). The loop
-    runs over the sorted sizes inside one aggregate of the group table."""
+    runs over the sorted sizes inside one aggregate of the group table: each choice depends on all before it, so
+    more than `most` groups are an error."""
+    if groups.count() > most:
+        raise ValueError(f"over {most} groups to deal one after another")
     one = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("minus"), F.col(group).alias("g")))).alias("all"))
     zero = F.struct(F.array_repeat(F.lit(0).cast("long"), folds).alias("load"), F.array().cast(f"array<struct<g:{dict(groups.dtypes)[group]},fold:int>>").alias("out"))
 

@@ -38,20 +38,58 @@ def attach_parameters(rows: DataFrame, parameters: DataFrame, by: list[str]) ->
     return rows.join(parameters, by, "left")
 
 
-def best_triples(points: DataFrame, by: list[str], key: str, dims: list[str], weight: float = 0.05) -> DataFrame:
-    """Of few points in a group, the triple with the largest smallest distance minus weight * mean distance to
-    the group's centre."""
-    w = Window.partitionBy(*by)
-    p = points.withColumns({f"c_{d}": F.avg(d).over(w) for d in dims})
-    away = F.sqrt(sum(((F.col(d) - F.col(f"c_{d}")) * (F.col(d) - F.col(f"c_{d}")) for d in dims), F.lit(0.0)))
-    p = p.withColumn("away", away)
-    s = lambda t: p.select(*by, F.struct(F.col(key).alias("id"), *dims, "away").alias(t))
-    three = s("a").join(s("b"), by).where("a.id < b.id").join(s("c"), by).where("b.id < c.id")
-    gap = lambda x, y: F.sqrt(sum(((F.col(f"{x}.{d}") - F.col(f"{y}.{d}")) * (F.col(f"{x}.{d}") - F.col(f"{y}.{d}")) for d in dims), F.lit(0.0)))
-    score = F.least(gap("a", "b"), gap("b", "c"), gap("a", "c")) - weight * (F.col("a.away") + F.col("b.away") + F.col("c.away")) / 3
-    three = three.withColumn("score", score)
-    best = F.max(F.struct("score", (-F.col("a.id")).alias("na"), (-F.col("b.id")).alias("nb"), (-F.col("c.id")).alias("nc")))
-    return three.groupBy(*by).agg(best.alias("m")).select(*by, (-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"), (-F.col("m.nc")).alias("c"), F.col("m.score").alias("score"))
+def best_triples(points: DataFrame, by: list[str], key: str, dims: list[str], weight: float = 0.05, most: int = 5_000_000, rounds: int = 20) -> DataFrame:
+    """(by, a, b, c, score): of all triples in a group that with the largest smallest distance minus weight * mean
+    distance to the group's centre, smallest keys on ties; exact, by branch and bound.
+
+    Points are put into cells, first four along each axis. A triple of cells can't score more than its boxes' largest
+    distances say; triples of cells under the best score that single points have shown are given up, the cells of the
+    others are halved, and so on until at most `most` triples of points are left to be compared (an error after all
+    rounds, which only very many points that tie can bring about). Of points at one place three are enough."""
+    from ..storage import materialise
+
+    square = lambda parts: F.sqrt(sum((x * x for x in parts), F.lit(0.0)))
+    centre = points.groupBy(*by).agg(*[F.avg(d).alias(f"hf_m{d}") for d in dims], *[F.min(d).alias(f"hf_l{d}") for d in dims], F.greatest(F.lit(1e-300), *[F.max(d) - F.min(d) for d in dims]).alias("hf_size"))
+    p = points.withColumn("hf_n", F.row_number().over(Window.partitionBy(*by, *dims).orderBy(key))).where(F.col("hf_n") <= 3).join(centre, by)
+    away = square([F.col(d) - F.col(f"hf_m{d}") for d in dims])
+    left = materialise(p.select(*by, F.struct(F.col(key).alias("id"), *[F.col(d).cast("double").alias(d) for d in dims], away.alias("away")).alias("p"), *[((F.col(d) - F.col(f"hf_l{d}")) / F.col("hf_size")).alias(f"hf_{d}") for d in dims]))
+    gap = lambda x, y: square([F.col(f"{x}.{d}") - F.col(f"{y}.{d}") for d in dims])
+    score = lambda a, b, c: F.least(gap(a, b), gap(b, c), gap(a, c)) - weight * (F.col(f"{a}.away") + F.col(f"{b}.away") + F.col(f"{c}.away")) / 3
+    widest = lambda x, y: square([F.greatest(F.abs(F.col(f"{x}.hi_{d}") - F.col(f"{y}.lo_{d}")), F.abs(F.col(f"{y}.hi_{d}") - F.col(f"{x}.lo_{d}"))) for d in dims])
+    triples, best = None, None
+    for level in range(rounds):
+        steps = 4 << level
+        place = lambda n: F.struct(*[F.least(F.floor(F.col(f"hf_{d}") * n), F.lit(n - 1)).alias(d) for d in dims])  # noqa: B023, E731
+        placed = left.withColumns({"cell": place(steps), "parent": place(max(1, steps // 2))})
+        cells = materialise(placed.groupBy(*by, "parent", "cell").agg(F.count("*").cast("double").alias("n"), F.min("p.away").alias("away"), F.min("p").alias("one"), *[f(f"p.{d}").alias(f"{e}_{d}") for d in dims for e, f in (("lo", F.min), ("hi", F.max))]))
+        side = lambda t: cells.select(*by, F.col("parent").alias(f"p{t}"), F.struct(*cells.columns[len(by) + 1 :]).alias(t))  # noqa: B023, E731
+        if triples is None:
+            three = side("a").join(side("b"), by).join(side("c"), by).where((F.col("a.cell") <= F.col("b.cell")) & (F.col("b.cell") <= F.col("c.cell")))
+        else:
+            three = triples.join(side("a"), [*by, "pa"]).join(side("b"), [*by, "pb"]).join(side("c"), [*by, "pc"])
+            three = three.where(((F.col("pa") != F.col("pb")) | (F.col("a.cell") <= F.col("b.cell"))) & ((F.col("pb") != F.col("pc")) | (F.col("b.cell") <= F.col("c.cell"))))
+        apart = F.size(F.array_distinct(F.array("a.one.id", "b.one.id", "c.one.id"))) == 3
+        three = three.select(*by, "a", "b", "c", (F.least(widest("a", "b"), widest("b", "c"), widest("a", "c")) - weight * (F.col("a.away") + F.col("b.away") + F.col("c.away")) / 3).alias("upper"), F.when(apart, score("a.one", "b.one", "c.one")).alias("lower"))
+        three = materialise(three)
+        shown = three.groupBy(*by).agg(F.max("lower").alias("lower"))
+        best = materialise(shown if best is None else shown.unionByName(best).groupBy(*by).agg(F.max("lower").alias("lower")))
+        three = three.drop("lower").join(best, by).where(F.col("lower").isNull() | (F.col("upper") >= F.col("lower") - 1e-9))
+        triples = materialise(three.select(*by, *[F.col(f"{t}.cell").alias(f"p{t}") for t in "abc"], (F.col("a.n") * F.col("b.n") * F.col("c.n")).alias("n")))
+        used = triples.select(*by, F.explode(F.array("pa", "pb", "pc")).alias("cell")).distinct()
+        left = materialise(placed.join(used, [*by, "cell"], "left_semi").drop("cell", "parent"))
+        if (triples.agg(F.sum("n")).first()[0] or 0) <= most:
+            break
+        triples = triples.drop("n")
+    else:
+        raise RuntimeError(f"over {most} triples tie for the best score")
+    own = left.withColumn("cell", place(steps))
+    side = lambda t: own.select(*by, F.col("cell").alias(f"p{t}"), F.col("p").alias(t))
+    three = triples.drop("n").join(side("a"), [*by, "pa"]).join(side("b"), [*by, "pb"]).join(side("c"), [*by, "pc"])
+    ids = F.array_sort(F.array("a.id", "b.id", "c.id"))
+    three = three.select(*by, ids.alias("ids"), score("a", "b", "c").alias("score")).where(F.size(F.array_distinct("ids")) == 3)
+    top = F.max(F.struct(F.round("score", 12).alias("r"), *[(-F.get("ids", F.lit(i))).alias(f"n{i}") for i in range(3)], "score"))
+    return three.groupBy(*by).agg(top.alias("m")).select(*by, *[(-F.col(f"m.n{i}")).alias(t) for i, t in enumerate("abc")], F.col("m.score").alias("score"))
+
 
 
 def weighted_cross(rows: DataFrame, sites: DataFrame, weight: Column, value: Column, by: list[str]) -> DataFrame:

@@ -15,6 +15,9 @@ from .graph import connected_components
 from .spatial import knn_join, range_join
 
 
+MOST = 4_000_000  # places of the largest cost table that one task solves
+
+
 def assignment(cost: np.ndarray) -> list[int]:
     """Column of each row in a matching of least total cost; rows <= columns (successive shortest paths)."""
     n, m = cost.shape
@@ -47,10 +50,11 @@ def assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
-def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id", b: str = "neighbour_id", cost: str = "distance") -> DataFrame:
+def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id", b: str = "neighbour_id", cost: str = "distance", most: int = MOST) -> DataFrame:
     """(by, a, b, cost): among candidate pairs, a matching with as many pairs as possible and the least total
-    cost. Connected components of the candidate graph are solved apart; a gate on the candidates keeps them
-    small. (Matching all points first and gating afterwards can choose other pairs.)"""
+    cost. Connected components of the candidate graph are solved apart; the candidates' gate has to keep them small: a
+    component whose cost table has over `most` places is an error. (Matching all points first and gating afterwards,
+    as match_then_gate does, can choose other pairs.)"""
     by = list(by)
     left = pairs.withColumns({"hf_a": F.xxhash64(F.lit("a"), *by, a), "hf_b": F.xxhash64(F.lit("b"), *by, b)})
     left = materialise(left)
@@ -60,10 +64,12 @@ def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id",
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         ia, ib = np.unique(frame[a], return_inverse=True), np.unique(frame[b], return_inverse=True)
+        if len(ia[0]) * len(ib[0]) > most:
+            raise ValueError(f"a component of candidates has {len(ia[0])} by {len(ib[0])} points: choose a closer gate")
         flip = len(ia[0]) > len(ib[0])
         rows_, cols = (ib, ia) if flip else (ia, ib)
-        most = float(frame[cost].max()) + 1.0
-        c = np.full((len(rows_[0]), len(cols[0])), most * (len(rows_[0]) + 1))
+        far = float(frame[cost].max()) + 1.0
+        c = np.full((len(rows_[0]), len(cols[0])), far * (len(rows_[0]) + 1))
         c[rows_[1], cols[1]] = frame[cost]
         chosen = {(r, k) for r, k in enumerate(assignment(c))}
         keep = [pair in chosen for pair in zip(rows_[1], cols[1], strict=True)]
@@ -72,6 +78,31 @@ def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id",
     return rows.groupBy("root").applyInPandas(solve, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, a, b, cost]))
 
 
+def match_then_gate(a: DataFrame, b: DataFrame, by: list[str], key: str, dims: list[str], gate: float, most: int = MOST) -> DataFrame:
+    """(by, a, b, distance): in each group all points of the smaller side are matched with the least total distance,
+    and pairs over the gate are dropped afterwards. For groups that are small by nature (one unit's points): a group
+    whose cost table has over `most` places is an error. A group that only one side has gives no row."""
+    bounded = lambda df, name: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), *[F.col(d).cast("double").alias(d) for d in dims]))).alias(name))
+    kind = dict(a.dtypes)[key]
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for one in batch.to_dict("records"):
+                left, right = one["hf_a"], one["hf_b"]
+                if len(left) * len(right) > most:
+                    raise ValueError(f"a group has {len(left)} by {len(right)} points")
+                places = [np.array([[p[d] for d in dims] for p in side], float) for side in (left, right)]
+                cost = np.sqrt(((places[0][:, None] - places[1][None]) ** 2).sum(-1))
+                flip = len(left) > len(right)
+                found = [(j, i) if flip else (i, j) for i, j in enumerate(assignment(cost.T if flip else cost))]
+                out += [(*[one[c] for c in by], left[i]["id"], right[j]["id"], cost[i, j]) for i, j in found if cost[i, j] <= gate]
+            yield pd.DataFrame(out, columns=[*by, "a", "b", "distance"])
+
+    kinds = dict(a.dtypes)
+    return bounded(a, "hf_a").join(bounded(b, "hf_b"), by).mapInPandas(pairs, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"a {kind}, b {dict(b.dtypes)[key]}, distance double"]))
+
+
 def best_shift(a: DataFrame, b: DataFrame, key: str, dims: tuple[str, str], reach: int, step: float, nearest: int) -> DataFrame:
     """(da, db, score) of all shifts of b on a grid: the median of the `nearest` smallest distances from shifted
     points to their mutual nearest partners. Every shift is a group of two nearest-neighbour joins."""
@@ -109,12 +140,9 @@ def link_tracks(points: DataFrame, region: str, frame: str, key: str, dims: list
 
 
 def batched_solve(rows: DataFrame, schema: str, solve) -> DataFrame:
-    """One small solve for each row of bounded size."""
+    """solve takes a batch of rows at once, each of bounded size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([solve(r) for r in batch.to_dict("records")])
+        yield from (solve(batch) for batch in batches if len(batch))
 
     return rows.mapInPandas(run, schema)
-
-

@@ -122,14 +122,18 @@ def principal_axes(df: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for r in rows.to_dict("records"):
-                m = np.array(r["sx"]) / r["n"]
-                values, vectors = np.linalg.eigh(_square(r["xx"], p) / r["n"] - np.outer(m, m))
-                for k, i in enumerate(values.argsort()[::-1]):
-                    u = vectors[:, i] * np.sign(vectors[np.abs(vectors[:, i]).argmax(), i])
-                    out.append((*[r[b] for b in by], k, u.tolist(), float(max(values[i], 0) / max(values.sum(), 1e-300))))
-            yield pd.DataFrame(out, columns=[*by, "axis", "direction", "share"])
+            if not len(rows):
+                continue
+            m = np.stack(rows["sx"]) / rows["n"].to_numpy()[:, None]
+            upper = np.zeros((len(rows), p, p))
+            upper[:, *np.triu_indices(p)] = np.stack(rows["xx"]) / rows["n"].to_numpy()[:, None]
+            values, vectors = np.linalg.eigh(upper + np.triu(upper, 1).transpose(0, 2, 1) - m[:, :, None] * m[:, None])
+            values, axes = values[:, ::-1], vectors.transpose(0, 2, 1)[:, ::-1]  # largest first; a row for each axis
+            top = np.take_along_axis(axes, np.abs(axes).argmax(2)[:, :, None], 2)
+            out = rows[by].loc[rows.index.repeat(p)].reset_index(drop=True)
+            out["axis"], out["direction"] = np.tile(np.arange(p), len(rows)), list((axes * np.sign(top)).reshape(-1, p))
+            out["share"] = (np.maximum(values, 0) / np.maximum(values.sum(1, keepdims=True), 1e-300)).ravel()
+            yield out
 
     return stats.mapInPandas(run, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "axis int, direction array<double>, share double"]))
 
@@ -169,9 +173,9 @@ def huber(df: DataFrame, by: list[str], xs: list[Column], y: Column, rounds: int
     return off.groupBy(*by).agg(F.first("beta").alias("beta"), F.sqrt(F.avg(F.col("hf_r") * F.col("hf_r"))).alias("rmse"))
 
 
-def two_layers(df: DataFrame, by: list[str], value: str, rounds: int = 30) -> DataFrame:
+def two_layers(df: DataFrame, by: list[str], value: str, rounds: int = 100) -> DataFrame:
     """(by, low, high): two 1-D means for each group from its 20% and 80% quantiles on; a group that no longer
-    moves leaves the loop."""
+    moves leaves the loop. Groups that still move after all rounds are an error."""
     at = F.percentile(value, F.array(F.lit(0.2), F.lit(0.8)))
     state = materialise(df.groupBy(*by).agg(at.alias("q")).select(*by, F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.lit(False).alias("done")))
     for _ in range(rounds):
@@ -182,8 +186,8 @@ def two_layers(df: DataFrame, by: list[str], value: str, rounds: int = 30) -> Da
         new = new.select(*by, F.col("na").alias("low"), F.col("nb").alias("high"), ((F.abs(F.col("na") - F.col("low")) < 1e-12) & (F.abs(F.col("nb") - F.col("high")) < 1e-12)).alias("done"))
         state = materialise(state.where("done").unionByName(new))
         if state.where("not done").isEmpty():
-            break
-    return state.select(*by, "low", "high")
+            return state.select(*by, "low", "high")
+    raise RuntimeError(f"layers did not settle in {rounds} rounds")
 
 
 def leave_one_out(df: DataFrame, xs: list[Column], y: Column, alphas: list[float]) -> DataFrame:

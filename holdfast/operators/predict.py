@@ -174,11 +174,12 @@ def mapping_choice(df: DataFrame, by: list[str], xs: list[str], ys: list[str]) -
     off = rows
     for x, y in zip(xs, ys, strict=True):
         d = F.col(y) - F.col(x)
-        ranked = Window.partitionBy(*by).orderBy(d, "hf_id")
-        off = off.withColumns({"hf_d": d, "hf_r": F.row_number().over(ranked), "hf_n": F.count("*").over(w), "hf_all": F.array_sort(F.collect_list(d).over(w))})
-        m = F.col("hf_n") - 1
-        at = lambda i: F.get("hf_all", (i + F.when(i + 1 >= F.col("hf_r"), 1).otherwise(0)).cast("int"))
-        lo, hi = F.floor((m - 1) / 2), F.ceil((m - 1) / 2)
+        off = off.withColumns({"hf_d": d, "hf_r": F.row_number().over(Window.partitionBy(*by).orderBy(d, "hf_id")), "hf_n": F.count("*").over(w)})
+        lo, hi = F.floor((F.col("hf_n") - 2) / 2), F.ceil((F.col("hf_n") - 2) / 2)  # places, from 0, of the other rows' middle
+        middle = F.floor((F.col("hf_n") - 2) / 2)
+        near = [F.max(F.when(F.col("hf_r") == middle + i, F.col("hf_d"))).over(w) for i in (1, 2, 3)]  # the three values that can be in the middle
+        off = materialise(off.withColumns({f"hf_m{i}": c for i, c in enumerate(near)}))
+        at = lambda i: F.get(F.array("hf_m0", "hf_m1", "hf_m2"), (i - middle + F.when(i + 1 >= F.col("hf_r"), 1).otherwise(0)).cast("int"))  # noqa: B023, E731
         off = off.withColumn(f"t_{y}", F.col("hf_d") - (at(lo) + at(hi)) / 2)
     translation = off.groupBy(*by).agg(F.median(F.sqrt(sum((F.col(f"t_{y}") * F.col(f"t_{y}") for y in ys), F.lit(0.0)))).alias("translation"))
     terms, p = [F.lit(1.0), *map(F.col, xs)], len(xs) + 1
@@ -209,16 +210,51 @@ def direction_ridge(df: DataFrame, block: str, xs: list[Column], axis: list[str]
     return out.withColumns({f"p_{a}": F.col(f"p_{a}") / size for a in axis}).drop("beta")
 
 
-def scribble_classifier(features: DataFrame, labels: DataFrame, key: str, cols: list[str], per_class: int = 15_000, seed: int = 1) -> DataFrame:
-    """(key, probability) of class 1 for every row, from a forest on at most per_class labelled rows of each class,
-    drawn by hash, with weights that balance the classes."""
+def scribble_features(cells: DataFrame, value: str, scale: float = 255.0) -> DataFrame:
+    """(i, j, k, raw, smooth1, smooth2, smooth4, band, edge) of every voxel: its value over `scale`; that smoothed with
+    deviations 1, 2 and 4 (half of it along k); the first minus the last; the gradient's length after smoothing with
+    deviation 1 on all axes. Voxels that aren't there have no weight."""
+    from .windows import gaussian_smooth, gradient
+
+    dims = ("i", "j", "k")
+    raw = materialise(cells.select(*dims, (F.col(value) / scale).alias("raw")))
+
+    def smooth(deviations: tuple[float, float, float], name: str) -> DataFrame:
+        out, last = raw, "raw"
+        for d, s in zip(dims, deviations, strict=True):
+            out, last = materialise(gaussian_smooth(out, [x for x in dims if x != d], d, last, s, name)), name
+        return out
+
+    edges = smooth((1.0, 1.0, 1.0), "even")
+    for d in dims:
+        edges = gradient(edges, [x for x in dims if x != d], d, "even").withColumnRenamed("gradient", f"g{d}")
+    out = raw.join(edges.select(*dims, F.sqrt(sum((F.coalesce(F.col(f"g{d}"), F.lit(0.0)) ** 2 for d in dims), F.lit(0.0))).alias("edge")), list(dims))
+    for s in (1.0, 2.0, 4.0):
+        out = out.join(smooth((s, s, s / 2), f"smooth{s:.0f}"), list(dims))
+    return out.select(*dims, "raw", "smooth1", "smooth2", "smooth4", (F.col("smooth1") - F.col("smooth4")).alias("band"), "edge")
+
+
+def scribble_classifier(features: DataFrame, labels: DataFrame, keys: list[str], cols: list[str], per_class: int = 15_000, least: int = 25, trees: int = 160, depth: int = 16, seed: int = 1) -> DataFrame:
+    """(keys, probability) of class 1 for every row, from a forest on about per_class labelled rows of each class at
+    most, chosen by a hash of the keys, with weights that balance the classes. labels: keys, label (0 or 1); of a row
+    marked twice the higher label counts. A class with under `least` marks is an error."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     rows = VectorAssembler(inputCols=cols, outputCol="features").transform(features)
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), key)))
-    train = rows.join(labels.withColumn("hf_rank", rank).where(F.col("hf_rank") <= per_class).select(key, F.col("label").cast("double").alias("label")), key)
-    train = train.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("label")))
-    model = RandomForestClassifier(numTrees=20, weightCol="weight", seed=seed).fit(materialise(train))
-    return model.transform(rows).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+    marks = materialise(labels.groupBy(*keys).agg(F.max(F.col("label").cast("double")).alias("label")))
+    counts = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
+    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < least:
+        raise ValueError(f"each class needs {least} marks")
+    place = F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 63) - 1))
+    drawn = [marks.where((F.col("label") == c) & (place <= F.lit(min((1 << 63) - 1, (per_class << 63) // n)))).withColumn("weight", F.lit(1.0 / min(n, per_class))) for c, n in sorted(counts.items())]
+    train = materialise(rows.join(reduce(DataFrame.unionByName, drawn), keys).select("features", "label", "weight"))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", seed=seed).fit(train)
+    return model.transform(rows).select(*keys, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+
+
+def mask_quality(probabilities: DataFrame, threshold: float = 0.5, broadest: float = 0.2) -> DataFrame:
+    """(fraction, status) of the rows at or over a threshold: a mask over `broadest` fails."""
+    out = probabilities.agg(F.avg((F.col("probability") >= threshold).cast("double")).alias("fraction"))
+    return out.withColumn("status", F.when(F.col("fraction") <= broadest, "pass").otherwise("fail: implausibly broad mask"))

@@ -1,8 +1,9 @@
 """Neighbour joins over 2-D and 3-D points (inventory C, D29, D30, H01, H04).
 
 Points are hashed into grid cells; a search joins a query to the 3^d cells around its own, so no join is a
-Cartesian product. The k-nearest join starts with cells sized by the mean density, certifies each query whose
-k-th distance lies within the searched block, and searches again for the rest with threefold cells.
+Cartesian product. The k-nearest join starts with cells sized by the mean density, or smaller ones where points
+crowd (a far outlier widens the mean, a cluster is denser than it), certifies each query whose k-th distance lies within
+the searched block, and searches again for the rest with threefold cells.
 """
 
 from __future__ import annotations
@@ -46,6 +47,29 @@ def range_join(queries: DataFrame, points: DataFrame, radius: float, dims: list[
     return (d.where(F.col("query_id") != F.col("neighbour_id")) if exclude_self else d).select(*by, "query_id", "neighbour_id", "distance")
 
 
+CROWD = 8  # times k: places that the cell of an average point may hold
+
+
+def crowding(places: DataFrame, by: list[str], dims: list[str], width: float) -> float:
+    """How many places the cell of an average place holds."""
+    cells = _cells(places, dims, width, False).groupBy(*by, "hf_cell").agg(F.count("*").cast("double").alias("n"))
+    return cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+
+
+def cell_width(p: DataFrame, by: list[str], dims: list[str], k: int, width: float, rounds: int = 12) -> float:
+    """The width, made smaller until the cell of an average place holds at most CROWD * k of them. Points with one
+    place count once: no width parts them."""
+    most = float(CROWD * max(k, 4))
+    if crowding(p, by, dims, width) <= most:
+        return width
+    places = materialise(p.select(*by, *dims).distinct())
+    for _ in range(rounds):
+        if (now := crowding(places, by, dims, width)) <= most:
+            break
+        width *= max(1 / 64, (most / now) ** (1 / len(dims)) / 1.5)
+    return width
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, dims: list[str], qid: str, pid: str, by: tuple[str, ...] = (), exclude_self: bool = False, rounds: int = 40) -> DataFrame:
     """(by, query_id, neighbour_id, distance, rank): the exact k nearest points, ties by id; fewer if a group has
     fewer. A query's own id is left out on demand."""
@@ -65,6 +89,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, dims: list[str], qid
     widest = max(b - a for a, b in zip(low, high, strict=True)) or 1.0
     volume = reduce(lambda a, b: a * b, [max(e, widest * 1e-3) for e in extents])
     width = (volume * 4 * (k + exclude_self) / (3**m * ends[0])) ** (1 / m)
+    width = cell_width(p, by, [f"p_{c}" for c in dims], k + exclude_self, width)
     ranked = Window.partitionBy(*by, "query_id").orderBy("distance", "neighbour_id")
     parts, left = [], q
     for _ in range(rounds):

@@ -43,19 +43,33 @@ def sign_test(df: DataFrame, by: list[str], difference: str) -> DataFrame:
     d = F.col(difference)
     counts = df.where(d != 0).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(d > 0).alias("wins"))
     n, few = F.col("n"), F.least("wins", F.col("n") - F.col("wins"))
-    terms = F.transform(F.sequence(F.lit(0).cast("long"), few), lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0))))
-    tail = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    return counts.withColumn("p", F.least(F.lit(1.0), 2 * tail))
+    first = -n * F.log(F.lit(2.0))
+    tail = running_sum(first, F.lit(1).cast("long"), few, lambda i: F.log((n - i + 1) / i))
+    return counts.withColumn("p", F.least(F.lit(1.0), 2 * tail)).select(*by, "n", "wins", "p")
+
+
+def running_sum(first: Column, lo: Column, hi: Column, step, keep=None) -> Column:
+    """exp(first) + exp(first + step(lo)) + ... + exp(first + step(lo) + ... + step(hi)), of the terms whose logarithm
+    is at most keep: one step for each term."""
+    ok = lambda x: F.lit(True) if keep is None else x <= keep
+    state = lambda x, s: F.struct(x.cast("double").alias("x"), s.alias("s"))
+    add = lambda x: F.when(ok(x), F.exp(x)).otherwise(0.0)
+    places = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+    def turn(acc: Column, i: Column) -> Column:
+        x = acc["x"] + step(i)
+        return state(x, acc["s"] + add(x))
+
+    return F.aggregate(places, state(first, add(first)), turn, lambda acc: acc["s"])
 
 
 def fisher(tables: DataFrame, by: list[str], a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> DataFrame:
     """(by, odds, p) of 2 x 2 tables: two-sided, over all tables with the same margins that are no likelier."""
     a, b, c, d = (F.col(x).cast("long") for x in (a, b, c, d))
     r1, r2, c1 = a + b, c + d, a + c
-    mass = lambda x: F.exp(log_factorial(r1) + log_factorial(r2) + log_factorial(c1) + log_factorial(b + d) - log_factorial(r1 + r2) - log_factorial(x) - log_factorial(r1 - x) - log_factorial(c1 - x) - log_factorial(r2 - c1 + x))
-    all_ = F.transform(F.sequence(F.greatest(F.lit(0).cast("long"), c1 - r2), F.least(r1, c1)), mass)
-    own = mass(a)
-    p = F.aggregate(F.filter(all_, lambda x: x <= own * (1 + 1e-7)), F.lit(0.0), lambda s, x: s + x)
+    mass = lambda x: log_factorial(r1) + log_factorial(r2) + log_factorial(c1) + log_factorial(b + d) - log_factorial(r1 + r2) - log_factorial(x) - log_factorial(r1 - x) - log_factorial(c1 - x) - log_factorial(r2 - c1 + x)
+    lo = F.greatest(F.lit(0).cast("long"), c1 - r2)
+    p = running_sum(mass(lo), lo + 1, F.least(r1, c1), lambda x: F.log((r1 - x + 1) * (c1 - x + 1) / (x * (r2 - c1 + x))), mass(a) + 1e-7)
     return tables.select(*by, F.when((b * c) != 0, a * d / (b * c)).alias("odds"), F.least(F.lit(1.0), p).alias("p"))
 
 
@@ -71,14 +85,15 @@ def rank_sum(df: DataFrame, by: list[str], value: str, first: Column) -> DataFra
     return out.select(*by, (u / (n1 * n2)).alias("auc"), ((u - n1 * n2 / 2) / F.sqrt(var)).alias("z"))
 
 
-def signed_rank(df: DataFrame, by: list[str], difference: str) -> DataFrame:
+def signed_rank(df: DataFrame, by: list[str], difference: str, most: int = 200) -> DataFrame:
     """(by, n, w, p): exact two-sided signed-rank test of small groups, zeros left out: the distribution of the
-    rank sum is built by adding one rank after another (doubled, so that average ranks are whole)."""
+    rank sum is built by adding one rank after another (doubled, so that average ranks are whole). It has about
+    n squared places, so groups of more than `most` differences are an error."""
     d = df.where(F.col(difference) != 0)
     w = Window.partitionBy(*by)
     size = F.abs(difference)
-    ranked = d.withColumn("hf_r", (2 * F.rank().over(w.orderBy(size)) + F.count("*").over(Window.partitionBy(*by, size)) - 1).cast("int"))
-    g = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("hf_r")).otherwise(0)).alias("w2"), F.sum("hf_r").alias("all2"), F.collect_list("hf_r").alias("ranks"))
+    ranked = d.withColumn("hf_size", F.count("*").over(w)).withColumn("hf_r", (2 * F.rank().over(w.orderBy(size)) + F.count("*").over(Window.partitionBy(*by, size)) - 1).cast("int"))
+    g = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("hf_r")).otherwise(0)).alias("w2"), F.sum("hf_r").alias("all2"), F.collect_list(F.when(F.col("hf_size") <= most, F.col("hf_r")).otherwise(F.raise_error(F.lit("too many differences for an exact test")).cast("int"))).alias("ranks"))
     start = F.array_prepend(F.array_repeat(F.lit(0.0), F.col("all2").cast("int")), F.lit(1.0))
     counts = F.aggregate("ranks", start, lambda acc, r: F.transform(acc, lambda x, i: (x + F.when(i >= r, F.get(acc, i - r)).otherwise(0.0)) / 2))
     low = F.least("w2", F.col("all2") - F.col("w2")).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,14 @@ def local_normals(points: DataFrame, key: str, k: int) -> DataFrame:
     at = points.select(F.col(key).alias("neighbour_id"), "x", "y", "z")
     stats = moments.statistics(near.join(at, "neighbour_id"), ["query_id"], [F.col(c) for c in "xyz"], [F.lit(0.0)])
 
-    def solve(r: dict) -> dict:
-        m = np.array(r["sx"]) / r["n"]
-        values, vectors = np.linalg.eigh(moments._square(r["xx"], 3) / r["n"] - np.outer(m, m))
-        return {"id": r["query_id"], "nx": vectors[0, 0], "ny": vectors[1, 0], "nz": vectors[2, 0], "curvature": max(values[0], 0) / max(values.sum(), 1e-300)}
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        n, m = rows["n"].to_numpy(), np.stack(rows["sx"]) / rows["n"].to_numpy()[:, None]
+        upper = np.zeros((len(rows), 3, 3))
+        upper[:, *np.triu_indices(3)] = np.stack(rows["xx"]) / n[:, None]
+        whole = upper + np.triu(upper, 1).transpose(0, 2, 1) - m[:, :, None] * m[:, None]
+        values, vectors = np.linalg.eigh(whole)
+        own = {f"n{c}": vectors[:, i, 0] for i, c in enumerate("xyz")}
+        return pd.DataFrame({"id": rows["query_id"], **own, "curvature": np.maximum(values[:, 0], 0) / np.maximum(values.sum(1), 1e-300)})
 
     kind = dict(points.dtypes)[key]
     found = batched_solve(stats, f"id {kind}, nx double, ny double, nz double, curvature double", solve).withColumnRenamed("id", key)
@@ -46,19 +51,31 @@ def thin_plate(queries: DataFrame, sites: DataFrame, key: str, value: str, k: in
     place = queries.select(F.col(key).alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     rows = near.join(at, "neighbour_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y", "v"))).alias("s")).join(place, "query_id")
     rows = rows.select("query_id", "qx", "qy", *[F.col(f"s.{c}").alias(c) for c in ("x", "y", "v")])
-
-    def solve(r: dict) -> dict:
-        p, v = np.c_[r["x"], r["y"]], np.array(r["v"])
-        centre, scale = p.mean(0), max(np.abs(p - p.mean(0)).max(), 1e-12)
-        p, q = (p - centre) / scale, (np.array([r["qx"], r["qy"]]) - centre) / scale
-        kernel = lambda d2: 0.5 * d2 * np.log(np.maximum(d2, 1e-300))
-        n = len(p)
-        a = np.zeros((n + 3, n + 3))
-        a[:n, :n] = kernel(((p[:, None] - p[None]) ** 2).sum(-1)) + smoothing * np.eye(n)
-        a[:n, n:] = np.c_[np.ones(n), p]
-        a[n:, :n] = a[:n, n:].T
-        w = np.linalg.lstsq(a, np.r_[v, 0, 0, 0], rcond=None)[0]
-        return {"query_id": r["query_id"], "prediction": float(kernel(((p - q) ** 2).sum(-1)) @ w[:n] + w[n] + q @ w[n + 1 :])}
+    kernel = lambda d2: 0.5 * d2 * np.log(np.maximum(d2, 1e-300))
+
+    def stacked(rows: pd.DataFrame) -> np.ndarray:
+        """Predictions of queries with equally many sites: their systems are solved side by side."""
+        p, v = np.stack([np.stack(rows["x"]), np.stack(rows["y"])], -1), np.stack(rows["v"])
+        centre = p.mean(1, keepdims=True)
+        scale = np.maximum(np.abs(p - centre).max((1, 2), keepdims=True), 1e-12)
+        q = (rows[["qx", "qy"]].to_numpy()[:, None] - centre) / scale
+        p = (p - centre) / scale
+        b, n, _ = p.shape
+        a = np.zeros((b, n + 3, n + 3))
+        a[:, :n, :n] = kernel(((p[:, :, None] - p[:, None]) ** 2).sum(-1)) + smoothing * np.eye(n)
+        a[:, :n, n], a[:, :n, n + 1 :] = 1, p
+        a[:, n:, :n] = a[:, :n, n:].transpose(0, 2, 1)
+        w = (np.linalg.pinv(a) @ np.concatenate([v, np.zeros((b, 3))], 1)[:, :, None])[:, :, 0]  # sites in one line leave the plane undetermined
+        return (kernel(((p - q) ** 2).sum(-1)) * w[:, :n]).sum(1) + w[:, n] + (q[:, 0] * w[:, n + 1 :]).sum(1)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes, out = rows["v"].map(len).to_numpy(), np.zeros(len(rows))
+        for size in np.unique(sizes):
+            places = (sizes == size).nonzero()[0]
+            for at in range(0, len(places), 200):
+                some = places[at : at + 200]
+                out[some] = stacked(rows.iloc[some])
+        return pd.DataFrame({"query_id": rows["query_id"], "prediction": out})
 
     return batched_solve(rows, f"query_id {dict(queries.dtypes)[key]}, prediction double", solve)
 
@@ -184,23 +201,69 @@ def edge_region(cells: DataFrame, threshold: float, centre: tuple[int, int, int]
     return parts.join(F.broadcast(own), "component", "left_semi").groupBy("i", "j").agg(F.min("k").alias("top"))
 
 
-def gap_fill(cells: DataFrame, unit: str, masks: dict[str, Column], terms: list[Column], value: str, least_masked: int = 12, least_visible: int = 20) -> DataFrame:
-    """(unit, mask, hidden, quadratic, template, guarded): errors on hidden cells of three fills from the visible
-    ones: a fit of terms, the median template over other units with the unit's own offset, and the fit corrected by
-    the median visible residual, clipped to three robust deviations."""
+FILLS = ("uncalibrated", "quadratic", "rbf", "template", "template_residual", "guarded")
+
+
+def gap_predictions(
+    cells: DataFrame, unit: str, block: str, masks: dict[str, Column], value: str, u: str = "u", v: str = "v", cell: tuple[str, str] = ("gi", "gj"), least_masked: int = 12, least_visible: int = 20,
+    sigma: float = 0.25, alphas: tuple[float, float, float] = (0.1, 10.0, 0.1), centres: list[tuple[float, float]] | None = None, most: int = 20_000,
+) -> DataFrame:
+    """(unit, mask, cell, value, visible, and six fills) of every hidden cell of each unit and mask with enough hidden
+    and visible cells. uncalibrated: the median of the cell over the units of other blocks; quadratic and rbf: ridge
+    over the unit's own visible cells, of quadratic terms, and of these with Gaussian bumps; template: the uncalibrated
+    one scaled and shifted by ridge on the visible cells; template_residual: that with an rbf ridge of its visible
+    residuals; guarded: the same correction kept near the median visible residual (three robust deviations) and
+    fading with the distance to the nearest visible cell. alphas: of quadratic, rbf, calibration.
+
+    Nothing that is hidden is read for its own unit and mask: templates come from other blocks, the rest from visible
+    cells. Cells that no other block has are left out. A unit's grid of over `most` cells is an error: one
+    unit and mask is one small solve."""
+    from .aggregates import template_stack
+
+    template = template_stack(cells, block, list(cell), value).withColumnRenamed("held_out", block)
     flags = F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), c.alias("hidden")) for n, c in masks.items()]))
-    rows = cells.select("*", flags.alias("m")).select(*cells.columns, "m.*")
-    w = Window.partitionBy(unit, "mask")
-    rows = rows.withColumns({"nh": F.count_if("hidden").over(w), "nv": F.count_if(~F.col("hidden")).over(w)}).where((F.col("nh") >= least_masked) & (F.col("nv") >= least_visible))
-    rows = materialise(rows)
-    beta = moments.coefficients(moments.statistics(rows.where("not hidden"), [unit, "mask"], terms, [F.col(value)]), [unit, "mask"], moments.least_squares, len(terms)).drop("n")
-    template = cells.groupBy("gi", "gj").agg(F.median(value).alias("t"))
-    fit = rows.join(beta, [unit, "mask"]).join(template, ["gi", "gj"]).withColumn("fit", moments.predicted(terms, intercept=False))
-    shift = fit.where("not hidden").groupBy(unit, "mask").agg(F.median(F.col(value) - F.col("t")).alias("offset"), F.median(F.col(value) - F.col("fit")).alias("r"), F.percentile(F.abs(F.col(value) - F.col("fit")), F.lit(0.5)).alias("mad"))
-    fit = fit.where("hidden").join(shift, [unit, "mask"])
-    limit = 3 * 1.4826 * F.col("mad") + 0.05
-    e = lambda c: F.avg(F.abs(c - F.col(value)))
-    return fit.groupBy(unit, "mask").agg(F.count("*").alias("hidden"), e(F.col("fit")).alias("quadratic"), e(F.col("t") + F.col("offset")).alias("template"), e(F.col("fit") + F.greatest(-limit, F.least(limit, F.col("r")))).alias("guarded"))
+    rows = cells.select(unit, block, *cell, F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"), F.col(value).cast("double").alias("y"), flags.alias("m"))
+    rows = rows.join(template, [block, *cell]).select(unit, *cell, "u", "v", "y", "m.*", F.col("template").cast("double").alias("t"))
+    bumps = np.array(geo.rbf_centres() if centres is None else centres)
+    kinds = dict(rows.dtypes)
+
+    def ridge(x: np.ndarray, y: np.ndarray, alpha: float, scaled: bool = True):
+        m, d = x.mean(0), x.std(0) if scaled else np.ones(x.shape[1])
+        d = np.where(d < 1e-12, 1.0, d)
+        z = (x - m) / d
+        b = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
+        return lambda q: y.mean() + (q - m) / d @ b
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > most:
+            raise ValueError(f"a unit has over {most} cells")
+        hidden = frame["hidden"].to_numpy(bool)
+        own = frame.loc[hidden, [unit, "mask", *cell]].assign(value=frame.loc[hidden, "y"], visible=int((~hidden).sum()))
+        if hidden.sum() < least_masked or (~hidden).sum() < least_visible:
+            return own.iloc[:0].assign(**dict.fromkeys(FILLS, 0.0))
+        at, y, t = frame[["u", "v"]].to_numpy(), frame["y"].to_numpy()[~hidden], frame[["t"]].to_numpy()
+        quadratic = np.c_[at, at**2, at[:, :1] * at[:, 1:]]
+        flexible = np.c_[quadratic, np.exp(-((at[:, None] - bumps) ** 2).sum(2) / (2 * sigma**2))]
+        calibrated = ridge(t[~hidden], y, alphas[2], False)(t)
+        residual = y - calibrated[~hidden]
+        correction = ridge(flexible[~hidden], residual, alphas[1])(flexible[hidden])
+        middle = np.median(residual)
+        reach = max(3 * 1.4826 * np.median(np.abs(residual - middle)), 0.05)
+        gap = np.array([((at[~hidden] - q) ** 2).sum(1).min() for q in at[hidden]])
+        found = (
+            t[hidden, 0], ridge(quadratic[~hidden], y, alphas[0])(quadratic[hidden]), ridge(flexible[~hidden], y, alphas[1])(flexible[hidden]), calibrated[hidden],
+            calibrated[hidden] + correction, calibrated[hidden] + np.exp(-0.5 * gap / sigma**2) * np.clip(correction, middle - reach, middle + reach),
+        )
+        return own.assign(**dict(zip(FILLS, found, strict=True)))
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (unit, "mask", *cell)), "value double, visible long", *(f"{f} double" for f in FILLS)])
+    return rows.groupBy(unit, "mask").applyInPandas(solve, schema)
+
+
+def gap_fill(cells: DataFrame, unit: str, block: str, masks: dict[str, Column], value: str, **settings) -> DataFrame:
+    """(unit, mask, hidden, visible, mean absolute errors of the six fills on hidden cells); see gap_predictions."""
+    rows = gap_predictions(cells, unit, block, masks, value, **settings)
+    return rows.groupBy(unit, "mask").agg(F.count("*").alias("hidden"), F.first("visible").alias("visible"), *[F.avg(F.abs(F.col(f) - F.col("value"))).alias(f) for f in FILLS])
 
 
 def residual_template(cells: DataFrame, fold: str, unit: str, cell: list[str], value: str) -> DataFrame:

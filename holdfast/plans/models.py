@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import holdout, moments, predict, spatial, stats
+from ..operators import holdout, learners, moments, predict, spatial, stats
 from ..operators import windows as win
 from .places import knn_sql
 from .registry import query
@@ -81,11 +81,7 @@ def i02b(v):
 
 @query("I03_kmeans_blocks")
 def i03(v):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(v("fx_points2"))
-    return KMeans(k=5, seed=1).fit(rows).transform(rows).select("point_id", F.col("prediction").alias("block"))
+    return learners.kmeans_blocks(v("fx_points2"), "point_id", ["x", "y"])
 
 
 @query("I04_balanced_folds", "WITH RECURSIVE g AS (SELECT k, n, row_number() OVER (ORDER BY n DESC, k) AS i FROM (SELECT l_suppkey % 9 AS k, count(*) AS n FROM lineitem GROUP BY 1)), r AS (SELECT 0::BIGINT AS i, -1::BIGINT AS grp, -1 AS fold, [0::BIGINT, 0, 0] AS load UNION ALL SELECT g.i, g.k, list_position(load, list_min(load)) - 1, [load[1] + CASE WHEN list_position(load, list_min(load)) = 1 THEN n ELSE 0 END, load[2] + CASE WHEN list_position(load, list_min(load)) = 2 THEN n ELSE 0 END, load[3] + CASE WHEN list_position(load, list_min(load)) = 3 THEN n ELSE 0 END] FROM r JOIN g ON g.i = r.i + 1) SELECT grp, fold FROM r WHERE i > 0")
@@ -226,27 +222,13 @@ def i24(v):
 
 @query("I26_tree_regressors")
 def i26(v):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-
-    rows = VectorAssembler(inputCols=["f1", "f2", "f3"], outputCol="features").transform(v("fx_features"))
-    train = rows.where("block_id <> 0")
-    models = [LinearRegression(labelCol="target", regParam=0.1), RandomForestRegressor(labelCol="target", numTrees=10, seed=1), GBTRegressor(labelCol="target", maxIter=5, seed=1)]
-    test = rows.where("block_id = 0")
-    for i, m in enumerate(models):
-        test = m.setPredictionCol(f"p{i}").fit(train).transform(test)
-    p = [F.col(f"p{i}") for i in range(3)]
-    mean = (p[0] + p[1] + p[2]) / 3
-    return test.select("unit_id", "target", *p, F.sqrt(sum(((x - mean) * (x - mean) for x in p), F.lit(0.0)) / 3).alias("disagreement"))
+    return learners.tree_regressors(v("fx_features"), "block_id", ["f1", "f2", "f3"], "target")
 
 
 @query("I27_count_classifier")
 def i27(v):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["f1", "f2", "f3"], outputCol="features").transform(v("fx_features")).withColumn("label", F.least(F.floor(F.col("target") / 35), F.lit(2)).cast("double"))
-    return LogisticRegression(family="multinomial", maxIter=15).fit(rows.where("block_id <> 0")).transform(rows.where("block_id = 0")).select("unit_id", "label", "prediction")
+    rows = v("fx_features").withColumn("label", F.least(F.floor(F.col("target") / 35), F.lit(2)).cast("double"))
+    return learners.count_classifier(rows, "block_id", ["f1", "f2", "f3"], "label").select("unit_id", "block_id", "label", "prediction")
 
 
 @query("I28_penalised_choice", "WITH l AS (SELECT l_orderkey AS case_id, l_linenumber AS k, min(l_extendedprice) / 10000 AS loss FROM lineitem GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY penalty, case_id ORDER BY loss + penalty * (k - 3), k) AS n FROM l, (VALUES (0.0), (0.5), (2.0)) t(penalty)) SELECT CAST(penalty AS DOUBLE) AS penalty, case_id, k AS choice FROM g WHERE n = 1")

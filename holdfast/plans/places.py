@@ -302,10 +302,9 @@ def c12(v):
     return rounded(spatial.two_way_distance(p.where("point_id % 2 = 0"), p.where("point_id % 2 = 1"), ["x", "y", "z"], "point_id", "point_id"), "largest", "median")
 
 
-@query("C14_separated_triples", "WITH p AS (SELECT region, part, point_id, x, y, z, sqrt(pow(x - avg(x) OVER w, 2) + pow(y - avg(y) OVER w, 2) + pow(z - avg(z) OVER w, 2)) AS away FROM (SELECT *, point_id // 120 AS part FROM fx_points3) WINDOW w AS (PARTITION BY region, part)), e AS (SELECT a.region, a.part, a.point_id AS a, b.point_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM p a JOIN p b ON a.region = b.region AND a.part = b.part AND a.point_id < b.point_id), t AS (SELECT e.region, e.part, e.a, e.b, f.b AS c, least(e.d, f.d, g.d) - 0.05 * (x.away + y.away + z.away) / 3 AS score FROM e JOIN e f ON f.a = e.b JOIN e g ON g.a = e.a AND g.b = f.b JOIN p x ON x.point_id = e.a JOIN p y ON y.point_id = e.b JOIN p z ON z.point_id = f.b) SELECT region, part, a, b, c, round(score, 6) AS score FROM t QUALIFY row_number() OVER (PARTITION BY region, part ORDER BY score DESC, a, b, c) = 1")
+@query("C14_separated_triples", "WITH p AS (SELECT region, point_id, x, y, z, sqrt(pow(x - avg(x) OVER w, 2) + pow(y - avg(y) OVER w, 2) + pow(z - avg(z) OVER w, 2)) AS away FROM fx_points3 WINDOW w AS (PARTITION BY region)), e AS (SELECT a.region, a.point_id AS a, b.point_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM p a JOIN p b ON a.region = b.region AND a.point_id < b.point_id), t AS (SELECT e.region, e.a, e.b, f.b AS c, least(e.d, f.d, g.d) - 0.05 * (x.away + y.away + z.away) / 3 AS score FROM e JOIN e f ON f.a = e.b JOIN e g ON g.a = e.a AND g.b = f.b JOIN p x ON x.point_id = e.a JOIN p y ON y.point_id = e.b JOIN p z ON z.point_id = f.b) SELECT region, a, b, c, round(score, 6) AS score FROM t QUALIFY row_number() OVER (PARTITION BY region ORDER BY score DESC, a, b, c) = 1")
 def c14(v):
-    parts = v("fx_points3").withColumn("part", F.floor(F.col("point_id") / 120))  # at most 120 points each
-    return rounded(joins.best_triples(parts, ["region", "part"], "point_id", ["x", "y", "z"]), "score")
+    return rounded(joins.best_triples(v("fx_points3"), ["region"], "point_id", ["x", "y", "z"]), "score")
 
 
 @query("C15_midpoint_controls", f"WITH {knn_sql(1)}, e AS (SELECT DISTINCT least(query_id, neighbour_id) AS a, greatest(query_id, neighbour_id) AS b FROM n) SELECT a, b, round((p.x + q.x) / 2, 6) AS x, round((p.y + q.y) / 2, 6) AS y FROM e JOIN fx_points3 p ON p.point_id = a JOIN fx_points3 q ON q.point_id = b")

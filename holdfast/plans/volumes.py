@@ -20,11 +20,11 @@ def folder(v) -> str:
     return f"{shared_dir(v.spark)}/sink-{uuid4().hex}"
 
 
-@query("A05_voxel_table", "SELECT k // 4 AS slab, count(*) AS n, round(sum(value), 5) AS total FROM fx_voxel GROUP BY 1 HAVING k // 4 = 1")
+@query("A05_voxel_table", "SELECT k // 4 AS slab, count(*) AS n, round(sum(value), 5) AS total FROM fx_voxel GROUP BY 1")
 def a05(v):
     path = folder(v)
     v("fx_voxel").withColumn("slab", F.floor(F.col("k") / 4).cast("int")).write.partitionBy("slab").parquet(path)
-    return v.spark.read.parquet(path).where("slab = 1").groupBy("slab").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"))
+    return v.spark.read.parquet(path).groupBy("slab").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"))
 
 
 @query("A08_new_result", "SELECT method, count(*) AS n FROM fx_unit_error GROUP BY 1")
@@ -51,8 +51,15 @@ def flat(v):
 @query("C07_one_to_one_match")
 def c07(v):
     p = flat(v)
-    pairs = spatial.range_join(p.where("point_id % 2 = 0"), p.where("point_id % 2 = 1"), 0.25, ["x", "y", "z"], "point_id", "point_id", strict=False)
-    return matching.one_to_one(pairs)
+    a, b, dims = p.where("point_id % 2 = 0"), p.where("point_id % 2 = 1"), ["x", "y", "z"]
+    gate = spatial.nearest(a, b, dims, "point_id", "point_id").agg(F.median("distance")).first()[0]  # follows the density: components stay small
+    return matching.one_to_one(spatial.range_join(a, b, gate or 1.0, dims, "point_id", "point_id", strict=False))
+
+
+@query("C07_match_then_gate")
+def c07b(v):
+    line = v("lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("id"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_extendedprice") / 1000).cast("double").alias("b"))
+    return matching.match_then_gate(line.where("id % 2 = 0"), line.where("id % 2 = 1"), ["unit_id"], "id", ["a", "b"], 20.0)
 
 
 @query("C08_shift_association")
@@ -83,8 +90,7 @@ def h16(v):
 
 @query("H18_track_linking")
 def h18(v):
-    part = F.floor(F.col("track_id") / 33) * 1_000_000 + F.floor(F.col("depth") / 700)  # at most 3,300 points a frame
-    t = v("fx_track").select(part.alias("region"), (F.col("depth") % 7).cast("int").alias("frame"), (F.col("track_id") * 1_000_000 + F.col("depth")).alias("id"), "r", "c")
+    t = v("fx_track").select(F.col("track_id").alias("region"), (F.col("depth") % 7).cast("int").alias("frame"), F.col("depth").alias("id"), "r", "c")
     return matching.link_tracks(t, "region", "frame", "id", ["r", "c"], 3, 1.5)
 
 
@@ -111,7 +117,7 @@ def i17(v):
 @query("I19_thin_plate")
 def i19(v):
     p = flat(v)
-    return surfaces.thin_plate(p.where("point_id % 5 = 0"), p.where("point_id % 5 <> 0"), "point_id", "value", 32)
+    return surfaces.thin_plate(p.where("point_id % 5 = 0"), p.where("point_id % 5 <> 0"), "point_id", "value", 64)
 
 
 def surface_cells(v):
@@ -120,14 +126,15 @@ def surface_cells(v):
 
 @query("I25_gap_fill")
 def i25(v):
-    terms = list(geo.polynomial(["u", "v"], 2).values())
-    return surfaces.gap_fill(surface_cells(v), "unit", geo.region_masks(F.col("u"), F.col("v")), terms, "value")
+    return surfaces.gap_fill(surface_cells(v).withColumn("block", F.col("unit") % 3), "unit", "block", geo.region_masks(F.col("u"), F.col("v")), "value")
 
 
 @query("I29_scribble_classifier")
 def i29(v):
-    f = v("fx_features").select((F.col("unit_id") * 1000 + F.floor("f1") * 10 + F.floor(F.col("f2") * 100) % 10).alias("id"), "f1", "f2", "f3", "target").dropDuplicates(["id"])
-    return predict.scribble_classifier(f, f.where("id % 3 = 0").select("id", (F.col("target") > 40).cast("int").alias("label")), "id", ["f1", "f2", "f3"], 2000)
+    voxels = v("fx_voxel")
+    marks = voxels.where((F.col("i") + F.col("j") + F.col("k")) % 3 == 0).select("i", "j", "k", (F.col("value") > 26).cast("int").alias("label"))
+    features = predict.scribble_features(voxels, "value", 50.0)
+    return predict.scribble_classifier(features, marks, ["i", "j", "k"], ["raw", "smooth1", "smooth2", "smooth4", "band", "edge"])
 
 
 @query("I30_residual_template")
@@ -141,10 +148,12 @@ def i32(v):
 
 
 def in_volume(v):
-    """Points with unit normals inside the voxel table."""
+    """Points with unit normals, their coordinates scaled into the voxel table."""
     n = geo.unit(geo.vec())
-    p = flat(v).select("point_id", *[c.alias(f"n{k}") for k, c in zip("xyz", n, strict=True)])
-    return p.withColumns({"x": 4 + F.col("point_id") % 16 + 0.25, "y": 4 + F.col("point_id") % 12 + 0.5, "z": 3 + F.col("point_id") % 3 * 0.5})
+    ends = flat(v).agg(*[f(c).alias(f"{k}{c}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))])
+    p = flat(v).crossJoin(F.broadcast(ends))
+    at = {c: lo + size * (F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}")) for c, lo, size in (("x", 4, 15), ("y", 4, 11), ("z", 3, 1))}
+    return p.select("point_id", *[c.alias(f"n{k}") for k, c in zip("xyz", n, strict=True)], *[c.alias(k) for k, c in at.items()])
 
 
 @query("J13_offset_scan")

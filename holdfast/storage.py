@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The cluster's shared scratch folder: spark.checkpoint.dir. Where it is unset, a folder of our own on a local
+    master; on a cluster an error, as each executor would write to its own disk."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-holdfast-"))
     return context.getCheckpointDir().rstrip("/")
 

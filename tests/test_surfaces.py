@@ -120,11 +120,46 @@ def test_turned_patches_keep_linear_fields(spark):
     assert all(abs(r["value"] - (2 * (r["da"] - 0.5 * r["setting"]) + r["db"])) < 1e-9 for r in got)
 
 
+def surface(units=(1, 2, 3), n=13, seed=6):
+    rnd = np.random.default_rng(seed)
+    return [(u, u % 3, i, j, i / 6 - 1, j / 6 - 1, float((i / 6 - 1) ** 2 + u * (j / 6 - 1) + 0.1 * rnd.normal())) for u in units for i in range(n) for j in range(n)]
+
+
+SURFACE = "unit int, block int, gi int, gj int, u double, v double, value double"
+MASKS = geo.region_masks
+
+
 def test_gap_fill_of_a_quadratic_is_exact(spark):
-    cells = [(u, i, j, i / 6 - 1, j / 6 - 1, (i / 6 - 1) ** 2 + u * (j / 6 - 1)) for u in (1, 2) for i in range(13) for j in range(13)]
-    df = spark.createDataFrame(cells, "unit int, gi int, gj int, u double, v double, value double")
-    got = surfaces.gap_fill(df, "unit", geo.region_masks(F.col("u"), F.col("v")), list(geo.polynomial(["u", "v"], 2).values()), "value").collect()
-    assert got and all(r["quadratic"] < 1e-9 and r["hidden"] >= 12 for r in got)
+    cells = [(*c[:6], c[4] ** 2 + c[0] * c[5]) for c in surface()]
+    df = spark.createDataFrame(cells, SURFACE)
+    got = surfaces.gap_fill(df, "unit", "block", MASKS(F.col("u"), F.col("v")), "value", alphas=(1e-9, 1e-3, 0.1)).collect()
+    assert len(got) >= 9 and all(r["quadratic"] < 1e-6 and r["hidden"] >= 12 for r in got)
+
+
+def test_gap_fill_by_hand_and_without_hidden_values(spark):
+    cells = surface((1, 2, 3, 4))
+    masks = MASKS(F.col("u"), F.col("v"))
+    fills = surfaces.FILLS
+    df = spark.createDataFrame(cells, SURFACE)
+    got = surfaces.gap_predictions(df, "unit", "block", masks, "value").collect()
+    turned = df.withColumn("value", F.when((F.col("unit") == 1) & masks["half_plane"], 1000.0).otherwise(F.col("value")))
+    own = lambda rows: sorted((r["gi"], r["gj"], *[r[f] for f in fills]) for r in rows if r["unit"] == 1 and r["mask"] == "half_plane")
+    after = surfaces.gap_predictions(turned, "unit", "block", masks, "value").collect()
+    assert own(got) and own(got) == own(after)
+    value = {(c[0], c[2], c[3]): c[6] for c in cells}
+    r = next(r for r in got if r["unit"] == 1 and r["mask"] == "quadrant")
+    at = (r["gi"], r["gj"])
+    assert r["uncalibrated"] == np.median([value[u, *at] for u in (2, 3)])  # block 1 has units 1 and 4
+    keep = [c for c in cells if c[0] == 1 and not (c[4] > 0 and c[5] > 0)]
+    t = np.array([np.median([value[u, c[2], c[3]] for u in (2, 3)]) for c in keep])
+    y = np.array([c[6] for c in keep])
+    slope = ((t - t.mean()) @ (y - y.mean())) / (((t - t.mean()) ** 2).sum() + 0.1)
+    assert abs(r["template"] - (y.mean() + slope * (r["uncalibrated"] - t.mean()))) < 1e-9 and r["visible"] == len(keep)
+    q = lambda a, b: np.array([a, b, a * a, b * b, a * b])
+    x = np.array([q(c[4], c[5]) for c in keep])
+    z = (x - x.mean(0)) / x.std(0)
+    b = np.linalg.solve(z.T @ z + 0.1 * np.eye(5), z.T @ (y - y.mean()))
+    assert abs(r["quadratic"] - (y.mean() + (q(at[0] / 6 - 1, at[1] / 6 - 1) - x.mean(0)) / x.std(0) @ b)) < 1e-9
 
 
 def test_unfolded_plane_is_flat_and_edge_region_is_connected(spark):
