@@ -189,7 +189,8 @@ def score_parts(rows: DataFrame, answers: DataFrame, keep: list[str], edge: int)
         return pa.table([*(own.column(c) for c in keep), lm], names=[*keep, "lm"])
 
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("lm", T._parse_datatype_string(FIELDS))])
-    return rows.groupBy("hf_part").cogroup(answers.groupBy("hf_of")).applyInArrow(run, schema)
+    tasks = max(1, rows.select("hf_part").distinct().count() // 4)  # follows the data: a few parts each
+    return rows.repartition(tasks, "hf_part").groupBy("hf_part").cogroup(answers.repartition(tasks, "hf_of").groupBy("hf_of")).applyInArrow(run, schema)
 
 
 def cross_entropy_difference(
