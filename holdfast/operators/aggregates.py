@@ -119,8 +119,9 @@ def best_row(df: DataFrame, by: list[str], order: list[Column], keep: list[str],
 
 def template_stack(cells: DataFrame, fold: str, cell: list[str], value: str) -> DataFrame:
     """For each fold the median of every cell over the other folds: rows are dealt to the folds that use them."""
-    folds = cells.select(F.col(fold).alias("held_out")).distinct()
-    return cells.join(F.broadcast(folds), F.col(fold) != F.col("held_out")).groupBy("held_out", *cell).agg(F.median(value).alias("template"))
+    from .holdout import dealt
+
+    return dealt(cells, fold, "held_out", False).groupBy("held_out", *cell).agg(F.median(value).alias("template"))
 
 
 def radial_profile(cells: DataFrame, by: list[str], i: Column, j: Column, value: str) -> DataFrame:

@@ -44,10 +44,23 @@ def make_splits(points: DataFrame, key: str, x: str, y: str, share: float = 0.25
     return roles("random", random).unionByName(roles("spatial", region)).unionByName(roles("buffered", region, close))
 
 
+MOST_FOLDS = 1_000
+
+
+def dealt(df: DataFrame, block: str, name: str, own: bool, most: int = MOST_FOLDS) -> DataFrame:
+    """df with each row once for each fold (its own too, or only others), in the column `name`. Folds are few by their
+    meaning; over `most` are an error. Rows without a block are only dealt with `own`."""
+    kind = dict(df.dtypes)[block]
+    folds = [r[0] for r in df.select(block).distinct().limit(most + 1).collect()]
+    if len(folds) > most:
+        raise ValueError(f"over {most} folds: every row would be copied to each")
+    names = F.array(*[F.lit(f).cast(kind) for f in folds]).cast(f"array<{kind}>")
+    return df.withColumn(name, F.explode(names if own else F.filter(names, lambda f: f != F.col(block))))
+
+
 def leave_block_out(df: DataFrame, block: str) -> DataFrame:
-    """Every row once for each fold: train where its block isn't the fold. Rows of one block are dealt to few folds."""
-    folds = df.select(F.col(block).alias("fold")).distinct()
-    return df.crossJoin(F.broadcast(folds)).withColumn("role", F.when(F.col(block) == F.col("fold"), "test").otherwise("train"))
+    """Every row once for each fold: train where its block isn't the fold."""
+    return dealt(df, block, "fold", True).withColumn("role", F.when(F.col(block) == F.col("fold"), "test").otherwise("train"))
 
 
 def balanced_folds(groups: DataFrame, group: str, size: str, folds: int, most: int = 1_000_000) -> DataFrame:

@@ -29,7 +29,7 @@ def folds_of(df: DataFrame, block: str) -> list:
 def regressors(target: str, seed: int) -> dict:
     """Name to learner."""
     both = {"featuresCol": "hf_features", "labelCol": target}
-    return {"ridge": LinearRegression(regParam=0.1, **both), "forest": RandomForestRegressor(numTrees=20, seed=seed, **both), "boosted": GBTRegressor(maxIter=10, seed=seed, **both)}
+    return {"ridge": LinearRegression(regParam=0.1, **both), "forest": RandomForestRegressor(numTrees=10, seed=seed, **both), "boosted": GBTRegressor(maxIter=5, seed=seed, **both)}
 
 
 def tree_regressors(df: DataFrame, block: str, xs: list[str], target: str, inner: int = 3, seed: int = 1) -> DataFrame:

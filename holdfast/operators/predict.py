@@ -106,9 +106,8 @@ def tuned_ridge(df: DataFrame, block: str, unit: str, xs: list[Column], target:
 
 def offset_calibration(cases: DataFrame, block: str, offset: str) -> DataFrame:
     """Each case with the median offset of the other blocks, before and after."""
-    folds = cases.select(F.col(block).alias("hf_fold")).distinct()
-    shift = cases.join(F.broadcast(folds), F.col(block) != F.col("hf_fold")).groupBy("hf_fold").agg(F.median(offset).alias("shift"))
-    out = cases.join(F.broadcast(shift), F.col(block) == F.col("hf_fold"), "left").drop("hf_fold")
+    shift = holdout.dealt(cases, block, "hf_fold", False).groupBy("hf_fold").agg(F.median(offset).alias("shift"))
+    out = cases.join(F.broadcast(shift), F.col(block) == F.col("hf_fold"), "left").drop("hf_fold")  # a row for each fold
     return out.withColumns({"before": F.abs(offset), "after": F.abs(F.col(offset) - F.col("shift"))})
 
 

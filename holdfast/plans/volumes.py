@@ -137,9 +137,10 @@ def i29(v):
     return predict.scribble_classifier(features, marks, ["i", "j", "k"], ["raw", "smooth1", "smooth2", "smooth4", "band", "edge"])
 
 
-@query("I30_residual_template")
+@query("I30_residual_template", "WITH c AS (SELECT k AS unit, k % 2 AS fold, i AS gi, j AS gj, value FROM fx_voxel), o AS (SELECT unit, median(value) AS background, greatest(quantile_cont(value, 0.95) - quantile_cont(value, 0.05), 1.0) AS contrast FROM c GROUP BY 1), s AS (SELECT c.*, background, contrast, (value - background) / contrast AS r FROM c JOIN o USING (unit)), t AS (SELECT h AS fold, gi, gj, median(r) AS template FROM s JOIN (SELECT DISTINCT fold AS h FROM c) f ON s.fold <> f.h GROUP BY 1, 2, 3) SELECT unit, gi, gj, round(background + contrast * template, 4) AS prediction FROM s JOIN t USING (fold, gi, gj)")
 def i30(v):
-    return surfaces.residual_template(surface_cells(v).withColumn("fold", F.col("unit") % 2), "fold", "unit", ["gi", "gj"], "value")
+    out = surfaces.residual_template(surface_cells(v).withColumn("fold", F.col("unit") % 2), "fold", "unit", ["gi", "gj"], "value")
+    return out.select("unit", "gi", "gj", F.round("prediction", 4).alias("prediction"))
 
 
 @query("I32_local_normals")

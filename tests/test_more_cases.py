@@ -170,6 +170,13 @@ def test_learners_never_see_their_block(spark):
     assert all(again[r["id"]] == r["prediction"] for r in got if r["block"] == 1)
 
 
+def test_folds_are_bounded(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id int, block int")
+    assert sorted(map(tuple, holdout.dealt(df, "block", "fold", False).select("id", "fold").where("fold is not null").collect())) == [(1, 6), (2, 5)]
+    with pytest.raises(ValueError, match="folds"):
+        holdout.leave_block_out(spark.range(3), "id") and holdout.dealt(spark.range(3), "id", "fold", True, most=2)
+
+
 def test_kmeans_blocks(spark):
     rnd = random.Random(5)
     rows = [(i, 10.0 * (i % 3) + rnd.random(), rnd.random()) for i in range(90)]
