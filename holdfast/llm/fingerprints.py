@@ -128,6 +128,7 @@ def likeness_column(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+ROWS, MOST_RANGES = 5_000, 100_000  # rows of a bucket, as long as there are fewer buckets than that
 SPLIT = 64  # buckets of an id, or of null ids, that very many rows share
 
 
@@ -138,9 +139,9 @@ def in_descending_order(docs: DataFrame, doc_id: str = "doc_id", buckets: int |
     should have is a bucket range of its own, split by the text's hash (only rows repeated in full stay together). Texts
     are shuffled once."""
     ids = docs.select(F.col(doc_id).alias("doc_id"))
-    n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = ids.groupBy("doc_id").agg(F.count("*").alias("n"))
     rows = ids.count()
+    n = buckets or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows // ROWS, MOST_RANGES))
+    counts = ids.groupBy("doc_id").agg(F.count("*").alias("n"))
     heavy = [r[0] for r in counts.where(F.col("n") > max(2 * rows // n, SPLIT)).select("doc_id").collect()]  # n / 2 ids at most
     bounds = set(ids.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))) if n > 1 else set()
     bounds |= {float(i + d) for i in heavy if i is not None for d in (0, 1)}
@@ -161,7 +162,7 @@ def in_descending_order(docs: DataFrame, doc_id: str = "doc_id", buckets: int |
     rows = bucketed(docs).join(F.broadcast(heads), F.col(doc_id).eqNullSafe(F.col("hf_top")) & (F.col("hf_hash") == F.col("hf_mark")), "left")
     places = F.array_compact(F.array(F.struct(F.col("hf_bucket").alias("hf_bucket"), F.lit(False).alias("hf_ahead")), F.when(F.col("hf_to").isNotNull(), F.struct(F.col("hf_to").alias("hf_bucket"), F.lit(True).alias("hf_ahead")))))
     rows = rows.select(*docs.columns, "hf_hash", F.explode(places).alias("hf")).select(*docs.columns, "hf_hash", "hf.*")
-    return rows.repartition("hf_bucket").sortWithinPartitions("hf_bucket", "hf_ahead", F.col(doc_id).desc_nulls_last(), "hf_hash", F.col("text").asc_nulls_first())
+    return rows.repartition(max(1, n // 4), "hf_bucket").sortWithinPartitions("hf_bucket", "hf_ahead", F.col(doc_id).desc_nulls_last(), "hf_hash", F.col("text").asc_nulls_first())
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
