@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, fingerprints, language, lm, mixing, pii, quality, simhash, warc
+from . import audio, bpe, fingerprints, language, lm, mixing, pii, quality, sentence, simhash, warc
 from .common import held_out, materialise, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 OP5_SQL = """
@@ -93,6 +94,14 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], "rate")
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the SentencePiece model, and the text that they decode to."""
+    model = public_tokenizers.path(PIECES)
+    coded = sentence.sp_decode(sentence.sp_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    written = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
