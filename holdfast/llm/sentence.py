@@ -13,7 +13,8 @@ encoding one last token. It is found from left to right, without merging:
 That takes time in proportion to the text, also for very long runs without white space. Pieces that merging their own
 characters doesn't give (if any) are never last tokens. Characters without a piece become the byte pieces of their UTF-8
 form. Spaces and the mark U+2581 are one; the text gets one in front. Where no piece has a space behind another character,
-texts are cut there and the parts' ids kept for a while, as no merge goes across such a border.
+or a letter beside something else but leading spaces, texts are cut there and the parts' ids kept for a while, as no merge goes
+across such a border.
 
 Null texts count as empty: the end id alone, and an empty text when decoded. `ids` are array<int>; null ids are
 decoded to null. Rows repeated in full, or with one id, each get their own; an empty table gives an empty result; a column
@@ -37,7 +38,14 @@ from sentencepiece import sentencepiece_model_pb2
 from .common import by_slices, set_aside
 
 MARK = "▁"
-CACHED = 400_000  # parts of texts whose ids a worker keeps, twice: those met since the last change, and those before it
+#: How texts are cut, finest first, and what no piece may then look like.
+LETTER = r"[^\W\d_\u00b2\u00b3\u00b9]"  # superscript digits aside
+CUTS = (
+    (rf" *(?:{LETTER}+|(?:(?!{LETTER})[^ ])+)| +", rf"[^ ] |{LETTER}(?!{LETTER})[^ ]|(?!{LETTER})[^ ]{LETTER}"),
+    (" *[^ ]+| +", "[^ ] "),
+    ("(?s:.+)", "(?!)"),
+)
+CACHED = 150_000  # parts of texts whose ids a worker keeps, twice: those met since the last change, and those before it
 NEVER = float("inf")
 # Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -78,13 +86,13 @@ class Pieces(dict):
         self.neighbours = Neighbours(self.rank)
         plain = {NORMAL: lambda p: p.piece.replace(MARK, " ").encode(), UNKNOWN: lambda p: t.unk_surface.encode(), CONTROL: lambda p: b"\xff", BYTE: lambda p: bytes([int(p.piece[3:5], 16)])}
         self.raw = [plain[p.type](p) for p in proto.pieces]
-        cut = not any(re.search("[^ ] ", piece) for piece in self.number)
-        self.parts = re.compile(" *[^ ]+| +" if cut else "(?s:.+)").findall
-        self.automaton = ahocorasick.Automaton()
+        self.parts = next(re.compile(cut).findall for cut, across in CUTS if not any(map(re.compile(across).search, self.number)))
+        self.single = {piece: (i, 1) for piece, i in self.number.items() if len(piece) == 1}
+        self.automaton = ahocorasick.Automaton()  # of the longer pieces
         last: dict[str, tuple[str, str]] = {}
         for piece, i in self.number.items():
             merged = self.merged(piece, last)
-            if len(merged) == 1:
+            if len(merged) == 1 < len(piece):
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         for piece, i in self.number.items():
@@ -113,11 +121,13 @@ class Pieces(dict):
         return found
 
     def table(self, part: str) -> list[tuple[int, int] | None]:
-        """The last token of every prefix and its length (None: a character without a piece). The first is of the empty prefix."""
-        last, neighbours = [None] * (len(part) + 1), self.neighbours
+        """The last token of every prefix and its length (None: a character without a piece). The first is of the empty
+        prefix. Where no longer piece fits, it is the last character alone."""
+        last, neighbours = [None, *map(self.single.get, part)], self.neighbours
         for end, token in self.automaton.iter(part):
-            if last[end + 1] is None and ((before := last[end + 1 - token[1]]) is None or neighbours[before[0] << 32 | token[0]]):
-                last[end + 1] = token
+            if (known := last[end + 1]) is None or known[1] == 1:
+                if (before := last[end + 1 - token[1]]) is None or neighbours[before[0] << 32 | token[0]]:
+                    last[end + 1] = token
         return last
 
     def backwards(self, part: str) -> list[int]:
@@ -231,7 +241,15 @@ def sp_decode(docs: DataFrame, model_path: str, ids: str = "ids", decoded: str =
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _pieces(name)
+
+        def make(part: pa.Array) -> pa.Array:
+            flat, texts, at = part.flatten().to_numpy(zero_copy_only=False).tolist(), [], 0
+            for n in part.value_lengths().to_pylist():
+                texts.append(None if n is None else pieces.decode(flat[at : at + n]))
+                at += n or 0
+            return pa.array(texts, pa.string())
+
         for batch in batches:
-            yield by_slices(lambda part: pa.array([None if x is None else pieces.decode(x) for x in part.to_pylist()], pa.string()), batch)
+            yield by_slices(make, batch)
 
     return docs.withColumn(decoded, run(F.col(ids)))
