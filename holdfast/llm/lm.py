@@ -4,15 +4,16 @@ Both models are interpolated bigram models over one vocabulary: the byte-level B
 before and after each text. They are matched: same order, same vocabulary, same smoothing (Witten-Bell, down to the
 uniform distribution over the vocabulary). Target counts are gathered over the target rows, background counts over all
 rows; nothing is pruned. A document's score is the target's cross-entropy minus the background's, in nats a token: the lower,
-the more the text resembles the target.
+the more the text resembles the target. A row is never scored by its own counts: they are taken out of both models first (of the
+target's only if it is a target row), so rows that the target was made from and others like them score alike.
 
 1. Texts become packed ids and are marked as target or not by one shuffled join. Each task counts the bigrams of its
    rows in parts of PART tokens; a part keeps its rows' ids, and one row for each different bigram with both counts.
 2. The parts' counts are summed by bigram: the model is a distributed table that grows with the corpus, and never
    reaches the driver. Only the sums by single token, which have a row for each id of the vocabulary at most (a size
-   that the rank file fixes), are broadcast to turn it into log probabilities.
-3. A part's bigrams are joined with the model, and come back to the part as one small table, with which its rows are
-   scored. So a bigram moves once for each part, not once for each document or token.
+   that the rank file fixes), are sent to all tasks.
+3. A part's bigrams are joined with the model, and their counts come back to the part as one small table, with which its rows
+   are scored. So a bigram moves once for each part, not once for each document or token.
 
 Null and empty texts have one token, the closing edge. Without target rows the target model is uniform. Rows that share
 an id are all target rows if it is one; rows with a null id never are. Repeated rows count as often as they occur and get
@@ -99,7 +100,7 @@ class Counts:
 
 
 def count_parts(rows: DataFrame, keep: list[str], edge: int, part: int = PART) -> DataFrame:
-    """rows: keep, hf_ids and hf_target. For each row (keep, hf_part, hf_ids), and for each bigram of a part (hf_part,
+    """rows: keep, hf_ids and hf_target. For each row (keep, hf_part, hf_ids, hf_target), and for each bigram of a part (hf_part,
     hf_gram, hf_t, hf_b); what a row hasn't is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +108,9 @@ def count_parts(rows: DataFrame, keep: list[str], edge: int, part: int = PART) -
         number, counts = TaskContext.get().partitionId() << 32, Counts()
         types: list[pa.DataType] = []
 
-        def table(n: int, own: list[pa.Array], number: int, ids: pa.Array | None, sums: list[np.ndarray] | None) -> pa.RecordBatch:
-            more = [pa.array(np.full(n, number)), pa.nulls(n, pa.binary()) if ids is None else ids, *([pa.nulls(n, pa.int64())] * 3 if sums is None else map(pa.array, sums))]
-            return pa.RecordBatch.from_arrays([*own, *more], names=[*keep, "hf_part", "hf_ids", "hf_gram", "hf_t", "hf_b"])
+        def table(n: int, own: list[pa.Array], number: int, ids: tuple[pa.Array, pa.Array] | None, sums: list[np.ndarray] | None) -> pa.RecordBatch:
+            more = [pa.array(np.full(n, number)), *((pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_())) if ids is None else ids), *([pa.nulls(n, pa.int64())] * 3 if sums is None else map(pa.array, sums))]
+            return pa.RecordBatch.from_arrays([*own, *more], names=[*keep, "hf_part", "hf_ids", "hf_target", "hf_gram", "hf_t", "hf_b"])
 
         def grams() -> Iterator[pa.RecordBatch]:
             sums = counts.settle()
@@ -125,7 +126,7 @@ def count_parts(rows: DataFrame, keep: list[str], edge: int, part: int = PART) -
                 full = counts.total >= part
                 if full or i == len(batch) - 1:
                     size = i + 1 - start
-                    yield table(size, [batch.column(c).slice(start, size) for c in keep], number, packed.slice(start, size), None)
+                    yield table(size, [batch.column(c).slice(start, size) for c in keep], number, (packed.slice(start, size), batch.column("hf_target").slice(start, size)), None)
                     start = i + 1
                 if full:
                     yield from grams()
@@ -133,51 +134,83 @@ def count_parts(rows: DataFrame, keep: list[str], edge: int, part: int = PART) -
         if counts.total:
             yield from grams()
 
-    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("hf_part", T.LongType()), T.StructField("hf_ids", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in ("hf_gram", "hf_t", "hf_b")])
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("hf_part", T.LongType()), T.StructField("hf_ids", T.BinaryType()), T.StructField("hf_target", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("hf_gram", "hf_t", "hf_b")])
     for field in schema:
         field.nullable = True
     return rows.select(*keep, "hf_ids", "hf_target").mapInArrow(run, schema)
 
 
-def log_probabilities(grams: DataFrame, vocabulary: int) -> DataFrame:
-    """(hf_gram, hf_lt, hf_lb): log p(token | the one before it) of every bigram that occurs, by both models. grams:
-    (hf_gram, hf_t, hf_b), in parts. vocabulary counts the edge."""
-    sums = materialise(grams.groupBy("hf_gram").agg(F.sum("hf_t").alias("t"), F.sum("hf_b").alias("b")))
-    sums = sums.withColumns({"first": F.shiftright("hf_gram", 32), "second": F.col("hf_gram").bitwiseAND(F.lit((1 << 32) - 1))})
-    known = lambda c: F.greatest(F.lit(1), F.count_if(F.col(c) > 0))
-    one = materialise(sums.groupBy("second").agg(F.sum("t").alias("t1"), F.sum("b").alias("b1")))
-    before = materialise(sums.groupBy("first").agg(F.sum("t").alias("tn"), F.sum("b").alias("bn"), known("t").alias("tk"), known("b").alias("bk")))
-    n = one.agg(F.sum("t1").alias("t"), F.sum("b1").alias("b"), known("t1").alias("tk"), known("b1").alias("bk")).first()
-    if n["b"] is None:
-        return sums.select("hf_gram", F.lit(0.0).alias("hf_lt"), F.lit(0.0).alias("hf_lb"))
-    single = lambda c: (F.col(f"{c}1") + n[f"{c}k"] / vocabulary) / float(n[c] + n[f"{c}k"])
-    one = one.select("second", single("t").alias("pt"), single("b").alias("pb"))
-    both = sums.join(F.broadcast(one), "second").join(F.broadcast(before), "first")  # a row for each id of the vocabulary at most
-    pair = lambda c: F.log((F.col(c) + F.col(f"{c}k") * F.col(f"p{c}")) / (F.col(f"{c}n") + F.col(f"{c}k")))
-    return both.select("hf_gram", pair("t").alias("hf_lt"), pair("b").alias("hf_lb"))
-
-
-def score_parts(rows: DataFrame, answers: DataFrame, keep: list[str], edge: int) -> DataFrame:
-    """keep and `lm` of every row. rows: keep, hf_part, hf_ids; answers: hf_of (the part), hf_gram, hf_lt, hf_lb."""
+class Singles:
+    """Of each id of the vocabulary (the edge last), for the target and for all rows: how often it occurs, how often
+    something follows it, and how many different ids do."""
+
+    def __init__(self, sums: DataFrame, vocabulary: int):
+        self.size = vocabulary
+        pair = {"first": F.shiftright("hf_gram", 32), "second": F.col("hf_gram").bitwiseAND(F.lit((1 << 32) - 1))}
+        sums = sums.withColumns(pair)
+        kinds = lambda c: F.count_if(F.col(c) > 0)
+        shape = (2, vocabulary)
+        self.times, self.followed, self.followers = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        for r in sums.groupBy("second").agg(F.sum("hf_t"), F.sum("hf_b")).collect():  # as many rows as the vocabulary at most
+            self.times[:, r[0]] = r[1:]
+        for r in sums.groupBy("first").agg(F.sum("hf_t"), F.sum("hf_b"), kinds("hf_t"), kinds("hf_b")).collect():
+            self.followed[:, r[0]], self.followers[:, r[0]] = r[1:3], r[3:]
+
+
+def own_sums(keys: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
+    """For each element, the sum of the weights over the elements with its key."""
+    _, place = np.unique(keys, return_inverse=True)
+    return [np.bincount(place, weights=w)[place] for w in weights]
+
+
+def losses(row: np.ndarray, gram: np.ndarray, times: np.ndarray, all_times: np.ndarray, inside: np.ndarray, singles: Singles, model: int, n_rows: int) -> np.ndarray:
+    """The sum of -log p over each row's tokens, in a model without the row's own counts. row, gram, times: each row's different
+    bigrams; all_times: the model's counts of them; inside: whether the row was counted in the model."""
+    first, second = gram >> 32, gram & ((1 << 32) - 1)
+    own = times * inside
+    left = all_times - own
+    gone = (own > 0) & (left == 0)
+    follow, fewer = own_sums(row * singles.size + first, own, gone)
+    single, = own_sums(row * singles.size + second, own)
+    alone = singles.times[model, second] - single
+    # ids that no other row has: each counts once for its row
+    _, at = np.unique(row * singles.size + second, return_index=True)
+    lost = np.bincount(row[at], weights=(single[at] > 0) & (alone[at] == 0), minlength=n_rows)
+    total = singles.times[model].sum() - np.bincount(row, weights=own, minlength=n_rows)
+    kinds = np.maximum(1, (singles.times[model] > 0).sum() - lost)
+    p1 = (alone + kinds[row] / singles.size) / (total + kinds)[row]
+    k = np.maximum(1, singles.followers[model, first] - fewer)
+    p = (left + k * p1) / (singles.followed[model, first] - follow + k)
+    return np.bincount(row, weights=-np.log(p) * times, minlength=n_rows)
+
+
+def score_parts(rows: DataFrame, answers: DataFrame, keep: list[str], edge: int, singles: Singles) -> DataFrame:
+    """keep and `lm` of every row. rows: keep, hf_part, hf_ids, hf_target; answers: hf_of (the part), hf_gram, hf_t, hf_b."""
+    sent = rows.sparkSession.sparkContext.broadcast(singles)
 
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
         unsqueeze = zstandard.ZstdDecompressor().decompress
         order = np.argsort(gram := known.column("hf_gram").to_numpy())
-        gram, values = gram[order], [known.column(c).to_numpy()[order] for c in ("hf_lt", "hf_lb")]
+        gram, counts = gram[order], [known.column(c).to_numpy()[order] for c in ("hf_t", "hf_b")]
         out: list[list[np.ndarray]] = [[], [], []]
         waiting: list[np.ndarray] = []
+        marks: list[bool] = []
 
         def settle() -> None:
             sizes = np.array([len(w) for w in waiting])
-            starts, place = np.cumsum(sizes) - sizes, np.searchsorted(gram, np.concatenate(waiting))
+            place = np.searchsorted(gram, np.concatenate(waiting))
+            keys, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(gram) + place, return_counts=True)
+            row, at = keys // len(gram), keys % len(gram)
             out[0].append(sizes)
-            for i, v in enumerate(values):
-                out[i + 1].append(-np.add.reduceat(v[place], starts) / sizes)
+            for i, inside in enumerate((np.array(marks)[row], np.ones(len(row), bool))):
+                out[i + 1].append(losses(row, gram[at], times, counts[i][at], inside, sent.value, i, len(sizes)) / sizes)
             waiting.clear()
+            marks.clear()
 
         size = 0
-        for packed in own.column("hf_ids"):
+        for packed, mark in zip(own.column("hf_ids"), own.column("hf_target"), strict=True):
             waiting.append(bigrams(unplaned(unsqueeze(packed.as_py())), edge))
+            marks.append(mark.as_py())
             size += len(waiting[-1])
             if size >= STEP:
                 settle()
@@ -211,6 +244,6 @@ def cross_entropy_difference(
     with small_batches(docs.sparkSession):
         parts = materialise(count_parts(marked, keep, edge, part))
     grams = parts.where("hf_gram is not null").select("hf_part", "hf_gram", "hf_t", "hf_b")
-    model = log_probabilities(grams, edge + 1)
+    model = materialise(grams.groupBy("hf_gram").agg(F.sum("hf_t").alias("hf_t"), F.sum("hf_b").alias("hf_b")))
     answers = grams.select(F.col("hf_part").alias("hf_of"), "hf_gram").join(model, "hf_gram")
-    return score_parts(parts.where("hf_ids is not null").select(*keep, "hf_part", "hf_ids"), answers, keep, edge)
+    return score_parts(parts.where("hf_ids is not null").select(*keep, "hf_part", "hf_ids", "hf_target"), answers, keep, edge, Singles(model, edge + 1))

@@ -48,13 +48,24 @@ def test_scores_equal_brute_force(spark, part, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lm string").repartition(3)
     got = lm.cross_entropy_difference(df, df.where("doc_id in (0, 1)"), ("doc_id", "text"), part=part).collect()
     assert len(got) == len(rows)
-    t, b = brute([r[1] for r in rows if r[0] in (0, 1)]), brute([r[1] for r in rows])
     for r in got:
-        own = grams(r["text"])
+        own, me = grams(r["text"]), (r["doc_id"], r["text"], "x")
+        others = [x for i, x in enumerate(rows) if i != rows.index(me)]  # all but the row itself
+        t, b = brute([x[1] for x in others if x[0] in (0, 1)]), brute([x[1] for x in others])
         x, y = (-sum(log(m(g)) for g in own) / len(own) for m in (t, b))
         assert r["lm"]["n_tokens"] == len(own) and np.allclose([r["lm"]["target"], r["lm"]["background"], r["lm"]["difference"]], [x, y, x - y], atol=1e-9)
-    by = {r["doc_id"]: r["lm"]["difference"] for r in got}
-    assert by[0] < 0 < by[3]
+
+
+def test_target_rows_and_held_out_rows_of_a_kind_score_alike(spark):
+    import random
+
+    draw = random.Random(3)
+    kinds = {k: [f"{k}{draw.randrange(10**4)}" for _ in range(60)] for k in ("good", "bad")}
+    rows = [(i, " ".join(draw.choice(kinds["good" if i % 2 else "bad"]) for _ in range(60))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["lm"]["difference"] for r in lm.cross_entropy_difference(df, df.where("doc_id % 4 = 1")).collect()}
+    mean = lambda r: np.mean([got[i] for i in range(400) if i % 4 == r])
+    assert abs(mean(1) - mean(3)) < 0.1 and max(mean(1), mean(3)) < mean(0) - 1 and max(mean(1), mean(3)) < mean(2) - 1
 
 
 def test_counts_in_steps(monkeypatch):
