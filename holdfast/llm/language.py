@@ -1,7 +1,7 @@
 """Language identification of texts whose parts may have different languages.
 
-Every word has a script, by the range of its first letter; only languages that were seen in that script are
-its candidates. Each candidate scores the word by its character trigrams. Viterbi's algorithm then finds the
+A word is a run of letters with the marks (vowel signs, accents) that follow them. It has a script, by the range of its first
+letter; only languages that were seen in that script are its candidates. Each candidate scores the word by its character trigrams. Viterbi's algorithm then finds the
 best sequence of languages with a penalty for each switch, and runs of one language are spans.
 
 A text's language is the one with most letters in its spans, its score their share; of languages with equally many,
@@ -14,6 +14,7 @@ out. Without any labelled row, or in an empty table, every text is `und`. Repeat
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +36,9 @@ SCRIPTS = (
     (0x3040, "kana"), (0x3100, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other"),
 )
 _STARTS, _NAMES = zip(*SCRIPTS, strict=True)
-WORD = re.compile(r"[^\W\d_]+")
+LETTER = re.compile(r"[^\W\d_]")
+_MARKS = "".join(map(re.escape, (chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")))
+WORD = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
 
 
 def script(word: str) -> str:
@@ -60,13 +63,9 @@ class Model:
         for lang, g, n in counts:
             table[self.gram[g], place[lang]] += n
         self.table = np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32)
-        total = Counter()
-        for lang, _, n in scripts:
-            total[lang] += n
         self.masks: dict[str, np.ndarray] = {}
-        for lang, s, n in scripts:
-            if n >= 0.01 * total[lang]:
-                self.masks.setdefault(s, np.full(len(place), OUT, np.float32))[place[lang]] = 0
+        for lang, s, _ in scripts:
+            self.masks.setdefault(s, np.full(len(place), OUT, np.float32))[place[lang]] = 0
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row for each word: the candidates' log probabilities, OUT for others; all 0 for unseen scripts."""
@@ -143,7 +142,7 @@ def fit_languages(docs: DataFrame, most: int = MOST_ROWS, text: str = "text", la
 
 def last_end(text: str) -> int:
     """Where the last word ends."""
-    return next(i for i in range(len(text), 0, -1) if WORD.match(text[i - 1]))
+    return WORD.match(text, next(i for i in range(len(text) - 1, -1, -1) if LETTER.match(text[i]))).end()
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH) -> DataFrame:

@@ -67,6 +67,28 @@ def test_all_trigrams_of_the_sample_count_and_clashing_columns_stay(spark):
     assert out.columns == ["doc_id", "text", "Language_input", "language"]
 
 
+def test_marks_belong_to_their_words():
+    text = "हिन्दी में é e\u0301te\u0301 สวัสดี ab2c"
+    assert language.WORD.findall(text) == ["हिन्दी", "में", "é", "e\u0301te\u0301", "สวัสดี", "ab", "c"]
+    assert language.last_end("x हिन्दी 12") == len("x हिन्दी") and language.last_end("é 1") == 1
+
+
+def test_a_language_seen_once_in_a_script_is_a_candidate():
+    model = language.Model([("en", " th", 900), ("ru", " эт", 5)], [("en", "latin", 1000), ("en", "cyrillic", 1), ("ru", "cyrillic", 9)])
+    assert (model.masks["cyrillic"] == 0).all() and model.masks["latin"].tolist() == [0, language.OUT]
+
+
+def test_word_scores_equal_plain_sums():
+    counts = [("en", " th", 9), ("en", "the", 4), ("de", " th", 1), ("de", "he ", 2)]
+    model = language.Model(counts, [("en", "latin", 9), ("de", "latin", 3)])
+    kinds, plain = sorted({g for _, g, _ in counts}), {}
+    for lang in ("de", "en"):
+        own = {g: sum(n for k, x, n in counts if (k, x) == (lang, g)) + 0.5 for g in kinds}
+        total = sum(own.values()) + 0.5
+        plain[lang] = sum(np.log(own.get(g, 0.5) / total) for g in language.grams("the"))
+    assert np.allclose(model.scores(["The"])[0], [plain["de"], plain["en"]], atol=1e-5)
+
+
 def test_odd_rows(spark):
     model = language.fit_languages(table(spark))
     for df in (docs(spark), none(spark)):
