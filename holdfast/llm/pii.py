@@ -5,15 +5,18 @@
    that has three digits or an at sign is an instance. Its lexical patterns are: the two pieces before it; the pieces
    before and after it; the piece before it with its own shape; its spelling (first four characters and length).
 3. Patterns and instances form a graph over all documents. Instances that base spans cover are seeds, with
-   score 1; so are long keys of mixed letters and digits, with the kind `secret`. A pattern's confidence is the sum
+   score 1; so are long keys of mixed letters and digits behind the name of a credential (`password=`, `api key:`,
+   `bearer`), with the kind `secret`. How a key looks alone makes it no seed. A pattern's confidence is the sum
    of its instances' scores, each as often as it occurs, over the number of times that the pattern occurs: for patterns of
    words alone anywhere in the corpus, whatever piece stands there; for those with a shape or spelling among
-   instances. It needs seeds with at least three different texts. Copies count on both sides, and both sides grow alike,
+   instances. So whatever else stands in a pattern's place counts against it. It needs seeds with at least LEAST_SEEDS
+   different texts, and an instance never supports itself: its own occurrences are taken out, on both sides, before a pattern
+   speaks for it. Copies count on both sides, and both sides grow alike,
    so a corpus that is ten times as large gives the same confidence. Only patterns with a high confidence count. An
    instance that is no seed scores as its best pattern. A few rounds spread scores from seeds to patterns, to new
    instances and on to further patterns.
-4. Instances with a high score are found wherever they occur, with the kind of the pattern's seeds. A long key is
-   reported only so: because of where it stands, or how it begins, never for its looks alone.
+4. Instances with a high score are found wherever they occur, with the kind of the pattern's seeds, and so are
+   the declared keys. Other long keys (hashes, file names, order numbers) are reported only where patterns say so.
 
 How often words occur in the corpus is counted exactly, by the 64-bit hash of the pattern, for patterns of at least three
 different instances that can still reach a high confidence: a pattern that some of the texts already show too often for
@@ -52,10 +55,12 @@ PIECE = r"[^\s=:]*+[=:]|[^\s=:]++"
 IDENTIFIER = r"^(?:[^@]*+@|(?:[^0-9]*+[0-9]){3})"
 CANDIDATE = r"(?<![^\s=:])(?=[^\s=:@]*+@|(?:[^\s=:0-9]*+[0-9]){3})[^\s=:]++[=:]?"
 HEAD, TAIL = r"^[^A-Za-z0-9+@]++", r"[^A-Za-z0-9+@]++$"
-#: The seeds of the kind secret: keys of 20 characters or more with three digits and three letters at least.
+#: The seeds of the kind secret: keys of 20 characters or more with three digits and three letters at least, and what the
+#: two pieces before them must say.
+DECLARED = r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|(?:api|access|auth|private|secret|session|signing|encryption)[ _-]?keys?)[\"'\])]*\s?[=:]$|\bbearer$"
 KEY = r"^(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^A-Za-z]*+[A-Za-z]){3})[A-Za-z0-9_+/-]{20,}$"
 
-ROUNDS, ACCEPT, LEAST_SEEDS = 3, 0.6, 3
+ROUNDS, ACCEPT, LEAST_SEEDS = 3, 0.6, 5
 SHARES = (1, 16, 256)  # of 256 parts of the texts: those that patterns are counted over, in turn
 BITS = 14  # the bitmap has 2^BITS words of 64 bits
 
@@ -96,15 +101,15 @@ def before_after(left: Column, own: Column, right: Column) -> tuple[Column, Colu
 
 
 def contexts_of(words: Column) -> Column:
-    """array<struct<left,before,around>> of the pieces that are instances: the piece before, and both patterns
-    (null where a neighbour is missing)."""
+    """array<struct<left,before,around,declared>> of the pieces that are instances: the piece before, both patterns
+    (null where a neighbour is missing), and whether the pieces before name a credential."""
 
     def one(w: Column, i: Column) -> Column:
         at = lambda k: F.when(i + k >= 0, F.get(words, i + k))
         before, around = before_after(at(-2), at(-1), at(-1))[0], before_after(at(-1), at(-1), at(1))[1]
         return F.when(
             w.rlike(IDENTIFIER),
-            F.struct(at(-1).alias("left"), F.when(i >= 2, before).alias("before"), F.when((i >= 1) & at(1).isNotNull(), around).alias("around")),
+            F.struct(at(-1).alias("left"), F.when(i >= 2, before).alias("before"), F.when((i >= 1) & at(1).isNotNull(), around).alias("around"), F.concat_ws(" ", at(-2), at(-1)).rlike(DECLARED).alias("declared")),
         )
 
     return F.array_compact(F.transform(words, one))
@@ -150,7 +155,7 @@ def instances(placed: DataFrame, base: DataFrame) -> DataFrame:
     tokens = placed.where(F.col("kind") == "other").select(
         "doc_id", "rk", "copies", start.alias("start"), (start + F.char_length(core)).alias("end"), F.xxhash64(F.lower(core)).alias("instance"),
         F.array_distinct(F.array_compact(F.array("context.before", "context.around", shaped, spelt))).alias("patterns"),
-        F.when(core.rlike(KEY), F.lit(SECRET)).alias("key"), F.lit(None).cast("string").alias("kind"),
+        F.when(F.col("context.declared") & core.rlike(KEY), F.lit(SECRET)).alias("key"), F.lit(None).cast("string").alias("kind"),
     ).where(F.col("end") > F.col("start"))
     both = tokens.unionByName(base, allowMissingColumns=True)
     own = Window.partitionBy("doc_id", "rk").orderBy("start", F.col("kind").isNull(), "end")
@@ -196,8 +201,8 @@ def corpus_totals(docs: DataFrame, sums: DataFrame, text: str = "text") -> DataF
 
 
 def bootstrap(tokens: DataFrame, docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind, score) of instances that patterns with a confidence of ACCEPT or more give away, and that are no
-    seeds, or only by their looks."""
+    """(instance, kind, score) of instances that patterns with a confidence of ACCEPT or more give away and that are no
+    seeds, and of declared keys."""
     each = tokens.select("instance", "copies", "seed", F.explode("patterns").alias("pattern"))
     pairs = materialise(each.groupBy("pattern", "instance").agg(F.sum("copies").alias("n"), F.max("seed").alias("seed")))
     sums = materialise(pairs.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_SEEDS))
@@ -209,11 +214,15 @@ def bootstrap(tokens: DataFrame, docs: DataFrame, text: str = "text", rounds: in
         scored = edges.join(scores, "instance")
         mass = scored.groupBy("pattern", "kind", "total").agg(F.sum(F.col("score") * F.col("n")).alias("mass"), F.count("*").alias("support"))
         best = mass.groupBy("pattern", "total").agg(F.max(F.struct("mass", "kind")).alias("best"), F.sum("support").alias("support"))
-        sure = best.where(F.col("support") >= LEAST_SEEDS).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.mass") / F.col("total")).alias("conf")).where(F.col("conf") >= ACCEPT)
-        found = materialise(edges.join(sure, "pattern").groupBy("instance").agg(F.max(F.struct("conf", "kind")).alias("best")).select("instance", F.col("best.kind").alias("kind"), F.col("best.conf").alias("score")))
-        scores = seeds.unionByName(found.join(seeds, "instance", "left_anti"))
-    by_looks = seeds.where(F.col("kind") == SECRET).select("instance")
-    return found.join(seeds, "instance", "left_anti").unionByName(found.where(F.col("kind") == SECRET).join(by_looks, "instance", "left_semi"))
+        sure = best.where(F.col("support") >= LEAST_SEEDS).select("pattern", "support", F.col("best.kind").alias("kind"), F.col("best.mass").alias("mass"))
+        own = edges.join(sure, "pattern").join(scores.select("instance", F.col("kind").alias("own_kind"), F.col("score").alias("own")), "instance", "left")
+        mine = F.col("own").isNotNull()
+        rest = F.col("mass") - F.when(mine & (F.col("own_kind") == F.col("kind")), F.col("own") * F.col("n")).otherwise(0.0)
+        others = F.col("total") - F.when(mine, F.col("n")).otherwise(0)
+        sure = own.where(F.col("support") - mine.cast("int") >= LEAST_SEEDS).where(others > 0).select("instance", "kind", (rest / others).alias("conf")).where(F.col("conf") >= ACCEPT)
+        found = materialise(sure.groupBy("instance").agg(F.max(F.struct("conf", "kind")).alias("best")).select("instance", F.col("best.kind").alias("kind"), F.col("best.conf").alias("score")).join(seeds, "instance", "left_anti"))
+        scores = seeds.unionByName(found)
+    return found.unionByName(seeds.where(F.col("kind") == SECRET))
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
