@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["bounded_sample", "by_slices", "held_out", "materialise", "row_key", "set_aside", "shared_dir", "small_batches", "table"]
+__all__ = ["bounded_sample", "by_slices", "held_out", "materialise", "one_order", "row_key", "set_aside", "shared_dir", "small_batches", "table"]
 FOLDS = 5
 
 
@@ -33,6 +33,12 @@ def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return rows.where(place < F.lit((most << 63) // n))
 
 
+def one_order(sample: DataFrame) -> DataFrame:
+    """A bounded sample in one partition, sorted by all its columns: what is fitted on it doesn't depend on how the
+    rows were dealt or in which order tasks ended. Only for tables whose size is bounded by a parameter."""
+    return materialise(sample.coalesce(1).sortWithinPartitions(*sample.columns))
+
+
 def set_aside(docs: DataFrame, *names: str) -> DataFrame:
     """docs, where columns of the names that a result is to have are kept as <name>_input (further _input until that
     is free; names ignore case, as Spark's do)."""

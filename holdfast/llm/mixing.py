@@ -6,7 +6,11 @@
    its size), near 1: accelerated projected gradient descent from r = 1. In the metric that weighs documents by their
    tokens, a step is r <- max(0, r - step * p . gradient), and the gradient is one sum for each domain: each
    round is one distributed aggregate. The rounds' gradients are all the state there is (a few numbers); a document's rate
-   is a column expression over them, so nothing is cached and no lineage grows.
+   is a column expression over them, so nothing is cached and no lineage grows. Sums are of whole numbers (1 / 1024 of a
+   token), so rates depend neither on the order nor on the partitions of the rows.
+3. Without a cap, targets are shares of the input's tokens. With a cap (rows may be dropped but not repeated at will) that total
+   can be out of reach, so targets are shares of the largest total that keeps to them (less SLACK of it). That total is
+   found over sums of documents by rounded posterior, of which there are MOST_CELLS at most.
 
 Null and empty texts have no token; they get a rate by their posterior and don't change any total. Domains
 without a labelled row have posterior 0. With no labelled row at all posteriors are alike and every document gets the same
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import public_tokenizers
@@ -31,13 +36,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_sample, materialise, set_aside, small_batches
+from .common import bounded_sample, materialise, one_order, set_aside, small_batches
 from .stats import distinct_words, text_stats
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 MOST_LABELS = 8_000  # labelled rows that the classifier is fitted on
 LEAST_DOCS, LEAST_Z = 5, 6.0  # documents and z that a word of a domain's lexicon needs
-ROUNDS, STEP, ENOUGH = 60, 1.0, 1e-4
+ROUNDS, STEP, ENOUGH = 120, 1.0, 1e-4
+UNITS = 1024  # of a token, for exact sums
+MOST_CELLS, SLACK = 4_000, 0.005
 
 #: Domains of the table `labels`, and the share of the token total that each is to have.
 TARGETS = {"clean": 0.85, "toxic": 0.05, "low": 0.10}
@@ -91,16 +98,15 @@ def domain_posteriors(docs: DataFrame, known: DataFrame, domains: list[str], kee
     named = {f"d{domains.index(d)}": w for d, w in lexicons.items()}
     measure = text_stats(F.col("text"), named)
     place = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
-    train = materialise(rows.select(place.cast("double").alias("label"), measure.alias("stats"))).coalesce(4)
+    train = rows.select(place.cast("double").alias("label"), measure.alias("stats"))
     names = train.schema["stats"].dataType.names
+    train = one_order(train.select("label", *[F.col(f"stats.{n}").alias(n) for n in names]))
     seen = [r[0] for r in train.select("label").distinct().collect()]
-    flat = lambda df, *more: VectorAssembler(inputCols=[f"stats.{n}" for n in names], outputCol="features").transform(df)
     measured = docs.select(*keep, text_stats(F.col("text"), named, token_counter(docs)).alias("stats")).select(*keep, F.col("stats.tokens").alias("tokens"), "stats")
     if len(seen) < 2:
         alone = F.array(*[F.lit(1.0 if i in seen else 0.0 if seen else 1.0 / len(domains)) for i in range(len(domains))])
         with small_batches(docs.sparkSession):
             return materialise(measured.select(*keep, "tokens", alone.alias("posterior")))
-    train = train.select("label", *[F.col(f"stats.{n}").alias(n) for n in names])
     model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=60).fit(VectorAssembler(inputCols=names, outputCol="features").transform(train))
     apart = measured.select(*keep, "tokens", *[F.col(f"stats.{n}").alias(f"hf_{n}") for n in names])
     scored = VectorAssembler(inputCols=[f"hf_{n}" for n in names], outputCol="hf_features").transform(apart)
@@ -134,9 +140,14 @@ def boxed(r: Column, cap: float | None) -> Column:
     return F.greatest(F.lit(0.0), r if cap is None else F.least(F.lit(cap), r))
 
 
+def whole_units(tokens: Column) -> Column:
+    """Tokens as a whole number of units, whose sums are exact."""
+    return F.round(tokens * UNITS).cast("long")
+
+
 def fit_rates(documents: DataFrame, shares: list[float], cap: float | None = None, rounds: int = ROUNDS, step: float = STEP, enough: float = ENOUGH, grid: int | None = None) -> tuple[list[list[float]], list[float]]:
-    """Gradients of all rounds, and the totals reached as shares. documents: tokens and posterior. The target of a
-    domain is its share of the token total. Every round is one aggregate over all documents. With `grid`, documents
+    """Gradients of all rounds, and the totals reached, both as shares of the input's tokens. documents: tokens and
+    posterior. The target of a domain is its share of the input's tokens. Every round is one aggregate over all documents. With `grid`, documents
     are first summed by their posterior rounded to 1 / grid, and rounds run over those sums: faster, but the totals
     are then met only as closely as the rounding lets them."""
     d = len(shares)
@@ -147,17 +158,17 @@ def fit_rates(documents: DataFrame, shares: list[float], cap: float | None = Non
         cells = cells.select("tokens", F.array(*[F.col(f"m{i}") / F.col("tokens") for i in range(d)]).alias("posterior"))
         cells = materialise(cells)
     cells = cells.select("tokens", F.col("posterior").alias("p"))
-    total = cells.agg(F.sum("tokens")).first()[0]
+    total = cells.agg(F.sum(whole_units(F.col("tokens")))).first()[0]
     if not total:
         return [], []
     target, gradients, first = np.array(shares), [], None
     moving = cells.withColumns({"r": F.lit(1.0), "y": F.lit(1.0)})
-    sums = [F.sum(F.col(at) * F.col("tokens") * F.get("p", F.lit(j))) / total for at in ("r", "y") for j in range(d)]
+    sums = [F.sum(whole_units(F.col(at) * F.col("tokens") * F.get("p", F.lit(j)))) for at in ("r", "y") for j in range(d)]
     for i in range(rounds + 1):
-        both = np.array(list(moving.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()))
+        both = np.array(list(moving.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()), float) / total
         reached, ahead = both[:d], both[d:]
         first = np.maximum(reached, 1e-9) if first is None else first
-        if i == rounds or np.abs(reached - target).max() < enough:
+        if i == rounds or np.abs(reached - target).max() < enough * target.sum():
             break
         gradients.append(((ahead - target) / first).tolist())
         change = sum((F.get("p", F.lit(j)) * float(gradients[-1][j] * step) for j in range(d)), F.lit(0.0))
@@ -168,6 +179,38 @@ def fit_rates(documents: DataFrame, shares: list[float], cap: float | None = Non
     return gradients, reached.tolist()
 
 
+def largest_total(documents: DataFrame, shares: list[float], cap: float) -> float:
+    """The largest share of the input's tokens that rates of 0 to cap can keep with the domains at `shares` of it, but for
+    SLACK; 1 where a domain has no token, so that targets can't be met at all. Documents are summed by their posterior, rounded so
+    that there are MOST_CELLS sums at most; those are what the driver gets."""
+    d, grid = len(shares), 1
+    while comb(grid + 1 + d, d - 1) <= MOST_CELLS and grid < 4096:  # rounded parts sum up to grid, give or take d / 2
+        grid += 1
+    cell = F.transform("posterior", lambda x: F.round(x * grid).cast("int"))
+    sums = documents.where("tokens > 0").groupBy(cell.alias("cell")).agg(*[F.sum(whole_units(F.col("tokens") * F.get("posterior", F.lit(i)))) for i in range(d)])
+    mass = np.array([r[1:] for r in sums.orderBy("cell").collect()], float).reshape(-1, d)
+    if not len(mass) or (mass.sum(axis=0) <= 0).any():
+        return 1.0
+    mass, share = mass / mass.sum(), np.array(shares)
+    low, high = 0.0, float((cap * mass.sum(axis=0) / share).min())
+    for _ in range(12):
+        middle = (low + high) / 2
+        low, high = (middle, high) if attainable(mass, middle * share, cap) else (low, middle)
+    return low * (1 - SLACK)
+
+
+def attainable(mass: np.ndarray, target: np.ndarray, cap: float, rounds: int = 1_500) -> bool:
+    """Whether rates of 0 to cap bring the cells' sums next to the target. By the same descent, over cells."""
+    tokens = mass.sum(axis=1)
+    p, first, r, y = mass / tokens[:, None], mass.sum(axis=0), np.ones(len(mass)), np.ones(len(mass))
+    for i in range(rounds):
+        new = np.clip(y - p @ ((y @ mass - target) / first), 0, cap)
+        r, y = new, new + momentum(i) * (new - r)
+        if i % 50 == 49 and np.abs(r @ mass - target).max() < ENOUGH / 10 * target.sum():
+            return True
+    return False
+
+
 def mix(docs: DataFrame, known: DataFrame, targets: dict[str, float] = TARGETS, keep: tuple[str, ...] = ("doc_id",), cap: float | None = None) -> DataFrame:
     """keep, tokens, posterior and rate of every row of docs. Rates whose totals are over ENOUGH away from a target
     are logged as a warning, with the shares that the rows reach."""
@@ -176,17 +219,19 @@ def mix(docs: DataFrame, known: DataFrame, targets: dict[str, float] = TARGETS,
     aside = set_aside(docs, "tokens", "posterior", "rate")
     scored = domain_posteriors(aside, known, domains, [aside.columns[docs.columns.index(k)] for k in keep])
     shares = [targets[d] / whole for d in domains]
-    gradients, _ = fit_rates(scored, shares, cap)
+    total = 1.0 if cap is None else largest_total(scored, shares, cap)
+    gradients, _ = fit_rates(scored, [total * x for x in shares], cap)
     mixed = scored.withColumn("rate", rate(F.col("posterior"), gradients, cap=cap))
-    reached = reached_shares(mixed, len(domains))
+    reached = reached_shares(mixed, len(domains), cap is not None)
     if reached and max(abs(a - b) for a, b in zip(reached, shares, strict=True)) > ENOUGH:
         logging.getLogger(__name__).warning("shares reached (target): %s", ", ".join(f"{d} {a:.5f} ({b:.5f})" for d, a, b in zip(domains, reached, shares, strict=True)))
     return mixed
 
 
-def reached_shares(mixed: DataFrame, d: int) -> list[float]:
-    """The domains' totals under the rows' rates, as shares of all tokens; none where there is no token."""
-    total, *sums = mixed.agg(F.sum("tokens"), *[F.sum(F.col("rate") * F.col("tokens") * F.get("posterior", F.lit(i))) for i in range(d)]).first()
+def reached_shares(mixed: DataFrame, d: int, of_kept: bool = False) -> list[float]:
+    """The domains' totals under the rows' rates, as shares of all tokens, or of those that are kept; none where there is no token."""
+    total, *sums = mixed.agg(F.sum(whole_units(F.col("tokens"))), *[F.sum(whole_units(F.col("rate") * F.col("tokens") * F.get("posterior", F.lit(i)))) for i in range(d)]).first()
+    total = sum(sums) if of_kept and total else total
     return [x / total for x in sums] if total else []
 
 

@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, materialise
+from .common import bounded_sample, held_out, materialise, one_order
 from .stats import NAMES, text_stats
 
 MOST_LABELS = 20_000  # labelled rows that trees and weights are fitted on
@@ -70,8 +70,9 @@ def paths(tree: str, names: tuple[str, ...]) -> list[Rule]:
 
 
 def fit_rules(rows: DataFrame, stats: str = "stats", label: str = "label", seed: int = 42) -> RuleModel:
-    """rows: statistics and a label 0 or 1. A model without rules if there is one label only or no row."""
-    rows = rows.select(*[F.col(f"{stats}.{n}").alias(n) for n in NAMES], F.col(label).cast("double").alias("label")).coalesce(4)
+    """rows: statistics and a label 0 or 1, a bounded sample; its order and partitions don't matter. A model without
+    rules if there is one label only or no row."""
+    rows = one_order(rows.select(*[F.col(f"{stats}.{n}").alias(n) for n in NAMES], F.col(label).cast("double").alias("label")))
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not n or ones in (0, n):
         return RuleModel((), (), -4.0 if n and not ones else 4.0)
@@ -102,7 +103,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -
     """(doc_id, held_out, score, predicted) of every row of docs. The model is fitted on at most about
     `most` labelled rows that are not held out; every row is scored, from its text alone."""
     measured = materialise(docs.select("doc_id", text_stats(F.col("text")).alias("stats")))
-    model = fit_rules(materialise(measured.join(learnt_from(labels, most), "doc_id")))
+    model = fit_rules(measured.join(learnt_from(labels, most), "doc_id"))
     return measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score("stats").alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -110,6 +111,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Da
     """docs without the rows whose score is under the threshold. Texts are measured once more, so the rows
     need no key."""
     sample = docs.select("doc_id", "text").join(learnt_from(labels, most), "doc_id").select("label", text_stats(F.col("text")).alias("stats"))
-    model = fit_rules(materialise(sample))
+    model = fit_rules(sample)
     measured = docs.withColumn("hf_stats", text_stats(F.col("text")))
     return measured.where(model.score("hf_stats") >= THRESHOLD).drop("hf_stats")

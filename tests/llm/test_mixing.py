@@ -40,10 +40,13 @@ def test_rates_equal_brute_force_projected_gradient(spark):
     rnd = np.random.default_rng(3)
     p = rnd.dirichlet((0.3, 0.3, 0.3), 200)
     tokens = rnd.integers(0, 100, 200).astype(float)
-    shares = [0.7, 0.05, 0.25]
     df = spark.createDataFrame([(float(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens double, posterior array<double>")
-    for cap, grid in ((None, None), (1.0, None), (None, 512), (1.0, 512)):
-        gradients, reached = mixing.fit_rates(df, shares, cap, grid=grid)
+    for cap, grid in ((None, None), (1.0, None), (None, 512)):
+        shares = np.array([0.7, 0.05, 0.25])
+        if cap:
+            shares *= (total := mixing.largest_total(df, shares.tolist(), cap))
+            assert 0.3 < total < ((tokens @ p) / tokens.sum() / [0.7, 0.05, 0.25]).min()
+        gradients, reached = mixing.fit_rates(df, shares.tolist(), cap, grid=grid)
         got = np.array([r["rate"] for r in df.withColumn("rate", mixing.rate(F.col("posterior"), gradients, cap=cap)).collect()])
         r, y, first = np.ones(200), np.ones(200), None
         for i in range(len(gradients)):
@@ -51,11 +54,16 @@ def test_rates_equal_brute_force_projected_gradient(spark):
             first = now if first is None else first
             new = np.clip(y - p @ ((now - shares) / first), 0, cap)
             r, y = new, new + i / (i + 3) * (new - r)
-        assert np.abs(got - r).max() < (0.05 if grid else 1e-9)
-        if cap is None:
-            assert np.abs(np.array(reached) - shares).max() < 1e-3 and np.abs((got * tokens) @ p / tokens.sum() - shares).max() < (5e-3 if grid else mixing.ENOUGH)
-        else:
-            assert got.max() <= 1
+        assert np.abs(got - r).max() < (0.05 if grid else 1e-3)
+        assert np.abs(np.array(reached) - shares).max() < 1e-3 and np.abs((got * tokens) @ p / tokens.sum() - shares).max() < (5e-3 if grid else 1e-3 if cap else mixing.ENOUGH)
+        assert cap is None or got.max() <= cap
+
+
+def test_largest_total_of_separate_domains(spark):
+    df = spark.createDataFrame([(60.0, [1.0, 0.0]), (20.0, [1.0, 0.0]), (20.0, [0.0, 1.0]), (0.0, [0.5, 0.5])], "tokens double, posterior array<double>")
+    for shares, want in (([0.95, 0.05], 0.8 / 0.95), ([0.5, 0.5], 0.4), ([0.8, 0.2], 1.0)):
+        assert abs(mixing.largest_total(df, shares, 1.0) - want) < 0.01
+    assert mixing.largest_total(df.where("posterior[0] = 1"), [0.5, 0.5], 1.0) == 1.0 == mixing.largest_total(df.where("tokens < 0"), [0.5, 0.5], 1.0)
 
 
 def test_tokens_are_ids_and_missed_targets_are_told(spark, caplog):
@@ -67,7 +75,9 @@ def test_tokens_are_ids_and_missed_targets_are_told(spark, caplog):
     both = coded.select(text_stats(F.col("text"), None, mixing.token_counter(coded))["tokens"].alias("tokens"), F.octet_length("ids").alias("n")).collect()
     assert len(both) == df.count() and all(r["tokens"] == r["n"] / 4 for r in both)
     rows = table(spark)
-    mixing.mix(rows.drop("domain"), rows.select("doc_id", "domain"), {"clean": 0.95, "toxic": 0.05}, cap=1.0)
+    mixed = mixing.mix(rows.drop("domain"), rows.select("doc_id", "domain"), {"clean": 0.95, "toxic": 0.05}, cap=1.0)
+    assert "shares reached" not in caplog.text and np.abs(np.array(mixing.reached_shares(mixed, 2, True)) - (0.95, 0.05)).max() < 1e-3
+    mixing.mix(rows.drop("domain"), rows.where("domain = 'clean'").select("doc_id", "domain"), {"clean": 0.2, "toxic": 0.8}, cap=1.0)
     assert "shares reached" in caplog.text
 
 
@@ -90,5 +100,7 @@ def test_conflicting_labels_and_clashing_columns(spark):
     twice = known.union(known.where("doc_id < 100").withColumn("domain", F.lit("toxic")))
     a, b = (sorted(map(tuple, mixing.mix(rows.drop("domain"), k.repartition(n, "domain")).select("doc_id", "rate").collect())) for k, n in ((twice, 3), (twice.orderBy(F.desc("domain")), 5)))
     assert a == b
+    c = sorted(map(tuple, mixing.mix(rows.drop("domain").repartition(7, F.xxhash64("text")), twice.repartition(4)).select("doc_id", "rate").collect()))
+    assert a == c
     out = mixing.mix(rows.withColumn("rate", F.lit("mine")), known, keep=("doc_id", "rate"))
     assert out.columns == ["doc_id", "rate_input", "tokens", "posterior", "rate"] and {r["rate_input"] for r in out.collect()} == {"mine"}

@@ -37,6 +37,16 @@ def test_labels_of_held_out_rows_are_never_read(spark):
     assert a == b
 
 
+def test_rows_in_any_order_and_partitions_give_equal_scores(spark):
+    rows = table(spark).withColumn("text", F.concat("text", F.lit(" "), F.repeat(F.lit("x|"), (F.col("doc_id") * 7 % 11).cast("int"))))
+    noisy = rows.withColumn("quality", F.when(F.col("doc_id") % 9 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    found = []
+    for n in (1, 7):
+        d, k = rows.drop("quality").repartition(n, F.xxhash64("doc_id", F.lit(n))), noisy.select("doc_id", "quality").repartition(n + 2)
+        found.append(sorted(map(tuple, quality.score_quality(d, k).collect())))
+    assert found[0] == found[1] and len({r[2] for r in found[0]}) > 3
+
+
 def test_odd_rows(spark):
     known = table(spark)
     labels = known.select("doc_id", "quality")
