@@ -3,7 +3,9 @@
 Points are hashed into grid cells; a search joins a query to the 3^d cells around its own, so no join is a
 Cartesian product. The k-nearest join starts with cells sized by the mean density, or smaller ones where points
 crowd (a far outlier widens the mean, a cluster is denser than it), certifies each query whose k-th distance lies within
-the searched block, and searches again for the rest with threefold cells.
+the searched block, and searches again with threefold cells. Queries that this leaves (far from all points, or beside crowded
+cells) go down a tree of boxes: each level is a table of boxes with their numbers of points, and a query opens
+only boxes that can still beat its k-th distance.
 """
 
 from __future__ import annotations
@@ -70,7 +72,12 @@ def cell_width(p: DataFrame, by: list[str], dims: list[str], k: int, width: floa
     return width
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, dims: list[str], qid: str, pid: str, by: tuple[str, ...] = (), exclude_self: bool = False, rounds: int = 40) -> DataFrame:
+GRIDS = 2  # rounds over cells, before the tree
+FULL = 32  # times k: a cell with more points is left to the tree
+DEEPEST = 64  # levels of a tree; boxes at the last one are leaves whatever they hold
+
+
+def knn_join(queries: DataFrame, points: DataFrame, k: int, dims: list[str], qid: str, pid: str, by: tuple[str, ...] = (), exclude_self: bool = False) -> DataFrame:
     """(by, query_id, neighbour_id, distance, rank): the exact k nearest points, ties by id; fewer if a group has
     fewer. A query's own id is left out on demand."""
     by = list(by)
@@ -78,39 +85,96 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, dims: list[str], qid
     lo, hi = [f"lo_{c}" for c in dims], [f"hi_{c}" for c in dims]
     frame = p.groupBy(*by).agg(F.count("*").alias("n"), *[F.min(f"p_{c}").alias(a) for c, a in zip(dims, lo, strict=True)], *[F.max(f"p_{c}").alias(b) for c, b in zip(dims, hi, strict=True)])
     ends = frame.agg(F.max("n"), *[F.min(c) for c in lo], *[F.max(c) for c in hi]).first()
-    reach = q.agg(*[F.min(f"q_{c}") for c in dims], *[F.max(f"q_{c}") for c in dims]).first()
+    m, want = len(dims), k + exclude_self
     schema = ", ".join([*[f"{b} {t}" for b, t in q.dtypes if b in by], f"query_id {dict(q.dtypes)['query_id']}, neighbour_id {dict(p.dtypes)['neighbour_id']}, distance double, rank int"])
-    if not ends[0] or reach[0] is None:
+    if not ends[0]:
         return queries.sparkSession.createDataFrame([], schema)
-    m = len(dims)
-    low = [min(a, b) for a, b in zip(ends[1 : m + 1], reach[:m], strict=True)]
-    high = [max(a, b) for a, b in zip(ends[m + 1 :], reach[m:], strict=True)]
     extents = [b - a for a, b in zip(ends[1 : m + 1], ends[m + 1 :], strict=True)]
-    widest = max(b - a for a, b in zip(low, high, strict=True)) or 1.0
+    widest = max(extents) or 1.0
     volume = reduce(lambda a, b: a * b, [max(e, widest * 1e-3) for e in extents])
-    width = (volume * 4 * (k + exclude_self) / (3**m * ends[0])) ** (1 / m)
-    width = cell_width(p, by, [f"p_{c}" for c in dims], k + exclude_self, width)
-    ranked = Window.partitionBy(*by, "query_id").orderBy("distance", "neighbour_id")
+    width = cell_width(p, by, [f"p_{c}" for c in dims], want, (volume * 4 * want / (3**m * ends[0])) ** (1 / m))
     parts, left = [], q
-    for _ in range(rounds):
-        last = width >= widest * 1.001
-        near = _cells(left, [f"q_{c}" for c in dims], width, True).join(_cells(p, [f"p_{c}" for c in dims], width, False), [*by, "hf_cell"])
+    for _ in range(GRIDS):
+        cells = _cells(p, [f"p_{c}" for c in dims], width, False)
+        spread = _cells(left, [f"q_{c}" for c in dims], width, True)
+        full = cells.groupBy(*by, "hf_cell").count().where(F.col("count") > FULL * max(want, 4)).select(*by, "hf_cell")
+        if not (full := materialise(full)).isEmpty():
+            beside = materialise(spread.join(full, [*by, "hf_cell"], "left_semi").select(*by, "query_id").distinct())
+            spread = spread.join(beside, [*by, "query_id"], "left_anti")
+        near = spread.join(cells, [*by, "hf_cell"])
         near = near.where(F.col("query_id") != F.col("neighbour_id")) if exclude_self else near
-        near = near.withColumn("distance", distance(dims)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        near = _first(near.withColumn("distance", distance(dims)), by, k)
         inside = reduce(F.least, [F.least(x, 1 - x) for x in [F.col(f"q_{c}") / width - F.floor(F.col(f"q_{c}") / width) for c in dims]])
-        safe = (1 + inside) * width
-        near = near.withColumn("hf_safe", safe)
-        if last:
-            parts.append(near.select(*by, "query_id", "neighbour_id", "distance", "rank"))
-            break
-        full = near.withColumn("hf_far", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(Window.partitionBy(*by, "query_id")))
-        done = materialise(full.where(F.col("hf_far") <= F.col("hf_safe")).select(*by, "query_id", "neighbour_id", "distance", "rank"))
+        known = near.withColumn("hf_far", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(Window.partitionBy(*by, "query_id")))
+        done = materialise(known.where(F.col("hf_far") <= (1 + inside) * width).select(*by, "query_id", "neighbour_id", "distance", "rank"))
         parts.append(done)
         left = materialise(left.join(done.select(*by, "query_id").distinct(), [*by, "query_id"], "left_anti"))
         if left.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, parts)
         width *= 3
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*parts, tree_search(left, p, k, dims, by, exclude_self)])
+
+
+def _first(pairs: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k pairs of each query with the smallest distance, ties by id, with their rank."""
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "query_id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
+
+
+def box_tree(p: DataFrame, dims: list[str], by: list[str], leaf: int) -> tuple[DataFrame, DataFrame, int]:
+    """Boxes (by, node, up, n, lo_*, hi_*, leaf) of all levels, points with the leaf they are in, and the number of levels. A box is
+    the tight one around its points; it is halved along each dimension until it holds `leaf` points at most or one place, so
+    empty space costs no level."""
+    levels, done = [], []
+    now = p.withColumns({"node": F.lit(""), "up": F.lit(None).cast("string")})
+    for depth in range(DEEPEST):
+        one = reduce(lambda a, b: a & b, [F.col(f"lo_{c}") == F.col(f"hi_{c}") for c in dims])
+        box = now.groupBy(*by, "node").agg(F.first("up").alias("up"), F.count("*").alias("n"), *[f(f"p_{c}").alias(f"{e}_{c}") for c in dims for e, f in (("lo", F.min), ("hi", F.max))])
+        box = materialise(box.withColumn("leaf", (F.col("n") <= leaf) | one | F.lit(depth == DEEPEST - 1)))
+        levels.append(box)
+        done.append(now.join(box.where("leaf").select(*by, "node"), [*by, "node"], "left_semi").select(*p.columns, "node"))
+        large = box.where("not leaf")
+        if large.isEmpty():
+            break
+        halves = []
+        for c in dims:
+            middle = F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / 2
+            halves.append(F.when(F.col(f"p_{c}") > F.when(middle >= F.col(f"hi_{c}"), F.col(f"lo_{c}")).otherwise(middle), "1").otherwise("0"))
+        now = now.drop("up").join(large.select(*by, "node", *[f"{e}_{c}" for c in dims for e in ("lo", "hi")]), [*by, "node"])
+        now = materialise(now.select(*p.columns, F.concat("node", *halves).alias("node"), F.col("node").alias("up")))
+    return reduce(DataFrame.unionByName, levels), reduce(DataFrame.unionByName, done), len(levels)
+
+
+def tree_search(q: DataFrame, p: DataFrame, k: int, dims: list[str], by: list[str], exclude_self: bool) -> DataFrame:
+    """(by, query_id, neighbour_id, distance, rank) of the k nearest points by a tree of boxes. All queries go down together:
+    of each one's boxes, those whose farthest corners bound k points bound its k-th distance, and boxes farther than that
+    are closed. Of points that share a place, the k lowest ids can be answers; the others aren't looked at."""
+    want = k + exclude_self
+    place = Window.partitionBy(*by, *[f"p_{c}" for c in dims]).orderBy("neighbour_id")
+    p = materialise(p.withColumn("hf_r", F.row_number().over(place)).where(F.col("hf_r") <= want).drop("hf_r"))
+    boxes, points, levels = box_tree(p, dims, by, max(8, 2 * want))
+    boxes, points = materialise(boxes), materialise(points)
+    edges = [f"{e}_{c}" for c in dims for e in ("lo", "hi")]
+    gap = reduce(lambda a, b: a + b, [F.pow(F.greatest(F.col(f"lo_{c}") - F.col(f"q_{c}"), F.col(f"q_{c}") - F.col(f"hi_{c}"), F.lit(0.0)), F.lit(2)) for c in dims])
+    reach = reduce(lambda a, b: a + b, [F.pow(F.greatest(F.abs(F.col(f"q_{c}") - F.col(f"lo_{c}")), F.abs(F.col(f"q_{c}") - F.col(f"hi_{c}"))), F.lit(2)) for c in dims])
+    held = [*q.columns, "node", "n", "leaf"]
+
+    def closed(pairs: DataFrame) -> DataFrame:
+        own = Window.partitionBy(*by, "query_id")
+        bound = pairs.withColumns({"hf_gap": F.sqrt(gap) * (1 - 1e-12), "hf_reach": F.sqrt(reach)})
+        bound = bound.withColumn("hf_held", F.sum("n").over(own.orderBy("hf_reach").rangeBetween(Window.unboundedPreceding, 0)))
+        bound = bound.withColumn("hf_most", F.min(F.when(F.col("hf_held") >= want, F.col("hf_reach"))).over(own))
+        return materialise(bound.where(F.col("hf_most").isNull() | (F.col("hf_gap") <= F.col("hf_most"))).select(*held, *edges))
+
+    root = boxes.where("up is null").select(*by, "node", "n", "leaf", *edges)
+    front = closed(q.join(root, by) if by else q.crossJoin(F.broadcast(root)))  # one row without groups
+    kids = boxes.where("up is not null").select(*by, F.col("up").alias("hf_up"), F.col("node").alias("hf_node"), F.col("n").alias("hf_n"), F.col("leaf").alias("hf_leaf"), *[F.col(e).alias(f"hf_{e}") for e in edges])
+    for _ in range(levels - 1):
+        inner = front.where("not leaf").drop("n", "leaf", *edges).withColumnRenamed("node", "hf_up")
+        opened = inner.join(kids, [*by, "hf_up"]).select(*q.columns, F.col("hf_node").alias("node"), F.col("hf_n").alias("n"), F.col("hf_leaf").alias("leaf"), *[F.col(f"hf_{e}").alias(e) for e in edges])
+        front = closed(front.where("leaf").unionByName(opened))
+    pairs = front.select(*q.columns, "node").join(points, [*by, "node"])
+    pairs = pairs.where(F.col("query_id") != F.col("neighbour_id")) if exclude_self else pairs
+    return _first(pairs.withColumn("distance", distance(dims)), by, k).select(*by, "query_id", "neighbour_id", "distance", "rank")
 
 
 def nearest(queries: DataFrame, points: DataFrame, dims: list[str], qid: str, pid: str, by: tuple[str, ...] = ()) -> DataFrame:
