@@ -8,6 +8,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import beside, order_values, tied
+
 
 def method_summary(errors: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
     """n, mean, median and 90th percentile (linear interpolation) of an error for each group."""
@@ -74,9 +76,9 @@ def pearson(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """df with the mean rank of ties."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0)
+    """df with the mean rank of ties, nulls first."""
+    ranks = tied(df, by, value).select(*by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
+    return beside(df, ranks, [*by, value])
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -92,10 +94,8 @@ def moments(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
 
 def higher_quantile(df: DataFrame, by: list[str], value: str, q: float | Column, name: str) -> DataFrame:
     """The value at index ceil((n - 1) * q) in ascending order; q may depend on the count `n`."""
-    w = Window.partitionBy(*by)
     at = F.ceil((F.col("n") - 1) * (q if isinstance(q, Column) else F.lit(q)) - 1e-12)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy(value)) - 1})
-    return ranked.where(F.col("i") == at).select(*by, F.col(value).alias(name), "n")
+    return order_values(df, by, value, {name: at}).select(*by, name, "n")
 
 
 def conformal_quantile(df: DataFrame, by: list[str], error: str, scale: Column, confidence: float) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialise
+from .ranks import beside
 
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b", *more: str) -> DataFrame:
@@ -145,26 +151,62 @@ def mesh_audit(faces: DataFrame) -> DataFrame:
     return e.agg(F.count("*").alias("edges"), F.count_if(F.col("faces") == 1).alias("boundary"), F.count_if(F.col("faces") > 2).alias("non_manifold"), F.count_if((F.col("faces") == 2) & (F.col("turn") != 0)).alias("inconsistent"))
 
 
+TILE = 16  # cells along each side of a tile
+
+
+def tile_labels(cells: np.ndarray) -> np.ndarray:
+    """The first cell (row of cells: i, j, k within one tile) of each one's 26-connected part, by spreading the lowest number."""
+    grid = np.full((TILE + 2,) * 3, len(cells), np.int64)
+    place = tuple(cells[:, d] + 1 for d in range(3))
+    grid[place] = np.arange(len(cells))[::-1]  # of repeated cells one number counts
+    inside = np.zeros(grid.shape, bool)
+    inside[place] = True
+    while True:
+        low = grid
+        for axis in range(3):
+            low = np.minimum(low, np.minimum(np.roll(low, 1, axis), np.roll(low, -1, axis)))
+        new = np.where(inside, low, len(cells))
+        if (new == grid).all():
+            return grid[place]
+        grid = new
+
+
 def grid_components(voxels: DataFrame, by: list[str], coords: tuple[str, str, str] = ("i", "j", "k")) -> DataFrame:
-    """Voxels with their 26-connected component: 13 half neighbours joined within a label, then components."""
+    """Voxels with their 26-connected component. Each tile of TILE cells a side is labelled as an array; only cells at the tiles'
+    faces look for neighbours in other tiles, and components run over pairs of tile parts, which follow the tiles' surfaces."""
+    size = [F.floor(F.col(c) / TILE).alias(f"hf_t{d}") for d, c in enumerate(coords)]
+    tile = [f"hf_t{d}" for d in range(3)]
+    rows = voxels.select("*", *size)
+    schema = T.StructType([*[rows.schema[c] for c in (*by, *coords, *tile)], T.StructField("hf_part", T.LongType())])
+
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
+        cells = np.stack([frame[c].to_numpy() % TILE for c in coords], axis=1).astype(np.int64)
+        return frame.assign(hf_part=tile_labels(cells))
+
+    parts = rows.select(*by, *coords, *tile).distinct().groupBy(*by, *tile).applyInPandas(label, schema)
+    parts = materialise(parts.select(*by, *coords, F.xxhash64(*by, *tile, "hf_part").alias("hf_id")))
     i, j, k = coords
     steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
-    own = voxels.withColumn("hf_id", F.xxhash64(*by, *coords))
-    around = own.select(*by, F.col("hf_id").alias("a"), F.explode(F.array(*[F.struct((F.col(i) + x).alias(i), (F.col(j) + y).alias(j), (F.col(k) + z).alias(k)) for x, y, z in steps])).alias("s")).select(*by, "a", "s.*")
-    edges = around.join(own.withColumnRenamed("hf_id", "b"), [*by, *coords]).select("a", "b")
+    face = reduce(lambda a, b: a | b, [F.pmod(F.col(c), F.lit(TILE)).isin(0, TILE - 1) for c in coords])
+    border = parts.where(face)
+    around = border.select(*by, F.col("hf_id").alias("a"), F.explode(F.array(*[F.struct((F.col(i) + x).alias(i), (F.col(j) + y).alias(j), (F.col(k) + z).alias(k)) for x, y, z in steps])).alias("s")).select(*by, "a", "s.*")
+    edges = beside(around, border.withColumnRenamed("hf_id", "b"), [*by, *coords]).where("a <> b").select("a", "b").distinct()
     found = connected_components(edges).toDF("hf_id", "root")
-    return own.join(found, "hf_id", "left").withColumn("component", F.coalesce("root", "hf_id")).drop("root", "hf_id")
+    named = parts.join(found, "hf_id", "left").select(*by, *coords, F.coalesce("root", "hf_id").alias("component"))
+    return beside(voxels, named, [*by, *coords])
 
 
 def grown_patches(edges: DataFrame, starts: DataFrame, size: int, seed: str) -> DataFrame:
     """(attempt, node): patches of `size` connected nodes; each round adds to every attempt the frontier node with
-    the smallest md5(seed:attempt:node)."""
+    the smallest md5(seed:attempt:node). Of attempts that end with one set of nodes the lowest stays. Patches are small
+    by their meaning."""
     around = materialise(both_ways(edges))
     patch = materialise(starts.select("attempt", "node"))
     for _ in range(size - 1):
         near = patch.join(around, F.col("node") == F.col("u")).select("attempt", F.col("v").alias("node")).distinct().join(patch, ["attempt", "node"], "left_anti")
         pick = near.groupBy("attempt").agg(F.min_by("node", F.md5(F.concat_ws(":", F.lit(seed), "attempt", "node"))).alias("node"))
         patch = materialise(patch.unionByName(pick))
-    return patch
+    sets = patch.groupBy("attempt").agg(F.array_sort(F.collect_list("node")).alias("nodes")).groupBy("nodes").agg(F.min("attempt").alias("attempt"))
+    return patch.join(sets.select("attempt"), "attempt", "left_semi")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
 from .spatial import nearest, range_join
 
 
@@ -63,21 +66,61 @@ def leave_block_out(df: DataFrame, block: str) -> DataFrame:
     return dealt(df, block, "fold", True).withColumn("role", F.when(F.col(block) == F.col("fold"), "test").otherwise("train"))
 
 
-def balanced_folds(groups: DataFrame, group: str, size: str, folds: int, most: int = 1_000_000) -> DataFrame:
-    """(group, fold): the largest group first, each to the lightest fold so far (lowest number on ties). The loop
-    runs over the sorted sizes inside one aggregate of the group table: each choice depends on all before it, so
-    more than `most` groups are an error."""
-    if groups.count() > most:
-        raise ValueError(f"over {most} groups to deal one after another")
-    one = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("minus"), F.col(group).alias("g")))).alias("all"))
-    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), folds).alias("load"), F.array().cast(f"array<struct<g:{dict(groups.dtypes)[group]},fold:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int") - 1
-        load = F.transform(acc["load"], lambda v, i: F.when(i == at, v - x["minus"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(acc["out"], F.array(F.struct(x["g"].alias("g"), at.alias("fold")))).alias("out"))
-
-    return one.select(F.inline(F.aggregate("all", zero, step, lambda acc: acc["out"]))).withColumnRenamed("g", group)
+def dealt_up_to(loads: np.ndarray, size: int, last: np.ndarray) -> np.ndarray:
+    """How many groups of a size have been dealt once every fold with a load of at most `last` has taken one: fold j's t-th
+    group comes at load loads[j] + (t - 1) * size. A row for each value of last, a column for each fold."""
+    return np.maximum(0, (last[:, None] - loads[None, :]) // size + 1)
+
+
+def fold_of(loads: np.ndarray, size: int, place: np.ndarray) -> np.ndarray:
+    """The fold of the place-th (from 1) of many groups of one size, dealt one after another to the lightest fold."""
+    if size <= 0:  # nothing grows: all go to the lightest
+        return np.full(len(place), int(loads.argmin()))
+    low, high = np.full(len(place), int(loads.min())), loads.min() + (place + 1) * size
+    while (low < high).any():
+        middle = (low + high) // 2
+        enough = dealt_up_to(loads, size, middle).sum(axis=1) >= place
+        low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
+    rest = place - dealt_up_to(loads, size, low - 1).sum(axis=1)  # its place among the folds that take one at this very load
+    takes = (loads[None, :] <= low[:, None]) & ((low[:, None] - loads[None, :]) % size == 0)
+    return (np.cumsum(takes, axis=1) >= rest[:, None]).argmax(axis=1)
+
+
+def balanced_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFrame:
+    """(group, fold): the largest group first (of equal ones the first by name), each to the lightest fold so far (lowest number
+    on ties). Groups of one size are dealt together: the folds' loads before each different size are enough to tell where
+    each of its groups goes, by its number among them. Different sizes are few (at most the root of twice the number of rows
+    that the groups have together), and all that the driver goes through."""
+    loads, before = np.zeros(folds, np.int64), []
+    sizes = groups.groupBy(F.col(size).cast("long").alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()
+    for s, n in sizes:
+        before.append((s, loads.tolist()))
+        loads = loads + s * taken(loads, s, n) if s > 0 else loads
+    starts = groups.sparkSession.createDataFrame(before, "hf_s long, hf_loads array<long>")
+    placed = numbered(groups.withColumn("hf_s", F.col(size).cast("long")), ["hf_s"], [group], "hf_i").join(starts, "hf_s")
+
+    @F.pandas_udf("int")
+    def chosen(s: pd.Series, i: pd.Series, load: pd.Series) -> pd.Series:
+        out = np.zeros(len(s), np.int32)
+        for value, rows in s.groupby(s).indices.items():
+            out[rows] = fold_of(np.array(load.iloc[rows[0]], np.int64), int(value), i.to_numpy()[rows])
+        return pd.Series(out)
+
+    return placed.select(group, chosen("hf_s", "hf_i", "hf_loads").alias("fold"))
+
+
+def taken(loads: np.ndarray, size: int, n: int) -> np.ndarray:
+    """How many of n groups of a size each fold takes."""
+    low, high = int(loads.min()), int(loads.min()) + (n + 1) * size
+    while low < high:
+        middle = (low + high) // 2
+        if dealt_up_to(loads, size, np.array([middle])).sum() >= n:
+            high = middle
+        else:
+            low = middle + 1
+    sure = dealt_up_to(loads, size, np.array([low - 1]))[0]
+    takes = (loads <= low) & ((low - loads) % size == 0)
+    return sure + (takes & (np.cumsum(takes) <= n - sure.sum()))
 
 
 def guarded_bands(df: DataFrame, value: Column, edges: list[tuple[float, float]], guard: float) -> DataFrame:
@@ -96,4 +139,4 @@ def nearest_block(units: DataFrame, known: DataFrame, key: str, dims: list[str],
 
 
 def row_numbers(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return numbered(df, by, order, "n")

@@ -38,3 +38,32 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], s
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str, ranges: int | None = None) -> DataFrame:
     """rows with `name`: the row's number in its group, from 1."""
     return running(rows, by, order, {name: F.lit(1).cast("long")}, ranges).withColumn(name, F.col(name) + 1)
+
+
+def beside(rows: DataFrame, facts: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined with facts on columns of one name, where null equals null."""
+    named = facts.withColumnsRenamed({c: f"hf_on_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"hf_on_{c}")) for c in on], F.lit(True))
+    return rows.join(named, same, how).drop(*[f"hf_on_{c}" for c in on])
+
+
+def tied(rows: DataFrame, by: Sequence[str], value: str, **sums: Column) -> DataFrame:
+    """(by, value, n, before, sums): each different value with its number of rows, that of the rows with a smaller
+    value, and sums of its own rows. Equal values are counted in each task first."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in sums.items()])
+    return running(counts, by, [value], {"before": F.col("n")})
+
+
+def order_values(rows: DataFrame, by: Sequence[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(by, n, places): the values at given places (from 0, expressions of the group's size n) of each group's ascending values."""
+    ties = materialise(tied(rows.where(F.col(value).isNotNull()), by, value).withColumnRenamed("n", "hf_own"))
+    sizes = ties.groupBy(*by).agg(F.sum("hf_own").alias("n"))
+    at = beside(ties, sizes, by) if by else ties.crossJoin(F.broadcast(sizes))  # one row
+    inside = lambda c: (F.col("before") <= c) & (c < F.col("before") + F.col("hf_own"))
+    return at.groupBy(*by, "n").agg(*[F.max(F.when(inside(c), F.col(value))).alias(k) for k, c in places.items()])
+
+
+def medians(rows: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """(by, name): each group's median, the mean of the two middle values of an even number."""
+    both = order_values(rows, by, value, {"hf_low": F.floor((F.col("n") - 1) / 2), "hf_high": F.floor(F.col("n") / 2)})
+    return both.select(*by, ((F.col("hf_low") + F.col("hf_high")) / 2).alias(name))

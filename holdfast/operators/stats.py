@@ -3,35 +3,87 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import e
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .holdout import md5_number
-
-
-def bootstrap_median(df: DataFrame, by: list[str], order: str, value: str, draws: int, seed: str) -> DataFrame:
-    """(by, low, high): 2.5% and 97.5% of medians of resamples with replacement, drawn by md5(seed:draw:i) mod n.
-    For values that are already reduced to few units a group: rows are multiplied by the number of draws."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumns({"hf_i": F.row_number().over(w.orderBy(order)) - 1, "hf_n": F.count("*").over(w)})
-    picks = rows.select(*by, "hf_n", "hf_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("hf_at", md5_number(F.lit(seed), F.col("draw"), F.col("hf_i")) % F.col("hf_n"))
-    drawn = picks.join(rows.select(*by, F.col("hf_i").alias("hf_at"), F.col(value).alias("hf_v")), [*by, "hf_at"])
-    medians = drawn.groupBy(*by, "draw").agg(F.median("hf_v").alias("m"))
-    return medians.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-
-
-def sign_flip(df: DataFrame, by: list[str], difference: str, most: int = 20) -> DataFrame:
-    """(by, n, observed, p): share of all sign patterns whose mean is at least as far from 0. Groups of more than
-    `most` differences are an error: the patterns double with each."""
-    groups = df.groupBy(*by).agg(F.collect_list(difference).alias("d"))
+from .ranks import beside, numbered, running, tied
+
+
+DRAWS = 10_000  # sampled patterns of groups that are too large for all of them
+
+
+def by_size(df: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups with `most` rows at most, and those of the others."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("hf_size"))
+    return beside(df, sizes.where(F.col("hf_size") <= most), by), beside(df, sizes.where(F.col("hf_size") > most), by)
+
+
+def uniform(seed: str, *keys: str) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / float(1 << 53)
+
+
+def poisson_one(u: Column, most: int = 20) -> Column:
+    """The Poisson number of mean 1 at a uniform number: how many steps of its distribution lie at or below it."""
+    total, steps, mass = F.lit(0), [], 1 / e
+    upto = mass
+    for i in range(most):
+        steps.append(upto)
+        mass /= i + 1
+        upto += mass
+    for step in steps:
+        total = total + (u >= step).cast("int")
+    return total
+
+
+def bootstrap_median(df: DataFrame, by: list[str], order: str, value: str, draws: int, seed: str, most: int = 10_000) -> DataFrame:
+    """(by, low, high): 2.5% and 97.5% of medians of resamples. Groups of `most` rows at most are drawn from with
+    replacement, by md5(seed:draw:i) mod n; in larger ones each row has a Poisson weight of mean 1 in each draw, and medians are
+    of weighted ranks, so no draw of a group is gathered. Rows are multiplied by the number of draws."""
+    few, many = by_size(df.where(F.col(value).isNotNull()), by, most)
+    rows = numbered(few, by, [order], "hf_i").withColumn("hf_i", F.col("hf_i") - 1)
+    picks = rows.select(*by, F.col("hf_size").alias("hf_n"), "hf_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("hf_at", md5_number(F.lit(seed), F.col("draw"), F.col("hf_i")) % F.col("hf_n"))
+    drawn = beside(picks, rows.select(*by, F.col("hf_i").alias("hf_at"), F.col(value).alias("hf_v")), [*by, "hf_at"])
+    middle = drawn.groupBy(*by, "draw").agg(F.median("hf_v").alias("m"))
+    if not many.isEmpty():
+        each = numbered(many, by, [order], "hf_i").select(*by, F.col(value).alias("hf_v"), "hf_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+        weighed = each.withColumn("w", poisson_one(uniform(seed, "draw", "hf_i")).cast("long")).where("w > 0").groupBy(*by, "draw", "hf_v").agg(F.sum("w").alias("w"))
+        ranked = running(weighed, [*by, "draw"], ["hf_v"], {"before": F.col("w")})
+        whole = ranked.groupBy(*by, "draw").agg(F.sum("w").alias("hf_all"))
+        ranked = beside(ranked, whole, [*by, "draw"])
+        holds = lambda c: F.when((F.col("before") <= c) & (c < F.col("before") + F.col("w")), F.col("hf_v"))
+        found = ranked.groupBy(*by, "draw").agg(F.max(holds(F.floor((F.col("hf_all") - 1) / 2))).alias("a"), F.max(holds(F.floor(F.col("hf_all") / 2))).alias("b"))
+        middle = middle.unionByName(found.select(*by, "draw", ((F.col("a") + F.col("b")) / 2).alias("m")))
+    return middle.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def sampled_flips(rows: DataFrame, by: list[str], order: str, size: str, draws: int, seed: str) -> DataFrame:
+    """(by, draw, total): sums of `size` with random signs, for each draw. Each task sums its own rows first."""
+    each = numbered(rows, by, [order], "hf_i").select(*by, F.col(size).cast("double").alias("hf_s"), "hf_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    sign = F.when(F.xxhash64(F.lit(seed), "draw", "hf_i").bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+    return each.groupBy(*by, "draw").agg(F.sum(sign * F.col("hf_s")).alias("total"))
+
+
+def sign_flip(df: DataFrame, by: list[str], difference: str, most: int = 20, draws: int = DRAWS, seed: str = "flip") -> DataFrame:
+    """(by, n, observed, p, patterns): share of the sign patterns whose mean is at least as far from 0. All 2^n patterns
+    of groups of `most` differences at most; `draws` seeded ones of larger groups, with the observed one among them."""
+    few, many = by_size(df.where(F.col(difference).isNotNull()), by, most)
+    groups = few.groupBy(*by).agg(F.collect_list(difference).alias("d"))
     n = F.size("d")
-    groups = groups.withColumn("d", F.when(n <= most, F.col("d")).otherwise(F.raise_error(F.lit("too many differences for all patterns")).cast("array<double>")))
     mean = F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / n
     each = groups.select(*by, "d", mean.alias("observed"), F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), n).cast("long") - 1)).alias("pattern"))
     signed = F.transform("d", lambda x, i: F.when(F.floor(F.col("pattern") / F.pow(F.lit(2.0), i)) % 2 == 1, -x).otherwise(x))
     flipped = F.abs(F.aggregate(signed, F.lit(0.0), lambda a, x: a + x) / F.size("d")) >= F.abs("observed") - 1e-12
-    return each.groupBy(*by).agg(F.first(F.size("d")).alias("n"), F.first("observed").alias("observed"), F.avg(flipped.cast("double")).alias("p"))
+    out = each.groupBy(*by).agg(F.first(F.size("d")).cast("long").alias("n"), F.first("observed").alias("observed"), F.avg(flipped.cast("double")).alias("p"), F.count("*").alias("patterns"))
+    if many.isEmpty():
+        return out
+    seen = many.groupBy(*by).agg(F.count("*").alias("n"), F.avg(difference).alias("observed"))
+    drawn = beside(sampled_flips(many, by, difference, difference, draws, seed), seen, by)
+    far = F.count_if(F.abs(F.col("total")) >= (F.abs("observed") - 1e-12) * F.col("n"))
+    return out.unionByName(drawn.groupBy(*by, "n", "observed").agg(((far + 1) / (draws + 1)).alias("p")).withColumn("patterns", F.lit(draws).cast("long")))
 
 
 def log_factorial(n: Column) -> Column:
@@ -75,30 +127,35 @@ def fisher(tables: DataFrame, by: list[str], a: str = "a", b: str = "b", c: str
 
 def rank_sum(df: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
     """(by, auc, z): U of the first group over n1 * n2 from average ranks, and its tie-corrected z."""
-    w = Window.partitionBy(*by)
-    t = F.count("*").over(Window.partitionBy(*by, value))
-    ranked = df.withColumns({"hf_first": first, "hf_t": t, "hf_r": F.rank().over(w.orderBy(value)) + (t - 1) / 2.0})
-    out = ranked.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.count_if("hf_first").cast("double").alias("n1"), F.sum(F.when(F.col("hf_first"), F.col("hf_r"))).alias("r1"), F.sum(F.col("hf_t") * F.col("hf_t") - 1).cast("double").alias("ties"))
+    ties = tied(df.withColumn("hf_first", first), by, value, firsts=F.count_if("hf_first"))
+    t = F.col("n").cast("double")
+    out = ties.groupBy(*by).agg(F.sum(t).alias("n"), F.sum("firsts").cast("double").alias("n1"), F.sum(F.col("firsts") * (F.col("before") + (t + 1) / 2)).alias("r1"), F.sum(t * (t * t - 1)).alias("ties"))
     n, n1 = F.col("n"), F.col("n1")
     n2, u = n - n1, F.col("r1") - n1 * (n1 + 1) / 2
     var = n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     return out.select(*by, (u / (n1 * n2)).alias("auc"), ((u - n1 * n2 / 2) / F.sqrt(var)).alias("z"))
 
 
-def signed_rank(df: DataFrame, by: list[str], difference: str, most: int = 200) -> DataFrame:
-    """(by, n, w, p): exact two-sided signed-rank test of small groups, zeros left out: the distribution of the
-    rank sum is built by adding one rank after another (doubled, so that average ranks are whole). It has about
-    n squared places, so groups of more than `most` differences are an error."""
-    d = df.where(F.col(difference) != 0)
-    w = Window.partitionBy(*by)
-    size = F.abs(difference)
-    ranked = d.withColumn("hf_size", F.count("*").over(w)).withColumn("hf_r", (2 * F.rank().over(w.orderBy(size)) + F.count("*").over(Window.partitionBy(*by, size)) - 1).cast("int"))
-    g = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("hf_r")).otherwise(0)).alias("w2"), F.sum("hf_r").alias("all2"), F.collect_list(F.when(F.col("hf_size") <= most, F.col("hf_r")).otherwise(F.raise_error(F.lit("too many differences for an exact test")).cast("int"))).alias("ranks"))
+def signed_rank(df: DataFrame, by: list[str], difference: str, most: int = 200, draws: int = DRAWS, seed: str = "rank") -> DataFrame:
+    """(by, n, w, p, patterns): two-sided signed-rank test, zeros left out. Of groups of `most` differences at most it is exact (patterns null):
+    the distribution of the rank sum is built by adding one rank after another (doubled, so that average ranks are whole),
+    over about n squared places. Of larger groups p is over `draws` seeded sign patterns and the observed one."""
+    d = df.where(F.col(difference) != 0).withColumn("hf_abs", F.abs(difference))
+    ties = tied(d, by, "hf_abs").select(*by, "hf_abs", (2 * F.col("before") + F.col("n") + 1).cast("long").alias("hf_r"))
+    few, many = by_size(beside(d, ties, [*by, "hf_abs"]), by, most)
+    won = F.sum(F.when(F.col(difference) > 0, F.col("hf_r")).otherwise(0))
+    g = few.groupBy(*by).agg(F.count("*").alias("n"), won.alias("w2"), F.sum("hf_r").alias("all2"), F.collect_list(F.col("hf_r").cast("int")).alias("ranks"))
     start = F.array_prepend(F.array_repeat(F.lit(0.0), F.col("all2").cast("int")), F.lit(1.0))
     counts = F.aggregate("ranks", start, lambda acc, r: F.transform(acc, lambda x, i: (x + F.when(i >= r, F.get(acc, i - r)).otherwise(0.0)) / 2))
     low = F.least("w2", F.col("all2") - F.col("w2")).cast("int")
     p = 2 * F.aggregate(F.slice(counts, 1, low + 1), F.lit(0.0), lambda a, x: a + x)
-    return g.select(*by, "n", (F.col("w2") / 2.0).alias("w"), F.least(F.lit(1.0), p).alias("p"))
+    out = g.select(*by, "n", (F.col("w2") / 2.0).alias("w"), F.least(F.lit(1.0), p).alias("p"), F.lit(None).cast("long").alias("patterns"))
+    if many.isEmpty():
+        return out
+    seen = many.groupBy(*by).agg(F.count("*").alias("n"), won.alias("w2"), F.sum("hf_r").alias("all2"))
+    drawn = beside(sampled_flips(many, by, difference, "hf_r", draws, seed), seen, by)
+    far = F.count_if(F.abs(F.col("total")) >= F.abs(2 * F.col("w2") - F.col("all2")))
+    return out.unionByName(drawn.groupBy(*by, "n", "w2").agg(((far + 1) / (draws + 1)).alias("p")).select(*by, "n", (F.col("w2") / 2.0).alias("w"), "p", F.lit(draws).cast("long").alias("patterns")))
 
 
 def method_comparison(errors: DataFrame, unit: list[str], method: str, error: str, reference: str, others: list[str], blocks: str) -> DataFrame:

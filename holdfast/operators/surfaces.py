@@ -15,6 +15,7 @@ from . import moments
 from .matching import batched_solve
 from .spatial import knn_join, nearest
 from .volume import gather
+from .ranks import numbered
 from .windows import gaussian_smooth, gradient
 
 
@@ -166,7 +167,7 @@ def registration_check(a: DataFrame, b: DataFrame, key: str, most: float) -> Dat
     """(fitted, error): an affine map from landmarks a to b by every other one, its largest error on those and on
     the rest. An error over `most` on the rest fails when the row is computed."""
     rows = a.join(b.select(key, *[F.col(c).alias(f"b{c}") for c in "xyz"]), key).withColumn("one", F.lit(1))
-    rows = rows.withColumn("fitted", F.row_number().over(Window.partitionBy("one").orderBy(key)) % 2 == 1)
+    rows = numbered(rows, ["one"], [key], "hf_i").withColumn("fitted", F.col("hf_i") % 2 == 1)
     terms = [F.lit(1.0), *map(F.col, "xyz")]
     beta = moments.coefficients(moments.statistics(rows.where("fitted"), ["one"], terms, [F.col(f"b{c}") for c in "xyz"]), ["one"], moments.least_squares, 4, 3).drop("n")
     off = [F.col(f"b{c}") - moments.predicted(terms, intercept=False, target=i, targets=3) for i, c in enumerate("xyz")]
@@ -181,11 +182,11 @@ def automatic_crop(mask: DataFrame, radius: float, size: tuple[int, int], sigma:
     ends = mask.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
     spark = mask.sparkSession
     around = spark.range(ends[0] - 1, ends[1] + 2).withColumnRenamed("id", "i").crossJoin(spark.range(ends[2] - 1, ends[3] + 2).withColumnRenamed("id", "j"))
-    grid = around.join(top, ["i", "j"], "left").withColumn("id", F.col("i") * 1_000_000 + F.col("j"))
+    grid = around.join(top, ["i", "j"], "left").withColumn("id", F.struct("i", "j"))
     empty = grid.where("top is null")
     far = nearest(grid.where("top is not null"), empty, ["i", "j"], "id", "id").where(F.col("distance") > radius).select(F.col("query_id").alias("id"))
     full = grid.withColumn("top", F.coalesce("top", F.lit(0)).cast("double"))
-    smooth = gaussian_smooth(gaussian_smooth(full, ["j"], "i", "top", sigma), ["i"], "j", "smooth", sigma, "f").withColumn("id", F.col("i") * 1_000_000 + F.col("j"))
+    smooth = gaussian_smooth(gaussian_smooth(full, ["j"], "i", "top", sigma), ["i"], "j", "smooth", sigma, "f").withColumn("id", F.struct("i", "j"))
     best = smooth.join(far, "id").agg(F.max(F.struct("f", (-F.col("i")).alias("ni"), (-F.col("j")).alias("nj"))).alias("m")).select((-F.col("m.ni")).alias("ci"), (-F.col("m.nj")).alias("cj"))
     lo = lambda c, n, a, b: F.greatest(F.lit(a), F.least(F.col(c) - n // 2, F.lit(b - n + 1)))
     return best.select("ci", "cj", lo("ci", size[0], ends[0], ends[1]).alias("lo_i"), lo("cj", size[1], ends[2], ends[3]).alias("lo_j"))

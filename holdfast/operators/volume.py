@@ -81,25 +81,39 @@ def patches(units: DataFrame, cells: DataFrame, key: str, at: tuple[str, str], c
     return spread.join(cells, list(coords)).withColumn("disk", F.col("da") * F.col("da") + F.col("db") * F.col("db") <= radius * radius)
 
 
+def window_maximum(cells: DataFrame, dims: list[str], value: str, reach: float, name: str) -> DataFrame:
+    """cells (at whole coordinates) with the largest value within `reach` along every dimension, a square window: one
+    dimension after another."""
+    last = value
+    for i, d in enumerate(dims):
+        line = Window.partitionBy(*[x for x in dims if x != d]).orderBy(d).rangeBetween(-int(reach), int(reach))
+        cells, last = cells.withColumn(f"hf_max{i}", F.max(last).over(line)), f"hf_max{i}"
+    return cells.withColumn(name, F.col(last)).drop(*[f"hf_max{i}" for i in range(len(dims))])
+
+
 def local_maxima(cells: DataFrame, key: str, dims: list[str], value: str, window: float, threshold: float, apart: float, rounds: int = 50) -> DataFrame:
-    """Cells over a threshold that no other within `window` exceeds (ties: lower key wins), then greedy
-    suppression by Euclidean distance: in each round the local winners stay and what is close to them goes,
-    which is what going down by value does."""
-    high = materialise(cells.where(F.col(value) > threshold).select(key, *dims, value))
-
-    def losers(df: DataFrame, radius: float) -> DataFrame:
-        pairs = range_join(df, df, radius, dims, key, key, strict=False, exclude_self=True)
-        v = lambda n, a: df.select(F.col(key).alias(n), F.col(value).alias(a))
-        both = pairs.join(v("query_id", "hf_a"), "query_id").join(v("neighbour_id", "hf_b"), "neighbour_id")
-        beaten = (F.col("hf_b") > F.col("hf_a")) | ((F.col("hf_b") == F.col("hf_a")) & (F.col("neighbour_id") < F.col("query_id")))
-        return both.where(beaten).select(F.col("query_id").alias(key)).distinct()
-
-    left = materialise(high.join(losers(high, window), key, "left_anti"))
+    """Cells of a grid over a threshold whose value is the largest of the square window of `window` cells to each side (equal
+    ones are all candidates), then greedy suppression going down by value (ties: lower key first): a cell goes if a kept one
+    is closer than `apart` in the largest coordinate difference; at that very distance it stays. In each
+    round the local winners stay and what is close to them goes, which is what going down does."""
+    high = window_maximum(cells.select(key, *dims, F.col(value).alias(value)), dims, value, window, "hf_most")
+    left = materialise(high.where((F.col(value) > threshold) & (F.col(value) == F.col("hf_most"))).drop("hf_most"))
     kept = None
+
+    def close(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs closer than `apart` in every dimension, of different cells."""
+        pairs = range_join(a, b, apart * len(dims) ** 0.5, dims, key, key, exclude_self=True).drop("distance")
+        at = lambda df, n, p: df.select(F.col(key).alias(n), *[F.col(d).alias(f"{p}{d}") for d in dims], F.col(value).alias(f"{p}value"))
+        both = pairs.join(at(a, "query_id", "hf_a"), "query_id").join(at(b, "neighbour_id", "hf_b"), "neighbour_id")
+        gap = [F.abs(F.col(f"hf_a{d}") - F.col(f"hf_b{d}")) for d in dims]
+        return both.where((F.greatest(*gap) if len(gap) > 1 else gap[0]) < apart)
+
     for _ in range(rounds):
-        won = materialise(left.join(losers(left, apart), key, "left_anti"))
+        beaten = (F.col("hf_bvalue") > F.col("hf_avalue")) | ((F.col("hf_bvalue") == F.col("hf_avalue")) & (F.col("neighbour_id") < F.col("query_id")))
+        lost = close(left, left).where(beaten).select(F.col("query_id").alias(key)).distinct()
+        won = materialise(left.join(lost, key, "left_anti"))
         kept = won if kept is None else kept.unionByName(won)
-        gone = range_join(left, won, apart, dims, key, key, strict=False).select(F.col("query_id").alias(key)).distinct()
+        gone = close(left, won).select(F.col("query_id").alias(key)).unionByName(won.select(key)).distinct()
         left = materialise(left.join(gone, key, "left_anti"))
         if left.isEmpty():
             return kept

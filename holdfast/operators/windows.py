@@ -8,6 +8,8 @@ from math import exp
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import beside, medians, numbered
+
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group in a full order, with their rank."""
@@ -48,17 +50,22 @@ def gaussian_weights(sigma: float) -> list[float]:
 
 def gaussian_smooth(df: DataFrame, by: list[str], x: str, value: str, sigma: float, name: str = "smooth") -> DataFrame:
     """Smoothing along integer x = lo..hi of each line, reflecting at both ends (the end row is repeated).
-    Each row takes the places of its window, mirrored ones included; places without a row are left out and the
-    other weights scaled up."""
+    Each row takes the places of its window, mirrored ones included; places without a row or value are left out and the
+    other weights scaled up. Rows move once, with a line; the window is an array beside each row."""
     w = gaussian_weights(sigma)
     radius = len(w) // 2
-    ends = Window.partitionBy(*by)
-    rows = df.withColumns({"hf_lo": F.min(x).over(ends), "hf_n": F.max(x).over(ends) - F.min(x).over(ends) + 1})
-    at = F.pmod(F.col(x) + F.col("hf_step") - F.col("hf_lo"), 2 * F.col("hf_n"))
-    place = F.col("hf_lo") + F.when(at < F.col("hf_n"), at).otherwise(2 * F.col("hf_n") - 1 - at)
-    taps = rows.select(*by, F.col(x), "hf_lo", "hf_n", F.posexplode(F.array(*map(F.lit, w))).alias("hf_i", "hf_w")).withColumn("hf_step", F.col("hf_i") - radius).withColumn("hf_from", place)
-    values = df.select(*by, F.col(x).alias("hf_from"), F.col(value).alias("hf_v"))
-    return taps.join(values, [*by, "hf_from"]).groupBy(*by, x).agg((F.sum(F.col("hf_w") * F.col("hf_v")) / F.sum("hf_w")).alias(name))
+    ends = beside(df, df.groupBy(*by).agg(F.min(x).alias("hf_lo"), (F.max(x) - F.min(x) + 1).alias("hf_n")), by)
+    turns = F.sequence(-F.ceil(radius / (2 * F.col("hf_n")) + 1), F.ceil(radius / (2 * F.col("hf_n")) + 1))
+    both = F.flatten(F.transform(turns, lambda t: F.array(F.col(x) + 2 * F.col("hf_n") * t, 2 * F.col("hf_lo") - 1 - F.col(x) + 2 * F.col("hf_n") * t)))
+    near = F.filter(both, lambda p: p.between(F.col("hf_lo") - radius, F.col("hf_lo") + F.col("hf_n") - 1 + radius))
+    rows = ends.select(*by, F.col(x), F.col(value).alias("hf_v"), F.explode(near).alias("hf_at"))  # a row, and its mirrored places near the ends
+    frame = Window.partitionBy(*by).orderBy("hf_at").rangeBetween(-radius, radius)
+    taps = F.collect_list(F.when(F.col("hf_v").isNotNull(), F.struct("hf_at", "hf_v"))).over(frame)
+    own = rows.withColumn("hf_taps", taps).where(F.col("hf_at") == F.col(x))
+    weights = F.array(*map(F.lit, w))
+    weight = lambda t: F.get(weights, (t["hf_at"] - F.col("hf_at") + radius).cast("int"))
+    total = lambda f: F.aggregate("hf_taps", F.lit(0.0), lambda a, t: a + f(t))
+    return own.where(F.size("hf_taps") > 0).select(*by, x, (total(lambda t: weight(t) * t["hf_v"]) / total(weight)).alias(name)).distinct()
 
 
 def threshold_crossing(df: DataFrame, by: list[str], x: str, value: str, thresholds: list[float]) -> DataFrame:
@@ -93,15 +100,16 @@ def hashed_sample(df: DataFrame, block: str, key: str, seed: str, n: int) -> Dat
 
 def systematic_sample(df: DataFrame, by: list[str], order: list[str], every: int) -> DataFrame:
     """Every n-th row of each group from the first on; parity says fit or holdout."""
-    rows = df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col("place") % every == 0)
+    rows = numbered(df, by, order, "place").withColumn("place", F.col("place") - 1).where(F.col("place") % every == 0)
     return rows.withColumn("role", F.when((F.col("place") / every).cast("int") % 2 == 0, "fit").otherwise("holdout"))
 
 
 def group_centred(df: DataFrame, group: str, value: str) -> DataFrame:
     """Value minus its group's median; weights 1 / group size, scaled to mean 1."""
-    w = Window.partitionBy(group)
-    groups, rows = df.agg(F.count_distinct(group)).first()[0], df.count()
-    return df.withColumns({"centred": F.col(value) - F.median(value).over(w), "weight": F.lit(float(rows) / max(1, groups)) / F.count("*").over(w)})
+    sizes = df.groupBy(group).agg(F.count("*").alias("hf_n"))
+    groups, rows = sizes.agg(F.count(group), F.coalesce(F.sum("hf_n"), F.lit(0))).first()
+    facts = beside(sizes, medians(df, [group], value, "hf_m"), [group], "left")
+    return beside(df, facts, [group]).select(*df.columns, (F.col(value) - F.col("hf_m")).alias("centred"), (F.lit(float(rows) / max(1, groups)) / F.col("hf_n")).alias("weight"))
 
 
 def cyclic_windows(nodes: DataFrame, by: list[str], order: str, node: str, k: int) -> DataFrame:

@@ -288,9 +288,9 @@ def block_medians(v):
     return units.groupBy("method", "block_id").agg(F.median("error").alias("e"))
 
 
-@query("J01_bootstrap_median", f"WITH {BLOCKS}, r AS (SELECT method, e, row_number() OVER (PARTITION BY method ORDER BY block_id) - 1 AS i, count(*) OVER (PARTITION BY method) AS n FROM b), d AS (SELECT r.method, t.d, x.e FROM r, range(1, 201) t(d), r x WHERE x.method = r.method AND x.i = ('0x' || substr(md5('b:' || t.d || ':' || r.i), 1, 12))::BIGINT % r.n), m AS (SELECT method, d, median(e) AS m FROM d GROUP BY 1, 2) SELECT method, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1")
+@query("J01_bootstrap_median", f"WITH {BLOCKS}, r AS (SELECT method, e, row_number() OVER (PARTITION BY method ORDER BY block_id) - 1 AS i, count(*) OVER (PARTITION BY method) AS n FROM b), d AS (SELECT r.method, t.d, x.e FROM r, range(1, 4001) t(d), r x WHERE x.method = r.method AND x.i = ('0x' || substr(md5('b:' || t.d || ':' || r.i), 1, 12))::BIGINT % r.n), m AS (SELECT method, d, median(e) AS m FROM d GROUP BY 1, 2) SELECT method, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1")
 def j01(v):
-    return rounded(stats.bootstrap_median(block_medians(v), ["method"], "block_id", "e", 200, "b"), "low", "high")
+    return rounded(stats.bootstrap_median(block_medians(v), ["method"], "block_id", "e", 4000, "b"), "low", "high")
 
 
 DIFFS = f"{BLOCKS}, d AS (SELECT x.block_id, x.e - y.e AS d FROM b x JOIN b y USING (block_id) WHERE x.method = 'A' AND y.method = 'R')"
@@ -301,7 +301,7 @@ def differences(v):
     return b.where("method = 'A'").select("block_id", F.col("e").alias("ea")).join(b.where("method = 'R'").select("block_id", F.col("e").alias("er")), "block_id").withColumn("d", F.col("ea") - F.col("er"))
 
 
-@query("J02_sign_flip", f"WITH {DIFFS}, i AS (SELECT d, row_number() OVER (ORDER BY block_id) - 1 AS i FROM d), p AS (SELECT t.p, avg(CASE WHEN (t.p >> i) & 1 = 1 THEN -d ELSE d END) AS m FROM i, range(0, 32) t(p) GROUP BY 1), o AS (SELECT avg(d) AS o, count(*) AS n FROM d) SELECT n, round(o, 6) AS observed, round(avg(CASE WHEN abs(m) >= abs(o) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p FROM p, o GROUP BY 1, 2")
+@query("J02_sign_flip", f"WITH {DIFFS}, i AS (SELECT d, row_number() OVER (ORDER BY block_id) - 1 AS i FROM d), p AS (SELECT t.p, avg(CASE WHEN (t.p >> i) & 1 = 1 THEN -d ELSE d END) AS m FROM i, range(0, 32) t(p) GROUP BY 1), o AS (SELECT avg(d) AS o, count(*) AS n FROM d) SELECT n, 1 << n AS patterns, round(o, 6) AS observed, round(avg(CASE WHEN abs(m) >= abs(o) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p FROM p, o GROUP BY 1, 2, 3")
 def j02(v):
     return rounded(stats.sign_flip(differences(v).withColumn("one", F.lit(1)), ["one"], "d"), "observed", "p").drop("one")
 

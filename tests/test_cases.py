@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import geometry as geo
-from holdfast.operators import aggregates, graph, holdout, joins, moments, predict, spatial, stats, volume, windows
+from holdfast.operators import aggregates, graph, holdout, joins, moments, predict, ranks, spatial, stats, volume, windows
 from holdfast.sources import tables
 
 
@@ -182,12 +182,13 @@ def test_interpolation_is_exact_for_linear_fields(spark):
 
 def test_maxima_equal_greedy_suppression(spark):
     rnd = random.Random(3)
-    rows = [(i * 20 + j, float(i), float(j), rnd.random()) for i in range(20) for j in range(20)]
+    rows = [(i * 20 + j, float(i), float(j), rnd.randrange(12) / 10) for i in range(20) for j in range(20)]  # with ties
     got = {r["id"] for r in volume.local_maxima(spark.createDataFrame(rows, "id long, x double, y double, v double"), "id", ["x", "y"], "v", 1.5, 0.5, 4.0).collect()}
-    top = [r for r in rows if r[3] > 0.5 and all(r[3] >= s[3] for s in rows if np.hypot(r[1] - s[1], r[2] - s[2]) <= 1.5)]
+    far = lambda r, s: max(abs(r[1] - s[1]), abs(r[2] - s[2]))
+    top = [r for r in rows if r[3] > 0.5 and all(r[3] >= s[3] for s in rows if far(r, s) <= 1.5)]
     kept = []
     for r in sorted(top, key=lambda r: (-r[3], r[0])):
-        if all(np.hypot(r[1] - s[1], r[2] - s[2]) > 4 for s in kept):
+        if all(far(r, s) >= 4 for s in kept):
             kept.append(r)
     assert got == {r[0] for r in kept}
 
@@ -203,9 +204,85 @@ def test_signed_rank_equals_enumeration(spark):
     assert r["n"] == 6 and r["w"] == w and abs(r["p"] - min(1, 2 * np.mean([s <= low for s in sums]))) < 1e-12
 
 
-def test_many_differences_are_an_error(spark):
-    with pytest.raises(Exception, match="too many differences"):
-        stats.sign_flip(spark.createDataFrame([(1, float(i)) for i in range(25)], "g int, d double"), ["g"], "d").collect()
+def test_large_groups_are_sampled(spark):
+    rnd = np.random.default_rng(4)
+    d = rnd.normal(0.35, 1, 18)
+    df = spark.createDataFrame([(1, float(x)) for x in d] + [(None, float(x)) for x in d], "g int, d double")
+    for test, least in ((stats.sign_flip, 1), (stats.signed_rank, 1)):
+        whole = {r["g"]: r for r in test(df, ["g"], "d").collect()}
+        drawn = {r["g"]: r for r in test(df, ["g"], "d", most=least, draws=4000).collect()}
+        assert whole.keys() == drawn.keys() == {1, None}
+        for g, r in drawn.items():
+            p = whole[g]["p"]
+            assert r["patterns"] == 4000 and r["n"] == 18 and abs(r["p"] - p) < 4 * np.sqrt(p * (1 - p) / 4000) + 1e-3
+    assert {r["patterns"] for r in stats.sign_flip(df, ["g"], "d").collect()} == {1 << 18}
+
+
+def test_bootstraps_of_large_groups(spark):
+    rnd = np.random.default_rng(7)
+    values = rnd.normal(0, 1, 300)
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(values)], "g int, i int, v double")
+    exact = stats.bootstrap_median(df, ["g"], "i", "v", 600, "a").first()
+    poisson = stats.bootstrap_median(df, ["g"], "i", "v", 600, "a", most=10).first()
+    assert poisson["low"] < np.median(values) < poisson["high"]
+    assert abs(exact["low"] - poisson["low"]) < 0.06 and abs(exact["high"] - poisson["high"]) < 0.06
+
+
+def test_order_statistics_of_one_large_group(spark):
+    """A group that lies in many ranges, with ties, beside small ones and a null one."""
+    rnd = random.Random(6)
+    rows = [("big", i, rnd.randrange(200)) for i in range(3000)] + [("small", i, i % 3) for i in range(7)] + [(None, i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, i long, v long")
+    got = ranks.numbered(df, ["g"], ["v", "i"], "n", ranges=9)
+    want = {}
+    for g in ("big", "small", None):
+        want |= {(g, i): n for n, (_, i) in enumerate(sorted((v, i) for h, i, v in rows if h == g), 1)}
+    assert {(r["g"], r["i"]): r["n"] for r in got.collect()} == want
+    spread = df.repartitionByRange(9, "g", "v", "i").where("g = 'big'").groupBy(F.spark_partition_id()).count().count()
+    assert spread > 4
+    ranked = {(r["g"], r["i"]): r["r"] for r in aggregates.average_rank(df, ["g"], "v", "r").collect()}
+    for g in ("big", "small", None):
+        own = [(i, v) for h, i, v in rows if h == g]
+        assert all(ranked[g, i] == sum(w < v for _, w in own) + (sum(w == v for _, w in own) + 1) / 2 for i, v in own[:100])
+    medians = {r["g"]: r["median"] for r in ranks.medians(df, ["g"], "v").collect()}
+    assert medians == {g: float(np.median([v for h, _, v in rows if h == g])) for g in ("big", "small", None)}
+
+
+def test_balanced_folds_deal_one_after_another(spark):
+    rnd = random.Random(2)
+    for sizes in ([rnd.choice((1, 2, 3, 50, 51, 400, 0)) for _ in range(300)], [7] * 10, [0, 0, 5], [10**12, 3, 2, 1, 1, 1]):
+        load, want = [0] * 4, {}
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            want[i] = load.index(min(load))
+            load[want[i]] += sizes[i]
+        df = spark.createDataFrame(list(enumerate(sizes)), "g long, n long")
+        assert {r["g"]: r["fold"] for r in holdout.balanced_folds(df, "g", "n", 4).collect()} == want
+
+
+def test_components_across_tiles_equal_brute_force(spark):
+    rnd = random.Random(8)
+    cells = {(rnd.randrange(-20, 40), rnd.randrange(-3, 4), rnd.randrange(14, 19)) for _ in range(300)} | {(i, 30, 16) for i in range(-40, 60)}
+    df = spark.createDataFrame([("r", *c) for c in cells] + [("s", *c) for c in list(cells)[:50]], "region string, i long, j long, k long")
+    left, parts = set(cells), []
+    while left:
+        todo, part = [left.pop()], set()
+        while todo:
+            c = todo.pop()
+            part.add(c)
+            near = {(c[0] + a, c[1] + b, c[2] + d) for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        parts.append(frozenset(part))
+    got = {}
+    for r in graph.grid_components(df, ["region"]).collect():
+        got.setdefault((r["region"], r["component"]), set()).add((r["i"], r["j"], r["k"]))
+    assert {frozenset(x) for (g, _), x in got.items() if g == "r"} == set(parts)
+
+
+def test_patches_are_different_sets(spark):
+    e = spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")
+    got = graph.grown_patches(e, spark.createDataFrame([(i, i % 3) for i in range(9)], "attempt long, node long"), 3, "s").collect()
+    assert sorted((r["attempt"], r["node"]) for r in got) == [(0, 0), (0, 1), (0, 2)]
 
 
 def test_repeated_keys_are_an_error(spark):
