@@ -1,16 +1,23 @@
 """Missing members of point lattices and triangulation neighbours (inventory H12, H13, H15, H16, H19).
 
-Candidates are circumcentres of triples of a point's near neighbours whose circle holds no point: the corners
-between three regions of influence. Triples come from each point's k nearest, so they number at most
-k * (k - 1) / 2 for each point, and emptiness is a nearest-neighbour join.
+Candidates are circumcentres of triples of points whose circle holds no point: the corners between three
+regions of influence. Each point's region is cut out of a box by the bisectors towards its nearest neighbours; every corner
+of it, those on the box too, looks for its nearest point. If one is nearer than the region's own point, that one's bisector
+cuts the region again, until no corner has such a point. Then all corners are right, so the (convex) regions are, and no circle is
+missing, however wide the gaps between clusters. Points at one place count once, with the lowest key. Circles of radii beyond
+FAR times the points' extent count as lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialise
 from .spatial import knn_join
@@ -21,27 +28,123 @@ def _near(points: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
     return knn_join(points, points, k, ["x", "y"], key, key, tuple(by), exclude_self=True)
 
 
-def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 18) -> DataFrame:
-    """(by, a, b, c, x, y, radius): empty circles through three points of each other's neighbourhoods."""
+FAR = 1e4  # extents
+ROUND = 1e-9  # share of a radius by which points on a circle may lie beside it
+
+
+def region(near: list[tuple[float, float]], half: float) -> list[tuple[float, float, int, int]]:
+    """Corners (x, y, and the two neighbours whose bisectors meet there, -1: the box) of the region of a point at 0, 0 within
+    a box. near: neighbours, nearest first."""
+    ring = [(-half, -half, -1), (half, -half, -1), (half, half, -1), (-half, half, -1)]  # a corner, and what the side after it is of
+    for i, (nx, ny) in enumerate(near):
+        middle = (nx * nx + ny * ny) / 2
+        side = [nx * x + ny * y - middle for x, y, _ in ring]
+        if max(side) <= 0:
+            if middle > 2 * max(x * x + y * y for x, y, _ in ring):
+                break  # farther than twice the farthest corner, and so are all that follow
+            continue
+        cut = []
+        for j, (x, y, of) in enumerate(ring):
+            (x2, y2, _), s, s2 = ring[(j + 1) % len(ring)], side[j], side[(j + 1) % len(ring)]
+            if s <= 0:
+                cut.append((x, y, of))
+            if (s <= 0) != (s2 <= 0):
+                t = s / (s - s2)
+                cut.append((x + t * (x2 - x), y + t * (y2 - y), i if s <= 0 else of))
+        ring = cut
+    return [(x, y, ring[j - 1][2], of) for j, (x, y, of) in enumerate(ring)]
+
+
+def corners(near: DataFrame, by: list[str], half: float) -> DataFrame:
+    """(by, a, b, c, x, y, r, no): all regions' corners. near: by, a, ax, ay, near (array of struct n, x, y). b and c are null on the box."""
+    kind = near.schema["a"].dataType
+    schema = T.StructType([*[near.schema[c] for c in by], *[T.StructField(n, kind) for n in "abc"], *[T.StructField(n, T.DoubleType()) for n in "xyr"], T.StructField("no", T.IntegerType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):  # a short list of neighbours each
+                ax, ay = row["ax"], row["ay"]
+                own = sorted(row["near"], key=lambda n: ((n["x"] - ax) ** 2 + (n["y"] - ay) ** 2, n["n"]))
+                ids = [n["n"] for n in own] + [None]
+                for no, (x, y, i, j) in enumerate(region([(n["x"] - ax, n["y"] - ay) for n in own], half)):
+                    out.append((*(row[c] for c in by), row["a"], ids[i], ids[j], ax + x, ay + y, float(np.hypot(x, y)), no))
+            frame = pd.DataFrame(out, columns=schema.names)
+            yield frame.astype({"b": "Int64", "c": "Int64"}) if isinstance(kind, (T.LongType, T.IntegerType)) else frame
+
+    return near.mapInPandas(run, schema)
+
+
+def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 10, rounds: int = 100) -> DataFrame:
+    """(by, a, b, c, x, y, radius): all empty circles through three points (of four or more on one circle every three)."""
     by = list(by)
-    near = materialise(_near(points, key, by, k).select(*by, F.col("query_id").alias("a"), F.col("neighbour_id").alias("n")))
-    three = near.join(near.withColumnRenamed("n", "m"), [*by, "a"]).where("n < m")
-    three = three.select(*by, F.array_sort(F.array("a", "n", "m")).alias("t")).distinct()
-    t = three.select(*by, *[F.get("t", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull()
+    places = materialise(points.where(whole).groupBy(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min(key).alias("a")))
+    ends = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    half = FAR * (max(ends[0] or 0.0, ends[1] or 0.0) or 1.0)
+    at = places.select(*by, F.col("a").alias("neighbour_id"), F.struct(F.col("a").alias("n"), "x", "y").alias("one"))
+    listed = lambda pairs: pairs.join(at, [*by, "neighbour_id"]).groupBy(*by, F.col("query_id").alias("a")).agg(F.collect_set("one").alias("near"))
+    own = places.select(*by, "a", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    lists = materialise(own.join(listed(knn_join(places, places, k, ["x", "y"], "a", "a", tuple(by), exclude_self=True)), [*by, "a"]))
+    done = []
+    for _ in range(rounds):
+        found = materialise(corners(lists, by, half).withColumn("hf_c", F.struct("a", "no")))
+        first = knn_join(found, places, 1, ["x", "y"], "hf_c", "a", tuple(by)).where(F.col("distance").isNotNull())
+        nearer = found.join(first.withColumnRenamed("query_id", "hf_c"), [*by, "hf_c"]).where(F.col("distance") < F.col("r") * (1 - ROUND))
+        more = materialise(listed(nearer.select(*by, F.col("a").alias("query_id"), "neighbour_id").distinct()).withColumnRenamed("near", "more"))
+        done.append(found.where("b is not null and c is not null").join(more, [*by, "a"], "left_anti").select(*by, F.array_sort(F.array("a", "b", "c")).alias("t")))
+        if more.isEmpty():
+            break
+        lists = materialise(lists.join(more, [*by, "a"]).select(*by, "a", "ax", "ay", F.array_union("near", "more").alias("near")))
+    else:
+        raise RuntimeError("regions did not settle")
+    triples = done[0]
+    for d in done[1:]:
+        triples = triples.unionByName(d)
+    found = _circumcircles(triples.distinct(), places, by)
+    return _all_threes(found, places, by)
+
+
+def _circumcircles(triples: DataFrame, places: DataFrame, by: list[str]) -> DataFrame:
+    t = triples.select(*by, *[F.get("t", F.lit(i)).alias(n) for i, n in enumerate("abc")])
     for n in "abc":
-        t = t.join(points.select(*by, F.col(key).alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")), [*by, n])
+        t = t.join(places.select(*by, F.col("a").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")), [*by, n])
     bx, by_, cx, cy = (F.col(f"{d}{p}") - F.col(f"{d}a") for p in "bc" for d in "xy")
     det = 2 * (bx * cy - by_ * cx)
     ok = F.when(F.abs(det) > 1e-12, det)
     b2, c2 = bx * bx + by_ * by_, cx * cx + cy * cy
     ux, uy = (cy * b2 - by_ * c2) / ok, (bx * c2 - cx * b2) / ok
-    t = t.select(*by, "a", "b", "c", (F.col("xa") + ux).alias("x"), (F.col("ya") + uy).alias("y"), F.sqrt(ux * ux + uy * uy).alias("radius")).where("radius is not null")
-    t = materialise(t.withColumn("hf_c", F.xxhash64(*by, "a", "b", "c")))
-    first = knn_join(t, points, 1, ["x", "y"], "hf_c", key, tuple(by)).select(F.col("query_id").alias("hf_c"), F.col("distance").alias("hf_d"))
-    return t.join(first, "hf_c").where(F.col("hf_d") >= F.col("radius") * (1 - 1e-9)).drop("hf_c", "hf_d")
-
-
-def hole_candidates(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 18, around: int = 6, gap: float = 150.0) -> DataFrame:
+    return materialise(t.select(*by, "a", "b", "c", (F.col("xa") + ux).alias("x"), (F.col("ya") + uy).alias("y"), F.sqrt(ux * ux + uy * uy).alias("radius")).where("radius is not null"))
+
+
+def _all_threes(found: DataFrame, places: DataFrame, by: list[str]) -> DataFrame:
+    """Circles with every three of the points on them: where more than three are, other threes have that circle too."""
+    on, left, k = [], found.withColumn("hf_c", F.struct("a", "b", "c")), 6
+    while True:
+        near = knn_join(left, places, k, ["x", "y"], "hf_c", "a", tuple(by)).withColumnRenamed("query_id", "hf_c")
+        near = near.join(left.select(*by, "hf_c", "radius"), [*by, "hf_c"]).where(F.col("distance") <= F.col("radius") * (1 + ROUND))
+        sets = materialise(near.groupBy(*by, "hf_c").agg(F.array_sort(F.collect_list("neighbour_id")).alias("ids")))
+        on.append(sets.where(F.size("ids") < k))
+        if (rest := sets.where(F.size("ids") >= k)).isEmpty():
+            break
+        left, k = left.join(rest.select(*by, "hf_c"), [*by, "hf_c"]), 2 * k
+    sets = on[0]
+    for s in on[1:]:
+        sets = sets.unionByName(s)
+    four = materialise(sets.where(F.size("ids") > 3).select(*by, "ids").distinct())
+    if four.isEmpty():
+        return found
+    kind = four.schema["ids"].dataType.elementType
+
+    @F.udf(T.ArrayType(T.ArrayType(kind)))
+    def threes(ids):
+        return [list(t) for t in combinations(ids, 3)]
+
+    more = _circumcircles(four.select(*by, F.explode(threes("ids")).alias("t")).distinct(), places, by)
+    return found.unionByName(more.join(found.select(*by, "a", "b", "c"), [*by, "a", "b", "c"], "left_anti"))
+
+
+def hole_candidates(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 10, around: int = 6, gap: float = 150.0) -> DataFrame:
     """(by, x, y, radius, score): circle centres whose six nearest points leave no angular gap over `gap`; score is
     the radius over the local spacing (median nearest distance of those six)."""
     by = list(by)
