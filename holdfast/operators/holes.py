@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import materialise
-from .spatial import knn_join
+from .spatial import _sides, knn_join, searched, tree_of
 from .windows import angular_gap
 
 
@@ -75,7 +75,7 @@ def corners(near: DataFrame, by: list[str], half: float) -> DataFrame:
     return near.mapInPandas(run, schema)
 
 
-def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 10, rounds: int = 100) -> DataFrame:
+def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 12, rounds: int = 100) -> DataFrame:
     """(by, a, b, c, x, y, radius): all empty circles through three points (of four or more on one circle every three)."""
     by = list(by)
     whole = F.col("x").isNotNull() & F.col("y").isNotNull()
@@ -86,10 +86,10 @@ def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 10,
     listed = lambda pairs: pairs.join(at, [*by, "neighbour_id"]).groupBy(*by, F.col("query_id").alias("a")).agg(F.collect_set("one").alias("near"))
     own = places.select(*by, "a", F.col("x").alias("ax"), F.col("y").alias("ay"))
     lists = materialise(own.join(listed(knn_join(places, places, k, ["x", "y"], "a", "a", tuple(by), exclude_self=True)), [*by, "a"]))
-    done = []
+    tree, done = tree_of(_sides(places, places, ["x", "y"], "a", "a", by)[1], 1, ["x", "y"], by), []
     for _ in range(rounds):
         found = materialise(corners(lists, by, half).withColumn("hf_c", F.struct("a", "no")))
-        first = knn_join(found, places, 1, ["x", "y"], "hf_c", "a", tuple(by)).where(F.col("distance").isNotNull())
+        first = searched(_sides(found, places, ["x", "y"], "hf_c", "a", by)[0], tree, 1, ["x", "y"], by, False)
         nearer = found.join(first.withColumnRenamed("query_id", "hf_c"), [*by, "hf_c"]).where(F.col("distance") < F.col("r") * (1 - ROUND))
         more = materialise(listed(nearer.select(*by, F.col("a").alias("query_id"), "neighbour_id").distinct()).withColumnRenamed("near", "more"))
         done.append(found.where("b is not null and c is not null").join(more, [*by, "a"], "left_anti").select(*by, F.array_sort(F.array("a", "b", "c")).alias("t")))
@@ -144,7 +144,7 @@ def _all_threes(found: DataFrame, places: DataFrame, by: list[str]) -> DataFrame
     return found.unionByName(more.join(found.select(*by, "a", "b", "c"), [*by, "a", "b", "c"], "left_anti"))
 
 
-def hole_candidates(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 10, around: int = 6, gap: float = 150.0) -> DataFrame:
+def hole_candidates(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 12, around: int = 6, gap: float = 150.0) -> DataFrame:
     """(by, x, y, radius, score): circle centres whose six nearest points leave no angular gap over `gap`; score is
     the radius over the local spacing (median nearest distance of those six)."""
     by = list(by)

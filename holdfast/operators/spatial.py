@@ -145,14 +145,24 @@ def box_tree(p: DataFrame, dims: list[str], by: list[str], leaf: int) -> tuple[D
 
 
 def tree_search(q: DataFrame, p: DataFrame, k: int, dims: list[str], by: list[str], exclude_self: bool) -> DataFrame:
-    """(by, query_id, neighbour_id, distance, rank) of the k nearest points by a tree of boxes. All queries go down together:
-    of each one's boxes, those whose farthest corners bound k points bound its k-th distance, and boxes farther than that
-    are closed. Of points that share a place, the k lowest ids can be answers; the others aren't looked at."""
-    want = k + exclude_self
+    """(by, query_id, neighbour_id, distance, rank) of the k nearest points by a tree of boxes."""
+    return searched(q, tree_of(p, k + exclude_self, dims, by), k, dims, by, exclude_self)
+
+
+def tree_of(p: DataFrame, want: int, dims: list[str], by: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """The tree for searches of `want` points. Of points that share a place, the lowest ids can be answers; the others
+    aren't looked at."""
     place = Window.partitionBy(*by, *[f"p_{c}" for c in dims]).orderBy("neighbour_id")
     p = materialise(p.withColumn("hf_r", F.row_number().over(place)).where(F.col("hf_r") <= want).drop("hf_r"))
     boxes, points, levels = box_tree(p, dims, by, max(8, 2 * want))
-    boxes, points = materialise(boxes), materialise(points)
+    return materialise(boxes), materialise(points), levels
+
+
+def searched(q: DataFrame, tree: tuple[DataFrame, DataFrame, int], k: int, dims: list[str], by: list[str], exclude_self: bool) -> DataFrame:
+    """(by, query_id, neighbour_id, distance, rank) of the k nearest points. All queries go down the tree together:
+    of each one's boxes, those whose farthest corners bound k points bound its k-th distance, and boxes farther than that
+    are closed."""
+    (boxes, points, levels), want = tree, k + exclude_self
     edges = [f"{e}_{c}" for c in dims for e in ("lo", "hi")]
     gap = reduce(lambda a, b: a + b, [F.pow(F.greatest(F.col(f"lo_{c}") - F.col(f"q_{c}"), F.col(f"q_{c}") - F.col(f"hi_{c}"), F.lit(0.0)), F.lit(2)) for c in dims])
     reach = reduce(lambda a, b: a + b, [F.pow(F.greatest(F.abs(F.col(f"q_{c}") - F.col(f"lo_{c}")), F.abs(F.col(f"q_{c}") - F.col(f"hi_{c}"))), F.lit(2)) for c in dims])
