@@ -248,7 +248,8 @@ def scribble_classifier(features: DataFrame, labels: DataFrame, keys: list[str],
         raise ValueError(f"each class needs {least} marks")
     place = F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 63) - 1))
     drawn = [marks.where((F.col("label") == c) & (place <= F.lit(min((1 << 63) - 1, (per_class << 63) // n)))).withColumn("weight", F.lit(1.0 / min(n, per_class))) for c, n in sorted(counts.items())]
-    train = materialise(rows.join(reduce(DataFrame.unionByName, drawn), keys).select("features", "label", "weight"))
+    train = rows.join(reduce(DataFrame.unionByName, drawn), keys)
+    train = materialise(train.coalesce(1).sortWithinPartitions(*keys).select("features", "label", "weight"))  # a bounded sample, in one order
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", seed=seed).fit(train)
     return model.transform(rows).select(*keys, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 
