@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,30 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, length: str, limit: flo
     raise RuntimeError("paths did not settle")
 
 
+def nearest_visible(edges: DataFrame, visible: DataFrame, length: str, k: int, hidden: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
+    """(node, source, distance, rank): the k visible nodes nearest by path to each node (only to those of `hidden` if it is given), ties by
+    the smaller source; fewer where fewer are reached. visible: node. Lengths below zero are an error; edges with nulls are left out.
+
+    All visible nodes send labels at once, and a node keeps and passes on only its k best: on a shortest path to one of a
+    node's k best, every node has that source among its own k best. So there are never more than k labels a node, and a round
+    looks only at labels that are new."""
+    around = both_ways(edges.dropna(subset=["a", "b", length]), "a", "b", length)
+    around = materialise(around.select("u", "v", F.when(F.col(length) >= 0, F.col(length).cast("double")).otherwise(F.raise_error(F.lit("length below zero")).cast("double")).alias("hf_l")))
+    own = Window.partitionBy("node").orderBy("distance", "source")
+    best = materialise(visible.dropna(subset=["node"]).select("node").distinct().select("node", F.col("node").alias("source"), F.lit(0.0).alias("distance"), F.lit(True).alias("fresh")))
+    for _ in range(rounds):
+        sent = best.where("fresh").join(around, F.col("node") == F.col("u")).select(F.col("v").alias("node"), "source", (F.col("distance") + F.col("hf_l")).alias("distance"), F.lit(True).alias("fresh"))
+        each = best.withColumn("fresh", F.lit(False)).unionByName(sent).groupBy("node", "source").agg(F.min(F.struct("distance", "fresh")).alias("m"))  # of equal lengths the old one
+        best = materialise(each.select("node", "source", "m.*").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).drop("rank"))
+        if best.where("fresh").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"paths did not settle in {rounds} rounds")
+    if hidden is not None:
+        best = best.join(hidden.select("node").distinct(), "node", "left_semi")
+    return best.select("node", "source", "distance", F.row_number().over(own).alias("rank"))
+
+
 def separated_seeds(edges: DataFrame, boundary: DataFrame, n: int, from_boundary: int = 5, apart: int = 7) -> DataFrame:
     """(node, seed): farthest-first seeds at least some hops from the boundary and from each other; ties by the
     distance to the boundary, then the smallest node. Fewer than n is an error."""

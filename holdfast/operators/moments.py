@@ -140,18 +140,23 @@ def principal_axes(df: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
 
 def kabsch(df: DataFrame, by: list[str], a: list[str], b: list[str]) -> DataFrame:
     """(by, rotation): the rotation that takes directions a next to b, row by row, determinant 1."""
-    kinds = dict(df.dtypes)
-    stats = statistics(df, by, [F.col(c) for c in a], [F.col(c) for c in b])
+    return rotations(statistics(df, by, [F.col(c) for c in a], [F.col(c) for c in b]), by)
+
+
+def rotations(stats: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rotation) from statistics of three xs and three ys; null where no row counts."""
+    kinds = dict(stats.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = rows[by].copy()
-            found = []
-            for xy in rows["xy"]:
-                u, _, vt = np.linalg.svd(np.array(xy).reshape(3, 3))
-                d = np.sign(np.linalg.det(vt.T @ u.T))
-                found.append((vt.T @ np.diag([1, 1, d]) @ u.T).ravel())
-            out["rotation"] = found
+            if not len(rows):
+                continue
+            u, _, vt = np.linalg.svd(np.stack(rows["xy"]).astype(float).reshape(-1, 3, 3))
+            v, ut = vt.transpose(0, 2, 1), u.transpose(0, 2, 1)
+            flip = np.ones((len(rows), 1, 3))
+            flip[:, 0, 2] = np.sign(np.linalg.det(v @ ut))
+            out, n = rows[by].copy(), rows["n"].to_numpy()
+            out["rotation"] = [r if some > 0 else None for r, some in zip(((v * flip) @ ut).reshape(-1, 9), n, strict=True)]
             yield out
 
     return stats.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "rotation array<double>"]))

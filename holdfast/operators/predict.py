@@ -209,6 +209,37 @@ def direction_ridge(df: DataFrame, block: str, xs: list[Column], axis: list[str]
     return out.withColumns({f"p_{a}": F.col(f"p_{a}") / size for a in axis}).drop("beta")
 
 
+DIRECTIONS = ("surface_normal", "position_only", "surface_plus_tilt", "surface_global_rotation")
+
+
+def direction_predictors(df: DataFrame, block: str, xs: list[Column], normal: list[str], axis: list[str], alpha: float = 0.001) -> DataFrame:
+    """df with hf_<method> (array of three, unit length; null where it can't be predicted) for the methods of DIRECTIONS, each fitted on the
+    other blocks: the normal as it is; a ridge of the axis on xs; the normal plus a ridge of (axis - normal) on xs; the normal turned by
+    the one rotation that takes the other blocks' normals next to their axes. Rows with a null in a term teach nothing.
+
+    All folds share one pass: cross products of each block are sums, a fold's are the total minus its own."""
+    n, a = [F.col(c) for c in normal], [F.col(c) for c in axis]
+    fits = materialise(moments.statistics(df, [block], xs, [*a, *[y - x for y, x in zip(a, n, strict=True)]]))
+    beta = moments.coefficients(moments.without_own(fits, block), [block], moments.ridge(alpha, scaled=False, per_n=True), len(xs), 6).drop("n")
+    turns = moments.rotations(moments.without_own(materialise(moments.statistics(df, [block], n, a)), block), [block])
+    ridge = [moments.predicted(xs, target=i, targets=6) for i in range(6)]
+    turned = [sum((F.get("rotation", F.lit(3 * i + j)) * n[j] for j in range(3)), F.lit(0.0)) for i in range(3)]
+    ways = dict(zip(DIRECTIONS, (n, ridge[:3], [x + t for x, t in zip(n, ridge[3:], strict=True)], turned), strict=True))
+    size = lambda v: F.sqrt(sum((c * c for c in v), F.lit(0.0)))
+    found = {f"hf_{m}": F.when(size(v) > 0, F.array(*[c / size(v) for c in v])) for m, v in ways.items()}
+    return df.join(beta, block, "left").join(turns, block, "left").withColumns(found).drop("beta", "rotation")
+
+
+def direction_angles(predicted: DataFrame, key: str, block: str, axis: list[str]) -> DataFrame:
+    """(key, block, method, angle): degrees between each method's direction and the axis; a null direction keeps its row."""
+    a = [F.col(c) for c in axis]
+    size = F.sqrt(sum((c * c for c in a), F.lit(0.0)))
+    cos = lambda m: sum((F.get(f"hf_{m}", F.lit(i)) * a[i] for i in range(3)), F.lit(0.0)) / size
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos(m))))).alias("angle")) for m in DIRECTIONS])
+    whole = F.when(F.col(f"hf_{DIRECTIONS[0]}").isNotNull() & (size > 0), F.lit(True))
+    return predicted.withColumn("hf_e", F.explode(each)).select(key, block, "hf_e.method", F.when(whole & F.col("hf_e.angle").isNotNull(), F.col("hf_e.angle")).alias("angle"))
+
+
 def scribble_features(cells: DataFrame, value: str, scale: float = 255.0) -> DataFrame:
     """(i, j, k, raw, smooth1, smooth2, smooth4, band, edge) of every voxel: its value over `scale`; that smoothed with
     deviations 1, 2 and 4 (half of it along k); the first minus the last; the gradient's length after smoothing with

@@ -45,6 +45,13 @@ def h03(v):
     return graph.shortest_paths(edges(v), sources(v), "length", 1.0)
 
 
+@query("H03_nearest_visible")
+def h03b(v):
+    block = F.col("region") % 5 == 0  # a hidden part
+    p = v("fx_points3").select(F.col("point_id").alias("node"), "region")
+    return graph.nearest_visible(edges(v), p.where(~block), "length", 4, p.where(block))
+
+
 @query("H04_boundary_nodes", f"WITH {EDGES}, w AS (SELECT a AS u, b AS v FROM g UNION ALL SELECT b, a FROM g), t AS (SELECT u, atan2(q.y - p.y, q.x - p.x) AS t FROM w JOIN fx_points3 p ON p.point_id = u JOIN fx_points3 q ON q.point_id = v), l AS (SELECT u, coalesce(lead(t) OVER (PARTITION BY u ORDER BY t), min(t) OVER (PARTITION BY u) + 2 * pi()) - t AS gap FROM t), m AS (SELECT u AS node, count(*) AS neighbours, max(gap) AS g FROM l GROUP BY 1) SELECT node, neighbours, round(degrees(g), 4) AS gap FROM m WHERE neighbours < 3 OR degrees(g) > 125")
 def h04(v):
     at = lambda n: v("fx_points3").select(F.col("point_id").alias(n), F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}"))

@@ -114,6 +114,14 @@ def i17(v):
     return out.select("point_id", "region", "p_x", "p_y", "p_z")
 
 
+@query("I17_direction_predictors")
+def i17b(v):
+    p = flat(v).select("point_id", "region", "x", "y", "z")
+    p = p.join(surfaces.local_normals(p, "point_id", 8).drop("curvature"), "point_id")
+    out = predict.direction_predictors(p, "region", [F.col("x"), F.col("y"), F.col("x") * F.col("x"), F.col("x") * F.col("y"), F.col("y") * F.col("y")], ["nx", "ny", "nz"], ["x", "y", "z"])
+    return predict.direction_angles(out, "point_id", "region", ["x", "y", "z"])
+
+
 @query("I19_thin_plate")
 def i19(v):
     p = flat(v)
