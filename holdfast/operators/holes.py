@@ -10,12 +10,13 @@ FAR times the points' extent count as lines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,33 +76,44 @@ def corners(near: DataFrame, by: list[str], half: float) -> DataFrame:
     return near.mapInPandas(run, schema)
 
 
-def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 12, rounds: int = 100) -> DataFrame:
-    """(by, a, b, c, x, y, radius): all empty circles through three points (of four or more on one circle every three)."""
-    by = list(by)
+def places_of(points: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """(by, x, y, a): each place once, with its lowest key; points without a place are left out."""
     whole = F.col("x").isNotNull() & F.col("y").isNotNull()
-    places = materialise(points.where(whole).groupBy(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min(key).alias("a")))
+    return materialise(points.where(whole).groupBy(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min(key).alias("a")))
+
+
+def box_of(places: DataFrame) -> float:
     ends = places.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    half = FAR * (max(ends[0] or 0.0, ends[1] or 0.0) or 1.0)
+    return FAR * (max(ends[0] or 0.0, ends[1] or 0.0) or 1.0)
+
+
+def certified(lists: DataFrame, places: DataFrame, by: list[str], half: float, first: Callable[[DataFrame], DataFrame], rounds: int = 100) -> DataFrame:
+    """(by, t: three keys in order) of all corners of the regions of `lists` (see corners). first gives (by, hf_c, neighbour_id, distance) of
+    the nearest place of each corner (hf_c, x, y); a region with a corner that has a nearer one is cut again."""
     at = places.select(*by, F.col("a").alias("neighbour_id"), F.struct(F.col("a").alias("n"), "x", "y").alias("one"))
-    listed = lambda pairs: pairs.join(at, [*by, "neighbour_id"]).groupBy(*by, F.col("query_id").alias("a")).agg(F.collect_set("one").alias("near"))
-    own = places.select(*by, "a", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    lists = materialise(own.join(listed(knn_join(places, places, k, ["x", "y"], "a", "a", tuple(by), exclude_self=True)), [*by, "a"]))
-    tree, done = tree_of(_sides(places, places, ["x", "y"], "a", "a", by)[1], 1, ["x", "y"], by), []
+    done = []
     for _ in range(rounds):
         found = materialise(corners(lists, by, half).withColumn("hf_c", F.struct("a", "no")))
-        first = searched(_sides(found, places, ["x", "y"], "hf_c", "a", by)[0], tree, 1, ["x", "y"], by, False)
-        nearer = found.join(first.withColumnRenamed("query_id", "hf_c"), [*by, "hf_c"]).where(F.col("distance") < F.col("r") * (1 - ROUND))
-        more = materialise(listed(nearer.select(*by, F.col("a").alias("query_id"), "neighbour_id").distinct()).withColumnRenamed("near", "more"))
+        nearer = found.join(first(found), [*by, "hf_c"]).where(F.col("distance") < F.col("r") * (1 - ROUND))
+        more = materialise(nearer.select(*by, "a", "neighbour_id").distinct().join(at, [*by, "neighbour_id"]).groupBy(*by, "a").agg(F.collect_set("one").alias("more")))
         done.append(found.where("b is not null and c is not null").join(more, [*by, "a"], "left_anti").select(*by, F.array_sort(F.array("a", "b", "c")).alias("t")))
         if more.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, done).distinct()
         lists = materialise(lists.join(more, [*by, "a"]).select(*by, "a", "ax", "ay", F.array_union("near", "more").alias("near")))
-    else:
-        raise RuntimeError("regions did not settle")
-    triples = done[0]
-    for d in done[1:]:
-        triples = triples.unionByName(d)
-    found = _circumcircles(triples.distinct(), places, by)
+    raise RuntimeError("regions did not settle")
+
+
+def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 12) -> DataFrame:
+    """(by, a, b, c, x, y, radius): all empty circles through three points (of four or more on one circle every three)."""
+    by = list(by)
+    places = places_of(points, key, by)
+    at = places.select(*by, F.col("a").alias("neighbour_id"), F.struct(F.col("a").alias("n"), "x", "y").alias("one"))
+    near = knn_join(places, places, k, ["x", "y"], "a", "a", tuple(by), exclude_self=True).join(at, [*by, "neighbour_id"])
+    own = places.select(*by, "a", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    lists = materialise(own.join(near.groupBy(*by, F.col("query_id").alias("a")).agg(F.collect_set("one").alias("near")), [*by, "a"]))
+    tree = tree_of(_sides(places, places, ["x", "y"], "a", "a", by)[1], 1, ["x", "y"], by)
+    first = lambda found: searched(_sides(found, places, ["x", "y"], "hf_c", "a", by)[0], tree, 1, ["x", "y"], by, False).withColumnRenamed("query_id", "hf_c")
+    found = _circumcircles(certified(lists, places, by, box_of(places), first), places, by)
     return _all_threes(found, places, by)
 
 
@@ -157,18 +169,77 @@ def hole_candidates(points: DataFrame, key: str, by: tuple[str, ...] = (), k: in
     rows = rows.withColumn("t", F.atan2(F.col("py") - F.col("y"), F.col("px") - F.col("x")))
     turn = angular_gap(rows, ["hf_c"], "t").where((F.degrees("max_gap") <= gap) & (F.col("neighbours") >= around))
     local = rows.groupBy("hf_c").agg(F.median("nn").alias("spacing"))
-    return c.join(turn, "hf_c").join(local, "hf_c").select(*by, "x", "y", "radius", (F.col("radius") / F.col("spacing")).alias("score"))
-
-
-def greedy_insertion(points: DataFrame, key: str, trial: str, steps: int) -> DataFrame:
-    """(trial, step, x, y, score): the strongest hole of each trial is filled and holes are scored again."""
-    now, out = points.select(trial, F.col(key).cast("long").alias("id"), "x", "y"), None
-    for i in range(steps):
-        best = hole_candidates(now, "id", (trial,)).groupBy(trial).agg(F.max(F.struct("score", (-F.col("x")).alias("nx"), (-F.col("y")).alias("ny"))).alias("m"))
-        best = materialise(best.select(trial, F.lit(i + 1).alias("step"), (-F.col("m.nx")).alias("x"), (-F.col("m.ny")).alias("y"), F.col("m.score").alias("score")))
-        out = best if out is None else out.unionByName(best)
-        now = materialise(now.unionByName(best.select(trial, (-F.col("step")).cast("long").alias("id"), "x", "y")))
-    return out
+    return c.join(turn, "hf_c").join(local, "hf_c").select(*by, "x", "y", "radius", F.try_divide("radius", "spacing").alias("score"))
+
+
+def hole_score(six: Column, x: Column, y: Column, radius: Column, around: int, gap: float) -> Column:
+    """The score of hole_candidates from the nearest points themselves (six: array of struct with px, py and nn); null where they are
+    fewer than `around`, leave a wider gap, or have no spacing."""
+    turn = F.array_sort(F.transform(six, lambda n: F.atan2(n["py"] - y, n["px"] - x)))
+    after = F.concat(F.slice(turn, 2, around), F.array(F.get(turn, F.lit(0)) + 2 * np.pi))
+    widest = F.array_max(F.zip_with(after, turn, lambda b, a: b - a))
+    nn = F.array_sort(F.transform(six, lambda n: n["nn"]))
+    middle = (F.get(nn, F.lit((around - 1) // 2)) + F.get(nn, F.lit(around // 2))) / 2
+    return F.when((F.size(six) >= around) & (F.degrees(widest) <= gap), F.try_divide(radius, middle))
+
+
+def greedy_insertion(points: DataFrame, key: str, trial: str, steps: int, k: int = 12, around: int = 6, gap: float = 150.0) -> DataFrame:
+    """(trial, step, x, y, score): the strongest hole of each trial (ties: smallest x, then y) is filled, `steps` times; trials without
+    a hole end.
+
+    Circles are searched once. After that a new point takes away the circles that hold it, and all new ones go through it:
+    only its own region is cut out, from the corners of the circles taken away, and certified. Each centre keeps its nearest
+    points with their spacings, so scores are updated row by row; a step reads the trial's rows once for the new points."""
+    by, d = [trial], lambda x, y: F.hypot(F.col("x") - F.col(x), F.col("y") - F.col(y))
+    now = points.select(trial, F.col(key).cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    lowest = min(now.agg(F.min("id")).first()[0] or 0, 0)
+    spacing = _near(now, "id", by, 1).select(trial, F.col("query_id").alias("id"), F.col("distance").alias("nn"))
+    now = materialise(now.join(spacing, [trial, "id"], "left"))
+    places = places_of(now, "id", by)
+    half, round_ = box_of(places), materialise(circles(now, "id", (trial,), k))
+    six = F.array_sort(F.collect_list(F.struct("distance", F.col("neighbour_id").alias("id"), "px", "py", "nn"))).alias("six")
+    at = lambda rows: rows.select(trial, F.col("id").alias("neighbour_id"), F.col("x").alias("px"), F.col("y").alias("py"), "nn")
+    centres = lambda c: c.groupBy(trial, F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).agg(F.max("radius").alias("radius")).withColumn("hf_c", F.struct("x", "y"))
+    c = materialise(centres(round_))
+    near = knn_join(c, now, around, ["x", "y"], "hf_c", "id", (trial,)).withColumnRenamed("query_id", "hf_c").join(at(now), [trial, "neighbour_id"])
+    c = materialise(c.join(near.groupBy(trial, "hf_c").agg(six), [trial, "hf_c"]))
+    out = []
+    for i in range(1, steps + 1):
+        scored = c.withColumn("score", hole_score(F.col("six"), F.col("x"), F.col("y"), F.col("radius"), around, gap)).where("score is not null")
+        best = scored.groupBy(trial).agg(F.max(F.struct("score", (-F.col("x")).alias("nx"), (-F.col("y")).alias("ny"))).alias("m"))
+        new = materialise(best.select(trial, F.lit(lowest - i).cast("long").alias("new"), (-F.col("m.nx")).alias("sx"), (-F.col("m.ny")).alias("sy"), F.col("m.score").alias("score")))
+        out.append(new.select(trial, F.lit(i).alias("step"), F.col("sx").alias("x"), F.col("sy").alias("y"), "score"))
+        if i == steps or new.isEmpty():
+            break
+        spot = new.drop("score")
+        beside = now.join(spot, trial).withColumn("d", d("sx", "sy"))
+        own = materialise(beside.groupBy(trial, "new", "sx", "sy").agg(F.min("d").alias("own")))  # a new point's spacing
+        now = now.join(spot, trial, "left").withColumn("nn", F.least("nn", d("sx", "sy"))).select(trial, "id", "x", "y", "nn")
+        now = materialise(now.unionByName(own.select(trial, F.col("new").alias("id"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("own").alias("nn"))))
+        places = materialise(places.unionByName(spot.select(trial, F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("new").alias("a"))))
+
+        held = round_.join(spot, trial, "left").withColumn("hf_d", F.coalesce(d("sx", "sy"), F.lit(float("inf"))))
+        ends = held.where(F.col("hf_d") <= F.col("radius") * (1 + ROUND)).select(trial, F.col("new").alias("own"), "sx", "sy", F.explode(F.array("a", "b", "c")).alias("a")).distinct()
+        ends = ends.join(places, [trial, "a"]).groupBy(trial, "own", "sx", "sy").agg(F.collect_set(F.struct(F.col("a").alias("n"), "x", "y")).alias("near"))
+        lists = materialise(ends.select(trial, F.col("own").alias("a"), F.col("sx").alias("ax"), F.col("sy").alias("ay"), "near"))
+
+        def first(found: DataFrame, places: DataFrame = places) -> DataFrame:  # some corners a trial, against its places
+            pairs = places.select(trial, F.col("a").alias("neighbour_id"), F.col("x").alias("px"), F.col("y").alias("py")).join(found.select(trial, "hf_c", "x", "y"), trial)
+            return pairs.groupBy(trial, "hf_c").agg(F.min(F.struct(d("px", "py").alias("distance"), "neighbour_id")).alias("m")).select(trial, "hf_c", "m.*")
+
+        more = _circumcircles(certified(lists, places, by, half, first), places, by)
+        round_ = materialise(held.where(F.col("hf_d") >= F.col("radius") * (1 - ROUND)).select(*round_.columns).unionByName(more))
+
+        kept = c.join(own, trial, "left").withColumn("hf_d", d("sx", "sy")).where(F.col("new").isNull() | (F.col("hf_d") >= F.col("radius") * (1 - ROUND)))
+        nearer = F.transform("six", lambda n: n.withField("nn", F.least(n["nn"], F.hypot(n["px"] - F.col("sx"), n["py"] - F.col("sy")))))
+        added = F.array(F.struct(F.col("hf_d").alias("distance"), F.col("new").alias("id"), F.col("sx").alias("px"), F.col("sy").alias("py"), F.col("own").alias("nn")))
+        kept = kept.withColumn("six", F.when(F.col("new").isNull(), F.col("six")).otherwise(F.slice(F.array_sort(F.concat(nearer, added)), 1, around))).select(*c.columns)
+        fresh = materialise(centres(more).join(kept.select(trial, "hf_c"), [trial, "hf_c"], "left_anti"))
+        pairs = at(now).join(fresh, trial).withColumn("distance", d("px", "py"))
+        rank = F.row_number().over(Window.partitionBy(trial, "hf_c").orderBy("distance", "neighbour_id"))
+        top = pairs.withColumn("hf_r", rank).where(F.col("hf_r") <= around).groupBy(trial, "hf_c", "x", "y", "radius").agg(six)
+        c = materialise(kept.unionByName(top.select(*c.columns)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def triangulation_edges(points: DataFrame, key: str, by: tuple[str, ...] = (), ratio: float = 1.6) -> DataFrame:

@@ -75,7 +75,7 @@ def h12(v):
 
 @query("H13_greedy_insertion")
 def h13(v):
-    return holes.greedy_insertion(flat(v), "point_id", "region", 2)
+    return holes.greedy_insertion(flat(v), "point_id", "region", 8)
 
 
 @query("H15_triangulation_edges")

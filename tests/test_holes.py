@@ -52,3 +52,33 @@ def test_few_points_and_nulls(spark):
     schema = "id long, x double, y double"
     for rows in ([], [(1, 0.0, 0.0)], [(1, 0.0, 0.0), (2, 1.0, 1.0)], [(1, 0.0, 0.0), (2, 0.0, 0.0), (3, None, 1.0)], [(i, float(i), 0.0) for i in range(6)]):
         assert holes.circles(spark.createDataFrame(rows, schema), "id").count() == 0
+
+
+def recomputed(spark, points, steps):
+    """Each step's strongest hole by hole_candidates over all points and those put in so far."""
+    points, out = list(points), []
+    for i in range(1, steps + 1):
+        df = spark.createDataFrame(points, "g string, id long, x double, y double")
+        best = {}
+        for r in holes.hole_candidates(df, "id", ("g",)).where("score is not null").collect():
+            best[r["g"]] = max(best.get(r["g"], (-1.0,)), (r["score"], -r["x"], -r["y"]))
+        out += [(g, i, -nx, -ny, s) for g, (s, nx, ny) in best.items()]
+        points += [(g, -i, -nx, -ny) for g, (s, nx, ny) in best.items()]
+    return sorted(out)
+
+
+def test_greedy_insertion_equals_recomputation(spark):
+    d = np.random.default_rng(11)
+    points = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(d.normal(0, 1, (60, 2)))]
+    points += [("b", 100 + i, float(x), float(y)) for i, (x, y) in enumerate((x, y) for x in range(6) for y in range(6) if (x, y) not in {(2, 2), (3, 3), (2, 3)})]  # a lattice: ties, points on circles
+    points += [("few", 200 + i, float(i), float(i * i)) for i in range(4)] + [("copies", 300 + i, float(i % 5), float(i % 3)) for i in range(15)]
+    rows = [*points, ("a", 999, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double")
+    got = sorted(tuple(r) for r in holes.greedy_insertion(df, "id", "g", 3).select("g", "step", "x", "y", "score").collect())
+    want = recomputed(spark, points, 3)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and {r[0] for r in want} >= {"a", "b"}
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], atol=1e-8)
+
+
+def test_greedy_insertion_of_nothing(spark):
+    assert holes.greedy_insertion(spark.createDataFrame([], "g string, id long, x double, y double"), "id", "g", 3).count() == 0
