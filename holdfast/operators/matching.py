@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .graph import connected_components
-from .spatial import knn_join, range_join
+from .spatial import range_join
 
 
 MOST = 4_000_000  # places of the largest cost table that one task solves
+SLACK = 1e-3  # of the range of costs: how far an auction's total may be from the least
+MOST_ROUNDS = 2_000  # of one phase of an auction
 
 
 def assignment(cost: np.ndarray) -> list[int]:
@@ -50,32 +53,115 @@ def assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
-def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id", b: str = "neighbour_id", cost: str = "distance", most: int = MOST) -> DataFrame:
+def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id", b: str = "neighbour_id", cost: str = "distance", most: int = MOST, slack: float = SLACK) -> DataFrame:
     """(by, a, b, cost): among candidate pairs, a matching with as many pairs as possible and the least total
-    cost. Connected components of the candidate graph are solved apart; the candidates' gate has to keep them small: a
-    component whose cost table has over `most` places is an error. (Matching all points first and gating afterwards,
-    as match_then_gate does, can choose other pairs.)"""
+    cost. Connected components of the candidate graph are solved apart: exactly, each in a task, where the cost table has
+    at most `most` places; larger ones together by the distributed auction, whose total may exceed the least by `slack`
+    times the range of costs. Of a pair given more than once the least cost counts; pairs with a null end, cost or NaN cost
+    are no candidates. (Matching all points first and gating afterwards, as match_then_gate does, can choose other pairs.)"""
     by = list(by)
-    left = pairs.withColumns({"hf_a": F.xxhash64(F.lit("a"), *by, a), "hf_b": F.xxhash64(F.lit("b"), *by, b)})
+    good = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(cost).isNotNull() & ~F.isnan(F.col(cost).cast("double")))
+    left = good.groupBy(*by, a, b).agg(F.min(cost).alias(cost)).withColumns({"hf_a": F.xxhash64(F.lit("a"), *by, a), "hf_b": F.xxhash64(F.lit("b"), *by, b)})
     left = materialise(left)
     part = connected_components(left, "hf_a", "hf_b").select(F.col("node").alias("hf_a"), "root")
-    rows = left.join(part, "hf_a").select(*by, "root", a, b, cost)
+    rows = materialise(left.join(part, "hf_a"))
+    sides = [rows.select("root", n).distinct().groupBy("root").agg(F.count("*").alias(f"n_{n}")) for n in ("hf_a", "hf_b")]
+    large = materialise(sides[0].join(sides[1], "root").where(F.col("n_hf_a") * F.col("n_hf_b") > most))
+    small = rows.join(large, "root", "left_anti").select(*by, "root", a, b, cost)
     kinds = dict(rows.dtypes)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         ia, ib = np.unique(frame[a], return_inverse=True), np.unique(frame[b], return_inverse=True)
-        if len(ia[0]) * len(ib[0]) > most:
-            raise ValueError(f"a component of candidates has {len(ia[0])} by {len(ib[0])} points: choose a closer gate")
         flip = len(ia[0]) > len(ib[0])
         rows_, cols = (ib, ia) if flip else (ia, ib)
-        far = float(frame[cost].max()) + 1.0
-        c = np.full((len(rows_[0]), len(cols[0])), far * (len(rows_[0]) + 1))
+        far = (float(frame[cost].max()) - float(frame[cost].min()) + 1.0) * (len(rows_[0]) + 1)
+        c = np.full((len(rows_[0]), len(cols[0])), far + float(frame[cost].max()))
         c[rows_[1], cols[1]] = frame[cost]
         chosen = {(r, k) for r, k in enumerate(assignment(c))}
         keep = [pair in chosen for pair in zip(rows_[1], cols[1], strict=True)]
         return frame.loc[keep, [*by, a, b, cost]]
 
-    return rows.groupBy("root").applyInPandas(solve, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, a, b, cost]))
+    out = small.groupBy("root").applyInPandas(solve, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, a, b, cost]))
+    if large.isEmpty():
+        return out
+    rest = rows.join(large.select("root"), "root", "left_semi")
+    pairs_most = large.agg(F.max(F.least("n_hf_a", "n_hf_b"))).first()[0]
+    matched = auction(rest.select("hf_a", "hf_b", F.col(cost).cast("double").alias("cost")), pairs_most, slack)
+    return out.unionByName(rest.join(matched, ["hf_a", "hf_b"]).select(*by, a, b, cost))
+
+
+def auction(edges: DataFrame, pairs_most: int, slack: float = SLACK, per_task: int = 500_000) -> DataFrame:
+    """(hf_a, hf_b): a matching of the edges (hf_a, hf_b, cost; long ids that no two nodes share, edges distinct) with as
+    many pairs as possible, whose total cost is at most slack times the range of costs over the least. No component may
+    have more than pairs_most pairs.
+
+    The graph is taken twice, once mirrored, and each node is joined with its mirror image at a price `lone` that no saving
+    repays: so everyone can be matched, and prices may be kept while the step of the bids (epsilon) shrinks eightfold a
+    phase. In a round every task auctions among the bidders of its part, all of them, until they are content with the prices
+    it knows; then the highest price of each object counts, and outbid bidders bid again. Prices only rise, so what a
+    task found under older prices stays within epsilon. A task holds the edges of its bidders, about per_task of them.
+    With very many pairs double precision bounds the step from below, at 1e-12 of `lone`."""
+    ends = edges.agg(F.min("cost"), F.max("cost"), F.count("*")).first()
+    if not ends[2]:
+        return edges.select("hf_a", "hf_b")
+    low, width = ends[0], (ends[1] - ends[0]) or 1.0
+    lone = (pairs_most + 2) * width
+    cost = F.col("cost") - low
+    straight = edges.select(F.col("hf_a").alias("bidder"), F.col("hf_b").alias("object"), cost.alias("cost"))
+    mirrored = edges.select(F.col("hf_b").alias("bidder"), F.col("hf_a").alias("object"), cost.alias("cost"))
+    nodes = materialise(straight.select(F.col("bidder").alias("object")).union(mirrored.select("bidder")).distinct())
+    parts = max(1, -(-2 * ends[2] // per_task))
+    selves = nodes.select(F.col("object").alias("bidder"), "object", F.lit(lone).alias("cost"))
+    graph = materialise(straight.union(mirrored).union(selves).withColumn("part", F.pmod(F.xxhash64("bidder"), F.lit(parts))))
+    last = max(slack * width / nodes.count(), 1e-12 * lone)
+    state = nodes.select("object", F.lit(0.0).alias("price"), F.lit(None).cast("long").alias("owner"))
+    step = lone / 4
+    while True:
+        step = max(step, last)
+        state = state.withColumn("owner", F.lit(None).cast("long"))
+        for _ in range(MOST_ROUNDS):
+            bids = graph.join(state, "object").groupBy("part").applyInPandas(bidding(step), "object long, price double, owner long")
+            best = state.union(bids).groupBy("object").agg(F.max(F.struct("price", "owner")).alias("s"))
+            state = materialise(best.select("object", "s.price", "s.owner"))
+            if state.where(F.col("owner").isNull()).isEmpty():
+                break
+        else:
+            raise RuntimeError(f"the auction isn't over after {MOST_ROUNDS} rounds of one phase")
+        if step <= last:
+            break
+        step /= 8
+    return edges.select("hf_a", "hf_b").join(state.select(F.col("object").alias("hf_b"), F.col("owner").alias("hf_a")), ["hf_a", "hf_b"])
+
+
+def bidding(step: float):
+    """The auction of one part: from its bidders' edges with the objects' prices and owners, what it has sold at what price."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["bidder", "object"], ignore_index=True)
+        who, first = np.unique(frame["bidder"], return_index=True)
+        things, seen, at = np.unique(frame["object"], return_index=True, return_inverse=True)
+        cost, price = frame["cost"].to_numpy(float), frame["price"].to_numpy(float)[seen]
+        edge = np.append(first, len(frame))
+        told = frame["owner"].iloc[seen]
+        here = pd.Index(who).get_indexer(told.dropna().astype("int64"))
+        owner = np.full(len(things), -1)
+        owner[told.notna().to_numpy()] = here  # -1: an owner of another part
+        free = sorted(set(range(len(who))) - set(owner.tolist()), reverse=True)
+        sold = np.zeros(len(things), bool)
+        while free:
+            i = free.pop()
+            span = slice(edge[i], edge[i + 1])
+            pay = cost[span] + price[at[span]]
+            k = int(pay.argmin())
+            least, pay[k] = pay[k], np.inf
+            o = at[edge[i] + k]
+            price[o] += pay.min() - least + step  # everyone has two edges at least
+            if owner[o] >= 0:
+                free.append(int(owner[o]))
+            owner[o], sold[o] = i, True
+        return pd.DataFrame({"object": things[sold], "price": price[sold], "owner": who[owner[sold]]})
+
+    return run
 
 
 def match_then_gate(a: DataFrame, b: DataFrame, by: list[str], key: str, dims: list[str], gate: float, most: int = MOST) -> DataFrame:
@@ -104,17 +190,55 @@ def match_then_gate(a: DataFrame, b: DataFrame, by: list[str], key: str, dims: l
 
 
 def best_shift(a: DataFrame, b: DataFrame, key: str, dims: tuple[str, str], reach: int, step: float, nearest: int) -> DataFrame:
-    """(da, db, score) of all shifts of b on a grid: the median of the `nearest` smallest distances from shifted
-    points to their mutual nearest partners. Every shift is a group of two nearest-neighbour joins."""
+    """(da, db, score, pairs) of the (2 reach + 1)^2 shifts of b on a grid: the median of the `nearest` smallest distances
+    from shifted points to their mutual nearest partners, and how many there are. Neither side is copied for a shift: each
+    pair of points is formed once, by cells, and counts for the shifts within a radius of its displacement. All partners
+    within the radius are known there, so mutual pairs inside it are final; shifts with fewer than `nearest` of them go on
+    with twice the radius until it spans both sides. Equal distances go to the smaller key; points without key or
+    coordinates have no pairs; a side without points gives no rows."""
     x, y = dims
-    shifts = b.sparkSession.createDataFrame([(i * step, j * step) for i, j in product(range(-reach, reach + 1), repeat=2)], "da double, db double")
-    moved = b.select(F.col(key).alias("b"), x, y).crossJoin(F.broadcast(shifts)).select("b", "da", "db", (F.col(x) + F.col("da")).alias(x), (F.col(y) + F.col("db")).alias(y))
-    still = a.select(F.col(key).alias("a"), x, y).crossJoin(F.broadcast(shifts))
-    there = knn_join(moved, still, 1, list(dims), "b", "a", ("da", "db")).select("da", "db", F.col("query_id").alias("b"), F.col("neighbour_id").alias("a"), F.col("distance").alias("d"))
-    back = knn_join(still, moved, 1, list(dims), "a", "b", ("da", "db")).select("da", "db", F.col("query_id").alias("a"), F.col("neighbour_id").alias("b"))
-    mutual = there.join(back, ["da", "db", "a", "b"])
-    top = mutual.withColumn("k", F.row_number().over(Window.partitionBy("da", "db").orderBy("d"))).where(F.col("k") <= nearest)
-    return top.groupBy("da", "db").agg(F.median("d").alias("score"), F.count("*").alias("pairs"))
+    sides = [materialise(df.select(F.col(key).alias(n), F.col(x).cast("double").alias(f"x{n}"), F.col(y).cast("double").alias(f"y{n}")).dropna()) for df, n in ((a, "a"), (b, "b"))]
+    ends = [s.agg(F.count("*"), F.min(f"x{n}"), F.max(f"x{n}"), F.min(f"y{n}"), F.max(f"y{n}")).first() for s, n in zip(sides, "ab", strict=True)]
+    columns = "da double, db double, score double, pairs long"
+    if not ends[0][0] or not ends[1][0]:
+        return a.sparkSession.createDataFrame([], columns)
+    spans = [max(e[k] for e in ends) - min(e[k - 1] for e in ends) for k in (2, 4)]
+    far = float(np.hypot(*[s + 2 * reach * step for s in spans]))
+    area = max(ends[0][2] - ends[0][1], step) * max(ends[0][4] - ends[0][3], step)
+    radius = min(far, max(2 * float(np.sqrt(area / (np.pi * ends[0][0]))), 1e-9 * far))  # about four partners a point and shift
+    grid = [(i, j) for i, j in product(range(-reach, reach + 1), repeat=2)]
+    done, left = [], a.sparkSession.createDataFrame(grid, "i int, j int")
+    while True:
+        found = materialise(shift_scores(sides, left, reach, step, nearest, radius))
+        ready = found if radius >= far else found.where(F.col("pairs") >= nearest)
+        done.append(ready)
+        left = left.join(F.broadcast(ready), ["i", "j"], "left_anti")  # no more rows than shifts
+        if radius >= far or left.isEmpty():
+            break
+        radius = min(2 * radius, far)
+    out = reduce(DataFrame.unionByName, done)
+    return out.select((F.col("i") * step).alias("da"), (F.col("j") * step).alias("db"), "score", "pairs")
+
+
+def shift_scores(sides: list[DataFrame], shifts: DataFrame, reach: int, step: float, nearest: int, radius: float) -> DataFrame:
+    """(i, j, score, pairs) of shifts, of the mutual nearest pairs within radius. Cells are as wide as the farthest
+    displacement that counts, so a pair meets in one of nine."""
+    most = reach * step + radius
+    cell = lambda c: F.floor(F.col(c) / most)
+    still = sides[0].withColumns({"cx": cell("xa"), "cy": cell("ya")})
+    around = F.array(*[F.struct((cell("xb") + p).alias("cx"), (cell("yb") + q).alias("cy")) for p, q in product((-1, 0, 1), repeat=2)])
+    moved = sides[1].select("*", F.inline(around))
+    pairs = still.join(moved, ["cx", "cy"]).select("a", "b", (F.col("xa") - F.col("xb")).alias("dx"), (F.col("ya") - F.col("yb")).alias("dy"))
+    ends = lambda c: (F.greatest(F.ceil((F.col(c) - radius) / step), F.lit(-reach)), F.least(F.floor((F.col(c) + radius) / step), F.lit(reach)))
+    for c, name in (("dx", "i"), ("dy", "j")):
+        lo, hi = ends(c)
+        pairs = pairs.where(lo <= hi).withColumn(name, F.explode(F.sequence(lo, hi).cast("array<int>")))
+    d = F.sqrt((F.col("dx") - F.col("i") * step) ** 2 + (F.col("dy") - F.col("j") * step) ** 2)
+    near = pairs.select("a", "b", "i", "j", d.alias("d")).where(F.col("d") <= radius).join(F.broadcast(shifts), ["i", "j"], "left_semi")
+    best = lambda n, other: near.groupBy("i", "j", n).agg(F.min(F.struct("d", other)).alias("s")).select("i", "j", n, f"s.{other}", "s.d")
+    mutual = best("a", "b").drop("d").join(best("b", "a"), ["i", "j", "a", "b"])
+    top = mutual.withColumn("k", F.row_number().over(Window.partitionBy("i", "j").orderBy("d", "a"))).where(F.col("k") <= nearest)
+    return top.groupBy("i", "j").agg(F.median("d").alias("score"), F.count("*").alias("pairs"))
 
 
 def link_tracks(points: DataFrame, region: str, frame: str, key: str, dims: list[str], reference: int, most: float) -> DataFrame:

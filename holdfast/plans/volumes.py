@@ -65,7 +65,7 @@ def c07b(v):
 @query("C08_shift_association")
 def c08(v):
     p = flat(v)
-    return matching.best_shift(p.where("region % 2 = 0"), p.where("region % 2 = 1"), "point_id", ("x", "y"), 5, 0.1, 20)
+    return matching.best_shift(p.where("region % 2 = 0"), p.where("region % 2 = 1"), "point_id", ("x", "y"), 10, 0.05, 40)
 
 
 @query("H12_hole_candidates")

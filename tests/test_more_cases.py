@@ -97,8 +97,51 @@ def test_matching_then_gate(spark):
     with pytest.raises(Exception, match="points"):
         matching.match_then_gate(*sides, ["g"], "id", ["x", "y"], 0.4, most=5).collect()
     pairs = spark.createDataFrame([(i, j, 1.0) for i in range(4) for j in range(4)], "query_id long, neighbour_id long, distance double")
-    with pytest.raises(Exception, match="closer gate"):
-        matching.one_to_one(pairs, most=15).collect()
+    got = matching.one_to_one(pairs, most=15).collect()
+    assert len(got) == len({r["query_id"] for r in got}) == len({r["neighbour_id"] for r in got}) == 4
+
+
+@pytest.mark.parametrize("per_task", [100_000, 250])
+def test_auction_is_as_good_as_the_exact_solver(spark, per_task):
+    """Sparse pairs of 40 by 30 points, some alone, as one part and as several: as many pairs, and the least total within the slack."""
+    rnd = np.random.default_rng(7)
+    rows = [(i, 100 + j, float(c)) for i in range(40) for j, c in enumerate(rnd.random(30) * 9) if c < 1.2] + [(50, 150, 3.0)]
+    edges = spark.createDataFrame(rows, "hf_a long, hf_b long, cost double")
+    got = [(r["hf_a"], r["hf_b"]) for r in matching.auction(edges, 30, 1e-3, per_task).collect()]
+    cost = {r[:2]: r[2] for r in rows}
+    a, b = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    table = np.array([[cost.get((i, j), 1e4) for i in a] for j in b])
+    best = [(a[i], b[j]) for j, i in enumerate(matching.assignment(table)) if (a[i], b[j]) in cost]
+    assert len(got) == len(best) == len({i for i, _ in got}) == len({j for _, j in got})
+    assert abs(sum(cost[p] for p in got) - sum(cost[p] for p in best)) <= 1e-3 * 3
+
+
+def test_matching_of_odd_pairs(spark):
+    kinds = "query_id long, neighbour_id long, distance double"
+    assert matching.one_to_one(spark.createDataFrame([], kinds)).collect() == []
+    rows = [(1, 1, 5.0), (1, 1, 2.0), (1, 2, 2.5), (2, 1, -1.0), (None, 1, 0.0), (3, None, 0.0), (3, 3, None), (3, 3, float("nan"))]
+    for most in (100, 0):
+        got = {tuple(r) for r in matching.one_to_one(spark.createDataFrame(rows, kinds), most=most).collect()}
+        assert got == {(1, 2, 2.5), (2, 1, -1.0)}
+
+
+def test_shift_scores_equal_all_pairs(spark):
+    """Every shift's score against all distances; copies, missing coordinates, and shifts that need the whole plane."""
+    rnd = np.random.default_rng(11)
+    a = [(i, float(x), float(y)) for i, (x, y) in enumerate(rnd.random((25, 2)))]
+    b = [(i, float(x) + 3 * (i == 0), float(y)) for i, (x, y) in enumerate(rnd.random((18, 2)))]
+    a, b = [*a, (25, *a[3][1:]), (26, *a[3][1:])], [*b, (18, *b[5][1:])]
+    kinds = "id long, x double, y double"
+    frames = [spark.createDataFrame([*s, (99, None, 0.5), (98, float("nan"), 0.5)], kinds) for s in (a, b)]
+    got = {(round(r["da"], 6), round(r["db"], 6)): (r["score"], r["pairs"]) for r in matching.best_shift(*frames, "id", ("x", "y"), 2, 0.3, 6).collect()}
+    assert len(got) == 25
+    for (da, db), (score, pairs) in got.items():
+        d = [[float(np.hypot(p[1] - q[1] - da, p[2] - q[2] - db)) for q in b] for p in a]
+        least = [min(range(len(b)), key=lambda j: (d[i][j], j)) for i in range(len(a))]
+        back = [min(range(len(a)), key=lambda i: (d[i][j], i)) for j in range(len(b))]
+        mutual = sorted(d[i][j] for i, j in enumerate(least) if back[j] == i)[:6]
+        assert pairs == len(mutual) and abs(score - float(np.median(mutual))) < 1e-8
+    assert matching.best_shift(frames[0], frames[1].where("id < 0"), "id", ("x", "y"), 1, 0.3, 6).collect() == []
 
 
 def test_exact_tests_of_many_values(spark):
