@@ -81,6 +81,72 @@ def thin_plate(queries: DataFrame, sites: DataFrame, key: str, value: str, k: in
     return batched_solve(rows, f"query_id {dict(queries.dtypes)[key]}, prediction double", solve)
 
 
+def tuned_thin_plate(points: DataFrame, key: str, value: str, block: str, k: int = 64, smoothings: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0)) -> DataFrame:
+    """(block, smoothing, query_id, truth, prediction): each block predicted by thin-plate splines with a linear part over the
+    k nearest points of the other blocks. Its smoothing is the one with the least mean absolute error when the other
+    blocks predict each other in turn (means to nine digits; ties to the smaller), without the block itself.
+
+    One neighbour search serves all folds: the k nearest of every other block, from which each fold leaves out its own. A
+    neighbourhood is decomposed once for all smoothings. Sites fewer than six give no loss; without any loss the
+    least smoothing is taken. Rows with a null or NaN column are left out; a single block has no predictions. Keys are unique."""
+    named = {"id": F.col(key), "own": F.col(block), "x": F.col("x").cast("double"), "y": F.col("y").cast("double"), "v": F.col(value).cast("double")}
+    p = materialise(points.select(*[c.alias(n) for n, c in named.items()]).dropna())
+    others = p.select(F.col("own").alias("other")).distinct()  # folds: few by their meaning
+    asks = p.select("id", "own", "x", "y").crossJoin(F.broadcast(others)).where("other <> own").drop("own")
+    near = knn_join(asks, p.select("id", F.col("own").alias("other"), "x", "y"), k, ["x", "y"], "id", "id", ("other",))
+    sites = near.join(p.select(F.col("id").alias("neighbour_id"), "x", "y", "v"), "neighbour_id")
+    lists = sites.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id", "other", "x", "y", "v"))).alias("s"))  # k for each block
+    rows = lists.join(p.select(F.col("id").alias("query_id"), "own", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("v").alias("truth")), "query_id")
+    folds = F.array_distinct(F.concat(F.array("own"), F.col("s.other")))
+    each = rows.select("query_id", "own", "truth", "qx", "qy", F.explode(folds).alias("fold"), "s").withColumn("s", F.slice(F.filter("s", lambda e: e["other"] != F.col("fold")), 1, k))
+    each = each.where(F.size("s") > 0).select("query_id", "own", "truth", "qx", "qy", "fold", *[F.col(f"s.{c}").alias(c) for c in "xyv"])
+    kinds = dict(each.dtypes)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.full((len(rows), len(smoothings)), np.nan)
+        sizes = rows["v"].map(len).to_numpy()
+        for size in np.unique(sizes):
+            places = (sizes == size).nonzero()[0]
+            for at in range(0, len(places), 200):
+                some = rows.iloc[places[at : at + 200]]
+                p = np.stack([np.stack(some["x"]), np.stack(some["y"])], -1)
+                out[places[at : at + 200]] = plates(p, np.stack(some["v"]), some[["qx", "qy"]].to_numpy(), smoothings)
+        return rows[["query_id", "own", "fold", "truth"]].assign(n=sizes, guess=list(out))
+
+    schema = f"query_id {kinds['query_id']}, own {kinds['own']}, fold {kinds['fold']}, truth double, n long, guess array<double>"
+    guessed = materialise(batched_solve(each, schema, solve))
+    losses = guessed.where("fold <> own AND n >= 6").select("fold", "truth", F.posexplode("guess").alias("place", "g"))
+    mean = losses.groupBy("fold", "place").agg(F.round(F.avg(F.abs(F.col("g") - F.col("truth"))), 9).alias("loss"))
+    chosen = mean.groupBy("fold").agg(F.min(F.struct("loss", "place"))["place"].alias("place"))
+    out = guessed.where("fold = own").join(chosen, "fold", "left").withColumn("place", F.coalesce("place", F.lit(0)))
+    pick = F.get(F.array(*map(F.lit, smoothings)), F.col("place"))
+    return out.select(F.col("fold").alias("block"), pick.alias("smoothing"), "query_id", "truth", F.get("guess", F.col("place")).alias("prediction"))
+
+
+def plates(p: np.ndarray, v: np.ndarray, q: np.ndarray, smoothings: tuple[float, ...]) -> np.ndarray:
+    """(queries, smoothings): smoothed thin-plate splines of stacked sites p with values v at q. Weights are free of the
+    linear part, so one decomposition of the kernel beside it serves every smoothing; lengths are in units of the sites' reach."""
+    kernel = lambda d2: 0.5 * d2 * np.log(np.maximum(d2, 1e-300))
+    centre = p.mean(1, keepdims=True)
+    scale = np.maximum(np.abs(p - centre).max((1, 2), keepdims=True), 1e-12)
+    q, p = (q[:, None] - centre) / scale, (p - centre) / scale
+    one = np.ones((*p.shape[:2], 1))
+    line = np.concatenate([one, p], 2)
+    back = np.linalg.pinv(line, rcond=1e-9)
+    free = np.eye(p.shape[1]) - line @ back
+    k = kernel(((p[:, :, None] - p[:, None]) ** 2).sum(-1))
+    e, u = np.linalg.eigh(free @ k @ free)
+    part = (u.transpose(0, 2, 1) @ (free @ v[:, :, None]))[:, :, 0]
+    to = kernel(((p - q) ** 2).sum(-1))
+    here = np.concatenate([np.ones((len(q), 1)), q[:, 0]], 1)
+    out = []
+    for s in smoothings:
+        w = (u @ (part / (np.maximum(e, 0) + s))[:, :, None])[:, :, 0]
+        c = (back @ (v - (k @ w[:, :, None])[:, :, 0] - s * w)[:, :, None])[:, :, 0]
+        out.append((to * w).sum(1) + (here * c).sum(1))
+    return np.stack(out, 1)
+
+
 def derivative_maps(surface: DataFrame, value: str, sigmas: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(by, sigma, i, j, smooth, slope, laplacian, determinant, anisotropy) of height maps at several scales."""
     out = []
@@ -134,6 +200,52 @@ def unfolded_patch(points: DataFrame, key: str, centre: int, radius: float) -> D
     return chart.join(F.broadcast(beta), "one").select(key, "u", "v", "height", moments.predicted(terms, intercept=False).alias("fitted"))
 
 
+def unfolded_stack(points: DataFrame, cells: DataFrame, key: str, centre: int, half: float, margin: float, step: float, depth: int, label: str, inner: int) -> DataFrame:
+    """(gu, gv, depth, value, label): the voxels (i, j, k, value, label) along the normals of a surface, in layers 0 to
+    `depth` steps deep. The surface is a quadratic over the principal chart of the points within half + margin of one
+    point, gridded from -half to half. Inward is the side on which the normal of the middle meets label `inner` more often
+    (equal: the negative side). Values are interpolated, 0 where a corner has no voxel; labels are those of the
+    nearest voxel, 0 where there is none. An unknown point, or fewer than six around it, is an error."""
+    seed = points.where(F.col(key) == centre).select("x", "y", "z").orderBy("x", "y", "z").first()
+    if seed is None:
+        raise ValueError(f"no point {centre}")
+    away = sum(((F.col(d) - seed[d]) * (F.col(d) - seed[d]) for d in "xyz"), F.lit(0.0))
+    near = materialise(points.where(F.sqrt(away) < half + margin).select("x", "y", "z").withColumn("one", F.lit(1)))
+    axes = {r["axis"]: r["direction"] for r in moments.principal_axes(near, ["one"], ["x", "y", "z"]).collect()}
+    local = [sum(((F.col(d) - seed[d]) * float(a) for d, a in zip("xyz", axes[k], strict=True)), F.lit(0.0)).alias(n) for k, n in enumerate("uvw")]
+    chart = near.select("one", *local).where((F.abs("u") <= half + 0.4 * margin) & (F.abs("v") <= half + 0.4 * margin))
+    terms = geo.polynomial(["u", "v"], 2)
+    fit = moments.coefficients(moments.statistics(chart, ["one"], list(terms.values()), [F.col("w")]), ["one"], moments.least_squares, len(terms)).first()
+    if fit is None or fit["n"] < len(terms):
+        raise ValueError(f"too few points around point {centre}")
+    c = dict(zip(terms, map(float, fit["beta"]), strict=True))
+    reach = int(half / step + 1e-9)
+    grid = near.sparkSession.range((2 * reach + 1) ** 2).select((F.floor(F.col("id") / (2 * reach + 1)) - reach).alias("gu"), (F.col("id") % (2 * reach + 1) - reach).alias("gv"))
+    grid = grid.select("gu", "gv", (F.col("gu") * step).alias("u"), (F.col("gv") * step).alias("v"))
+    w = sum((c[n] * t for n, t in terms.items()), F.lit(0.0))
+    du = c["u"] + 2 * c["u_u"] * F.col("u") + c["u_v"] * F.col("v")
+    dv = c["v"] + c["u_v"] * F.col("u") + 2 * c["v_v"] * F.col("v")
+    ax = [dict(zip("xyz", map(float, axes[k]), strict=True)) for k in range(3)]
+    long = F.sqrt(1 + du * du + dv * dv)  # the axes are orthonormal
+    surface = grid.select("gu", "gv", *[(seed[d] + F.col("u") * ax[0][d] + F.col("v") * ax[1][d] + w * ax[2][d]).alias(d) for d in "xyz"], *[((ax[2][d] - du * ax[0][d] - dv * ax[1][d]) / long).alias(f"n{d}") for d in "xyz"])
+    labels = cells.select(*[F.col(i).cast("long").alias(f"c{d}") for d, i in zip("xyz", "ijk", strict=True)], F.col(label).alias("hf_label"))
+
+    def along(rows: DataFrame, signed: Column) -> DataFrame:
+        return rows.select("gu", "gv", "deep", *[(F.col(d) + signed * F.col(f"n{d}")).alias(f"p{d}") for d in "xyz"])
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f"c{d}": F.floor(F.col(f"p{d}") + 0.5) for d in "xyz"}).join(labels, ["cx", "cy", "cz"], "left")
+
+    middle = surface.where("gu = 0 AND gv = 0").select("*", F.explode(F.sequence(F.lit(-depth), F.lit(depth))).alias("deep")).where("deep <> 0")
+    met = labelled(along(middle, F.col("deep") * step)).where(F.col("hf_label") == inner)
+    sides = met.agg(F.count_if(F.col("deep") > 0), F.count_if(F.col("deep") < 0)).first()
+    sign = 1.0 if sides[0] > sides[1] else -1.0
+    layers = along(surface.select("*", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("deep")), F.col("deep") * (sign * step))
+    kept = materialise(labelled(layers).withColumn("at", F.struct("gu", "gv", "deep")))
+    values = gather(kept.select("at", "px", "py", "pz"), cells, "at", ["px", "py", "pz"], ["i", "j", "k"], "value")
+    return kept.join(values, "at").select("gu", "gv", F.col("deep").alias("depth"), F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("hf_label", F.lit(0)).alias("label"))
+
+
 def turned_patches(patches: DataFrame, key: str, value: str, settings: list[tuple[float, float, float, float]]) -> DataFrame:
     """(setting, key, da, db, value): patches resampled under (angle, scale, shift a, shift b) around their centre;
     beyond the edge the nearest cell counts."""

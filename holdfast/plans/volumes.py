@@ -128,6 +128,11 @@ def i19(v):
     return surfaces.thin_plate(p.where("point_id % 5 = 0"), p.where("point_id % 5 <> 0"), "point_id", "value", 64)
 
 
+@query("I19_tuned_thin_plate")
+def i19b(v):
+    return surfaces.tuned_thin_plate(flat(v).withColumn("block", (F.col("region") % 4).cast("int")), "point_id", "value", "block", 64)
+
+
 def surface_cells(v):
     return v("fx_voxel").select(F.col("k").alias("unit"), F.col("i").alias("gi"), F.col("j").alias("gj"), ((F.col("i") - 12) / 12.0).alias("u"), ((F.col("j") - 10) / 10.0).alias("v"), "value")
 
@@ -202,6 +207,13 @@ def k10(v):
     return surfaces.unfolded_patch(flat(v), "point_id", 0, 1.0)
 
 
+@query("K10_unfolded_stack")
+def k10b(v):
+    cells = v("fx_voxel").withColumn("label", F.when(F.col("value") > 26, 3).otherwise(1))
+    first = in_volume(v).agg(F.min("point_id")).first()[0]
+    return surfaces.unfolded_stack(in_volume(v), cells, "point_id", first, 6.0, 4.0, 0.5, 8, "label", 3)
+
+
 @query("K12_turned_patches")
 def k12(v):
     c = surface_cells(v).select(F.col("unit").cast("long").alias("unit"), (F.col("gi") - 12).alias("da"), (F.col("gj") - 10).alias("db"), "value")

@@ -174,3 +174,55 @@ def test_crop_stays_inside(spark):
     mask = spark.createDataFrame([(i, j, k) for i in range(12) for j in range(12) for k in range(3 if (i, j) != (6, 6) else 9)], "i long, j long, k int")
     r = surfaces.automatic_crop(mask, 1.0, (6, 6)).first()
     assert (r["ci"], r["cj"]) == (6, 6) and 0 <= r["lo_i"] <= 6 and 0 <= r["lo_j"] <= 6
+
+
+def test_plates_equal_the_whole_system():
+    """Every smoothing against the one linear system that defines it."""
+    rnd = np.random.default_rng(5)
+    p, v, q = rnd.random((3, 20, 2)), rnd.random((3, 20)), rnd.random((3, 2))
+    got = surfaces.plates(p, v, q, (0.01, 10.0))
+    kernel = lambda d2: 0.5 * d2 * np.log(np.maximum(d2, 1e-300))
+    for n in range(3):
+        m = p[n].mean(0)
+        s = np.abs(p[n] - m).max()
+        z, y = (p[n] - m) / s, (q[n] - m) / s
+        line = np.column_stack([np.ones(20), z])
+        for j, smooth in enumerate((0.01, 10.0)):
+            a = np.block([[kernel(((z[:, None] - z) ** 2).sum(-1)) + smooth * np.eye(20), line], [line.T, np.zeros((3, 3))]])
+            w = np.linalg.solve(a, np.append(v[n], [0, 0, 0]))
+            assert abs(kernel(((z - y) ** 2).sum(-1)) @ w[:20] + w[20] + y @ w[21:] - got[n, j]) < 1e-8
+    assert np.abs(surfaces.plates(np.stack([np.linspace(0, 1, 9)[:, None] * [1, 2]]), np.linspace(0, 1, 9)[None], np.array([[0.5, 1.0]]), (0.1,)) - 0.5).max() < 1e-8
+
+
+def test_smoothing_is_tuned_without_the_fold(spark):
+    """Noise about a plane takes the largest smoothing, a wave the smallest; predictions equal refits over all other blocks' k nearest."""
+    rnd = np.random.default_rng(9)
+    rows = [(i, i % 3, float(x), float(y), float(x + rnd.normal())) for i, (x, y) in enumerate(rnd.random((60, 2)))]
+    smoothings = (0.01, 1.0, 100.0)
+    df = spark.createDataFrame([*rows, (99, None, 0.5, 0.5, 1.0), (98, 1, 0.5, 0.5, None)], "id long, b int, x double, y double, value double")
+    got = surfaces.tuned_thin_plate(df, "id", "value", "b", 12, smoothings).collect()
+    assert len(got) == 60 and {r["query_id"] for r in got} == set(range(60))
+
+    def guess(r, out):
+        near = sorted((float(np.hypot(r[2] - o[2], r[3] - o[3])), o[0]) for o in rows if o[1] not in out)[:12]
+        s = np.array([rows[i][2:] for _, i in near])
+        return surfaces.plates(s[None, :, :2], s[None, :, 2], np.array([r[2:4]]), smoothings)[0]
+
+    for fold in range(3):
+        losses = np.mean([np.abs(guess(r, {fold, r[1]}) - r[4]) for r in rows if r[1] != fold], 0)
+        place = int(losses.argmin())
+        for r in got:
+            if r["block"] == fold:
+                assert r["smoothing"] == smoothings[place] and abs(r["prediction"] - guess(rows[r["query_id"]], {fold})[place]) < 1e-8
+
+
+def test_unfolded_stack_goes_inward(spark):
+    """Layers of a flat block: the depth counts from its surface towards the side with the label, whichever it is."""
+    points = spark.createDataFrame([(i * 9 + j, float(i), float(j), 4.0) for i in range(9) for j in range(9)], "id long, x double, y double, z double")
+    for way in (1, -1):
+        cells = spark.createDataFrame([(i, j, k, 10.0 * k, 3 if (k - 4) * way > 0 else 1) for i in range(9) for j in range(9) for k in range(9)], "i int, j int, k int, value double, label int")
+        got = surfaces.unfolded_stack(points, cells, "id", 40, 2.0, 2.0, 1.0, 3, "label", 3).collect()
+        assert len(got) == 5 * 5 * 4
+        assert all(abs(r["value"] - 10 * (4 + way * r["depth"])) < 1e-6 and r["label"] == (3 if r["depth"] else 1) for r in got)
+    with pytest.raises(ValueError, match="no point"):
+        surfaces.unfolded_stack(points, cells, "id", 999, 2.0, 2.0, 1.0, 3, "label", 3)
