@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .graph import connected_components
-from .spatial import range_join
+from .spatial import knn_join, range_join
 
 
 MOST = 4_000_000  # places of the largest cost table that one task solves
@@ -191,10 +190,10 @@ def match_then_gate(a: DataFrame, b: DataFrame, by: list[str], key: str, dims: l
 
 def best_shift(a: DataFrame, b: DataFrame, key: str, dims: tuple[str, str], reach: int, step: float, nearest: int) -> DataFrame:
     """(da, db, score, pairs) of the (2 reach + 1)^2 shifts of b on a grid: the median of the `nearest` smallest distances
-    from shifted points to their mutual nearest partners, and how many there are. Neither side is copied for a shift: each
-    pair of points is formed once, by cells, and counts for the shifts within a radius of its displacement. All partners
-    within the radius are known there, so mutual pairs inside it are final; shifts with fewer than `nearest` of them go on
-    with twice the radius until it spans both sides. Equal distances go to the smaller key; points without key or
+    from shifted points to their mutual nearest partners, and how many there are. Each pair of points
+    is formed once, by cells, and counts for the shifts within a radius of its displacement. All partners within the radius
+    are known there, so mutual pairs inside it are final. Only shifts with fewer than `nearest` of them (sides that hardly
+    meet there) are searched by nearest-neighbour joins of copies. Equal distances go to the smaller key; points without key or
     coordinates have no pairs; a side without points gives no rows."""
     x, y = dims
     sides = [materialise(df.select(F.col(key).alias(n), F.col(x).cast("double").alias(f"x{n}"), F.col(y).cast("double").alias(f"y{n}")).dropna()) for df, n in ((a, "a"), (b, "b"))]
@@ -207,17 +206,23 @@ def best_shift(a: DataFrame, b: DataFrame, key: str, dims: tuple[str, str], reac
     area = max(ends[0][2] - ends[0][1], step) * max(ends[0][4] - ends[0][3], step)
     radius = min(far, max(2 * float(np.sqrt(area / (np.pi * ends[0][0]))), 1e-9 * far))  # about four partners a point and shift
     grid = [(i, j) for i, j in product(range(-reach, reach + 1), repeat=2)]
-    done, left = [], a.sparkSession.createDataFrame(grid, "i int, j int")
-    while True:
-        found = materialise(shift_scores(sides, left, reach, step, nearest, radius))
-        ready = found if radius >= far else found.where(F.col("pairs") >= nearest)
-        done.append(ready)
-        left = left.join(F.broadcast(ready), ["i", "j"], "left_anti")  # no more rows than shifts
-        if radius >= far or left.isEmpty():
-            break
-        radius = min(2 * radius, far)
-    out = reduce(DataFrame.unionByName, done)
-    return out.select((F.col("i") * step).alias("da"), (F.col("j") * step).alias("db"), "score", "pairs")
+    left = a.sparkSession.createDataFrame(grid, "i int, j int")
+    found = materialise(shift_scores(sides, left, reach, step, nearest, radius))
+    ready = found if radius >= far else found.where(F.col("pairs") >= nearest)
+    rest = left.join(F.broadcast(ready), ["i", "j"], "left_anti")  # no more rows than shifts
+    if not rest.isEmpty():
+        ready = ready.unionByName(far_scores(sides, materialise(rest), step, nearest))
+    return ready.select((F.col("i") * step).alias("da"), (F.col("j") * step).alias("db"), "score", "pairs")
+
+
+def far_scores(sides: list[DataFrame], shifts: DataFrame, step: float, nearest: int) -> DataFrame:
+    """As shift_scores, without a radius, by nearest-neighbour joins: a group of both sides' rows for each shift."""
+    each = F.broadcast(shifts)
+    moved = sides[1].crossJoin(each).select("b", "i", "j", (F.col("xb") + F.col("i") * step).alias("x"), (F.col("yb") + F.col("j") * step).alias("y"))
+    still = sides[0].crossJoin(each).select("a", "i", "j", F.col("xa").alias("x"), F.col("ya").alias("y"))
+    there = knn_join(moved, still, 1, ["x", "y"], "b", "a", ("i", "j")).select("i", "j", F.col("query_id").alias("b"), F.col("neighbour_id").alias("a"), F.col("distance").alias("d"))
+    back = knn_join(still, moved, 1, ["x", "y"], "a", "b", ("i", "j")).select("i", "j", F.col("query_id").alias("a"), F.col("neighbour_id").alias("b"))
+    return middle(there.join(back, ["i", "j", "a", "b"]), nearest)
 
 
 def shift_scores(sides: list[DataFrame], shifts: DataFrame, reach: int, step: float, nearest: int, radius: float) -> DataFrame:
@@ -237,6 +242,10 @@ def shift_scores(sides: list[DataFrame], shifts: DataFrame, reach: int, step: fl
     near = pairs.select("a", "b", "i", "j", d.alias("d")).where(F.col("d") <= radius).join(F.broadcast(shifts), ["i", "j"], "left_semi")
     best = lambda n, other: near.groupBy("i", "j", n).agg(F.min(F.struct("d", other)).alias("s")).select("i", "j", n, f"s.{other}", "s.d")
     mutual = best("a", "b").drop("d").join(best("b", "a"), ["i", "j", "a", "b"])
+    return middle(mutual, nearest)
+
+
+def middle(mutual: DataFrame, nearest: int) -> DataFrame:
     top = mutual.withColumn("k", F.row_number().over(Window.partitionBy("i", "j").orderBy("d", "a"))).where(F.col("k") <= nearest)
     return top.groupBy("i", "j").agg(F.median("d").alias("score"), F.count("*").alias("pairs"))
 
