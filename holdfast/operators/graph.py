@@ -160,7 +160,7 @@ def harmonic(edges: DataFrame, known: DataFrame, weight: Column, rounds: int = 2
 def radius_clusters(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, cluster) of all nodes: those joined by pairs (query_id, neighbour_id) share the smallest key."""
     found = connected_components(pairs, "query_id", "neighbour_id").toDF(key, "root")
-    return nodes.select(key).join(found, key, "left").select(key, F.coalesce("root", key).alias("cluster"))
+    return nodes.select(key).join(found.hint("merge"), key, "left").select(key, F.coalesce("root", key).alias("cluster"))
 
 
 def edge_incidence(faces: DataFrame) -> DataFrame:
