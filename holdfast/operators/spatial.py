@@ -6,6 +6,9 @@ crowd (a far outlier widens the mean, a cluster is denser than it), certifies ea
 the searched block, and searches again with threefold cells. Queries that this leaves (far from all points, or beside crowded
 cells) go down a tree of boxes: each level is a table of boxes with their numbers of points, and a query opens
 only boxes that can still beat its k-th distance.
+
+Both sides of these joins grow with the data, and a Parquet file's size says little about its rows: left to it, Spark
+gathers a side of a million points in the driver to send it around. They carry the hint for a sort-merge join.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ def range_join(queries: DataFrame, points: DataFrame, radius: float, dims: list[
     q, p = _sides(queries, points, dims, qid, pid, by)
     q = _cells(q, [f"q_{c}" for c in dims], radius, True)
     p = _cells(p, [f"p_{c}" for c in dims], radius, False)
-    d = q.join(p, [*by, "hf_cell"]).withColumn("distance", distance(dims))
+    d = q.join(p.hint("merge"), [*by, "hf_cell"]).withColumn("distance", distance(dims))
     d = d.where((F.col("distance") < radius) if strict else (F.col("distance") <= radius))
     return (d.where(F.col("query_id") != F.col("neighbour_id")) if exclude_self else d).select(*by, "query_id", "neighbour_id", "distance")
 
@@ -100,15 +103,15 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, dims: list[str], qid
         full = cells.groupBy(*by, "hf_cell").count().where(F.col("count") > FULL * max(want, 4)).select(*by, "hf_cell")
         if not (full := materialise(full)).isEmpty():
             beside = materialise(spread.join(full, [*by, "hf_cell"], "left_semi").select(*by, "query_id").distinct())
-            spread = spread.join(beside, [*by, "query_id"], "left_anti")
-        near = spread.join(cells, [*by, "hf_cell"])
+            spread = spread.join(beside.hint("merge"), [*by, "query_id"], "left_anti")
+        near = spread.join(cells.hint("merge"), [*by, "hf_cell"])
         near = near.where(F.col("query_id") != F.col("neighbour_id")) if exclude_self else near
         near = _first(near.withColumn("distance", distance(dims)), by, k)
         inside = reduce(F.least, [F.least(x, 1 - x) for x in [F.col(f"q_{c}") / width - F.floor(F.col(f"q_{c}") / width) for c in dims]])
         known = near.withColumn("hf_far", F.max(F.when(F.col("rank") == k, F.col("distance"))).over(Window.partitionBy(*by, "query_id")))
         done = materialise(known.where(F.col("hf_far") <= (1 + inside) * width).select(*by, "query_id", "neighbour_id", "distance", "rank"))
         parts.append(done)
-        left = materialise(left.join(done.select(*by, "query_id").distinct(), [*by, "query_id"], "left_anti"))
+        left = materialise(left.join(done.select(*by, "query_id").distinct().hint("merge"), [*by, "query_id"], "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, parts)
         width *= 3
@@ -182,7 +185,7 @@ def searched(q: DataFrame, tree: tuple[DataFrame, DataFrame, int], k: int, dims:
         inner = front.where("not leaf").drop("n", "leaf", *edges).withColumnRenamed("node", "hf_up")
         opened = inner.join(kids, [*by, "hf_up"]).select(*q.columns, F.col("hf_node").alias("node"), F.col("hf_n").alias("n"), F.col("hf_leaf").alias("leaf"), *[F.col(f"hf_{e}").alias(e) for e in edges])
         front = closed(front.where("leaf").unionByName(opened))
-    pairs = front.select(*q.columns, "node").join(points, [*by, "node"])
+    pairs = front.select(*q.columns, "node").join(points.hint("merge"), [*by, "node"])
     pairs = pairs.where(F.col("query_id") != F.col("neighbour_id")) if exclude_self else pairs
     return _first(pairs.withColumn("distance", distance(dims)), by, k).select(*by, "query_id", "neighbour_id", "distance", "rank")
 
@@ -242,7 +245,7 @@ def knn_graph(points: DataFrame, dims: list[str], key: str, k: int = 6, ratio: f
     near = knn_join(points, points, k, dims, key, key, exclude_self=True)
     pitch = near.groupBy("query_id").agg(F.median("distance").alias("pitch"))
     edges = near.select(F.least("query_id", "neighbour_id").alias("a"), F.greatest("query_id", "neighbour_id").alias("b"), "distance").dropDuplicates(["a", "b"])
-    p = lambda n: pitch.toDF(n, f"pitch_{n}")
+    p = lambda n: pitch.toDF(n, f"pitch_{n}").hint("merge")
     return edges.join(p("a"), "a").join(p("b"), "b").where(F.col("distance") <= ratio * (F.col("pitch_a") + F.col("pitch_b")) / 2).select("a", "b", F.col("distance").alias("length"))
 
 

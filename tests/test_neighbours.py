@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from holdfast.operators import spatial
+from holdfast.operators import graph, spatial
 
 DIMS = ["x", "y"]
 
@@ -71,3 +72,13 @@ def test_few_pairs_are_measured(spark, monkeypatch):
         counted.clear()
         assert spatial.knn_join(frame(spark, rows(q)), frame(spark, rows(p)), 6, DIMS, "id", "id", exclude_self=q is p).count() == 3000 * 6
         assert sum(counted) < 100 * 6 * 3000, name
+
+
+def test_data_sized_sides_are_not_sent_through_the_driver(spark):
+    p = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 89).cast("double").alias("y"))
+    pairs = spatial.range_join(p, p, 1.5, ["x", "y"], "k", "k", exclude_self=True)
+    near = spatial.knn_join(p, p, 3, ["x", "y"], "k", "k", exclude_self=True)
+    for df in (pairs, near, graph.radius_clusters(pairs, p, "k")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert pairs.count() and near.count() == 6000
