@@ -8,13 +8,13 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import beside, order_values, tied
+from .ranks import beside, order_values, quantiles, tied
 
 
 def method_summary(errors: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
     """n, mean, median and 90th percentile (linear interpolation) of an error for each group."""
-    e = F.col(error)
-    return errors.groupBy(*keys).agg(F.count(e).alias("n"), F.avg(e).alias("mean_error"), F.percentile(e, F.lit(0.5)).alias("median_error"), F.percentile(e, F.lit(0.9)).alias("p90_error"))
+    middle = quantiles(errors, keys, error, {"median_error": 0.5, "p90_error": 0.9}).drop("n")
+    return beside(errors.groupBy(*keys).agg(F.count(error).alias("n"), F.avg(error).alias("mean_error")), middle, keys, "left")
 
 
 def pooled_rollup(errors: DataFrame, group: str, method: str, error: str = "error") -> DataFrame:

@@ -67,3 +67,48 @@ def medians(rows: DataFrame, by: Sequence[str], value: str, name: str = "median"
     """(by, name): each group's median, the mean of the two middle values of an even number."""
     both = order_values(rows, by, value, {"hf_low": F.floor((F.col("n") - 1) / 2), "hf_high": F.floor(F.col("n") / 2)})
     return both.select(*by, ((F.col("hf_low") + F.col("hf_high")) / 2).alias(name))
+
+
+SKETCH = 10_000  # a sketch places a value to within this share of the rows
+MARGIN = 4  # such shares on both sides of a quantile are looked at exactly
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(by, n, names): exact quantiles (as `percentile`: linear between the two nearest places) of few groups of any size; groups
+    without values are left out.
+
+    A sketch of each group names two values around each quantile. Of the rows, only those between them keep their
+    value; the others are counted. Equal values are counted in each task first, so what is shuffled is a small share of the
+    rows. Where a sketch missed (none should), the places are found by sorting ranges of all rows."""
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("hf_v"))
+    names, share = list(wanted), MARGIN / SKETCH
+    at = [[q - share, q + share] for q in wanted.values()]
+    probes = F.percentile_approx("hf_v", F.array(*[F.lit(min(1.0, max(0.0, x))) for pair in at for x in pair]), F.lit(SKETCH))
+    facts = materialise(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("hf_v").alias("hf_least"), F.max("hf_v").alias("hf_most"), probes.alias("hf_q")))
+    ends = [(F.col("hf_least") if lo <= 0 else F.get("hf_q", F.lit(2 * i)), F.col("hf_most") if hi >= 1 else F.get("hf_q", F.lit(2 * i + 1))) for i, (lo, hi) in enumerate(at)]
+    around = facts.select(*by, *[c.alias(f"hf_{e}{i}") for i, pair in enumerate(ends) for e, c in zip(("lo", "hi"), pair, strict=True)])
+    named = F.broadcast(around)  # a row for each group
+    both = beside(rows, named, by) if by else rows.crossJoin(named)
+    v = F.col("hf_v")
+    each = [F.when(v <= F.col(f"hf_hi{i}"), F.struct(F.lit(i).alias("i"), F.when(v >= F.col(f"hf_lo{i}"), v).alias("v"))) for i in range(len(names))]
+    counts = both.select(*by, F.explode(F.array(*each)).alias("hf_s")).where(F.col("hf_s").isNotNull()).groupBy(*by, F.col("hf_s.i").alias("i"), F.col("hf_s.v").alias("v")).agg(F.count("*").alias("own"))
+    upto = Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("own").over(upto)).where(F.col("v").isNotNull())
+    ranked = beside(ranked, F.broadcast(facts.select(*by, "n")), by) if by else ranked.crossJoin(F.broadcast(facts.select("n")))
+    place = (F.col("n") - 1) * F.get(F.array(*[F.lit(float(q)) for q in wanted.values()]), F.col("i"))
+    low, high = F.floor(place), F.ceil(place)
+    holds = lambda c: F.max(F.when((F.col("upto") - F.col("own") <= c) & (c < F.col("upto")), F.col("v")))
+    found = ranked.groupBy(*by, "n", "i").agg(F.first(place).alias("p"), holds(low).alias("a"), holds(high).alias("b"))
+    p, a, b = F.col("p"), F.col("a"), F.col("b")
+    between = F.when(F.floor(p) == F.ceil(p), a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
+    wide = found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("i") == i, between.cast("double"))).alias(name) for i, name in enumerate(names)])
+    got = materialise(beside(facts.select(*by, "n"), wide.drop("n"), by, "left") if by else facts.select("n").crossJoin(wide.drop("n")).where("n > 0"))
+    missed = got.where(reduce(lambda x, y: x | y, [F.col(name).isNull() for name in names]))
+    if missed.isEmpty():
+        return got
+    again = beside(rows, missed.select(*by), by) if by else rows
+    places = {f"hf_{e}{i}": f((F.col("n") - 1) * q) for i, q in enumerate(wanted.values()) for e, f in (("a", F.floor), ("b", F.ceil))}
+    slow = order_values(again, by, "hf_v", places)
+    mixed = lambda i, q: F.when(F.floor((F.col("n") - 1) * q) == F.ceil((F.col("n") - 1) * q), F.col(f"hf_a{i}")).otherwise((F.ceil((F.col("n") - 1) * q) - (F.col("n") - 1) * q) * F.col(f"hf_a{i}") + ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)) * F.col(f"hf_b{i}"))
+    slow = slow.select(*by, "n", *[mixed(i, q).cast("double").alias(name) for i, (name, q) in enumerate(wanted.items())])
+    return got.dropna(subset=names).unionByName(slow)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import geometry as geo
-from holdfast.operators import aggregates, graph, holdout, holes, joins, learners, matching, moments, predict, spatial, stats, surfaces
+from holdfast.operators import aggregates, graph, holdout, holes, joins, learners, matching, moments, predict, ranks, spatial, stats, surfaces
 from holdfast.plans import QUERIES
 from holdfast.sources import tables
 
@@ -344,3 +344,20 @@ def test_shared_folder(spark):
     with pytest.raises(RuntimeError, match="checkpoint"):
         storage.shared_dir(Session)
     assert storage.shared_dir(spark)
+
+
+@pytest.mark.parametrize("margin", [4, -1])
+def test_quantiles_by_sketch(spark, monkeypatch, margin):
+    monkeypatch.setattr(ranks, "MARGIN", margin)  # below 0 the sketch's values enclose no quantile
+    rng = np.random.default_rng(3)
+    values = {None: rng.normal(size=700), 1: np.repeat([3.0, 5.0], [640, 60]), 2: np.array([7.0]), 3: np.array([1.0, 2.0]), 4: np.array([])}
+    rows = [(g, float(x)) for g, xs in values.items() for x in xs] + [(1, None), (4, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: r for r in ranks.quantiles(df, ["g"], "v", {"m": 0.5, "p": 0.9, "a": 0.0, "b": 1.0}).collect()}
+    assert got.keys() == {None, 1, 2, 3}
+    for g, r in got.items():
+        assert r["n"] == len(values[g]) and np.allclose([r["m"], r["p"], r["a"], r["b"]], np.quantile(values[g], [0.5, 0.9, 0, 1]), atol=1e-12)
+    whole = ranks.quantiles(df, [], "v", {"m": 0.5}).collect()
+    assert len(whole) == 1 and abs(whole[0]["m"] - np.median([x for _, x in rows if x is not None])) < 1e-12
+    plan = aggregates.method_summary(df, ["g"], "v")._jdf.queryExecution().analyzed().toString()
+    assert "percentile(" not in plan  # a group's different values in one task
