@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from . import holdout, moments
+from .ranks import quantiles
 from .spatial import idw, knn_join
 
 
@@ -106,7 +107,7 @@ def tuned_ridge(df: DataFrame, block: str, unit: str, xs: list[Column], target:
 
 def offset_calibration(cases: DataFrame, block: str, offset: str) -> DataFrame:
     """Each case with the median offset of the other blocks, before and after."""
-    shift = holdout.dealt(cases, block, "hf_fold", False).groupBy("hf_fold").agg(F.median(offset).alias("shift"))
+    shift = quantiles(holdout.dealt(cases, block, "hf_fold", False), ["hf_fold"], offset, {"shift": 0.5}).drop("n")
     out = cases.join(F.broadcast(shift), F.col(block) == F.col("hf_fold"), "left").drop("hf_fold")  # a row for each fold
     return out.withColumns({"before": F.abs(offset), "after": F.abs(F.col(offset) - F.col("shift"))})
 
