@@ -91,17 +91,17 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str, wanted: dict[str,
     both = beside(rows, named, by) if by else rows.crossJoin(named)
     v = F.col("hf_v")
     each = [F.when(v <= F.col(f"hf_hi{i}"), F.struct(F.lit(i).alias("i"), F.when(v >= F.col(f"hf_lo{i}"), v).alias("v"))) for i in range(len(names))]
-    counts = both.select(*by, F.explode(F.array(*each)).alias("hf_s")).where(F.col("hf_s").isNotNull()).groupBy(*by, F.col("hf_s.i").alias("i"), F.col("hf_s.v").alias("v")).agg(F.count("*").alias("own"))
-    upto = Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("own").over(upto)).where(F.col("v").isNotNull())
+    counts = both.select(*by, F.explode(F.array(*each)).alias("hf_s")).where(F.col("hf_s").isNotNull()).groupBy(*by, F.col("hf_s.i").alias("hf_i"), F.col("hf_s.v").alias("hf_v")).agg(F.count("*").alias("hf_own"))
+    upto = Window.partitionBy(*by, "hf_i").orderBy(F.col("hf_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("hf_upto", F.sum("hf_own").over(upto)).where(F.col("hf_v").isNotNull())
     ranked = beside(ranked, F.broadcast(facts.select(*by, "n")), by) if by else ranked.crossJoin(F.broadcast(facts.select("n")))
-    place = (F.col("n") - 1) * F.get(F.array(*[F.lit(float(q)) for q in wanted.values()]), F.col("i"))
+    place = (F.col("n") - 1) * F.get(F.array(*[F.lit(float(q)) for q in wanted.values()]), F.col("hf_i"))
     low, high = F.floor(place), F.ceil(place)
-    holds = lambda c: F.max(F.when((F.col("upto") - F.col("own") <= c) & (c < F.col("upto")), F.col("v")))
-    found = ranked.groupBy(*by, "n", "i").agg(F.first(place).alias("p"), holds(low).alias("a"), holds(high).alias("b"))
-    p, a, b = F.col("p"), F.col("a"), F.col("b")
+    holds = lambda c: F.max(F.when((F.col("hf_upto") - F.col("hf_own") <= c) & (c < F.col("hf_upto")), F.col("hf_v")))
+    found = ranked.groupBy(*by, "n", "hf_i").agg(F.first(place).alias("hf_p"), holds(low).alias("hf_a"), holds(high).alias("hf_b"))
+    p, a, b = F.col("hf_p"), F.col("hf_a"), F.col("hf_b")
     between = F.when(F.floor(p) == F.ceil(p), a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
-    wide = found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("i") == i, between.cast("double"))).alias(name) for i, name in enumerate(names)])
+    wide = found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("hf_i") == i, between.cast("double"))).alias(name) for i, name in enumerate(names)])
     got = materialise(beside(facts.select(*by, "n"), wide.drop("n"), by, "left") if by else facts.select("n").crossJoin(wide.drop("n")).where("n > 0"))
     missed = got.where(reduce(lambda x, y: x | y, [F.col(name).isNull() for name in names]))
     if missed.isEmpty():

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+from fractions import Fraction
 from itertools import combinations, permutations
 from math import comb
 
@@ -361,3 +362,38 @@ def test_quantiles_by_sketch(spark, monkeypatch, margin):
     assert len(whole) == 1 and abs(whole[0]["m"] - np.median([x for _, x in rows if x is not None])) < 1e-12
     plan = aggregates.method_summary(df, ["g"], "v")._jdf.queryExecution().analyzed().toString()
     assert "percentile(" not in plan  # a group's different values in one task
+
+
+def test_offsets_and_tuning_by_hand(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(b), int(u), float(x), float(2 * x + b + e)) for b in range(3) for u in range(4) for x, e in zip(rng.normal(size=3), rng.normal(size=3), strict=True)]
+    df = spark.createDataFrame(rows, "b int, u int, x double, y double")
+    scored = predict.offset_calibration(df, "b", "y")
+    assert "percentile(" not in scored._jdf.queryExecution().analyzed().toString() and "median(" not in scored._jdf.queryExecution().analyzed().toString()
+    got = {(r["b"], r["u"], r["y"]): r["after"] for r in scored.collect()}
+    for b, u, _, y in rows:
+        assert abs(got[b, u, y] - abs(y - np.median([r[3] for r in rows if r[0] != b]))) < 1e-12
+    tuned = predict.tuned_ridge(df, "b", "u", [F.col("x")], "y", [0.5, 5.0])
+    got = {(r["outer"], r["alpha"]): r["score"] for r in tuned.collect()}
+    assert len(got) == 6
+    for (outer, alpha), score in got.items():
+        blocks = []
+        for inner in {0, 1, 2} - {outer}:
+            x, y = np.array([r[2:] for r in rows if r[0] not in (outer, inner)]).T
+            s = ((x - x.mean()) @ (y - y.mean())) / x.std() / (((x - x.mean()) / x.std()) @ ((x - x.mean()) / x.std()) + alpha) / x.std()
+            off = {}
+            for _, u, a, c in [r for r in rows if r[0] == inner]:
+                off.setdefault(u, []).append(abs(y.mean() + s * (a - x.mean()) - c))
+            blocks.append(np.median([np.mean(e) for e in off.values()]))
+        assert abs(score - np.median(blocks)) < 1e-9
+
+
+def test_exact_tests_beyond_the_five_hundred_terms_of_their_sql(spark):
+    rows = [(1, 1.0 if i < 2451 else -1.0) for i in range(4964)]
+    got = stats.sign_test(spark.createDataFrame(rows, "g int, d double"), ["g"], "d").first()
+    assert abs(got["p"] - float(Fraction(2 * sum(comb(4964, i) for i in range(2452)), 2**4964))) < 1e-9
+    a, b, c, d = 1250, 1190, 1230, 1260
+    mass = {x: comb(a + b, x) * comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
+    want = float(Fraction(sum(m for m in mass.values() if m <= mass[a]), comb(a + b + c + d, a + c)))
+    got = stats.fisher(spark.createDataFrame([(1, a, b, c, d)], "g int, a long, b long, c long, d long"), ["g"]).first()
+    assert abs(got["p"] - want) < 1e-8 and abs(got["odds"] - a * d / (b * c)) < 1e-12
