@@ -99,10 +99,14 @@ def tuned_ridge(df: DataFrame, block: str, unit: str, xs: list[Column], target:
         inner = part if inner is None else inner.unionByName(part)
     fitted = [moments.coefficients(inner, ["outer", block], moments.ridge(a), len(xs)).withColumn("alpha", F.lit(float(a))) for a in alphas]
     models = materialise(reduce(DataFrame.unionByName, fitted).drop("n"))
-    scored = df.join(F.broadcast(models), block).withColumn("hf_e", F.abs(moments.predicted(xs) - F.col(target)))
-    units = scored.groupBy("outer", "alpha", block, unit).agg(F.avg("hf_e").alias("e"))
-    blocks = units.groupBy("outer", "alpha", block).agg(F.median("e").alias("e"))
-    return blocks.groupBy("outer", "alpha").agg(F.median("e").alias("score"))
+    each = models.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("outer", "alpha", "beta"))).alias("hf_m"))  # a row for each block
+    errors = [F.abs(moments.predicted(xs, F.get("hf_m", F.lit(i))["beta"]) - F.col(target)) for i in range((len(names) - 1) * len(alphas))]
+    units = df.join(F.broadcast(each), block).groupBy(block, unit).agg(*[F.avg(e).alias(f"hf_e{i}") for i, e in enumerate(errors)])
+    units = materialise(units).join(F.broadcast(each), block)
+    long = F.explode(F.array(*[F.struct(F.get("hf_m", F.lit(i))["outer"].alias("outer"), F.get("hf_m", F.lit(i))["alpha"].alias("alpha"), F.col(f"hf_e{i}").alias("e")) for i in range(len(errors))]))
+    blocks = quantiles(units.select(block, long.alias("s")).select(block, "s.*"), ["outer", "alpha", block], "e", {"e": 0.5})
+    scores = blocks.groupBy("outer", "alpha").agg(F.median("e").alias("score"))
+    return models.select("outer", "alpha").distinct().join(scores, ["outer", "alpha"], "left")
 
 
 def offset_calibration(cases: DataFrame, block: str, offset: str) -> DataFrame:
