@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .ranks import quantiles
 
 
 def statistics(df: DataFrame, by: list[str], xs: list[Column], ys: list[Column], weight: Column | None = None) -> DataFrame:
@@ -99,7 +100,7 @@ def coefficients(stats: DataFrame, by: list[str], solve: Callable[[dict, int, in
     return stats.mapInPandas(run, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "n double, beta array<double>"]))
 
 
-def predicted(xs: list[Column], beta: str = "beta", intercept: bool = True, target: int = 0, targets: int = 1) -> Column:
+def predicted(xs: list[Column], beta: str | Column = "beta", intercept: bool = True, target: int = 0, targets: int = 1) -> Column:
     at = lambda i: F.get(beta, F.lit(i * targets + target))
     out = at(0) if intercept else F.lit(0.0)
     for i, x in enumerate(xs):
@@ -171,8 +172,9 @@ def huber(df: DataFrame, by: list[str], xs: list[Column], y: Column, rounds: int
         known = rows if beta is None else rows.join(beta.join(scale, by), by)  # noqa: F821
         beta = materialise(coefficients(statistics(known.withColumn("hf_w", weight), by, [F.lit(1.0), *cols], [F.col("y")], F.col("hf_w")), by, least_squares, len(xs) + 1).drop("n"))
         off = rows.join(beta, by).withColumn("hf_r", F.col("y") - predicted(cols))
-        middle = off.groupBy(*by).agg(F.median("hf_r").alias("m"))
-        scale = materialise(off.join(middle, by).groupBy(*by).agg((1.4826 * F.median(F.abs(F.col("hf_r") - F.col("m"))) + 1e-6).alias("scale")))
+        middle = quantiles(off, by, "hf_r", {"m": 0.5}).drop("n")
+        away = quantiles(off.join(F.broadcast(middle), by).withColumn("hf_a", F.abs(F.col("hf_r") - F.col("m"))), by, "hf_a", {"mad": 0.5})  # few groups
+        scale = materialise(away.select(*by, (1.4826 * F.col("mad") + 1e-6).alias("scale")))
         far = F.abs(F.col("y") - predicted(cols)) / (1.345 * F.col("scale"))
         weight = F.when(far <= 1, 1.0).otherwise(1 / far)
     return off.groupBy(*by).agg(F.first("beta").alias("beta"), F.sqrt(F.avg(F.col("hf_r") * F.col("hf_r"))).alias("rmse"))

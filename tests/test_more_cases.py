@@ -397,3 +397,12 @@ def test_exact_tests_beyond_the_five_hundred_terms_of_their_sql(spark):
     want = float(Fraction(sum(m for m in mass.values() if m <= mass[a]), comb(a + b + c + d, a + c)))
     got = stats.fisher(spark.createDataFrame([(1, a, b, c, d)], "g int, a long, b long, c long, d long"), ["g"]).first()
     assert abs(got["p"] - want) < 1e-8 and abs(got["odds"] - a * d / (b * c)) < 1e-12
+
+
+def test_huber_medians_are_not_gathered(spark, monkeypatch):
+    asked = []
+    own = moments.quantiles
+    monkeypatch.setattr(moments, "quantiles", lambda rows, by, value, wanted: asked.append(value) or own(rows, by, value, wanted))
+    df = spark.createDataFrame([(0, float(x), 2.0 * x + 1 + (50.0 if x == 7 else 0.0)) for x in range(12)], "g int, x double, y double")
+    got = moments.huber(df, ["g"], [F.col("x")], F.col("y"), rounds=2).first()
+    assert asked == ["hf_r", "hf_a"] * 2 and len(got["beta"]) == 2 and np.isfinite(got["rmse"])
