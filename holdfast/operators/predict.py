@@ -118,9 +118,9 @@ def offset_calibration(cases: DataFrame, block: str, offset: str) -> DataFrame:
 
 def penalised_choice(losses: DataFrame, case: str, k: str, loss: str, lambdas: list[float], centre: int = 3) -> DataFrame:
     """(penalty, case, choice): the count with the smallest loss + penalty * (k - centre), smallest on ties."""
-    grid = losses.select("*", F.explode(F.array(*map(F.lit, lambdas))).alias("penalty"))
-    score = F.col(loss) + F.col("penalty") * (F.col(k) - centre)
-    return grid.groupBy("penalty", case).agg(F.min_by(k, F.struct(score, F.col(k))).alias("choice"))
+    best = [F.min_by(k, F.struct(F.col(loss) + F.lit(x) * (F.col(k) - centre), F.col(k))).alias(f"hf_{i}") for i, x in enumerate(lambdas)]
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("penalty"), F.col(f"hf_{i}").alias("choice")) for i, x in enumerate(lambdas)]))
+    return losses.groupBy(case).agg(*best).select(case, each.alias("hf_s")).select("hf_s.penalty", case, "hf_s.choice")
 
 
 def lambda_choice(chosen: DataFrame, truth: str) -> DataFrame:

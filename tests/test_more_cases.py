@@ -406,3 +406,11 @@ def test_huber_medians_are_not_gathered(spark, monkeypatch):
     df = spark.createDataFrame([(0, float(x), 2.0 * x + 1 + (50.0 if x == 7 else 0.0)) for x in range(12)], "g int, x double, y double")
     got = moments.huber(df, ["g"], [F.col("x")], F.col("y"), rounds=2).first()
     assert asked == ["hf_r", "hf_a"] * 2 and len(got["beta"]) == 2 and np.isfinite(got["rmse"])
+
+
+def test_penalties_share_one_pass(spark):
+    df = spark.createDataFrame([(1, 1, 3.0), (1, 3, 2.0), (1, 5, 0.5), (2, 2, 1.0)], "c int, k int, loss double")
+    out = predict.penalised_choice(df, "c", "k", "loss", [0.0, 2.0])
+    assert {tuple(r) for r in out.collect()} == {(0.0, 1, 5), (0.0, 2, 2), (2.0, 1, 1), (2.0, 2, 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # rows aren't multiplied before they are grouped
