@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Alternating large stars and small stars: every node's neighbours are linked to the smallest of them.
     Minima are partial aggregates and the rest are joins, which Spark splits where one node has very many
-    edges; no neighbour list is ever gathered. Rounds grow with the logarithm of the longest path. Each
+    edges; no neighbour list is ever gathered, nor a side of a join in the driver. Rounds grow with the logarithm of the longest path. Each
     round's edges are written to the shared folder."""
     lo, hi = F.least(a, b).alias("v"), F.greatest(a, b).alias("u")
     now = materialise(edges.where(F.col(a) != F.col(b)).select(hi, lo).distinct())
@@ -35,9 +35,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         before = n, mark
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .graph import connected_components
+from .ranks import beside
 from .spatial import knn_join, range_join
 
 
@@ -54,7 +56,7 @@ def assignment(cost: np.ndarray) -> list[int]:
 
 def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id", b: str = "neighbour_id", cost: str = "distance", most: int = MOST, slack: float = SLACK) -> DataFrame:
     """(by, a, b, cost): among candidate pairs, a matching with as many pairs as possible and the least total
-    cost. Connected components of the candidate graph are solved apart: exactly, each in a task, where the cost table has
+    cost. Groups (by) of few pairs are solved as they are. Of the others, connected components of the candidate graph are solved apart: exactly, where the cost table has
     at most `most` places; larger ones together by the distributed auction, whose total may exceed the least by `slack`
     times the range of costs. Of a pair given more than once the least cost counts; pairs with a null end, cost or NaN cost
     are no candidates. (Matching all points first and gating afterwards, as match_then_gate does, can choose other pairs.)"""
@@ -62,25 +64,19 @@ def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id",
     good = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(cost).isNotNull() & ~F.isnan(F.col(cost).cast("double")))
     left = good.groupBy(*by, a, b).agg(F.min(cost).alias(cost)).withColumns({"hf_a": F.xxhash64(F.lit("a"), *by, a), "hf_b": F.xxhash64(F.lit("b"), *by, b)})
     left = materialise(left)
+    alone = None
+    if by:
+        tall = materialise(left.groupBy(*by).agg(F.count("*").alias("hf_n")).where(F.col("hf_n") > isqrt(most)).select(*by))
+        alone = solved(beside(left, tall, by, "left_anti"), by, by, a, b, cost)
+        if tall.isEmpty():
+            return alone
+        left = materialise(beside(left, tall, by, "left_semi"))
     part = connected_components(left, "hf_a", "hf_b").select(F.col("node").alias("hf_a"), "root")
-    rows = materialise(left.join(part, "hf_a"))
+    rows = materialise(left.join(part.hint("merge"), "hf_a"))
     sides = [rows.select("root", n).distinct().groupBy("root").agg(F.count("*").alias(f"n_{n}")) for n in ("hf_a", "hf_b")]
     large = materialise(sides[0].join(sides[1], "root").where(F.col("n_hf_a") * F.col("n_hf_b") > most))
-    small = rows.join(large, "root", "left_anti").select(*by, "root", a, b, cost)
-    kinds = dict(rows.dtypes)
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        ia, ib = np.unique(frame[a], return_inverse=True), np.unique(frame[b], return_inverse=True)
-        flip = len(ia[0]) > len(ib[0])
-        rows_, cols = (ib, ia) if flip else (ia, ib)
-        far = (float(frame[cost].max()) - float(frame[cost].min()) + 1.0) * (len(rows_[0]) + 1)
-        c = np.full((len(rows_[0]), len(cols[0])), far + float(frame[cost].max()))
-        c[rows_[1], cols[1]] = frame[cost]
-        chosen = {(r, k) for r, k in enumerate(assignment(c))}
-        keep = [pair in chosen for pair in zip(rows_[1], cols[1], strict=True)]
-        return frame.loc[keep, [*by, a, b, cost]]
-
-    out = small.groupBy("root").applyInPandas(solve, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, a, b, cost]))
+    out = solved(rows.join(large, "root", "left_anti"), ["root"], by, a, b, cost)
+    out = out if alone is None else out.unionByName(alone)
     if large.isEmpty():
         return out
     rest = rows.join(large.select("root"), "root", "left_semi")
@@ -89,6 +85,54 @@ def one_to_one(pairs: DataFrame, by: tuple[str, ...] = (), a: str = "query_id",
     return out.unionByName(rest.join(matched, ["hf_a", "hf_b"]).select(*by, a, b, cost))
 
 
+def solved(rows: DataFrame, groups: list[str], by: list[str], a: str, b: str, cost: str) -> DataFrame:
+    """(by, a, b, cost): the exact matching of each of many small groups of candidate pairs. A group is one list; a task goes
+    through batches of lists, as most groups are too small for a call of their own."""
+    lists = rows.groupBy(*groups).agg(*[F.first(c).alias(c) for c in by if c not in groups], F.array_sort(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(cost).alias("c")))).alias("s"))
+
+    @F.pandas_udf("array<int>")
+    def kept(a: pd.Series, b: pd.Series, cost: pd.Series) -> pd.Series:
+        return pd.Series([least_pairs(list(x), list(y), np.asarray(c, float)) for x, y, c in zip(a, b, cost, strict=True)])
+
+    own = F.transform(kept(F.col("s.a"), F.col("s.b"), F.col("s.c").cast("array<double>")), lambda i: F.get("s", i)).alias("s")
+    return lists.select(*by, F.explode(F.when(F.size("s") == 1, F.col("s")).otherwise(own)).alias("s")).select(*by, F.col("s.a").alias(a), F.col("s.b").alias(b), F.col("s.c").alias(cost))
+
+
+def least_pairs(a: list, b: list, cost: np.ndarray) -> list[int]:
+    """Places of the pairs (a, b, cost; each once) that a matching with as many pairs as possible and the least cost has. Connected
+    components are solved apart."""
+    if len(a) == 1:
+        return [0]
+    up: dict = {}
+
+    def top(n):
+        while up.setdefault(n, n) != n:
+            up[n] = n = up[up[n]]
+        return n
+
+    for x, y in zip(a, b, strict=True):
+        up[top((0, x))] = top((1, y))
+    parts: dict = {}
+    for i, x in enumerate(a):
+        parts.setdefault(top((0, x)), []).append(i)
+    out = []
+    for part in parts.values():
+        ends = [sorted({side[i] for i in part}) for side in (a, b)]
+        flip = len(ends[0]) > len(ends[1])
+        rows, cols = (ends[1], ends[0]) if flip else ends
+        if len(part) == 1:
+            out += part
+            continue
+        at = [{n: i for i, n in enumerate(side)} for side in (rows, cols)]
+        c = cost[part]
+        table = np.full((len(rows), len(cols)), (c.max() - c.min() + 1.0) * (len(rows) + 1) + c.max())
+        place = {(at[0][(b if flip else a)[i]], at[1][(a if flip else b)[i]]): i for i in part}
+        for (r, k), i in place.items():
+            table[r, k] = cost[i]
+        out += [place[pair] for pair in enumerate(assignment(table)) if pair in place]
+    return sorted(out)
+
+
 def auction(edges: DataFrame, pairs_most: int, slack: float = SLACK, per_task: int = 500_000) -> DataFrame:
     """(hf_a, hf_b): a matching of the edges (hf_a, hf_b, cost; long ids that no two nodes share, edges distinct) with as
     many pairs as possible, whose total cost is at most slack times the range of costs over the least. No component may
@@ -253,6 +297,7 @@ def middle(mutual: DataFrame, nearest: int) -> DataFrame:
 def link_tracks(points: DataFrame, region: str, frame: str, key: str, dims: list[str], reference: int, most: float) -> DataFrame:
     """(region, track, frame, key): from the reference frame on, forwards and backwards, each track takes its
     one-to-one partner within `most` in the next frame; a track without partner ends. All regions go together."""
+    points = materialise(points.select(region, frame, key, *dims))  # each frame reads them again
     lo, hi = points.agg(F.min(frame), F.max(frame)).first()
     start = materialise(points.where(F.col(frame) == reference).select(region, F.col(key).alias("track"), frame, key, *dims))
     parts = [start]
@@ -262,7 +307,7 @@ def link_tracks(points: DataFrame, region: str, frame: str, key: str, dims: list
             there = points.where(F.col(frame) == f)
             pairs = range_join(now, there, most, dims, "track", key, (region,), strict=False)
             match = one_to_one(pairs, (region,)).select(region, F.col("query_id").alias("track"), F.col("neighbour_id").alias(key))
-            now = materialise(match.join(there, [region, key]).select(region, "track", frame, key, *dims))
+            now = materialise(match.join(there.hint("merge"), [region, key]).select(region, "track", frame, key, *dims))
             if now.isEmpty():
                 break
             parts.append(now)

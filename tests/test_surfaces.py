@@ -226,3 +226,13 @@ def test_unfolded_stack_goes_inward(spark):
         assert all(abs(r["value"] - 10 * (4 + way * r["depth"])) < 1e-6 and r["label"] == (3 if r["depth"] else 1) for r in got)
     with pytest.raises(ValueError, match="no point"):
         surfaces.unfolded_stack(points, cells, "id", 999, 2.0, 2.0, 1.0, 3, "label", 3)
+
+
+def test_small_groups_are_matched_without_components(spark, monkeypatch):
+    """Groups of few pairs equal the components' path, and no component is sought for them; keys may be text."""
+    rng = np.random.default_rng(4)
+    rows = [(g, f"a{rng.integers(9)}", f"b{rng.integers(9)}", round(float(rng.random()), 6)) for g in range(12) for _ in range(3 * g + 1)]
+    pairs = spark.createDataFrame(rows, "g int, query_id string, neighbour_id string, distance double")
+    plain = {tuple(r) for r in matching.one_to_one(pairs, ("g",), most=1000).collect()}  # groups of over 31 pairs go the other way
+    monkeypatch.setattr(matching, "connected_components", lambda *_: pytest.fail("components of small groups"))
+    assert {tuple(r) for r in matching.one_to_one(pairs, ("g",)).collect()} == plain and len(plain) > 30
