@@ -1,16 +1,16 @@
 """Missing members of point lattices and triangulation neighbours (inventory H12, H13, H15, H16, H19).
 
 Candidates are circumcentres of triples of points whose circle holds no point: the corners between three
-regions of influence. Each point's region is cut out of a box by the bisectors towards its nearest neighbours; every corner
-of it, those on the box too, looks for its nearest point. If one is nearer than the region's own point, that one's bisector
-cuts the region again, until no corner has such a point. Then all corners are right, so the (convex) regions are, and no circle is
+regions of influence. Each point's region is cut out of a box by the bisectors towards its nearest neighbours; around every corner
+of it, those on the box too, points are looked for that are nearer than the region's own point. Their bisectors
+cut the region again, until no corner has such a point. Then all corners are right, so the (convex) regions are, and no circle is
 missing, however wide the gaps between clusters. Points at one place count once, with the lowest key. Circles of radii beyond
 FAR times the points' extent count as lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import materialise
+from .boxes import meeting
 from .spatial import _sides, knn_join, searched, tree_of
 from .windows import angular_gap
 
@@ -33,6 +34,16 @@ FAR = 1e4  # extents
 ROUND = 1e-9  # share of a radius by which points on a circle may lie beside it
 
 
+def _crossing(m: tuple[float, float], n: tuple[float, float]) -> tuple[float, float] | None:
+    """Where the bisectors towards m and n meet. On an edge that began as wide as the box, a place between its ends would be off by the
+    box's rounding, which is more than ROUND of a small region."""
+    det = m[0] * n[1] - m[1] * n[0]
+    if not det:
+        return None
+    u, v = (m[0] * m[0] + m[1] * m[1]) / 2, (n[0] * n[0] + n[1] * n[1]) / 2
+    return (u * n[1] - v * m[1]) / det, (v * m[0] - u * n[0]) / det
+
+
 def region(near: list[tuple[float, float]], half: float) -> list[tuple[float, float, int, int]]:
     """Corners (x, y, and the two neighbours whose bisectors meet there, -1: the box) of the region of a point at 0, 0 within
     a box. near: neighbours, nearest first."""
@@ -51,7 +62,8 @@ def region(near: list[tuple[float, float]], half: float) -> list[tuple[float, fl
                 cut.append((x, y, of))
             if (s <= 0) != (s2 <= 0):
                 t = s / (s - s2)
-                cut.append((x + t * (x2 - x), y + t * (y2 - y), i if s <= 0 else of))
+                spot = _crossing(near[of], (nx, ny)) if of >= 0 else None
+                cut.append((*(spot or (x + t * (x2 - x), y + t * (y2 - y))), i if s <= 0 else of))
         ring = cut
     return [(x, y, ring[j - 1][2], of) for j, (x, y, of) in enumerate(ring)]
 
@@ -87,15 +99,61 @@ def box_of(places: DataFrame) -> float:
     return FAR * (max(ends[0] or 0.0, ends[1] or 0.0) or 1.0)
 
 
-def certified(lists: DataFrame, places: DataFrame, by: list[str], half: float, first: Callable[[DataFrame], DataFrame], rounds: int = 100) -> DataFrame:
-    """(by, t: three keys in order) of all corners of the regions of `lists` (see corners). first gives (by, hf_c, neighbour_id, distance) of
-    the nearest place of each corner (hf_c, x, y); a region with a corner that has a nearer one is cut again."""
+def cutters(lists: DataFrame, tree: tuple, by: list[str], half: float) -> DataFrame:
+    """(by, a, more): for the regions of `lists` that places of the tree's boxes cut, the places that they lack, all at once. A
+    region meets every box that a circle around one of its corners reaches, and takes from each the places on the border of its region
+    among them: a place on the border of the whole region is on that of every part of the places that has it."""
+    table, points = tree
+    sent, group = lists.sparkSession.sparkContext.broadcast(table), F.xxhash64(*by) if by else F.lit(0).cast("long")
+    kind, place = dict(lists.dtypes)["a"], dict(points.dtypes)["neighbour_id"]
+    rows = lists.select(group.alias("hf_g"), "a", "ax", "ay", (F.transform("near", lambda n: n["x"] - F.col("ax"))).alias("nx"), (F.transform("near", lambda n: n["y"] - F.col("ay"))).alias("ny"))
+
+    def opening(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = sent.value
+        for frame in frames:
+            out = []
+            for g, a, ax, ay, nx, ny in frame.itertuples(index=False):
+                mine = every[np.searchsorted(every["g"], g) : np.searchsorted(every["g"], g, "right")]
+                ring = np.array([c[:2] for c in region(sorted(zip(nx, ny, strict=True), key=lambda n: n[0] ** 2 + n[1] ** 2), half)])
+                x, d = ring + (ax, ay), np.zeros((len(ring), len(mine)))
+                for i in range(2):
+                    d += np.maximum(np.maximum(mine["lo"][:, i] - x[:, i, None], x[:, i, None] - mine["hi"][:, i]), 0) ** 2
+                reached = (np.sqrt(d) * (1 - 1e-12) < np.hypot(*ring.T)[:, None]).any(axis=0)
+                out += [(g, a, ax, ay, nx, ny, ring[:, 0], ring[:, 1], leaf) for leaf in mine["leaf"][reached]]
+            yield pd.DataFrame(out, columns=["hf_g", "a", "ax", "ay", "nx", "ny", "cx", "cy", "hf_leaf"])
+
+    def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        ids, p, out = held["neighbour_id"].to_numpy(), held[["p_x", "p_y"]].to_numpy(float), []
+        for g, a, ax, ay, nx, ny, cx, cy in asked[["hf_g", "a", "ax", "ay", "nx", "ny", "cx", "cy"]].itertuples(index=False):
+            own = p - (ax, ay)
+            far = np.hypot(own[:, 0] - cx[:, None], own[:, 1] - cy[:, None])
+            cut = (far < np.hypot(cx, cy)[:, None] * (1 - ROUND)).any(axis=0).nonzero()[0]
+            if len(cut):
+                both = sorted([(x, y, -1) for x, y in zip(nx, ny, strict=True)] + [(*own[i], i) for i in cut], key=lambda n: n[0] ** 2 + n[1] ** 2)
+                on = {both[i][2] for corner in region([n[:2] for n in both], half) for i in corner[2:] if i >= 0} - {-1}
+                out += [(g, a, ids[i], p[i, 0], p[i, 1]) for i in sorted(on)]
+        return pd.DataFrame(out, columns=["hf_g", "a", "n", "x", "y"])
+
+    opened = rows.mapInPandas(opening, f"hf_g long, a {kind}, ax double, ay double, nx array<double>, ny array<double>, cx array<double>, cy array<double>, hf_leaf int")
+    found = meeting(opened, "a", points, ["x", "y"], meet, f"hf_g long, a {kind}, n {place}, x double, y double")
+    more = found.groupBy("hf_g", "a").agg(F.collect_set(F.struct("n", "x", "y")).alias("more"))
+    return lists.select(*by, "a", group.alias("hf_g")).join(more, ["hf_g", "a"]).drop("hf_g")
+
+
+def certified(lists: DataFrame, places: DataFrame, by: list[str], half: float, tree: tuple, rounds: int = 100) -> DataFrame:
+    """(by, t: three keys in order) of all corners of the regions of `lists` (see corners). tree: of all places (a list may have more). A region that
+    lacks places is cut again: by all of them at once where boxes are at hand, else by the nearest place of each corner."""
+    first = lambda found: searched(_sides(found, places, ["x", "y"], "hf_c", "a", by)[0], tree, 1, ["x", "y"], by, False).withColumnRenamed("query_id", "hf_c")
     at = places.select(*by, F.col("a").alias("neighbour_id"), F.struct(F.col("a").alias("n"), "x", "y").alias("one"))
     done = []
     for _ in range(rounds):
         found = materialise(corners(lists, by, half).withColumn("hf_c", F.struct("a", "no")))
-        nearer = found.join(first(found), [*by, "hf_c"]).where(F.col("distance") < F.col("r") * (1 - ROUND))
-        more = materialise(nearer.select(*by, "a", "neighbour_id").distinct().join(at, [*by, "neighbour_id"]).groupBy(*by, "a").agg(F.collect_set("one").alias("more")))
+        if len(tree) == 2:
+            more = cutters(lists, tree, by, half)
+        else:
+            nearer = found.join(first(found), [*by, "hf_c"]).where(F.col("distance") < F.col("r") * (1 - ROUND))
+            more = (nearer.select(*by, "a", "neighbour_id").distinct().join(at, [*by, "neighbour_id"]).groupBy(*by, "a").agg(F.collect_set("one").alias("more")))
+        more = materialise(more)
         done.append(found.where("b is not null and c is not null").join(more, [*by, "a"], "left_anti").select(*by, F.array_sort(F.array("a", "b", "c")).alias("t")))
         if more.isEmpty():
             return reduce(DataFrame.unionByName, done).distinct()
@@ -112,8 +170,7 @@ def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 12)
     own = places.select(*by, "a", F.col("x").alias("ax"), F.col("y").alias("ay"))
     lists = materialise(own.join(near.groupBy(*by, F.col("query_id").alias("a")).agg(F.collect_set("one").alias("near")), [*by, "a"]))
     tree = tree_of(_sides(places, places, ["x", "y"], "a", "a", by)[1], 1, ["x", "y"], by)
-    first = lambda found: searched(_sides(found, places, ["x", "y"], "hf_c", "a", by)[0], tree, 1, ["x", "y"], by, False).withColumnRenamed("query_id", "hf_c")
-    found = _circumcircles(certified(lists, places, by, box_of(places), first), places, by)
+    found = _circumcircles(certified(lists, places, by, box_of(places), tree), places, by)
     return _all_threes(found, places, by)
 
 
@@ -197,6 +254,8 @@ def greedy_insertion(points: DataFrame, key: str, trial: str, steps: int, k: int
     now = materialise(now.join(spacing, [trial, "id"], "left"))
     places = places_of(now, "id", by)
     half, round_ = box_of(places), materialise(circles(now, "id", (trial,), k))
+    tree = tree_of(_sides(places, places, ["x", "y"], "a", "a", by)[1], 1, ["x", "y"], by)  # without what is put in: that is in the lists
+    before = places.where(F.lit(False))
     six = F.array_sort(F.collect_list(F.struct("distance", F.col("neighbour_id").alias("id"), "px", "py", "nn"))).alias("six")
     at = lambda rows: rows.select(trial, F.col("id").alias("neighbour_id"), F.col("x").alias("px"), F.col("y").alias("py"), "nn")
     centres = lambda c: c.groupBy(trial, F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).agg(F.max("radius").alias("radius")).withColumn("hf_c", F.struct("x", "y"))
@@ -221,13 +280,12 @@ def greedy_insertion(points: DataFrame, key: str, trial: str, steps: int, k: int
         held = round_.join(spot, trial, "left").withColumn("hf_d", F.coalesce(d("sx", "sy"), F.lit(float("inf"))))
         ends = held.where(F.col("hf_d") <= F.col("radius") * (1 + ROUND)).select(trial, F.col("new").alias("own"), "sx", "sy", F.explode(F.array("a", "b", "c")).alias("a")).distinct()
         ends = ends.join(places, [trial, "a"]).groupBy(trial, "own", "sx", "sy").agg(F.collect_set(F.struct(F.col("a").alias("n"), "x", "y")).alias("near"))
+        before = before.unionByName(spot.select(trial, F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("new").alias("a")))
+        others = before.groupBy(trial).agg(F.collect_list(F.struct(F.col("a").alias("n"), "x", "y")).alias("put"))  # a few
+        ends = ends.join(others, trial).withColumn("near", F.filter(F.array_union("near", "put"), lambda n: n["n"] != F.col("own")))
         lists = materialise(ends.select(trial, F.col("own").alias("a"), F.col("sx").alias("ax"), F.col("sy").alias("ay"), "near"))
 
-        def first(found: DataFrame, places: DataFrame = places) -> DataFrame:  # some corners a trial, against its places
-            pairs = places.select(trial, F.col("a").alias("neighbour_id"), F.col("x").alias("px"), F.col("y").alias("py")).join(found.select(trial, "hf_c", "x", "y"), trial)
-            return pairs.groupBy(trial, "hf_c").agg(F.min(F.struct(d("px", "py").alias("distance"), "neighbour_id")).alias("m")).select(trial, "hf_c", "m.*")
-
-        more = _circumcircles(certified(lists, places, by, half, first), places, by)
+        more = _circumcircles(certified(lists, places, by, half, tree), places, by)
         round_ = materialise(held.where(F.col("hf_d") >= F.col("radius") * (1 - ROUND)).select(*round_.columns).unionByName(more))
 
         kept = c.join(own, trial, "left").withColumn("hf_d", d("sx", "sy")).where(F.col("new").isNull() | (F.col("hf_d") >= F.col("radius") * (1 - ROUND)))

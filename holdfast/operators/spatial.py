@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .boxes import box_search, boxes_of
 
 
 def _cells(df: DataFrame, dims: list[str], width: float, spread: bool) -> DataFrame:
@@ -152,19 +153,23 @@ def tree_search(q: DataFrame, p: DataFrame, k: int, dims: list[str], by: list[st
     return searched(q, tree_of(p, k + exclude_self, dims, by), k, dims, by, exclude_self)
 
 
-def tree_of(p: DataFrame, want: int, dims: list[str], by: list[str]) -> tuple[DataFrame, DataFrame, int]:
+def tree_of(p: DataFrame, want: int, dims: list[str], by: list[str]) -> tuple:
     """The tree for searches of `want` points. Of points that share a place, the lowest ids can be answers; the others
     aren't looked at."""
     place = Window.partitionBy(*by, *[f"p_{c}" for c in dims]).orderBy("neighbour_id")
     p = materialise(p.withColumn("hf_r", F.row_number().over(place)).where(F.col("hf_r") <= want).drop("hf_r"))
+    if (flat := boxes_of(p, dims, by)) is not None:
+        return flat
     boxes, points, levels = box_tree(p, dims, by, max(8, 2 * want))
     return materialise(boxes), materialise(points), levels
 
 
-def searched(q: DataFrame, tree: tuple[DataFrame, DataFrame, int], k: int, dims: list[str], by: list[str], exclude_self: bool) -> DataFrame:
+def searched(q: DataFrame, tree: tuple, k: int, dims: list[str], by: list[str], exclude_self: bool) -> DataFrame:
     """(by, query_id, neighbour_id, distance, rank) of the k nearest points. All queries go down the tree together:
     of each one's boxes, those whose farthest corners bound k points bound its k-th distance, and boxes farther than that
-    are closed."""
+    are closed. With few groups all boxes are at hand at once (see boxes.py)."""
+    if len(tree) == 2:
+        return _first(box_search(q, tree, k, dims, by, exclude_self), by, k).select(*by, "query_id", "neighbour_id", "distance", "rank")
     (boxes, points, levels), want = tree, k + exclude_self
     edges = [f"{e}_{c}" for c in dims for e in ("lo", "hi")]
     gap = reduce(lambda a, b: a + b, [F.pow(F.greatest(F.col(f"lo_{c}") - F.col(f"q_{c}"), F.col(f"q_{c}") - F.col(f"hi_{c}"), F.lit(0.0)), F.lit(2)) for c in dims])

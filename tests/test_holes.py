@@ -82,3 +82,12 @@ def test_greedy_insertion_equals_recomputation(spark):
 
 def test_greedy_insertion_of_nothing(spark):
     assert holes.greedy_insertion(spark.createDataFrame([], "g string, id long, x double, y double"), "id", "g", 3).count() == 0
+
+
+def test_small_regions_are_as_exact_as_large_ones():
+    """Regions a millionth of the points' extent wide: no listed place is nearer to a corner than the region's own point."""
+    rnd = np.random.default_rng(8)
+    for scale in (1e-2, 1e-4, 1e-6):
+        near = sorted(((float(x), float(y)) for x, y in rnd.normal(0, scale, (60, 2))), key=lambda n: n[0] ** 2 + n[1] ** 2)
+        for x, y, *_ in holes.region(near, holes.FAR):
+            assert min(np.hypot(x - a, y - b) for a, b in near) >= np.hypot(x, y) * (1 - holes.ROUND)
