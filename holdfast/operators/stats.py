@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import e
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .holdout import md5_number
 from .ranks import beside, numbered, running, tied
@@ -60,11 +64,65 @@ def bootstrap_median(df: DataFrame, by: list[str], order: str, value: str, draws
     return middle.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+HELD = 256  # groups whose totals a task holds at once
+
+
+def sign_bits(starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The lowest bit of xxhash64(seed, draw, number) as 0 or 1, a row for each number and a column for each draw. starts: xxhash64(seed, draw),
+    which is where Spark's hash goes on with the next column, here a long."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    x = (starts.astype(np.uint64) + five + np.uint64(8)) ^ (turned(numbers.astype(np.uint64) * two, 31) * one)[:, None]
+    x = turned(x, 27)
+    x *= one
+    x += four
+    x ^= x >> np.uint64(33)
+    x *= two
+    x ^= x >> np.uint64(29)
+    x *= three
+    return (x ^ (x >> np.uint64(32))) & np.uint64(1)
+
+
 def sampled_flips(rows: DataFrame, by: list[str], order: str, size: str, draws: int, seed: str) -> DataFrame:
-    """(by, draw, total): sums of `size` with random signs, for each draw. Each task sums its own rows first."""
-    each = numbered(rows, by, [order], "hf_i").select(*by, F.col(size).cast("double").alias("hf_s"), "hf_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    sign = F.when(F.xxhash64(F.lit(seed), "draw", "hf_i").bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-    return each.groupBy(*by, "draw").agg(F.sum(sign * F.col("hf_s")).alias("total"))
+    """(by, draw, total): sums of `size` with random signs, for each draw. Each task sums its own rows first, all draws at once; no row
+    is copied for a draw."""
+    each = numbered(rows, by, [order], "hf_i").select(*by, F.col(size).cast("double").alias("hf_s"), "hf_i")
+    seeds = rows.sparkSession.range(1, draws + 1).select("id", F.xxhash64(F.lit(seed), F.col("id").cast("int")).alias("h")).collect()  # one for each draw
+    starts = np.array([r["h"] for r in sorted(seeds)], np.int64)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = each.repartition(tasks, "hf_i")  # few bytes, but much work: Spark would join them to few tasks
+    schema = T.StructType([*[each.schema[b] for b in by], T.StructField("totals", T.ArrayType(T.DoubleType()))])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        totals: dict = {}
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([totals[k] for k in keys], pa.list_(pa.float64()))], names=schema.names)
+
+        for frame in frames:
+            kinds = [frame.schema.field(b).type for b in by]
+            groups: dict = {}
+            for i, k in enumerate(zip(*[frame.column(b).to_pylist() for b in by], strict=True) if by else [()] * frame.num_rows):
+                groups.setdefault(k, []).append(i)
+            s, number = (frame.column(c).to_numpy(zero_copy_only=False) for c in ("hf_s", "hf_i"))
+            for k, at in groups.items():
+                if k not in totals:
+                    if len(keys) == HELD:
+                        yield flushed()
+                        keys.clear()
+                        totals.clear()
+                    keys.append(k)
+                    totals[k] = np.zeros(draws)
+                for a in range(0, len(at), 16):  # a block that stays in the processor's cache
+                    some = at[a : a + 16]
+                    totals[k] += s[some] @ (sign_bits(starts, number[some]) * 2.0 - 1.0)
+        if keys:
+            yield flushed()
+
+    parts = each.mapInArrow(run, schema).select(*by, F.posexplode("totals").alias("draw", "total"))
+    return parts.groupBy(*by, (F.col("draw") + 1).alias("draw")).agg(F.sum("total").alias("total"))
 
 
 def sign_flip(df: DataFrame, by: list[str], difference: str, most: int = 20, draws: int = DRAWS, seed: str = "flip") -> DataFrame:

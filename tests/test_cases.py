@@ -218,6 +218,20 @@ def test_large_groups_are_sampled(spark):
     assert {r["patterns"] for r in stats.sign_flip(df, ["g"], "d").collect()} == {1 << 18}
 
 
+def test_sampled_signs_are_those_of_the_hash_and_copy_no_row(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(g, "a" if i % 3 else None, float(x)) for g in (1, 2, None) for i, x in enumerate(rnd.normal(0, 1, 70))]
+    df = spark.createDataFrame(rows, "g int, h string, d double")
+    for by in ([], ["g"], ["g", "h"]):
+        got = stats.sampled_flips(df, by, "d", "d", 50, "s")
+        assert "Generate explode(sequence" not in got._jdf.queryExecution().toString()
+        each = ranks.numbered(df, by, ["d"], "i").select(*by, "d", "i", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("draw"))
+        sign = F.when(F.xxhash64(F.lit("s"), "draw", "i") % 2 != 0, 1.0).otherwise(-1.0)
+        want = {tuple(r)[:-1]: r["t"] for r in each.groupBy(*by, "draw").agg(F.sum(sign * F.col("d")).alias("t")).collect()}
+        assert {tuple(r)[:-1] for r in got.collect()} == set(want)
+        assert all(abs(r["total"] - want[tuple(r)[:-1]]) < 1e-9 for r in got.collect())
+
+
 def test_bootstraps_of_large_groups(spark):
     rnd = np.random.default_rng(7)
     values = rnd.normal(0, 1, 300)
