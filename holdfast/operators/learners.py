@@ -3,13 +3,16 @@ that have not seen its block."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -32,26 +35,42 @@ def regressors(target: str, seed: int) -> dict:
     return {"ridge": LinearRegression(regParam=0.1, **both), "forest": RandomForestRegressor(numTrees=10, seed=seed, **both), "boosted": GBTRegressor(maxIter=5, seed=seed, **both)}
 
 
+FITS = 4  # fits that run side by side: each is many short jobs, which alone leave cores idle
+
+
+def side_by_side(spark: SparkSession, run: Callable, tasks: list) -> list:
+    """run(task) of every task, FITS at once."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), tasks))
+
+
 def tree_regressors(df: DataFrame, block: str, xs: list[str], target: str, inner: int = 3, seed: int = 1) -> DataFrame:
     """df with p_ridge, p_forest and p_boosted, each from models of the other blocks; disagreement (the three's
     deviation); choice, the name of the learner with the least mean absolute error over `inner` parts of the training
     blocks, and prediction, its value. Parts are whole blocks (by their place modulo `inner`), so the choice never
-    sees the row's block."""
+    sees the row's block. Folds often leave the same blocks for a part's models: each set of blocks is fitted once."""
     rows = materialise(VectorAssembler(inputCols=xs, outputCol="hf_features").transform(df))
-    names, out = folds_of(df, block), []
+    spark, names, learned, parts = df.sparkSession, folds_of(df, block), list(regressors(target, seed)), []
     for fold in names:
-        train, test = rows.where(F.col(block) != fold), rows.where(F.col(block) == fold)
         rest = [b for b in names if b != fold]
-        parts = [p for i in range(min(inner, len(rest))) if (p := rest[i::inner]) and len(p) < len(rest)]
-        errors = {}
-        for name, learner in regressors(target, seed).items():
-            learner.setPredictionCol("hf_p")
-            off = [learner.fit(train.where(~F.col(block).isin(p))).transform(train.where(F.col(block).isin(p))).agg(F.sum(F.abs(F.col("hf_p") - F.col(target)))).first()[0] or 0.0 for p in parts]
-            errors[name] = sum(off)
-            test = learner.setPredictionCol(f"p_{name}").fit(train).transform(test)
-        best = min(errors, key=errors.get)
-        out.append(test.withColumns({"choice": F.lit(best), "prediction": F.col(f"p_{best}")}))
-    p = [F.col(f"p_{n}") for n in regressors(target, seed)]
+        parts += [(fold, p, tuple(b for b in rest if b not in p)) for i in range(min(inner, len(rest))) if (p := rest[i::inner]) and len(p) < len(rest)]
+    whole = {fold: tuple(b for b in names if b != fold) for fold in names}
+    fits = [(blocks, n) for blocks in dict.fromkeys([*whole.values(), *[t for _, _, t in parts]]) for n in reversed(learned)]  # the longest first
+    fit = lambda task: regressors(target, seed)[task[1]].setPredictionCol(f"p_{task[1]}").fit(rows.where(F.col(block).isin(list(task[0]))))
+    models = dict(zip(fits, side_by_side(spark, fit, fits), strict=True))
+
+    def predicted(some: DataFrame, blocks: tuple) -> DataFrame:
+        return reduce(lambda out, n: models[blocks, n].transform(out), learned, some)
+
+    off = lambda task: predicted(rows.where(F.col(block).isin(task[1])), task[2]).agg(*[F.sum(F.abs(F.col(f"p_{n}") - F.col(target))) for n in learned]).first()
+    errors = {fold: [0.0] * len(learned) for fold in names}
+    for (fold, *_), sums in zip(parts, side_by_side(spark, off, parts), strict=True):
+        errors[fold] = [e + (s or 0.0) for e, s in zip(errors[fold], sums, strict=True)]
+    out = []
+    for fold in names:
+        best = learned[errors[fold].index(min(errors[fold]))]
+        out.append(predicted(rows.where(F.col(block) == fold), whole[fold]).withColumns({"choice": F.lit(best), "prediction": F.col(f"p_{best}")}))
+    p = [F.col(f"p_{n}") for n in learned]
     mean = sum(p[1:], p[0]) / len(p)
     spread = F.sqrt(sum(((x - mean) * (x - mean) for x in p), F.lit(0.0)) / len(p))
     return reduce(DataFrame.unionByName, out).withColumn("disagreement", spread).drop("hf_features")

@@ -210,6 +210,21 @@ def test_learners_never_see_their_block(spark):
     assert all(again[r["id"]] == r["prediction"] for r in got if r["block"] == 1)
 
 
+def test_no_blocks_are_fitted_twice(spark, monkeypatch):
+    _, df = blocks(spark, 80)
+    fitted = []
+
+    class Noted(learners.LinearRegression):
+        def fit(self, rows, params=None):
+            fitted.append(tuple(sorted(r[0] for r in rows.select("block").distinct().collect())))
+            return super().fit(rows, params)
+
+    monkeypatch.setattr(learners, "regressors", lambda target, seed: {n: Noted(featuresCol="hf_features", labelCol=target, regParam=r) for n, r in (("ridge", 0.1), ("other", 9.0))})
+    got = learners.tree_regressors(df, "block", ["a", "b"], "y").collect()
+    assert len(got) == 80 and {r["choice"] for r in got} == {"ridge"} and all(r["prediction"] == r["p_ridge"] for r in got)
+    assert len(fitted) == 20 and set(fitted) == {t for n in (2, 3) for t in combinations(range(4), n)}  # six pairs, four threes, two learners
+
+
 def test_folds_are_bounded(spark):
     df = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id int, block int")
     assert sorted(map(tuple, holdout.dealt(df, "block", "fold", False).select("id", "fold").where("fold is not null").collect())) == [(1, 6), (2, 5)]
