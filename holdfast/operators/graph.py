@@ -15,7 +15,8 @@ from .ranks import beside
 
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b", *more: str) -> DataFrame:
-    return edges.select(F.col(a).alias("u"), F.col(b).alias("v"), *more).union(edges.select(F.col(b), F.col(a), *more))
+    way = lambda s, t: F.struct(F.col(s).alias("u"), F.col(t).alias("v"), *more)
+    return edges.select(F.inline(F.array(way(a, b), way(b, a))))  # edges are computed once
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
@@ -47,18 +48,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
 def bfs(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(source, node, hop) of all nodes that sources (source, node) reach, all sources at once."""
-    around = materialise(both_ways(edges))
-    seen = materialise(sources.select("source", "node", F.lit(0).alias("hop")))
-    front = seen
-    hop = 0
+    return levels(materialise(both_ways(edges)), sources, most)
+
+
+def levels(around: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """bfs over edges of both ways (u, v). A node's neighbours are at its own hop or one beside it, so what is new is found by
+    comparing with the last two hops, not with all nodes seen."""
+    front = materialise(sources.select("source", "node", F.lit(0).alias("hop")).distinct())
+    seen, last, hop = [], [front], 0
     while most is None or hop < most:
         hop += 1
         new = front.join(around, F.col("node") == F.col("u")).select("source", F.col("v").alias("node")).distinct()
-        front = materialise(new.join(seen, ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        known = reduce(DataFrame.unionByName, last[-2:]).select("source", "node")
+        front = materialise(new.join(known, ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = materialise(seen.unionByName(front)) if hop % 8 == 0 else seen.unionByName(front)
-    return seen
+        last.append(front)
+        if len(last) == 10:  # few tables in the plan
+            seen.append(materialise(reduce(DataFrame.unionByName, last[:8])))
+            last = last[8:]
+    return reduce(DataFrame.unionByName, [*seen, *last])
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, length: str, limit: float, rounds: int = 200) -> DataFrame:
@@ -103,7 +112,8 @@ def nearest_visible(edges: DataFrame, visible: DataFrame, length: str, k: int, h
 def separated_seeds(edges: DataFrame, boundary: DataFrame, n: int, from_boundary: int = 5, apart: int = 7) -> DataFrame:
     """(node, seed): farthest-first seeds at least some hops from the boundary and from each other; ties by the
     distance to the boundary, then the smallest node. Fewer than n is an error."""
-    inner = bfs(edges, boundary.select(F.lit(0).alias("source"), "node"))
+    around = materialise(both_ways(edges))
+    inner = levels(around, boundary.select(F.lit(0).alias("source"), "node"))
     inner = materialise(inner.where(F.col("hop") >= from_boundary).select("node", F.col("hop").alias("depth"), F.lit(1 << 30).alias("gap")))
     seeds: list = []
     for i in range(n):
@@ -111,7 +121,9 @@ def separated_seeds(edges: DataFrame, boundary: DataFrame, n: int, from_boundary
         if best is None:
             raise ValueError(f"only {i} seeds")
         seeds.append((best[0], i))
-        hops = bfs(edges, edges.sparkSession.createDataFrame([(0, best[0])], "source int, node long")).select("node", "hop")
+        if i == n - 1:
+            break  # no seed follows that would have to keep away from this one
+        hops = levels(around, edges.sparkSession.createDataFrame([(0, best[0])], "source int, node long")).select("node", "hop")
         inner = materialise(inner.join(hops, "node", "left").select("node", "depth", F.least("gap", F.coalesce("hop", F.col("gap"))).alias("gap")))
     return edges.sparkSession.createDataFrame(seeds, "node long, seed int")
 

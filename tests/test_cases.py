@@ -218,6 +218,28 @@ def test_large_groups_are_sampled(spark):
     assert {r["patterns"] for r in stats.sign_flip(df, ["g"], "d").collect()} == {1 << 18}
 
 
+def test_hops_of_several_sources_and_how_much_seeds_write(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rnd.integers(0, 60, (75, 2))} | {(i, i + 1) for i in range(60, 75)}  # loops of one node too
+    want = {}
+    for source, starts in ((1, [0, 5]), (2, [60]), (3, [99])):
+        front, hop = set(starts), 0
+        while front:
+            want |= {(source, n): hop for n in front}
+            front = {y for a, b in pairs for x, y in ((a, b), (b, a)) if x in front and (source, y) not in want}
+            hop += 1
+    sources = spark.createDataFrame([(1, 0), (1, 5), (1, 5), (2, 60), (3, 99)], "source long, node long")
+    e = spark.createDataFrame(sorted(pairs), "a long, b long")
+    got = graph.bfs(e, sources).collect()
+    assert len(got) == len(want) and {(r["source"], r["node"]): r["hop"] for r in got} == want
+    assert max(r["hop"] for r in graph.bfs(e, sources, 3).collect()) == 3
+    written, kept = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: written.append(1) or kept(df))
+    line = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert [r["node"] for r in graph.separated_seeds(line, spark.createDataFrame([(0,)], "node long"), 2, 2, 3).orderBy("seed").collect()] == [12, 2]
+    assert len(written) <= 36  # edges once, and hops for all seeds but the last one
+
+
 def test_sampled_signs_are_those_of_the_hash_and_copy_no_row(spark):
     rnd = np.random.default_rng(6)
     rows = [(g, "a" if i % 3 else None, float(x)) for g in (1, 2, None) for i, x in enumerate(rnd.normal(0, 1, 70))]
