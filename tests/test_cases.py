@@ -240,6 +240,17 @@ def test_hops_of_several_sources_and_how_much_seeds_write(spark, monkeypatch):
     assert len(written) <= 36  # edges once, and hops for all seeds but the last one
 
 
+def test_a_round_of_harmonic_writes_one_table(spark, monkeypatch):
+    written, kept = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: written.append(1) or kept(df))
+    rnd = np.random.default_rng(1)
+    e = spark.createDataFrame([(i, i + 1, float(w)) for i, w in enumerate(rnd.uniform(1, 3, 9))], "a long, b long, w double")
+    got = {r["node"]: r["value"] for r in graph.harmonic(e, spark.createDataFrame([(0, 0.0), (9, 1.0)], "node long, value double"), F.col("w")).collect()}
+    steps = np.cumsum([1 / r["w"] for r in e.orderBy("a").collect()])
+    assert all(abs(got[i] - steps[i - 1] / steps[-1]) < 1e-7 for i in range(1, 9))
+    assert len(written) <= 3 + 9  # eight unknown values: about as many rounds
+
+
 def test_sampled_signs_are_those_of_the_hash_and_copy_no_row(spark):
     rnd = np.random.default_rng(6)
     rows = [(g, "a" if i % 3 else None, float(x)) for g in (1, 2, None) for i, x in enumerate(rnd.normal(0, 1, 70))]
