@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 from math import isqrt
 
@@ -234,33 +235,49 @@ def match_then_gate(a: DataFrame, b: DataFrame, by: list[str], key: str, dims: l
 
 def best_shift(a: DataFrame, b: DataFrame, key: str, dims: tuple[str, str], reach: int, step: float, nearest: int) -> DataFrame:
     """(da, db, score, pairs) of the (2 reach + 1)^2 shifts of b on a grid: the median of the `nearest` smallest distances
-    from shifted points to their mutual nearest partners, and how many there are. Each pair of points
-    is formed once, by cells, and counts for the shifts within a radius of its displacement. All partners within the radius
-    are known there, so mutual pairs inside it are final. Only shifts with fewer than `nearest` of them (sides that hardly
-    meet there) are searched by nearest-neighbour joins of copies. Equal distances go to the smaller key; points without key or
-    coordinates have no pairs; a side without points gives no rows."""
+    from shifted points to their mutual nearest partners, and how many there are. All pairs within a radius tell which of them are
+    mutual, so a shift with `nearest` mutual pairs inside it is final; the others go on with a threefold radius, and those that
+    no radius serves (few points, sides far apart) are searched by nearest-neighbour joins of copies. The radius begins where few pairs
+    are that close, so the rows looked at grow with the points, not with their pairs. Equal distances go to the smaller key, and of points at one
+    place only that of the smallest key can be a mutual partner; points without key or coordinates have no pairs; a side without points gives no rows."""
     x, y = dims
-    sides = [materialise(df.select(F.col(key).alias(n), F.col(x).cast("double").alias(f"x{n}"), F.col(y).cast("double").alias(f"y{n}")).dropna()) for df, n in ((a, "a"), (b, "b"))]
+    numbers = lambda df, n: df.select(F.col(key).alias(n), F.col(x).cast("double").alias(f"x{n}"), F.col(y).cast("double").alias(f"y{n}")).dropna()
+    sides = [materialise(numbers(df, n).groupBy(f"x{n}", f"y{n}").agg(F.min(n).alias(n))) for df, n in ((a, "a"), (b, "b"))]
     ends = [s.agg(F.count("*"), F.min(f"x{n}"), F.max(f"x{n}"), F.min(f"y{n}"), F.max(f"y{n}")).first() for s, n in zip(sides, "ab", strict=True)]
     columns = "da double, db double, score double, pairs long"
     if not ends[0][0] or not ends[1][0]:
         return a.sparkSession.createDataFrame([], columns)
     spans = [max(e[k] for e in ends) - min(e[k - 1] for e in ends) for k in (2, 4)]
     far = float(np.hypot(*[s + 2 * reach * step for s in spans]))
+    least = 1e-9 * max(far, *(abs(e[k]) for e in ends for k in range(1, 5)))
     area = max(ends[0][2] - ends[0][1], step) * max(ends[0][4] - ends[0][3], step)
-    radius = min(far, max(2 * float(np.sqrt(area / (np.pi * ends[0][0]))), 1e-9 * far))  # about four partners a point and shift
+    radius = max(float(np.sqrt(4 * nearest * area / (np.pi * ends[0][0] * ends[1][0]))), least)
     grid = [(i, j) for i, j in product(range(-reach, reach + 1), repeat=2)]
-    left = a.sparkSession.createDataFrame(grid, "i int, j int")
-    found = materialise(shift_scores(sides, left, reach, step, nearest, radius))
-    ready = found if radius >= far else found.where(F.col("pairs") >= nearest)
-    rest = left.join(F.broadcast(ready), ["i", "j"], "left_anti")  # no more rows than shifts
-    if not rest.isEmpty():
-        ready = ready.unionByName(far_scores(sides, materialise(rest), step, nearest))
-    return ready.select((F.col("i") * step).alias("da"), (F.col("j") * step).alias("db"), "score", "pairs")
+    left, ready = a.sparkSession.createDataFrame(grid, "i int, j int"), []
+    copies = len(grid) * (ends[0][0] + ends[1][0])  # rows, if each shift gets rows of its own
+    parts = lambda r: int(step / (r * (1 + 1e-6)))
+    meet = meetings(sides, step, parts(radius)) if parts(radius) >= 3 else 0.0
+    while meet > PAIRS_A_ROW * copies and radius / 4 > least:  # crowded places in a wide frame
+        if (closer := meetings(sides, step, parts(radius / 4))) > meet / 2:
+            break
+        radius, meet = radius / 4, closer
+    while radius <= far / 32:
+        q = parts(radius)
+        shared = q >= 3 and meetings(sides, step, q) <= PAIRS_A_ROW * copies
+        near = materialise(folded_pairs(sides, left, reach, step, q, radius) if shared else shifted_pairs(sides, left, step, radius))
+        final = materialise(middle(mutual_pairs(near), nearest).where(F.col("pairs") >= nearest))
+        ready.append(final)
+        left = materialise(left.join(F.broadcast(final), ["i", "j"], "left_anti"))  # no more rows than shifts
+        if not (n := left.count()):
+            break
+        copies, radius = n * (ends[0][0] + ends[1][0]), 3 * radius
+    else:
+        ready.append(far_scores(sides, left, step, nearest))
+    return reduce(DataFrame.unionByName, ready).select((F.col("i") * step).alias("da"), (F.col("j") * step).alias("db"), "score", "pairs")
 
 
 def far_scores(sides: list[DataFrame], shifts: DataFrame, step: float, nearest: int) -> DataFrame:
-    """As shift_scores, without a radius, by nearest-neighbour joins: a group of both sides' rows for each shift."""
+    """(i, j, score, pairs) of shifts without a radius, by nearest-neighbour joins: a group of both sides' rows for each shift."""
     each = F.broadcast(shifts)
     moved = sides[1].crossJoin(each).select("b", "i", "j", (F.col("xb") + F.col("i") * step).alias("x"), (F.col("yb") + F.col("j") * step).alias("y"))
     still = sides[0].crossJoin(each).select("a", "i", "j", F.col("xa").alias("x"), F.col("ya").alias("y"))
@@ -269,24 +286,50 @@ def far_scores(sides: list[DataFrame], shifts: DataFrame, step: float, nearest:
     return middle(there.join(back, ["i", "j", "a", "b"]), nearest)
 
 
-def shift_scores(sides: list[DataFrame], shifts: DataFrame, reach: int, step: float, nearest: int, radius: float) -> DataFrame:
-    """(i, j, score, pairs) of shifts, of the mutual nearest pairs within radius. Cells are as wide as the farthest
-    displacement that counts, so a pair meets in one of nine."""
-    most = reach * step + radius
-    cell = lambda c: F.floor(F.col(c) / most)
-    still = sides[0].withColumns({"cx": cell("xa"), "cy": cell("ya")})
-    around = F.array(*[F.struct((cell("xb") + p).alias("cx"), (cell("yb") + q).alias("cy")) for p, q in product((-1, 0, 1), repeat=2)])
-    moved = sides[1].select("*", F.inline(around))
-    pairs = still.join(moved, ["cx", "cy"]).select("a", "b", (F.col("xa") - F.col("xb")).alias("dx"), (F.col("ya") - F.col("yb")).alias("dy"))
-    ends = lambda c: (F.greatest(F.ceil((F.col(c) - radius) / step), F.lit(-reach)), F.least(F.floor((F.col(c) + radius) / step), F.lit(reach)))
-    for c, name in (("dx", "i"), ("dy", "j")):
-        lo, hi = ends(c)
-        pairs = pairs.where(lo <= hi).withColumn(name, F.explode(F.sequence(lo, hi).cast("array<int>")))
+PAIRS_A_ROW = 50  # pairs that cost as much as a row that is copied and moved
+
+
+def folded(sides: list[DataFrame], step: float, q: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with cells of a step's q-th, counted anew in each step: points that any shift of the grid brings together lie in
+    one cell or in neighbouring ones. b is there for all nine."""
+    cell = lambda c: F.floor(F.col(c) / (step / q))
+    around = F.array(*[F.struct(F.pmod(cell("xb") + m, F.lit(q)).alias("cx"), F.pmod(cell("yb") + n, F.lit(q)).alias("cy")) for m, n in product((-1, 0, 1), repeat=2)])
+    return sides[0].withColumns({c: F.pmod(cell(f"{d}a"), F.lit(q)) for c, d in (("cx", "x"), ("cy", "y"))}), sides[1].select("*", F.inline(around))
+
+
+def meetings(sides: list[DataFrame], step: float, q: int) -> float:
+    """How many pairs share such a cell."""
+    counts = [s.groupBy("cx", "cy").agg(F.count("*").cast("double").alias(n)) for s, n in zip(folded(sides, step, q), "nm", strict=True)]
+    return counts[0].join(counts[1].hint("merge"), ["cx", "cy"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0.0
+
+
+def folded_pairs(sides: list[DataFrame], shifts: DataFrame, reach: int, step: float, q: int, radius: float) -> DataFrame:
+    """(i, j, a, b, d) of all pairs within a radius under a third of a step, for all shifts at once: a pair is as close for one shift at most."""
+    still, moved = folded(sides, step, q)
+    pairs = still.join(moved.hint("merge"), ["cx", "cy"]).select("a", "b", (F.col("xa") - F.col("xb")).alias("dx"), (F.col("ya") - F.col("yb")).alias("dy"))
+    own = lambda c: F.when(F.abs(F.col(c)) <= reach * step + radius, F.rint(F.col(c) / step).cast("int"))
+    return within(pairs.withColumns({"i": own("dx"), "j": own("dy")}), step, radius).join(F.broadcast(shifts), ["i", "j"], "left_semi")
+
+
+def shifted_pairs(sides: list[DataFrame], shifts: DataFrame, step: float, radius: float) -> DataFrame:
+    """The same for any radius, with rows of both sides for each shift."""
+    each, width = F.broadcast(shifts), radius * (1 + 1e-6)
+    cell = lambda c: F.floor(c / width)
+    still = sides[0].crossJoin(each).withColumns({"cx": cell(F.col("xa")), "cy": cell(F.col("ya"))})
+    at = [cell(F.col("xb") + F.col("i") * step), cell(F.col("yb") + F.col("j") * step)]
+    moved = sides[1].crossJoin(each).select("*", F.inline(F.array(*[F.struct((at[0] + m).alias("cx"), (at[1] + n).alias("cy")) for m, n in product((-1, 0, 1), repeat=2)])))
+    pairs = still.join(moved.hint("merge"), ["i", "j", "cx", "cy"])
+    return within(pairs.withColumns({"dx": F.col("xa") - F.col("xb"), "dy": F.col("ya") - F.col("yb")}), step, radius)
+
+
+def within(pairs: DataFrame, step: float, radius: float) -> DataFrame:
     d = F.sqrt((F.col("dx") - F.col("i") * step) ** 2 + (F.col("dy") - F.col("j") * step) ** 2)
-    near = pairs.select("a", "b", "i", "j", d.alias("d")).where(F.col("d") <= radius).join(F.broadcast(shifts), ["i", "j"], "left_semi")
+    return pairs.select("i", "j", "a", "b", d.alias("d")).where(F.col("d") <= radius)
+
+
+def mutual_pairs(near: DataFrame) -> DataFrame:
     best = lambda n, other: near.groupBy("i", "j", n).agg(F.min(F.struct("d", other)).alias("s")).select("i", "j", n, f"s.{other}", "s.d")
-    mutual = best("a", "b").drop("d").join(best("b", "a"), ["i", "j", "a", "b"])
-    return middle(mutual, nearest)
+    return best("a", "b").drop("d").join(best("b", "a"), ["i", "j", "a", "b"])
 
 
 def middle(mutual: DataFrame, nearest: int) -> DataFrame:

@@ -145,6 +145,24 @@ def test_shift_scores_equal_all_pairs(spark):
     assert matching.best_shift(frames[0], frames[1].where("id < 0"), "id", ("x", "y"), 1, 0.3, 6).collect() == []
 
 
+def test_shift_scores_need_no_search_of_copies(spark, monkeypatch):
+    """Shifts at whose sides' tails few points meet are settled by wider radii; of a place with very many copies one row counts, and no
+    pairs of copies are formed."""
+    rnd = np.random.default_rng(4)
+    a, b = [[(i, *map(float, p)) for i, p in enumerate(rnd.normal(0, 0.3, (1500, 2)))] for _ in "ab"]
+    kinds = "id long, x double, y double"
+    more = [[*a, *[(i, 0.01, 0.02) for i in range(2000, 12000)]], [*b, *[(i, 0.01, 0.02) for i in range(2000, 12000)]]]
+    monkeypatch.setattr(matching, "far_scores", None)
+    got = {(r["da"], r["db"]): (r["score"], r["pairs"]) for r in matching.best_shift(*[spark.createDataFrame(s, kinds) for s in more], "id", ("x", "y"), 2, 0.55, 8).collect()}
+    p, q = [np.array([r[1:] for r in s] + [(0.01, 0.02)]) for s in (a, b)]
+    assert len(got) == 25
+    for (da, db), (score, pairs) in got.items():
+        d = np.hypot(p[:, None, 0] - q[None, :, 0] - da, p[:, None, 1] - q[None, :, 1] - db)
+        least = d.argmin(1)
+        mutual = sorted(d[i, j] for i, j in enumerate(least) if d[:, j].argmin() == i)[:8]
+        assert pairs == 8 and abs(score - float(np.median(mutual))) < 1e-12
+
+
 def test_exact_tests_of_many_values(spark):
     rows = [(1, 1.0 if i < 640 else -1.0) for i in range(1200)] + [(2, 1.0), (2, -1.0), (2, 0.0)]
     got = {r["g"]: r for r in stats.sign_test(spark.createDataFrame(rows, "g int, d double"), ["g"], "d").collect()}
