@@ -77,16 +77,20 @@ def boxes_of(p: DataFrame, dims: list[str], by: list[str]) -> tuple[np.ndarray,
     return table, points
 
 
-def box_search(q: DataFrame, tree: tuple[np.ndarray, DataFrame], k: int, dims: list[str], by: list[str], exclude_self: bool) -> DataFrame:
-    """(by, query_id, neighbour_id, distance) of pairs among which are the k nearest of every query."""
+def box_search(q: DataFrame, tree: tuple[np.ndarray, DataFrame], k: int, dims: list[str], by: list[str], exclude_self: bool, keep: list[str] | None = None) -> DataFrame:
+    """(by, query_id, neighbour_id, distance) of pairs among which are the k nearest of every query. With `keep` (columns p_* of the points,
+    doubles) a row holds all pairs of a query and a box: (by, query_id, s), s an array of struct (distance, neighbour_id, dims, keep)."""
     table, points = tree
     want, at = k + exclude_self, [f"q_{c}" for c in dims]
     group = F.xxhash64(*by) if by else F.lit(0).cast("long")
     q = materialise(q.dropna(subset=by).withColumns({"hf_g": group, "hf_q": F.monotonically_increasing_id()}))
     sent = q.sparkSession.sparkContext.broadcast(table)  # a row for each box
-    own = ["query_id"] if exclude_self else []
+    listed = keep is not None
+    own = ["query_id"] if exclude_self or listed else []
+    own += by if listed else []
+    beside = [*dims, *(keep or [])]
     kinds = dict(q.dtypes)
-    asked = ", ".join(["hf_g long", "hf_q long", *(f"{c} double" for c in at), *(f"query_id {kinds['query_id']}" for _ in own)])
+    asked = ", ".join(["hf_g long", "hf_q long", *(f"{c} double" for c in at), *(f"{c} {kinds[c]}" for c in own)])
 
     def opening(first: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,16 +148,28 @@ def box_search(q: DataFrame, tree: tuple[np.ndarray, DataFrame], k: int, dims: l
                 row, col = row[order], col[order]
                 place = np.arange(len(row)) - (np.cumsum(full) - full)[row]
                 row, col = row[place < k], col[place < k]
+            if listed:
+                full = np.bincount(row, minlength=len(few))
+                lists = {n: np.split(x[col], np.cumsum(full)[:-1]) for n, x in (("neighbour_id", places["neighbour_id"].to_numpy()), *((f"p_{c}", places[f"p_{c}"].to_numpy(float)) for c in beside))}
+                out.append(few[["hf_q", *own]].assign(**lists, distance=np.split(d[row, col], np.cumsum(full)[:-1]), hf_bound=bound)[names])
+                continue
             out.append(pd.DataFrame({"hf_q": few["hf_q"].to_numpy()[row], "neighbour_id": places["neighbour_id"].to_numpy()[col], "distance": d[row, col], "hf_bound": bound[row]}))
-        return pd.concat(out) if out else pd.DataFrame({"hf_q": [], "neighbour_id": [], "distance": [], "hf_bound": []})
-
-    schema = f"hf_q long, neighbour_id {dict(points.dtypes)['neighbour_id']}, distance double, hf_bound double"
-    met = lambda opened: meeting(opened, "hf_q", points, dims, meet, schema)
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
+
+    held = dict(points.dtypes)["neighbour_id"]
+    schema = f"hf_q long, neighbour_id {held}, distance double, hf_bound double"
+    if listed:
+        schema = ", ".join(["hf_q long", *(f"{c} {kinds[c]}" for c in own), f"neighbour_id array<{held}>, distance array<double>", *(f"p_{c} array<double>" for c in beside), "hf_bound double"])
+    names = [c.split()[0] for c in schema.split(", ")]
+    met = lambda opened: meeting(opened, "hf_q", points, beside, meet, schema)
     firsts = materialise(q.select("hf_g", "hf_q", *at, *own).mapInPandas(opening(True), f"{asked}, hf_leaf int, hf_bound double"))
     one = met(firsts)
     bounds = one.groupBy("hf_q").agg(F.min("hf_bound").alias("hf_least"))
     closer = firsts.join(bounds.hint("merge"), "hf_q", "left").withColumn("hf_bound", F.least("hf_bound", "hf_least")).select(*firsts.columns)
     two = met(closer.mapInPandas(opening(False), f"{asked}, hf_leaf int, hf_bound double"))
+    if listed:
+        s = F.arrays_zip("distance", "neighbour_id", *[F.col(f"p_{c}").alias(c) for c in beside])
+        return one.unionByName(two).where(F.size("distance") > 0).select(*by, "query_id", s.alias("s"))
     return one.unionByName(two).drop("hf_bound").join(q.select(*by, "query_id", "hf_q").hint("merge"), "hf_q").drop("hf_q")
 
 

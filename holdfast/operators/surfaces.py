@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..storage import materialise
 from . import moments
+from .boxes import box_search
 from .matching import batched_solve
-from .spatial import knn_join, nearest
+from .spatial import knn_join, nearest, searched, tree_of
 from .volume import gather
 from .ranks import numbered
 from .windows import gaussian_smooth, gradient
@@ -86,16 +87,24 @@ def tuned_thin_plate(points: DataFrame, key: str, value: str, block: str, k: int
     k nearest points of the other blocks. Its smoothing is the one with the least mean absolute error when the other
     blocks predict each other in turn (means to nine digits; ties to the smaller), without the block itself.
 
-    One neighbour search serves all folds: the k nearest of every other block, from which each fold leaves out its own. A
+    One neighbour search serves all folds: the k nearest of every other block (at least), from which each fold leaves out its own. What a box
+    of points has for a query is one row, so no pair is moved as a row of its own. A
     neighbourhood is decomposed once for all smoothings. Sites fewer than six give no loss; without any loss the
     least smoothing is taken. Rows with a null or NaN column are left out; a single block has no predictions. Keys are unique."""
     named = {"id": F.col(key), "own": F.col(block), "x": F.col("x").cast("double"), "y": F.col("y").cast("double"), "v": F.col(value).cast("double")}
     p = materialise(points.select(*[c.alias(n) for n, c in named.items()]).dropna())
     others = p.select(F.col("own").alias("other")).distinct()  # folds: few by their meaning
     asks = p.select("id", "own", "x", "y").crossJoin(F.broadcast(others)).where("other <> own").drop("own")
-    near = knn_join(asks, p.select("id", F.col("own").alias("other"), "x", "y"), k, ["x", "y"], "id", "id", ("other",))
-    sites = near.join(p.select(F.col("id").alias("neighbour_id"), "x", "y", "v"), "neighbour_id")
-    lists = sites.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id", "other", "x", "y", "v"))).alias("s"))  # k for each block
+    q = asks.select("other", F.col("id").alias("query_id"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+    sites = p.select(F.col("own").alias("other"), F.col("id").alias("neighbour_id"), *[F.col(c).alias(f"p_{c}") for c in "xyv"])
+    tree = tree_of(sites, k, ["x", "y"], ["other"])
+    if len(tree) == 2:
+        found = box_search(q, tree, k, ["x", "y"], ["other"], False, ["v"])
+        site = lambda e: F.struct(e["distance"].alias("distance"), e["neighbour_id"].alias("neighbour_id"), F.col("other").alias("other"), *[e[c].alias(c) for c in "xyv"])
+        lists = found.select("query_id", F.transform("s", site).alias("s")).groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
+    else:  # very many blocks
+        near = searched(q, tree, k, ["x", "y"], ["other"], False).join(p.select(F.col("id").alias("neighbour_id"), "x", "y", "v"), "neighbour_id")
+        lists = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id", "other", "x", "y", "v"))).alias("s"))
     rows = lists.join(p.select(F.col("id").alias("query_id"), "own", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("v").alias("truth")), "query_id")
     folds = F.array_distinct(F.concat(F.array("own"), F.col("s.other")))
     each = rows.select("query_id", "own", "truth", "qx", "qy", F.explode(folds).alias("fold"), "s").withColumn("s", F.slice(F.filter("s", lambda e: e["other"] != F.col("fold")), 1, k))

@@ -216,6 +216,27 @@ def test_smoothing_is_tuned_without_the_fold(spark):
                 assert r["smoothing"] == smoothings[place] and abs(r["prediction"] - guess(rows[r["query_id"]], {fold})[place]) < 1e-8
 
 
+def test_neighbour_lists_of_boxes(spark):
+    """Lists of a query and a box hold its k nearest points with what they carry, over several boxes; copies, groups, a query beyond all points."""
+    from holdfast.operators import boxes, spatial
+
+    rnd = np.random.default_rng(12)
+    p = [(i % 2, i, float(x), float(y), float(-i)) for i, (x, y) in enumerate(rnd.random((3000, 2)))]
+    p += [(0, 3000 + i, p[0][2], p[0][3], 1.0) for i in range(20)]
+    q = [(g, i, float(x), float(y)) for i, (x, y) in enumerate([*rnd.random((40, 2)), (9.0, 9.0), p[0][2:4]]) for g in (0, 1)]
+    sites, asks = spark.createDataFrame(p, "g int, neighbour_id long, p_x double, p_y double, p_v double"), spark.createDataFrame(q, "g int, query_id long, q_x double, q_y double")
+    tree = spatial.tree_of(sites, 7, ["x", "y"], ["g"])
+    rows = boxes.box_search(asks, tree, 7, ["x", "y"], ["g"], False, ["v"]).collect()
+    assert len(tree[0]) > 2 and len(rows) < 7 * len(q)
+    got: dict = {}
+    for r in rows:
+        got.setdefault((r["g"], r["query_id"]), []).extend(map(tuple, r["s"]))
+    assert len(got) == len(q)
+    for g, i, x, y in q:
+        near = sorted((float(np.sqrt((x - r[2]) ** 2 + (y - r[3]) ** 2)), *r[1:]) for r in p if r[0] == g)[:7]
+        assert sorted(got[g, i])[:7] == near
+
+
 def test_unfolded_stack_goes_inward(spark):
     """Layers of a flat block: the depth counts from its surface towards the side with the label, whichever it is."""
     points = spark.createDataFrame([(i * 9 + j, float(i), float(j), 4.0) for i in range(9) for j in range(9)], "id long, x double, y double, z double")
