@@ -56,6 +56,8 @@ def best_triples(points: DataFrame, by: list[str], key: str, dims: list[str], we
     gap = lambda x, y: square([F.col(f"{x}.{d}") - F.col(f"{y}.{d}") for d in dims])
     score = lambda a, b, c: F.least(gap(a, b), gap(b, c), gap(a, c)) - weight * (F.col(f"{a}.away") + F.col(f"{b}.away") + F.col(f"{c}.away")) / 3
     widest = lambda x, y: square([F.greatest(F.abs(F.col(f"{x}.hi_{d}") - F.col(f"{y}.lo_{d}")), F.abs(F.col(f"{y}.hi_{d}") - F.col(f"{x}.lo_{d}"))) for d in dims])
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, *keys: df.repartition(n, *by, *keys)  # tables of cells are small files: left to their sizes, one task would form all triples
     triples, best = None, None
     for level in range(rounds):
         steps = 4 << level
@@ -64,9 +66,10 @@ def best_triples(points: DataFrame, by: list[str], key: str, dims: list[str], we
         cells = materialise(placed.groupBy(*by, "parent", "cell").agg(F.count("*").cast("double").alias("n"), F.min("p.away").alias("away"), F.min("p").alias("one"), *[f(f"p.{d}").alias(f"{e}_{d}") for d in dims for e, f in (("lo", F.min), ("hi", F.max))]))
         side = lambda t: cells.select(*by, F.col("parent").alias(f"p{t}"), F.struct(*cells.columns[len(by) + 1 :]).alias(t))  # noqa: B023, E731
         if triples is None:
-            three = side("a").join(side("b"), by).join(side("c"), by).where((F.col("a.cell") <= F.col("b.cell")) & (F.col("b.cell") <= F.col("c.cell")))
+            two = side("a").join(side("b"), by).where(F.col("a.cell") <= F.col("b.cell"))
+            three = dealt(two, "a.cell", "b.cell").join(side("c"), by).where(F.col("b.cell") <= F.col("c.cell"))
         else:
-            three = triples.join(side("a"), [*by, "pa"]).join(side("b"), [*by, "pb"]).join(side("c"), [*by, "pc"])
+            three = dealt(triples, "pa", "pb", "pc").join(side("a"), [*by, "pa"]).join(side("b"), [*by, "pb"]).join(side("c"), [*by, "pc"])
             three = three.where(((F.col("pa") != F.col("pb")) | (F.col("a.cell") <= F.col("b.cell"))) & ((F.col("pb") != F.col("pc")) | (F.col("b.cell") <= F.col("c.cell"))))
         apart = F.size(F.array_distinct(F.array("a.one.id", "b.one.id", "c.one.id"))) == 3
         three = three.select(*by, "a", "b", "c", (F.least(widest("a", "b"), widest("b", "c"), widest("a", "c")) - weight * (F.col("a.away") + F.col("b.away") + F.col("c.away")) / 3).alias("upper"), F.when(apart, score("a.one", "b.one", "c.one")).alias("lower"))
@@ -84,7 +87,7 @@ def best_triples(points: DataFrame, by: list[str], key: str, dims: list[str], we
         raise RuntimeError(f"over {most} triples tie for the best score")
     own = left.withColumn("cell", place(steps))
     side = lambda t: own.select(*by, F.col("cell").alias(f"p{t}"), F.col("p").alias(t))
-    three = triples.drop("n").join(side("a"), [*by, "pa"]).join(side("b"), [*by, "pb"]).join(side("c"), [*by, "pc"])
+    three = dealt(triples.drop("n"), "pa", "pb", "pc").join(side("a"), [*by, "pa"]).join(side("b"), [*by, "pb"]).join(side("c"), [*by, "pc"])
     ids = F.array_sort(F.array("a.id", "b.id", "c.id"))
     three = three.select(*by, ids.alias("ids"), score("a", "b", "c").alias("score")).where(F.size(F.array_distinct("ids")) == 3)
     top = F.max(F.struct(F.round("score", 12).alias("r"), *[(-F.get("ids", F.lit(i))).alias(f"n{i}") for i in range(3)], "score"))

@@ -163,6 +163,23 @@ def test_shift_scores_need_no_search_of_copies(spark, monkeypatch):
         assert pairs == 8 and abs(score - float(np.median(mutual))) < 1e-12
 
 
+def test_triples_are_dealt_to_tasks(spark, monkeypatch):
+    """Triples of cells are formed in as many tasks as a shuffle has, however small the tables of cells are."""
+    from holdfast import storage
+
+    rnd, parts, write = np.random.default_rng(6), [], storage.materialise
+
+    def watched(df):
+        if "upper" in df.columns:
+            parts.append(df.rdd.getNumPartitions())
+        return write(df)
+
+    monkeypatch.setattr(storage, "materialise", watched)
+    rows = [(0, i, float(x), float(y)) for i, (x, y) in enumerate(rnd.random((60, 2)))]
+    assert len(joins.best_triples(spark.createDataFrame(rows, "g int, id long, x double, y double"), ["g"], "id", ["x", "y"], most=20).collect()) == 1
+    assert len(parts) > 1 and min(parts) >= int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_exact_tests_of_many_values(spark):
     rows = [(1, 1.0 if i < 640 else -1.0) for i in range(1200)] + [(2, 1.0), (2, -1.0), (2, 0.0)]
     got = {r["g"]: r for r in stats.sign_test(spark.createDataFrame(rows, "g int, d double"), ["g"], "d").collect()}
