@@ -77,6 +77,22 @@ def boxes_of(p: DataFrame, dims: list[str], by: list[str]) -> tuple[np.ndarray,
     return table, points
 
 
+def plain(id: object) -> tuple:
+    """An id as a tuple with Spark's order that can be hashed: structs come as dicts, arrays as lists; nulls are first, NaN is last."""
+    if id is None:
+        return (0,)
+    if isinstance(id, dict):
+        return (1, *map(plain, id.values()))
+    if isinstance(id, (list, tuple, np.ndarray)):
+        return (1, *map(plain, id))
+    return (2,) if id != id else (1, id)
+
+
+def comparable(ids: pd.Series) -> pd.Series:
+    """ids, or where they are structs or arrays what stands for them in comparisons."""
+    return ids.map(plain) if ids.dtype == object and isinstance(next(iter(ids.dropna()), None), (dict, list, tuple, np.ndarray)) else ids
+
+
 def box_search(q: DataFrame, tree: tuple[np.ndarray, DataFrame], k: int, dims: list[str], by: list[str], exclude_self: bool, keep: list[str] | None = None) -> DataFrame:
     """(by, query_id, neighbour_id, distance) of pairs among which are the k nearest of every query. With `keep` (columns p_* of the points,
     doubles) a row holds all pairs of a query and a box: (by, query_id, s), s an array of struct (distance, neighbour_id, dims, keep)."""
@@ -124,9 +140,9 @@ def box_search(q: DataFrame, tree: tuple[np.ndarray, DataFrame], k: int, dims: l
         return run
 
     def meet(queries: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-        places = places.sort_values("neighbour_id", ignore_index=True)  # of equal distances the lower id comes first
+        places = places.sort_values("neighbour_id", ignore_index=True, key=comparable)  # of equal distances the lower id comes first
         y, out = places[[f"p_{c}" for c in dims]].to_numpy(float), []
-        codes = pd.factorize(pd.concat([queries["query_id"], places["neighbour_id"]], ignore_index=True))[0] if exclude_self else None
+        codes = pd.factorize(pd.concat([comparable(queries["query_id"]), comparable(places["neighbour_id"])], ignore_index=True))[0] if exclude_self else None
         step = max(1, PAIRS // max(1, len(y)))
         for a in range(0, len(queries) if len(y) else 0, step):
             few = queries.iloc[a : a + step]

@@ -257,3 +257,23 @@ def test_small_groups_are_matched_without_components(spark, monkeypatch):
     plain = {tuple(r) for r in matching.one_to_one(pairs, ("g",), most=1000).collect()}  # groups of over 31 pairs go the other way
     monkeypatch.setattr(matching, "connected_components", lambda *_: pytest.fail("components of small groups"))
     assert {tuple(r) for r in matching.one_to_one(pairs, ("g",)).collect()} == plain and len(plain) > 30
+
+
+def test_boxes_take_ids_of_several_columns(spark):
+    """Structs (and arrays) as ids: neighbours, their order at equal distances and the query's own id as for plain ids."""
+    from holdfast.operators import boxes, spatial
+
+    rnd = np.random.default_rng(17)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rnd.integers(0, 12, (1500, 2)))]
+    df = spark.createDataFrame(rows, "n long, x double, y double").withColumn("id", F.struct(F.floor(F.col("n") / 7).alias("a"), F.array(F.col("n") % 7).alias("b")))
+
+    def found(key, own):
+        sites = df.select(F.col(key).alias("neighbour_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"))
+        asks = df.where("n % 50 = 0").select(F.col(key).alias("query_id"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+        got = spatial.searched(asks, spatial.tree_of(sites, 9 + own, ["x", "y"], []), 9, ["x", "y"], [], own)
+        plain = (lambda c: F.col(f"{c}.a") * 7 + F.col(f"{c}.b")[0]) if key == "id" else F.col
+        return sorted(map(tuple, got.select(plain("query_id"), plain("neighbour_id"), "distance", "rank").collect()))
+
+    for own in (False, True):
+        assert found("id", own) == found("n", own) and len(found("n", own)) == 30 * 9
+    assert boxes.plain({"a": None, "b": 1}) < boxes.plain({"a": 1.0, "b": 0}) < boxes.plain({"a": float("nan"), "b": 0})
