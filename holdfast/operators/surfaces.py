@@ -359,6 +359,7 @@ def gap_predictions(
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > most:
             raise ValueError(f"a unit has over {most} cells")
+        frame = frame.sort_values(list(cell), ignore_index=True)  # sums don't depend on how rows were dealt
         hidden = frame["hidden"].to_numpy(bool)
         own = frame.loc[hidden, [unit, "mask", *cell]].assign(value=frame.loc[hidden, "y"], visible=int((~hidden).sum()))
         if hidden.sum() < least_masked or (~hidden).sum() < least_visible:
