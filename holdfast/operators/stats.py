@@ -160,17 +160,17 @@ def sign_test(df: DataFrame, by: list[str], difference: str) -> DataFrame:
 
 def running_sum(first: Column, lo: Column, hi: Column, step, keep=None) -> Column:
     """exp(first) + exp(first + step(lo)) + ... + exp(first + step(lo) + ... + step(hi)), of the terms whose logarithm
-    is at most keep: one step for each term."""
-    ok = lambda x: F.lit(True) if keep is None else x <= keep
-    state = lambda x, s: F.struct(x.cast("double").alias("x"), s.alias("s"))
-    add = lambda x: F.when(ok(x), F.exp(x)).otherwise(0.0)
+    is at most keep: one step for each term. keep is worked out once and handed on from step to step."""
+    keep = F.lit(float("inf")) if keep is None else keep
+    state = lambda x, s, k: F.struct(x.cast("double").alias("x"), s.alias("s"), k.alias("k"))
+    add = lambda x, k: F.when(x <= k, F.exp(x)).otherwise(0.0)
     places = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
     def turn(acc: Column, i: Column) -> Column:
         x = acc["x"] + step(i)
-        return state(x, acc["s"] + add(x))
+        return state(x, acc["s"] + add(x, acc["k"]), acc["k"])
 
-    return F.aggregate(places, state(first, add(first)), turn, lambda acc: acc["s"])
+    return F.aggregate(places, state(first, add(first, keep), keep), turn, lambda acc: acc["s"])
 
 
 def fisher(tables: DataFrame, by: list[str], a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> DataFrame:
