@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import holdout, learners, moments, predict, spatial, stats
+from ..operators import holdout, learners, moments, predict, ranks, spatial, stats
 from ..operators import windows as win
 from .places import knn_sql
 from .registry import query
@@ -262,8 +262,10 @@ def i33b(v):
 @query("I34_cross_group_holdout", "WITH m AS (SELECT f.g, regr_slope(target, f1) AS s, regr_intercept(target, f1) AS i FROM fx_features, (VALUES (0), (1)) f(g) WHERE unit_id % 2 <> f.g GROUP BY 1) SELECT g AS eye, count(*) AS n, round(median(abs(i + s * f1 - target)), 5) AS median_error FROM fx_features JOIN m ON g = unit_id % 2 GROUP BY 1")
 def i34(v):
     f = v("fx_features").withColumn("eye", (F.col("unit_id") % 2).cast("int"))
-    out = moments.block_ridge(f, "eye", [F.col("f1")], F.col("target"), 0.0)
-    return out.groupBy("eye").agg(F.count("*").alias("n"), F.round(F.median(F.abs(F.col("prediction") - F.col("target"))), 5).alias("median_error"))
+    out = moments.block_ridge(f, "eye", [F.col("f1")], F.col("target"), 0.0).withColumn("error", F.abs(F.col("prediction") - F.col("target")))
+    middle = ranks.quantiles(out, ["eye"], "error", {"median_error": 0.5}).drop("n")
+    both = ranks.beside(out.groupBy("eye").agg(F.count("*").alias("n")), middle, ["eye"], "left")
+    return both.select("eye", "n", F.round("median_error", 5).alias("median_error"))
 
 
 @query("I35_nearest_block", "WITH c AS (SELECT region, avg(x) AS x, avg(y) AS y FROM fx_points3 WHERE point_id % 4 <> 0 GROUP BY 1) SELECT p.point_id, arg_min(c.region, sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2))) AS region FROM fx_points3 p, c WHERE p.point_id % 4 = 0 GROUP BY 1")

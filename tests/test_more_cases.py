@@ -480,3 +480,11 @@ def test_fisher_takes_one_step_for_each_table(spark):
     every = [exp(t - most) for t in terms]
     kept = sum(e for t, e in zip(terms, every, strict=True) if t <= own + log(1 + 1e-7))
     assert abs(got["p"] - kept / sum(every)) < 1e-6
+
+
+def test_cross_group_median_gathers_no_group(spark):
+    """The median of a group's errors is found by counting; no aggregate holds a group's different values."""
+    got = QUERIES["I34_cross_group_holdout"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan and "ObjectHashAggregate" not in plan
+    assert [r["eye"] for r in got.orderBy("eye").collect()] == [0, 1]
