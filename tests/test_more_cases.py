@@ -488,3 +488,25 @@ def test_cross_group_median_gathers_no_group(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan and "median(" not in plan and "ObjectHashAggregate" not in plan
     assert [r["eye"] for r in got.orderBy("eye").collect()] == [0, 1]
+
+
+def test_trees_are_fitted_on_profiles(spark, monkeypatch):
+    """Rows with equal xs are fitted as one or two weighted ones: ridge and boosted trees equal those of all rows, forests are near them."""
+    rnd = random.Random(8)
+    rows = [(i, i % 3, float(rnd.randrange(5)), float(rnd.randrange(4))) for i in range(1500)]
+    rows = [(*r, 2 * r[2] - r[3] * r[2] + rnd.gauss(0, 1)) for r in rows]
+    df = spark.createDataFrame(rows, "id long, block int, a double, b double, y double")
+    sizes, kept = [], learners.moments_kept
+    monkeypatch.setattr(learners, "moments_kept", lambda few, target: (sizes.append(few.groupBy("hf_tree").count().agg(F.max("count")).first()[0]), kept(few, target))[1])
+    got = {r["id"]: r for r in learners.tree_regressors(df, "block", ["a", "b"], "y").collect()}
+    assert len(got) == 1500 and sizes == [3 * 20]
+    assert list(got[0].asDict()) == ["id", "block", "a", "b", "y", "p_ridge", "p_forest", "p_boosted", "choice", "prediction", "disagreement"]
+    own = learners.VectorAssembler(inputCols=["a", "b"], outputCol="hf_features").transform(df)
+    for n in ("ridge", "boosted"):
+        model = learners.regressors("y", 1)[n].setPredictionCol("p").fit(own.where("block <> 1"))
+        assert max(abs(r["p"] - got[r["id"]][f"p_{n}"]) for r in model.transform(own.where("block = 1")).collect()) < 1e-8
+    forest = learners.RandomForestRegressor(numTrees=10, seed=1, featuresCol="hf_features", labelCol="y").fit(own.where("block <> 1")).transform(own.where("block = 1")).collect()
+    error = [np.mean([abs(p - r["y"]) for r, p in ((r, of(r)) for r in forest)]) for of in (lambda r: r["prediction"], lambda r: got[r["id"]]["p_forest"])]
+    assert abs(error[1] / error[0] - 1) < 0.2
+    with pytest.raises(Exception, match="null or NaN"):
+        learners.tree_regressors(df.withColumn("y", F.when(F.col("id") != 3, F.col("y"))), "block", ["a", "b"], "y")
