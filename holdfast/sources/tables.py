@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +68,40 @@ def slice_inventory(files: DataFrame, archive: Column, number: Column, size: Col
     return out.select("archive", "slices", "first", "last", ((F.col("last") - F.col("first") + 1 == F.col("slices")) & (F.col("different") == F.col("slices"))).alias("contiguous"), "bytes")
 
 
+WHOLE = 128 << 20  # bytes: larger files are read in pieces
+PIECE = 8 << 20
+
+
+def opened(path: str):
+    """A stream of the file that Spark names so (paths are not percent-encoded)."""
+    scheme, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem().open_input_stream(re.sub("^//+", "/", rest), compression=None)
+    host, place = re.fullmatch(r"//([^/]*)(/.*)", rest, re.S).groups()
+    system, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return system.open_input_stream(f"{root.rstrip('/')}{place}", compression=None)
+
+
+def piecewise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, bytes, sha256) of files, of which PIECE bytes are held at once."""
+    for frame in frames:
+        for path, length in zip(frame["path"], frame["length"], strict=True):
+            seen, digest = 0, hashlib.sha256()
+            with opened(path) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+                    seen += len(piece)
+            if seen != length:
+                raise OSError(f"{path} had {length} bytes when it was listed, and {seen} when it was read")
+            yield pd.DataFrame({"path": [path], "bytes": [seen], "sha256": [digest.hexdigest()]})
+
+
 def file_fingerprints(files: DataFrame) -> DataFrame:
-    """(path, bytes, sha256) of rows that spark.read.format("binaryFile") gives."""
-    return files.select("path", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of rows that spark.read.format("binaryFile") gives. Files of over WHOLE bytes are not taken as a row's content, which holds
+    2 GB at most, but streamed where the task runs: from local or mounted folders, and from the object stores and HDFS that pyarrow opens by their URI."""
+    small = files.where(F.col("length") <= WHOLE).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > WHOLE).select("path", "length").mapInPandas(piecewise, "path string, bytes long, sha256 string")
+    return small.unionByName(large)
 
 
 def write_new(df: DataFrame, path: str, form: str = "parquet") -> None:

@@ -510,3 +510,24 @@ def test_trees_are_fitted_on_profiles(spark, monkeypatch):
     assert abs(error[1] / error[0] - 1) < 0.2
     with pytest.raises(Exception, match="null or NaN"):
         learners.tree_regressors(df.withColumn("y", F.when(F.col("id") != 3, F.col("y"))), "block", ["a", "b"], "y")
+
+
+def test_large_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """A (sparse) file of over 2 GB, which no row can hold, and small ones by either way; names that aren't plain in URIs."""
+    from holdfast.sources import tables
+
+    for name, content in (("a b%20#c?.bin", b"x" * 1000), ("z.gz", b"\x1f\x8b no archive")):
+        (tmp_path / name).write_bytes(content)
+    files = lambda: {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in tables.file_fingerprints(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    own = {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.iterdir()}
+    assert files() == own
+    monkeypatch.setattr(tables, "WHOLE", -1)
+    assert files() == own
+    monkeypatch.undo()
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate((1 << 31) + 5)
+    digest = hashlib.sha256()
+    for _ in range(1 << 11):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(5))
+    assert files() == own | {"large.bin": ((1 << 31) + 5, digest.hexdigest())}
