@@ -80,3 +80,28 @@ def test_direction_predictors_equal_refits(spark):
             for i in np.flatnonzero(~k):
                 assert abs(got[i, m] - np.degrees(np.arccos(np.clip(p[i] @ axis[i], -1, 1)))) < 1e-5
     assert np.mean([got[i, "surface_global_rotation"] for i in range(n)]) < 12 < np.mean([got[i, "surface_normal"] for i in range(n)])
+
+
+def test_harmonic_of_nodes_at_one_place(spark):
+    """Infinite weights: the limit of ever larger ones, by hand and against large finite ones."""
+    inf = float("inf")
+    edges = [(1, 2, 1.0), (2, 3, inf), (3, 4, 3.0), (4, 5, inf), (5, 6, inf), (1, 7, inf), (4, 7, inf), (7, 8, 1.0), (8, 5, 1.0), (20, 21, inf), (1, 4, inf), (2, 6, 0.5)]
+    known = spark.createDataFrame([(1, 0.0), (4, 10.0)], "node long, value double")
+    got = {r["node"]: r["value"] for r in graph.harmonic(spark.createDataFrame(edges, "a long, b long, w double"), known, F.col("w")).collect()}
+    both = (3 * 10 + 0.5 * 10) / 4.5
+    assert got.keys() == {2, 3, 5, 6, 7, 8, 20, 21}
+    assert all(abs(got[n] - x) < 1e-7 for n, x in {2: both, 3: both, 5: 10, 6: 10, 7: 5, 8: 7.5, 20: 0, 21: 0}.items())
+    rnd = random.Random(3)
+    edges = {tuple(sorted(rnd.sample(range(30), 2))): rnd.choice([inf, 1.0, 2.0, 0.3]) for _ in range(45)}
+    values = {n: float(n * n % 17) for n in range(0, 30, 6)}
+    left = np.zeros((30, 30))
+    for (a, b), w in edges.items():
+        w = min(w, 1e8)
+        left[[a, b], [a, b]] += w
+        left[[a, b], [b, a]] -= w
+    known = spark.createDataFrame(list(values.items()), "node long, value double")
+    got = {r["node"]: r["value"] for r in graph.harmonic(spark.createDataFrame([(*e, w) for e, w in edges.items()], "a long, b long, w double"), known, F.col("w")).collect()}
+    free = sorted(got)
+    assert free == [n for n in range(30) if n not in values and left[n, n]]
+    wanted = np.linalg.lstsq(left[np.ix_(free, free)], -left[np.ix_(free, list(values))] @ np.array(list(values.values())), rcond=None)[0]
+    assert np.abs(wanted - [got[n] for n in free]).max() < 1e-5
