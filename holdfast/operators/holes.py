@@ -161,8 +161,8 @@ def certified(lists: DataFrame, places: DataFrame, by: list[str], half: float, t
     raise RuntimeError("regions did not settle")
 
 
-def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 12) -> DataFrame:
-    """(by, a, b, c, x, y, radius): all empty circles through three points (of four or more on one circle every three)."""
+def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 12, half: float | None = None) -> DataFrame:
+    """(by, a, b, c, x, y, radius): all empty circles through three points (of four or more on one circle every three). half: the box, if not that of the points."""
     by = list(by)
     places = places_of(points, key, by)
     at = places.select(*by, F.col("a").alias("neighbour_id"), F.struct(F.col("a").alias("n"), "x", "y").alias("one"))
@@ -170,7 +170,7 @@ def circles(points: DataFrame, key: str, by: tuple[str, ...] = (), k: int = 12)
     own = places.select(*by, "a", F.col("x").alias("ax"), F.col("y").alias("ay"))
     lists = materialise(own.join(near.groupBy(*by, F.col("query_id").alias("a")).agg(F.collect_set("one").alias("near")), [*by, "a"]))
     tree = tree_of(_sides(places, places, ["x", "y"], "a", "a", by)[1], 1, ["x", "y"], by)
-    found = _circumcircles(certified(lists, places, by, box_of(places), tree), places, by)
+    found = _circumcircles(certified(lists, places, by, half or box_of(places), tree), places, by)
     return _all_threes(found, places, by)
 
 
@@ -344,18 +344,69 @@ def hull_area(directions: DataFrame, by: list[str], u: str, v: str, buckets: int
     return kept.groupBy(*by).applyInPandas(hull, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "corners int, area double"]))
 
 
-def torn_edges(points: DataFrame, key: str, ring: DataFrame, size: int) -> DataFrame:
+def torn_edges(points: DataFrame, key: str, ring: DataFrame, size: int, around: int = 6, gap: float = 180.0) -> DataFrame:
     """(trial, rank): consecutive ring nodes (ring: place, node) are taken away for every start; the rank, by
-    score, of the candidate nearest the lost nodes' centre. Trials run together."""
+    score, of the candidate nearest the lost nodes' centre. Trials run together.
+
+    Circles, nearest points and scores of all points are found once. A trial loses the circles through its lost nodes; new ones hold such a node and
+    go through nodes that shared circles with them, so the circles of these few (and of theirs) have all that are new. Scores are found anew where one of the
+    nearest points is lost or has lost its own nearest point."""
     from .windows import cyclic_windows
 
-    lost = cyclic_windows(ring.withColumn("one", F.lit(1)), ["one"], "place", "node", size).select(F.col("start").cast("long").alias("trial"), F.col("member").alias(key))
+    p = materialise(points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    lost = materialise(cyclic_windows(ring.withColumn("one", F.lit(1)), ["one"], "place", "node", size).select(F.col("start").cast("long").alias("trial"), F.col("member").alias(key)).distinct())
     trials = lost.select("trial").distinct()
-    left = materialise(points.crossJoin(F.broadcast(trials)).join(lost, ["trial", key], "left_anti").select("trial", key, "x", "y"))
-    centre = lost.join(points, key).groupBy("trial").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    found = hole_candidates(left, key, ("trial",), gap=180.0).join(centre, "trial")
+    centre = lost.join(p, key).groupBy("trial").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    places = places_of(p, key, [])
+    there = places.join(p, ["x", "y"]).select("a", key)  # all points of a place
+    full = there.groupBy("a").agg(F.count("*").alias("n"))
+    gone = lost.join(there, key).groupBy("trial", "a").agg(F.count("*").alias("m")).join(full, "a").where("m = n").join(places, "a")
+    gone = materialise(gone.select("trial", "a", F.col("x").alias("gx"), F.col("y").alias("gy")))
+
+    base = materialise(circles(p, key))
+    ends = lambda rows: rows.select("*", F.explode(F.array("a", "b", "c")).alias("end"))
+    some = gone.select("trial", F.col("a").alias("end"))
+    for _ in range(2):  # the lost nodes' neighbours, and theirs
+        some = materialise(ends(ends(base).join(some, "end").drop("end")).select("trial", "end").distinct())
+    few = some.withColumnRenamed("end", "a").join(gone.select("trial", "a"), ["trial", "a"], "left_anti").join(places, "a").select("trial", F.col("a").alias(key), "x", "y")
+    holds = F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")) < F.col("radius") * (1 - ROUND)
+    new = circles(few, key, ("trial",), half=box_of(places))
+    new = materialise(new.join(gone.select("trial", "gx", "gy"), "trial").where(holds).select(*new.columns).distinct())
+
+    rounded = lambda c: c.withColumns({"x": F.round("x", 9), "y": F.round("y", 9)}).withColumn("hf_c", F.xxhash64("x", "y"))
+    centres = lambda c, *by: c.groupBy(*by, "hf_c", "x", "y").agg(F.max("radius").alias("radius"))
+    base, new = materialise(rounded(base)), rounded(new)
+    all_ = materialise(centres(base))
+    cut = materialise(ends(base).join(gone.select("trial", F.col("a").alias("end")), "end").select("trial", "hf_c", "a", "b", "c").distinct())
+    hit = materialise(cut.select("trial", "hf_c").unionByName(new.select("trial", "hf_c")).distinct())
+    kept = base.join(hit, "hf_c").join(cut, ["trial", "hf_c", "a", "b", "c"], "left_anti")
+    patch = materialise(centres(kept.select(new.columns).unionByName(new), "trial"))
+
+    own = materialise(_near(p, key, [], 1 + size).select(F.col("query_id").alias("neighbour_id"), F.col("neighbour_id").alias("other"), F.col("distance").alias("nn"), F.col("rank").alias("no")))
+    most = lambda c: materialise(knn_join(c, p, around + size, ["x", "y"], "hf_c", key).withColumnRenamed("query_id", "hf_c"))
+    near = most(all_)
+    away = lost.withColumnRenamed(key, "neighbour_id")
+    bare = own.where("no = 1").join(lost.withColumnRenamed(key, "other"), "other").select("trial", "neighbour_id").unionByName(away.select("trial", "neighbour_id"))
+    moved = near.where(F.col("rank") <= around).join(bare.distinct(), "neighbour_id").select("trial", "hf_c").distinct()
+    moved = materialise(moved.join(hit, ["trial", "hf_c"], "left_anti"))
+    at = p.select(F.col(key).alias("neighbour_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+
+    def scored(rows: DataFrame, c: DataFrame, by: list[str]) -> DataFrame:
+        """(by, hf_c, x, y, score) of the centres c, from rows of their nearest points with nn."""
+        six = F.array_sort(F.collect_list(F.struct("distance", F.col("neighbour_id").alias("id"), "px", "py", "nn"))).alias("six")
+        rows = rows.join(at, "neighbour_id").groupBy(*by, "hf_c").agg(six).join(c, [*by, "hf_c"])
+        score = lambda n: hole_score(n, F.col("x"), F.col("y"), F.col("radius"), around, gap)
+        closed = score(F.transform("six", lambda n: n.withField("nn", F.lit(1.0)))).isNotNull()  # a spacing of 0 leaves no score, but a candidate
+        return rows.where(closed).select(*by, "hf_c", "x", "y", score(F.col("six")).alias("score"))
+
+    again = near.join(moved, "hf_c").unionByName(most(patch.select("hf_c", "x", "y").distinct()).join(patch.select("trial", "hf_c"), "hf_c")).drop("rank").join(away, ["trial", "neighbour_id"], "left_anti")
+    again = again.withColumn("rank", F.row_number().over(Window.partitionBy("trial", "hf_c").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= around)
+    spaced = again.join(own.select("neighbour_id", "other", "nn"), "neighbour_id").join(lost.withColumnRenamed(key, "other"), ["trial", "other"], "left_anti")
+    spaced = spaced.groupBy("trial", "hf_c", "neighbour_id", "distance").agg(F.min("nn").alias("nn"))
+    new_scores = scored(spaced, moved.join(all_, "hf_c").unionByName(patch.select("trial", *all_.columns)), ["trial"])
+    old_scores = materialise(scored(near.where(F.col("rank") <= around).join(own.where("no = 1").select("neighbour_id", "nn"), "neighbour_id"), all_, []))
+    old_scores = old_scores.crossJoin(F.broadcast(trials)).join(hit.unionByName(moved), ["trial", "hf_c"], "left_anti")  # a row for each trial
+    found = old_scores.unionByName(new_scores).join(F.broadcast(centre), "trial")
     w = Window.partitionBy("trial")
     ranked = found.withColumns({"rank": F.row_number().over(w.orderBy(F.col("score").desc(), "x", "y")), "d": F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))})
     return ranked.groupBy("trial").agg(F.min_by("rank", F.struct("d", "rank")).alias("rank"), F.min("d").alias("distance"))
-
-

@@ -91,3 +91,26 @@ def test_small_regions_are_as_exact_as_large_ones():
         near = sorted(((float(x), float(y)) for x, y in rnd.normal(0, scale, (60, 2))), key=lambda n: n[0] ** 2 + n[1] ** 2)
         for x, y, *_ in holes.region(near, holes.FAR):
             assert min(np.hypot(x - a, y - b) for a, b in near) >= np.hypot(x, y) * (1 - holes.ROUND)
+
+
+def test_torn_edges_equal_searches_of_what_is_left(spark):
+    """Every trial against hole_candidates of the points without its lost nodes: scattered points, a lattice's corner, a point that shares a lost one's place."""
+    rnd = np.random.default_rng(31)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate([*rnd.normal(size=(70, 2)), *[(3.0 + a, 3.0 + b) for a in range(3) for b in range(3)]])]
+    rows.append((200, *rows[5][1:]))
+    by_x = sorted(rows[:70], key=lambda r: r[1])
+    ring = [by_x[0][0], by_x[1][0], 78, 5, by_x[30][0]]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {r["trial"]: (r["rank"], r["distance"]) for r in holes.torn_edges(df, "id", spark.createDataFrame(list(enumerate(ring)), "place int, node long"), 2).collect()}
+    lost = {t: (ring[t], ring[(t + 1) % 5]) for t in range(5)}
+    left = spark.createDataFrame([(t, *r) for t, gone in lost.items() for r in rows if r[0] not in gone], "trial long, id long, x double, y double")
+    found: dict = {}
+    for r in holes.hole_candidates(left, "id", ("trial",), gap=180.0).collect():
+        found.setdefault(r["trial"], []).append((r["score"], r["x"], r["y"]))
+    at = {r[0]: np.array(r[1:]) for r in rows}
+    assert got.keys() == found.keys()
+    for t, c in found.items():
+        c.sort(key=lambda s: (-s[0], *s[1:]))
+        cx, cy = (at[lost[t][0]] + at[lost[t][1]]) / 2
+        d = [float(np.hypot(s[1] - cx, s[2] - cy)) for s in c]
+        assert abs(got[t][1] - min(d)) < 1e-9 and d[got[t][0] - 1] < min(d) + 1e-9
